@@ -20,11 +20,21 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("text_sha256", F.lower(F.hex("digest"))).drop("digest")
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import fold, learn, predict
+
+    docs = table(spark, sf_dir, "documents")
+    model = learn(docs.where(fold() != 2))
+    found = predict(docs, model)
+    return found.select("doc_id", (fold() == 2).alias("held_out"), "lang_pred", "score")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
 
 QUERIES: dict[str, Query] = {
+    "op9_language_id": op9_language_id,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
