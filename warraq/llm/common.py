@@ -93,12 +93,12 @@ def powers(n: int, base: int = _BASE) -> np.ndarray:
     out = np.empty(max(n, 1), dtype=np.uint64)
     out[0] = 1
     done = 1
-    step = np.uint64(base)
+    step = base
     while done < n:
         take = min(done, n - done)
-        out[done : done + take] = out[:take] * step
+        out[done : done + take] = out[:take] * np.uint64(step)
         done += take
-        step = step * step
+        step = step * step % (1 << 64)
     return out[:n]
 
 
