@@ -32,6 +32,21 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(table(spark, sf_dir, "documents"), k=2, percent=80)
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat_format import format_windows, read_back
+
+    said = "</s>[INST] ok [/INST]"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return read_back(format_windows(rows.unionByName(extra)), in_order=True)
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import assign
+
+    return assign(table(spark, sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -54,6 +69,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_decontamination": op2_decontamination,
     "op3_near_dedup": op3_near_dedup,
+    "op5_chat_format": op5_chat_format,
+    "op7_sharding": op7_sharding,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_language_id": op9_language_id,
     "op10_exact_dedup": op10_exact_dedup,
@@ -77,6 +94,16 @@ SQL: dict[str, str] = {
         SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
                sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM dw LEFT JOIN cov USING (doc_id) LEFT JOIN it USING (doc_id)""",
+    "op7_sharding": """
+        WITH d AS (SELECT doc_id, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h,
+                          coalesce(strlen(text), 0)::BIGINT AS bytes FROM documents),
+        p AS (SELECT doc_id, h, bytes, k, h >> (60 - k) AS prefix FROM d, unnest(generate_series(0, 60)) AS s(k)),
+        n AS (SELECT k, prefix, sum(bytes)::BIGINT AS shard_bytes, count(*) AS shard_docs, min(h) AS lo, max(h) AS hi FROM p GROUP BY 1, 2),
+        leaf AS (SELECT p.doc_id, min(k) AS depth FROM p JOIN n USING (k, prefix)
+                 WHERE shard_bytes <= 33554432 OR lo = hi GROUP BY 1)
+        SELECT p.doc_id, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(p.prefix), depth::INT, '0') END AS shard, depth::INT AS depth,
+               shard_bytes, shard_docs, shard_bytes > 33554432 AS oversize
+        FROM leaf JOIN p ON p.doc_id = leaf.doc_id AND p.k = leaf.depth JOIN n ON n.k = p.k AND n.prefix = p.prefix""",
     "op10_exact_dedup": """
         WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
