@@ -41,6 +41,12 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_windows(rows.unionByName(extra)), in_order=True)
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import digest, scan
+
+    return digest(scan(table(spark, sf_dir, "documents")))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import assign
 
@@ -70,6 +76,7 @@ QUERIES: dict[str, Query] = {
     "op2_decontamination": op2_decontamination,
     "op3_near_dedup": op3_near_dedup,
     "op5_chat_format": op5_chat_format,
+    "op6_secret_scan": op6_secret_scan,
     "op7_sharding": op7_sharding,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_language_id": op9_language_id,
