@@ -88,8 +88,17 @@ _BASE = 0x5851F42D4C957F2D | 1
 _INV = pow(_BASE, -1, 1 << 64)
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def powers(n: int, base: int = _BASE) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
+    """base**0 .. base**(n-1) modulo 2**64; the longest table made so far is kept."""
+    if base not in _POWERS or len(_POWERS[base]) < n:
+        _POWERS[base] = _make_powers(n, base)
+    return _POWERS[base][:n]
+
+
+def _make_powers(n: int, base: int) -> np.ndarray:
     out = np.empty(max(n, 1), dtype=np.uint64)
     out[0] = 1
     done = 1
@@ -145,12 +154,27 @@ class Words:
         return self.data[self.start[i] : self.end[i]].tobytes()
 
 
-def byte_range_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, inverse: np.ndarray | None = None) -> np.ndarray:
+def byte_range_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hashes of data[start:end] for many ranges, position-independent."""
-    n = len(data)
     if len(start) == 0:
         return np.zeros(0, np.uint64)
-    total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[data] * powers(n), out=total[1:])
-    inv = powers(n + 1, _INV)[start]
+    total = prefix_hashes(data)
+    inv = powers(len(data) + 1, _INV)[start]
     return mix((total[end] - total[start]) * inv + (end - start).astype(np.uint64))
+
+
+def prefix_hashes(data: np.ndarray, base: int = _BASE) -> np.ndarray:
+    total = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(_BYTE[data] * powers(len(data), base), out=total[1:])
+    return total
+
+
+def gram_hashes(data: np.ndarray, size: int, base: int = _BASE) -> np.ndarray:
+    """Hash of data[i:i + size] for each i."""
+    n = len(data) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    total = prefix_hashes(data, base)
+    out = total[size:] - total[:n]
+    out *= powers(n, pow(base, -1, 1 << 64))
+    return mix(out)

@@ -61,11 +61,11 @@ class Model:
     scripts: np.ndarray  # scripts x languages, True where the script admits the language
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[pa.RecordBatch]:
-    """The batches, cut so that a piece holds about _CHUNK_BYTES of text (or one row)."""
+def _chunks(batches: Iterator[pa.RecordBatch], text_col: str, limit: int = _CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches, cut so that a piece holds about ``limit`` bytes of text (or one row)."""
     for batch in batches:
         size = pa.compute.fill_null(pa.compute.binary_length(batch.column(text_col)), 0).to_numpy(zero_copy_only=False)
-        piece = np.cumsum(size) // _CHUNK_BYTES
+        piece = np.cumsum(size) // limit
         cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             if b > a:

@@ -38,6 +38,13 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(table(spark, sf_dir, "documents"), k=2, percent=80)
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import remove_repeats
+
+    found = remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat_format import format_windows, read_back
 
@@ -82,6 +89,7 @@ QUERIES: dict[str, Query] = {
     "op1_lm_score": op1_lm_score,
     "op2_decontamination": op2_decontamination,
     "op3_near_dedup": op3_near_dedup,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_chat_format": op5_chat_format,
     "op6_secret_scan": op6_secret_scan,
     "op7_sharding": op7_sharding,
