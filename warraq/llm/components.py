@@ -2,12 +2,36 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_stage, stage
 
 
+#: A graph of up to this many links (16 bytes each) is settled by one task's union-find.
+ONE_TASK_LINKS = 200_000
+
+
+def _union_find(batches):
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        up.setdefault(x, x)
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            a, b = root(a), root(b)
+            if a != b:
+                up[max(a, b)] = min(a, b)
+    nodes = list(up)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], names=["node", "comp"])
+
+
 def components(edges: DataFrame, work: str) -> DataFrame:
     """node, comp for every node of ``edges`` (a, b): comp is the smallest node reachable.
 
@@ -16,8 +40,11 @@ def components(edges: DataFrame, work: str) -> DataFrame:
     ``work``, so a lost executor re-reads one round.
     """
     spark = edges.sparkSession
+    edges = stage(edges.where("a <> b").select("a", "b").distinct(), f"{work}/links")
+    if edges.count() <= ONE_TASK_LINKS:
+        return stage(edges.repartition(1).mapInArrow(_union_find, "node long, comp long"), f"{work}/labels")
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = stage(both.where("a <> b").distinct(), f"{work}/edges")
+    both = stage(both.distinct(), f"{work}/edges")
     labels = stage(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("comp")), f"{work}/labels-0")
     step = 0
     while True:

@@ -7,11 +7,12 @@ each, so every coordinate fills; the work is about set size plus t log t instead
 their product, with Chernoff-like concentration.  Bands of coordinates give bucket
 keys: with 45 bands of 6, a pair at 0.8 is missed with probability about 1e-6.
 
-Documents with equal sets are one class from the start.  In each bucket the members
-are paired with its smallest member only; pairs are verified on the full shingle
-sets of the texts, and verified links joined into components.  Buckets whose members
-are then still in different components are finished by verifying their pairs across
-components, in blocks of bounded size, so no link found by banding is left out.
+Documents with equal sets are one class from the start.  A bucket's members are
+paired with one center only, the member that is in the fullest buckets; pairs are
+verified on the full shingle sets of the texts, and verified links joined into
+components.  Where members of a center's family are still in different components,
+those are compared across components by intersection counts in blocks of bounded
+size, so no link found by banding is left out and no pairs of a group are emitted.
 
 Defined cases: a null, empty or blank text has an empty set and is linked with
 nothing; fewer words than a shingle make one shingle of all words; repeated rows are
@@ -31,8 +32,8 @@ from .components import components
 from .language_id import _chunks
 
 BANDS, ROWS = 45, 6
-#: Pairs across components verified at once, per document of the input.
-PAIRS_PER_DOCUMENT = 4
+#: Members of a family that meet in one task, and the size up to which families share a task.
+FAMILY_BLOCK, SMALL_FAMILY = 1024, 64
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -166,42 +167,24 @@ def near_components(
     classes = stage(some.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("rep")), f"{work}/classes")
     reps = some.select("doc_id", "keys").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     member = reps.select(F.explode("keys").alias("key"), "doc_id")
-    buckets = member.groupBy("key").agg(F.min("doc_id").alias("center"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    # Rows of buckets with company: (key, center, size, doc).
+    buckets = member.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = stage(member.join(buckets, "key"), f"{work}/buckets")
-    stars = shared.where("doc_id <> center").groupBy(F.col("center").alias("a"), F.col("doc_id").alias("b")).agg(F.count(F.lit(1)).alias("bands"))
-    stars = stage(stars, f"{work}/stars")
+    # The member that is in the fullest buckets speaks for a bucket: the origin of a family of copies.
+    central = shared.groupBy("doc_id").agg(F.sum("size").alias("weight"))
+    weighted = stage(shared.join(central, "doc_id").select("key", "doc_id", "weight"), f"{work}/weighted")
+    center = weighted.groupBy("key").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("n"))).alias("m"))
+    stars = weighted.select("key", F.col("doc_id").alias("b")).join(center.select("key", (-F.col("m.n")).alias("a")), "key").where("a <> b")
+    stars = stage(stars.groupBy("a", "b").agg(F.count(F.lit(1)).alias("bands")), f"{work}/stars")
     ids = stars.select(F.col("a").alias("doc_id")).unionByName(stars.select(F.col("b").alias("doc_id"))).distinct()
     texts = stage(source.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), f"{work}/texts")
 
-    # Each document against the center it shares most bands with; then, where still needed, the others.
+    # Each document against the center it shares most bands with; families still apart are settled in blocks.
     best = stars.groupBy("b").agg(F.max(F.struct("bands", (-F.col("a")).alias("na"))).alias("m")).select((-F.col("m.na")).alias("a"), "b")
     links = stage(verify(best, texts, k, percent), f"{work}/links-0")
     labels = components(links, f"{work}/components-0")
-    rest = _across(stars.join(best, ["a", "b"], "left_anti").select("a", "b"), labels)
-    links = links.unionByName(stage(verify(rest, texts, k, percent), f"{work}/links-1"))
-    labels = components(links, f"{work}/components-1")
-
-    # Buckets that still hold several components.
-    crowd = shared.where("size > 2").select("key", "center", "doc_id")
-    crowd = stage(_labelled(crowd, labels, ["doc_id", "center"]), f"{work}/crowd")
-    minor = crowd.where("comp_doc_id <> comp_center").groupBy("key").agg(F.count(F.lit(1)).alias("minors"))
-    totals = crowd.join(minor, "key").agg(F.coalesce(F.sum("minors"), F.lit(0)).alias("p")).first()["p"]
-    if totals:
-        open_ = stage(crowd.join(minor.select("key"), "key", "left_semi"), f"{work}/open")
-        blocks = -(-int(totals) // (PAIRS_PER_DOCUMENT * max(sketch.count(), 250_000)))
-        for block in range(blocks):
-            x = open_.select("key", "center", F.col("doc_id").alias("x"))
-            y = open_.select("key", F.col("doc_id").alias("y"))
-            now = _labelled(x.where(F.pmod(F.xxhash64("x"), F.lit(blocks)) == block), labels, ["x", "center"])
-            now = now.where("comp_x <> comp_center").select("key", "center", "x", "comp_x")
-            pairs = now.join(_labelled(y, labels, ["y"]), "key").where("comp_x <> comp_y and y <> center")
-            pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-            pairs = stage(pairs.join(stars, ["a", "b"], "left_anti"), f"{work}/pairs-{block}")
-            found = stage(verify(pairs, texts, k, percent), f"{work}/links-{block + 2}")
-            if not found.isEmpty():
-                links = links.unionByName(found)
-                labels = components(links, f"{work}/components-{block + 2}")
+    more = _settle(stars, labels, texts, k, percent, work)
+    if not more.isEmpty():
+        labels = components(links.unionByName(more), f"{work}/components-1")
 
     named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
         "fp1", "fp2", "n_shingles", F.coalesce("comp", "rep").alias("component_id")
@@ -219,8 +202,62 @@ def _labelled(df: DataFrame, labels: DataFrame, cols: list[str]) -> DataFrame:
     return df
 
 
-def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    return _labelled(pairs, labels, ["a", "b"]).where("comp_a <> comp_b").select("a", "b")
+def _settle(stars: DataFrame, labels: DataFrame, texts: DataFrame, k: int, percent: int, work: str) -> DataFrame:
+    """Verified links between components of one family (a center and all that share a bucket with it).
+
+    Members outside the center's component meet all members of other components, by
+    intersection counts inside blocks of FAMILY_BLOCK; only links that join components leave a block.
+    """
+    family = stars.select("a", "b").unionByName(stars.select("a", F.col("a").alias("b")).distinct())
+    family = _labelled(family, labels, ["a", "b"])
+    size = family.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("comp_a") != F.col("comp_b")).alias("m")).where("m > 0")
+    open_ = stage(family.join(size, "a").select("a", "b", "comp_b", "n", "m", (F.col("comp_a") != F.col("comp_b")).alias("apart")), f"{work}/families")
+    small = open_.where(F.col("n") <= SMALL_FAMILY).count()
+    bins = max(1, -(-small // FAMILY_BLOCK))
+    parts = lambda c: F.ceil(F.col(c) / FAMILY_BLOCK).cast("int")
+    own = lambda c: F.pmod(F.xxhash64("b"), parts(c)).cast("int")
+    whole = F.col("n") <= SMALL_FAMILY
+    rows = open_.withColumn("g", F.when(whole, -1 - F.pmod(F.xxhash64("a"), F.lit(bins))).otherwise(F.col("a")))
+    left = rows.where("apart").withColumn("i", own("m")).withColumn("j", F.explode(F.sequence(F.lit(0), parts("n") - 1))).withColumn("asks", F.lit(True))
+    right = rows.withColumn("j", own("n")).withColumn("i", F.explode(F.sequence(F.lit(0), parts("m") - 1))).withColumn("asks", F.lit(False))
+    both = left.unionByName(right).select("g", "i", "j", "a", "b", "comp_b", "asks")
+    both = both.join(texts.select(F.col("doc_id").alias("b"), "text"), "b")
+
+    def run(group: pa.Table) -> pa.Table:
+        words = Words(pa.concat_arrays(group.column("text").chunks))
+        row, h = shingle_hashes(words, k)
+        family_, doc, comp = (group.column(c).to_numpy() for c in ("a", "b", "comp_b"))
+        asks = group.column("asks").to_numpy(zero_copy_only=False)
+        n = np.bincount(row, minlength=len(doc))
+        first = np.concatenate([[0], np.cumsum(n)])
+        feature = np.unique(h ^ mix(family_.astype(np.uint64))[row], return_inverse=True)[1]
+        # Postings of the members that are asked, by feature.
+        member = ~asks[row]
+        order = np.argsort(feature[member], kind="stable")
+        posting = row[member][order]
+        begin = np.searchsorted(feature[member][order], np.arange(feature.max(initial=-1) + 2))
+        up: dict[int, int] = {}
+
+        def root(x):
+            while up.get(x, x) != x:
+                x = up[x]
+            return x
+
+        found = []
+        for x in np.flatnonzero(asks):
+            f = feature[first[x] : first[x + 1]]
+            size_ = begin[f + 1] - begin[f]
+            at = np.repeat(begin[f] - (np.cumsum(size_) - size_), size_) + np.arange(int(size_.sum()))
+            same = np.bincount(posting[at], minlength=len(doc))
+            for y in np.flatnonzero((100 * same >= percent * (n[x] + n - same)) & (same > 0) & (comp != comp[x])):
+                s, t = root(int(comp[x])), root(int(comp[y]))
+                if s != t:
+                    up[max(s, t)] = min(s, t)
+                    found.append((int(doc[x]), int(doc[y])))
+        return pa.table({"a": pa.array([p[0] for p in found], pa.int64()), "b": pa.array([p[1] for p in found], pa.int64())})
+
+    found = stage(both.groupBy("g", "i", "j").applyInArrow(run, "a long, b long").distinct(), f"{work}/found")
+    return stage(verify(found, texts, k, percent), f"{work}/links-1")
 
 
 def drop_near_copies(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
