@@ -35,6 +35,9 @@ BANDS, ROWS = 45, 6
 #: Members of a family that meet in one task, and the size up to which families share a task.
 FAMILY_BLOCK, SMALL_FAMILY = 1024, 64
 
+#: Candidates (8 bytes each) up to this number are broadcast to pick their texts; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
+
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -176,7 +179,9 @@ def near_components(
     stars = weighted.select("key", F.col("doc_id").alias("b")).join(center.select("key", (-F.col("m.n")).alias("a")), "key").where("a <> b")
     stars = stage(stars.groupBy("a", "b").agg(F.count(F.lit(1)).alias("bands")), f"{work}/stars")
     ids = stars.select(F.col("a").alias("doc_id")).unionByName(stars.select(F.col("b").alias("doc_id"))).distinct()
-    texts = stage(source.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), f"{work}/texts")
+    ids = stage(ids, f"{work}/ids")
+    known = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    texts = stage(source.join(known, "doc_id", "left_semi").dropDuplicates(["doc_id"]), f"{work}/texts")
 
     # Each document against the center it shares most bands with; families still apart are settled in blocks.
     best = stars.groupBy("b").agg(F.max(F.struct("bands", (-F.col("a")).alias("na"))).alias("m")).select((-F.col("m.na")).alias("a"), "b")
