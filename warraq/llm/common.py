@@ -83,6 +83,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def mix_in_place(x: np.ndarray) -> np.ndarray:
+    """As ``mix``, with one temporary array."""
+    t = x >> np.uint64(30)
+    x ^= t
+    x *= _M1
+    np.right_shift(x, np.uint64(27), out=t)
+    x ^= t
+    x *= _M2
+    np.right_shift(x, np.uint64(31), out=t)
+    x ^= t
+    return x
+
+
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _BASE = 0x5851F42D4C957F2D | 1
 _INV = pow(_BASE, -1, 1 << 64)
@@ -165,7 +178,9 @@ def byte_range_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.
 
 def prefix_hashes(data: np.ndarray, base: int = _BASE) -> np.ndarray:
     total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[data] * powers(len(data), base), out=total[1:])
+    np.take(_BYTE, data, out=total[1:])
+    total[1:] *= powers(len(data), base)
+    np.cumsum(total[1:], out=total[1:])
     return total
 
 
@@ -176,5 +191,6 @@ def gram_hashes(data: np.ndarray, size: int, base: int = _BASE) -> np.ndarray:
         return np.zeros(0, np.uint64)
     total = prefix_hashes(data, base)
     out = total[size:] - total[:n]
+    del total
     out *= powers(n, pow(base, -1, 1 << 64))
-    return mix(out)
+    return mix_in_place(out)

@@ -44,8 +44,10 @@ LENGTH = 400
 GRAM = 200
 STEPS = 4
 HOT = 4096
-RANGE_BYTES = 32 << 20
-_BLOCK_BYTES = 4 << 20
+RANGE_BYTES = 8 << 20
+_BLOCK_BYTES = 2 << 20
+#: Bytes of strings merged at once; strings of one minimizer stay together.
+_MERGE_BYTES = 1 << 19
 _OTHER_BASE = 0x2545F4914F6CDD1D
 _SHARDS = 8
 
@@ -57,9 +59,10 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
         return x[:0]
     pad = -n % w
     rows = np.concatenate([x, np.full(pad, np.iinfo(x.dtype).max, dtype=x.dtype)]).reshape(-1, w)
-    before = np.minimum.accumulate(rows, axis=1).ravel()
-    after = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(after[: n - w + 1], before[w - 1 : n])
+    before = np.minimum.accumulate(rows, axis=1).ravel()[w - 1 : n]
+    back = rows[:, ::-1]
+    np.minimum.accumulate(back, axis=1, out=back)
+    return np.minimum(rows.ravel()[: n - w + 1], before)
 
 
 class Anchors:
@@ -353,12 +356,16 @@ def _solve(length: int):
             start, block, end = at[from_], to[from_], at[from_] + 1
         else:
             size = size.astype(np.int64)
-            data = np.concatenate([
-                np.frombuffer(pa.decompress(x, decompressed_size=int(s), codec="zstd", asbytes=True), dtype=np.uint8)
-                for x, s in zip(group.column("body").to_pylist(), np.bincount(source, weights=size, minlength=len(blocks)), strict=True)
-            ])
             begin = np.cumsum(size) - size
-            body = _range_hash(data, begin, size)
+            packets, hashes, at_packet = [], [], 0
+            for x, number in zip(group.column("body").to_pylist(), map(len, keys), strict=True):
+                own = size[at_packet : at_packet + number]
+                text = np.frombuffer(pa.decompress(x, decompressed_size=int(own.sum()), codec="zstd", asbytes=True), dtype=np.uint8)
+                packets.append(text)
+                hashes.append(_range_hash(text, np.cumsum(own) - own, own))
+                at_packet += number
+            data, body = np.concatenate(packets), np.concatenate(hashes)
+            del packets
             order = np.lexsort((body, size, key))
             new = np.ones(len(order), dtype=bool)
             new[1:] = (key[order][1:] != key[order][:-1]) | (size[order][1:] != size[order][:-1]) | (body[order][1:] != body[order][:-1])
@@ -379,19 +386,23 @@ def _solve(length: int):
             starts.append(at[base])
             ends.append(at[base] + np.repeat(size[many] - length + 1, reps))
             to.append(np.repeat(source[many], reps))
-            if len(take):
-                own = gather(data, begin[take], size[take])
-                own_start = np.cumsum(size[take]) - size[take]
-                shard = source[take] * _SHARDS // len(blocks)
-                hit = repeated_windows(own, own_start, size[take], times[same[take]], shard, length)
+            # Equal windows have one minimizer, so minimizers can be settled some at a time.
+            turn = np.cumsum(size[take]) // _MERGE_BYTES
+            first_of_key = np.flatnonzero(np.diff(key[take], prepend=key[take][:1] ^ np.uint64(1))) if len(take) else np.zeros(0, np.int64)
+            turn = np.repeat(turn[first_of_key], np.diff(np.append(first_of_key, len(take))))
+            for part in np.split(take, np.flatnonzero(np.diff(turn)) + 1) if len(take) else []:
+                own = gather(data, begin[part], size[part])
+                own_start = np.cumsum(size[part]) - size[part]
+                shard = source[part] * _SHARDS // len(blocks)
+                hit = repeated_windows(own, own_start, size[part], times[same[part]], shard, length)
                 a, b = _runs(hit)  # windows of a string end `length` bytes before it does, so runs stay inside
                 where = np.searchsorted(own_start, a, side="right") - 1
-                once = times[same[take[where]]] == 1
+                once = times[same[part[where]]] == 1
                 a, b, where = a[once], b[once], where[once]
-                shift = at[first_at[take[where]]] - own_start[where]
+                shift = at[first_at[part[where]]] - own_start[where]
                 starts.append(a + shift)
                 ends.append(b + shift)
-                to.append(source[take[where]])
+                to.append(source[part[where]])
             start, end, block = np.concatenate(starts), np.concatenate(ends), np.concatenate(to)
         rows = []
         for i in np.unique(block).astype(int):
