@@ -77,9 +77,10 @@ def export_snippet(page: Column, term: Column, fallback: Column, words: int = EX
     left = F.when(joint, F.substring(left, F.lit(1), F.length(left) - F.length(head))).otherwise(left)
     right = F.when(joint, F.concat(head, right)).otherwise(right)
     n_left, n_right = F.regexp_count(left, F.lit(token)), F.regexp_count(right, F.lit(token))
-    gap = r"[^\p{L}\p{Nd}]*"
-    before = F.regexp_extract(left, rf"(?:{token}{gap}){{0,{words}}}\z", 0)
-    after = F.regexp_extract(right, rf"\A{gap}((?:{token}{gap}){{0,{words}}}{token})", 1)
+    # Possessive: words and gaps alternate in one way only, so nothing is tried twice.
+    gap, whole = r"[^\p{L}\p{Nd}]*+", r"[\p{L}\p{Nd}]++"
+    before = F.regexp_extract(left, rf"(?<![\p{{L}}\p{{Nd}}])(?:{whole}{gap}){{0,{words}}}\z", 0)
+    after = F.regexp_extract(right, rf"\A{gap}((?:{whole}{gap}){{0,{words}}}{whole})", 1)
     lead = F.when(before == "", "").otherwise(F.regexp_extract(right, rf"\A({gap})", 1))
     core = trim(F.concat(before, lead, after))
     cut = F.concat(F.when(n_left > words, "… ").otherwise(""), core, F.when(n_right > words + 1, " …").otherwise(""))

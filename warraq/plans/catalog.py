@@ -164,11 +164,11 @@ _filtered("flt_categories", {"categories": ("en", "de")}, "category IN ('en', 'd
 _filtered("flt_categories_unclassified", {"categories": ("fr", "غير مصنّف")}, "(category IN ('fr') OR category IS NULL)")
 _filtered("flt_years_time_mode", {"years": ("1007", "1021"), "time_mode": TimeMode.USAGE_DATE}, "year IN ('1007', '1021')")
 _filtered("flt_death_years", {"years": ("1007", "0000")}, "death_year IN ('1007', '0000')")
-_filtered("flt_countries", {"countries": ("FRANCE", "CHINA")}, "country IN ('FRANCE', 'CHINA')")
+_filtered("flt_countries", {"countries": ("NATION_7", "NATION_11")}, "country IN ('NATION_7', 'NATION_11')")
 _filtered("flt_book_ids", {"book_ids": (3, 7, 11, 42)}, "book_id IN (3, 7, 11, 42)")
 _filtered("flt_subcategory_empty", {"subcategories": ("x",)}, "FALSE")
-_filtered("flt_combined", {"categories": ("en",), "countries": ("FRANCE", "CHINA", "BRAZIL"), "years": ("1007", "1002", "1018")},
-          "category = 'en' AND country IN ('FRANCE', 'CHINA', 'BRAZIL') AND death_year IN ('1007', '1002', '1018')")
+_filtered("flt_combined", {"categories": ("en",), "countries": ("NATION_7", "NATION_2", "NATION_18"), "years": ("1007", "1002", "1018")},
+          "category = 'en' AND country IN ('NATION_7', 'NATION_2', 'NATION_18') AND death_year IN ('1007', '1002', '1018')")
 
 
 @query("srt_limit", _found(_THE, tail="ORDER BY book_id, page_num, pos LIMIT 1000"))
@@ -266,9 +266,9 @@ def _(spark, d):
 # -- filters on lists -------------------------------------------------------------
 
 
-@query("flt_visible_books", f"WITH {_LIB} SELECT book_id, book_title FROM lib WHERE country IN ('FRANCE', 'CHINA')")
+@query("flt_visible_books", f"WITH {_LIB} SELECT book_id, book_title FROM lib WHERE country IN ('NATION_7', 'NATION_11')")
 def _(spark, d):
-    chosen = library.Selection("region", frozenset({"FRANCE", "CHINA"}))
+    chosen = library.Selection("region", frozenset({"NATION_7", "NATION_11"}))
     return library.visible_books(stats.books(corpus(spark, d)), chosen).select("book_id", "book_title")
 
 
@@ -283,9 +283,9 @@ def _(spark, d):
     return library.containing(corpus(spark, d), "book_title", " -4 ").select("book_id", "book_title")
 
 
-@query("flt_selection_membership", f"WITH {_LIB} SELECT DISTINCT country, country IN ('FRANCE', 'PERU') AS selected FROM lib")
+@query("flt_selection_membership", f"WITH {_LIB} SELECT DISTINCT country, country IN ('NATION_7', 'NATION_11') AS selected FROM lib")
 def _(spark, d):
-    return library.reapplied(corpus(spark, d).select("country").distinct(), "country", ["FRANCE", "PERU"])
+    return library.reapplied(corpus(spark, d).select("country").distinct(), "country", ["NATION_7", "NATION_11"])
 
 
 @query("flt_preflight", "SELECT count(*) AS files, count(*) FILTER (strlen(text) = 0) AS empty, count(*) FILTER (strlen(text) > 104857600) AS large, sum(strlen(text))::BIGINT AS bytes, (2 * sum(strlen(text)))::BIGINT AS disk_needed FROM documents")
@@ -349,10 +349,10 @@ def _(spark, d):
     return reader.with_neighbour_results(_top(spark, d), wrap=True).select("serial", "previous_serial", "next_serial")
 
 
-@query("win_saved_cap50", "SELECT event_id::VARCHAR AS id, event_type AS name, epoch_ms(ts) * 1000000 + event_id AS timestamp FROM events ORDER BY 3 DESC LIMIT 50")
+@query("win_saved_cap50", "SELECT event_id::VARCHAR AS id, event_type AS name, event_id * 1000 AS timestamp FROM events ORDER BY 3 DESC LIMIT 50")
 def _(spark, d):
     e = table(spark, d, "events")
-    saved = e.select(F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("name"), (F.unix_millis("ts") * 1000000 + F.col("event_id")).alias("timestamp"))
+    saved = e.select(F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("name"), (F.col("event_id") * 1000).alias("timestamp"))
     return services.add_saved(saved.limit(0), saved)
 
 
@@ -500,7 +500,7 @@ def _(spark, d):
     return spark.createDataFrame(rows, "a string, b string").select("a", "b", T.compare_versions(F.col("a"), F.col("b")).alias("c"))
 
 
-@query("sca_human_size", """SELECT o_orderkey, CASE WHEN n >= 1073741824 THEN printf('%.1f GB', n / 1073741824.0) WHEN n >= 1048576 THEN printf('%.1f MB', n / 1048576.0)
+@query("sca_human_size", """SELECT o_orderkey, CASE WHEN n >= 1073741824 THEN printf('%.1f GB', floor(n / 1073741824.0 * 10 + 0.5) / 10) WHEN n >= 1048576 THEN printf('%.1f MB', floor(n / 1048576.0 * 10 + 0.5) / 10)
     WHEN n >= 1024 THEN (n // 1024) || ' KB' ELSE n || ' B' END AS s FROM (SELECT o_orderkey, o_orderkey * o_orderkey * 37 AS n FROM orders)""")
 def _(spark, d):
     n = F.col("o_orderkey") * F.col("o_orderkey") * 37
@@ -650,7 +650,7 @@ def _(spark, d):
     return docs.unionByName(docs.select((F.col("book_id") + shards.ID_STEP).alias("book_id")))
 
 
-@query("sca_merged_ranges", "SELECT 0::INT AS a, 4::INT AS b UNION ALL SELECT 13::INT, 18::INT")
+@query("sca_merged_ranges", "SELECT 0::INT AS a, 4::INT AS b UNION ALL SELECT 11::INT, 16::INT")
 def _(spark, d):
     df = spark.createDataFrame([("كتاب العلم كِتاب",)], "t string")
     r = df.select(F.explode(render.merged_ranges(F.col("t"), ["كتا", "تاب"])).alias("r"))
