@@ -256,4 +256,4 @@ def keep_identified(docs: DataFrame, model: Model, min_score: float, text_col: s
 
 
 def fold(id_col: str = "doc_id", folds: int = 4) -> Column:
-    return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(folds))
+    return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(folds))
