@@ -106,3 +106,21 @@ def write_book(pages: DataFrame, book_id: int, path: str) -> None:
     else:
         with open(path, "w", encoding="utf-8") as f:
             f.write("\n\n".join(texts))
+
+
+def write_favourites(saved: DataFrame, hits: DataFrame, path: str) -> None:
+    """Saved searches as a DOCX summary: a heading each, and its first hits with short snippets."""
+    from .services import summaries
+
+    rows = summaries(hits).join(saved.select(F.col("id").alias("search_id"), "name", "query", "timestamp"), "search_id")
+
+    def paragraphs():
+        last = None
+        for r in rows.orderBy(F.desc("timestamp"), "search_id", "serial").toLocalIterator():
+            if r["search_id"] != last:
+                last = r["search_id"]
+                yield [(f"{r['name']} — {r['query']}", True)]
+            yield [(f"[{r['serial']}] {r['context_snippet']}", False)]
+
+    with open(path, "wb") as f:
+        f.write(docx(paragraphs()))

@@ -121,10 +121,15 @@ def _(spark, d):
     return search.search(sample_pages(spark), "مفعول", SearchMode.PATTERN, ALL)
 
 
-def _derived(root: str) -> str:
+@query("mat_wazn_corpus", _found(patterns.wazn("the"), _LIB))
+def _(spark, d):
+    return search.search(corpus(spark, d), "the", SearchMode.PATTERN, ALL)
+
+
+def _derived(root: str, lib: str = _SAMPLE) -> str:
     bare = f"regexp_replace(term, '[{patterns.HARAKAT}]', '', 'g')"
     keep = f"length({bare}) BETWEEN 3 AND 20 AND regexp_matches({bare}, {quote(patterns.allowed_letters(root))}) AND regexp_matches({bare}, {quote(patterns.root(root))})"
-    return f"""{_hits(r'[^ ]+', _SAMPLE)}, r AS (SELECT *, count(*) OVER (PARTITION BY term) AS match_count,
+    return f"""{_hits(r'\S+', lib)}, r AS (SELECT *, count(*) OVER (PARTITION BY term) AS match_count,
         row_number() OVER (PARTITION BY term ORDER BY book_id, page_num, pos) AS k FROM hit WHERE {keep})
         SELECT {_RESULT}, match_count FROM r WHERE k = 1"""
 
@@ -139,6 +144,11 @@ def _(spark, d):
     return search.search(sample_pages(spark), "علم", SearchMode.DERIVATIVES, ALL)
 
 
+@query("mat_derivatives_corpus", _derived("ere", _LIB))
+def _(spark, d):
+    return search.search(corpus(spark, d), "ere", SearchMode.DERIVATIVES, ALL)
+
+
 @query(
     "mat_first_match",
     f"""WITH {_LIB} SELECT book_id, regexp_extract(content, {quote(_THE)}) AS matched_term, {_FIRST.format(p=quote(_THE))}::BIGINT AS match_position
@@ -618,18 +628,18 @@ def _(spark, d):
     return found.select("book_id", "match_position", F.length("page_content").cast("long").alias("page_length"))
 
 
-@query("joi_duplicates", "SELECT '/in/' || doc_id || '/DOC-' || doc_id || '.txt' AS path FROM documents WHERE doc_id < 500")
+@query("joi_duplicates", "SELECT '/in/' || doc_id || '/DOC-' || doc_id || '.txt' AS path FROM documents")
 def _(spark, d):
     docs = table(spark, d, "documents")
     i = F.col("doc_id").cast("string")
-    paths = docs.where("doc_id < 500").select(F.concat(F.lit("/in/"), i, F.lit("/DOC-"), i, F.lit(".txt")).alias("path"))
+    paths = docs.select(F.concat(F.lit("/in/"), i, F.lit("/DOC-"), i, F.lit(".txt")).alias("path"))
     return files.duplicates(paths.unionByName(spark.createDataFrame([("/in/other.txt",)], "path string")), stats.books(corpus(spark, d)))
 
 
-@query("joi_pending", "SELECT url AS path FROM pages WHERE page_id % 3 <> 0")
+@query("joi_pending", "SELECT url AS path FROM pages WHERE url NOT IN (SELECT url FROM pages WHERE strlen(html) < 4096)")
 def _(spark, d):
-    p = table(spark, d, "pages").select("page_id", F.col("url").alias("path"))
-    return files.pending(p.select("path"), p.where("page_id % 3 = 0"))
+    p = table(spark, d, "pages").select("html", F.col("url").alias("path"))
+    return files.pending(p.select("path"), p.where(F.octet_length("html") < 4096))
 
 
 @query("joi_i18n", "SELECT key, text FROM (VALUES ('a', 'A!'), ('b', 'ب'), ('c', 'c')) t(key, text)")
@@ -639,6 +649,20 @@ def _(spark, d):
     return services.translations(keys, spark.createDataFrame(rows, "locale string, key string, text string"), "en")
 
 
+@query("sca_translation_chain", "SELECT key, text FROM (VALUES ('كَتَب', 'wrote'), ('درس', 'lesson'), ('بيت', 'بيت'), ('قلم', 'PEN')) t(key, text)")
+def _(spark, d):
+    rows = [("كتب", "wrote"), ("درس", "lesson"), ("قلم", "pen")]
+    keys = spark.createDataFrame([("كَتَب",), ("درس",), ("بيت",), ("قلم",)], "key string")
+    known, manual = spark.createDataFrame(rows, "key string, text string"), spark.createDataFrame([("قلم", "PEN")], "key string, text string")
+    return services.translation_chain(keys, manual, known)
+
+
+@query("snk_favourites", _TOP + " SELECT serial, substr(context_snippet, 1, 140) AS context_snippet FROM n WHERE serial <= 10")
+def _(spark, d):
+    hits = reader.numbered(_top(spark, d)).withColumn("search_id", F.lit("s"))
+    return services.summaries(hits).select("serial", "context_snippet")
+
+
 @query("set_delete_book", f"WITH {_LIB} SELECT book_id, page_num::INT AS page_num FROM lib WHERE book_id <> 5")
 def _(spark, d):
     return corpus(spark, d).where(~F.col("book_id").eqNullSafe(F.lit(5))).select("book_id", "page_num")

@@ -85,6 +85,16 @@ def translations(keys: DataFrame, table: DataFrame, locale: str, base: str = "ar
     return df.select("key", F.coalesce("__own", "__base", "key").alias("text"))
 
 
+def translation_chain(keys: DataFrame, manual: DataFrame, known: DataFrame) -> DataFrame:
+    """Build-time texts: by hand, else known for the key, else for the key without marks, else the key."""
+    from .functions.text import strip_marks_and_tatweel
+
+    bare = known.groupBy(strip_marks_and_tatweel(F.col("key")).alias("__bare")).agg(F.min("text").alias("__loose"))
+    df = keys.join(manual.select("key", F.col("text").alias("__hand")), "key", "left").join(known.select("key", F.col("text").alias("__exact")), "key", "left")
+    df = df.join(bare, strip_marks_and_tatweel(F.col("key")) == F.col("__bare"), "left")
+    return df.select("key", F.coalesce("__hand", "__exact", "__loose", "key").alias("text"))
+
+
 def coverage(table: DataFrame, base: str = "ar") -> DataFrame:
     """Share of the base language's keys that each locale has, at most 1."""
     total = table.where(F.col("locale") == base).agg(F.count(F.lit(1)).alias("total"))
