@@ -28,10 +28,14 @@ class Library:
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
-    def _exists(self, path: str) -> bool:
+    def exists(self, path: str) -> bool:
         fs, p = self._fs(path)
         return fs.exists(p)
 
+    def touch(self, path: str) -> None:
+        fs, p = self._fs(path)
+        fs.create(p, True).close()
+
     def versions(self) -> list[str]:
         fs, p = self._fs(self.path)
         if not fs.exists(p):
@@ -40,7 +44,7 @@ class Library:
 
     def _current(self) -> str | None:
         """The newest version that was finished."""
-        done = [v for v in self.versions() if self._exists(f"{self.path}/{v}/_SUCCESS")]
+        done = [v for v in self.versions() if self.exists(f"{self.path}/{v}/_SUCCESS")]
         return f"{self.path}/{done[-1]}" if done else None
 
     def _replace(self, pages: DataFrame, files: int | None = None) -> None:
