@@ -38,7 +38,8 @@ def snippet_around(text: Column, pattern: str, radius: int = 80) -> Column:
     start = match.first_position(text, pattern)
     end = start + F.length(match.first_match(text, pattern))
     low, high = F.greatest(start - radius, F.lit(0)), F.least(end + radius, F.length(text))
-    return F.concat(F.when(low > 0, "…").otherwise(""), F.substring(text, low + 1, high - low), F.when(high < F.length(text), "…").otherwise(""))
+    cut = F.concat(F.when(low > 0, "…").otherwise(""), F.substring(text, low + 1, high - low), F.when(high < F.length(text), "…").otherwise(""))
+    return F.when(start.isNotNull(), cut)
 
 
 def snippet_html(text: Column, pattern: str, radius: int = 80, open_tag: str = "<mark>", close_tag: str = "</mark>") -> Column:
