@@ -89,3 +89,28 @@ def test_pattern_builders():
     assert re.search(patterns.word("كتاب"), "كِتَابٍ") and not re.search(patterns.word("علم", whole_letters=True).replace("(?<!", "(?<!"), "العلم")
     assert patterns.substitute_symbols("بحر") == "بحر" and patterns.substitute_symbols("abc123") == "abc123"
     assert patterns.user_regex("a(?s)b") == "(?m)(?-s)ab" and patterns.user_regex("(?s:a)") is None
+
+
+def test_numbering_of_all_results(spark):
+    import __spark_entry__ as e
+
+    d = "/root/testdata/sf0.001"
+    run = lambda name: sorted(map(tuple, e.queries()[name](spark, d).collect()))
+    texts = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()
+    hits = sorted((r.doc_id, m.start()) for r in texts for m in re.finditer(patterns.phrase("the"), r.text or ""))
+    n = len(hits)
+    assert n > 1200 and run("win_serial_all") == [(i + 1, *h) for i, h in enumerate(hits)]
+    assert run("win_groups500_all") == [(i, -(-i // 500)) for i in range(1, n + 1)]
+    assert run("win_next_prev_all") == [(i, max(i - 1, 1), min(i + 1, n)) for i in range(1, n + 1)]
+    assert run("win_next_prev_wrapped_all") == [(i, (i - 2) % n + 1, i % n + 1) for i in range(1, n + 1)]
+
+
+def test_numbering_is_dealt_out(spark):
+    from warraq.operators import reader
+
+    pages = spark.range(3000).selectExpr("id % 7 as book_id", "cast(id % 3 as int) as page_number", "id as match_position")
+    df = reader.numbered(pages)
+    assert "Window" not in df._jdf.queryExecution().toString() and df.rdd.getNumPartitions() > 1
+    got = [tuple(r) for r in df.orderBy("serial").collect()]
+    assert got == [(*k, i + 1) for i, k in enumerate(sorted((i % 7, i % 3, i) for i in range(3000)))]
+    assert reader.with_neighbour_results(pages.limit(0), wrap=True).count() == 0

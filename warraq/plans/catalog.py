@@ -359,6 +359,35 @@ def _(spark, d):
     return reader.with_neighbour_results(_top(spark, d), wrap=True).select("serial", "previous_serial", "next_serial")
 
 
+# The same over all results: the queries above number a page of 1200.
+_EVERY = _hits(_THE) + ", n AS (SELECT book_id, pos::BIGINT AS match_position, (row_number() OVER (ORDER BY book_id, page_num, pos))::INT AS serial FROM hit)"
+
+
+def _every(spark, d):
+    return search.search(corpus(spark, d), "the", SearchMode.WORD, ALL).select("book_id", "page_number", "match_position")
+
+
+@query("win_serial_all", _EVERY + " SELECT serial, book_id, match_position FROM n")
+def _(spark, d):
+    return reader.numbered(_every(spark, d)).select("serial", "book_id", "match_position")
+
+
+@query("win_groups500_all", _EVERY + " SELECT serial, ceil(serial / 500.0)::INT AS display_group FROM n")
+def _(spark, d):
+    return reader.grouped(_every(spark, d)).select("serial", "display_group")
+
+
+@query("win_next_prev_all", _EVERY + " SELECT serial, greatest(serial - 1, 1) AS previous_serial, least(serial + 1, max(serial) OVER ()) AS next_serial FROM n")
+def _(spark, d):
+    return reader.with_neighbour_results(_every(spark, d)).select("serial", "previous_serial", "next_serial")
+
+
+@query("win_next_prev_wrapped_all", _EVERY + """ SELECT serial, CASE WHEN serial = 1 THEN max(serial) OVER () ELSE serial - 1 END AS previous_serial,
+    CASE WHEN serial = max(serial) OVER () THEN 1 ELSE serial + 1 END AS next_serial FROM n""")
+def _(spark, d):
+    return reader.with_neighbour_results(_every(spark, d), wrap=True).select("serial", "previous_serial", "next_serial")
+
+
 @query("win_saved_cap50", "SELECT event_id::VARCHAR AS id, event_type AS name, event_id * 1000 AS timestamp FROM events ORDER BY 3 DESC LIMIT 50")
 def _(spark, d):
     e = table(spark, d, "events")
