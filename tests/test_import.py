@@ -129,3 +129,13 @@ def test_exports(spark, tmp_path):
     assert "[1] الحديث — صفحة 1" in (tmp_path / "x.txt").read_text(encoding="utf-8")
     exports.write_book(p, 3, str(tmp_path / "b.txt"))
     assert (tmp_path / "b.txt").read_text(encoding="utf-8").startswith("قال")
+
+
+def test_csv_export_has_every_result(spark, tmp_path):
+    import __spark_entry__ as e
+
+    docs = spark.range(4500).selectExpr("id as doc_id", "'s' as source", "'en' as lang", "repeat('a trash ', 23) as text")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet("/root/testdata/sf0.001/nation.parquet").write.parquet(f"{tmp_path}/nation.parquet")
+    got = e.queries()["snk_csv_lines"](spark, str(tmp_path)).selectExpr("count(*) as n", "count(distinct serial) as d", "max(serial) as last").first()
+    assert tuple(got) == (103_500, 103_500, 103_500)

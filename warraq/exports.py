@@ -18,7 +18,7 @@ _RULE, _THIN = "=" * 60, "-" * 60
 
 def export_rows(results: DataFrame, pages: DataFrame) -> DataFrame:
     """Results with a serial, the page shown and the export snippet."""
-    df = numbered(page_of_result(results, pages))
+    df = page_of_result(numbered(results), pages)
     return df.withColumn("page", display_page(F.col("original_page_number"), F.col("page_number"))).withColumn(
         "snippet", export_snippet(F.col("page_content"), F.col("matched_term"), F.col("context_snippet"))
     )

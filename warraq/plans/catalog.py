@@ -501,7 +501,7 @@ def _(spark, d):
       CASE WHEN contains(v, ',') OR contains(v, '"') OR contains(v, chr(10)) THEN '"' || replace(v, '"', '""') || '"' ELSE v END AS value FROM e""")
 def _(spark, d):
     p = corpus(spark, d)
-    return exports.csv_lines(search.search(p, _TRASH, SearchMode.WORD, SearchOptions(limit=100_000)), p)
+    return exports.csv_lines(search.search(p, _TRASH, SearchMode.WORD, ALL), p)
 
 
 # -- text functions -----------------------------------------------------------------
