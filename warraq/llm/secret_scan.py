@@ -9,6 +9,12 @@ rejects the structured ones; those not rejected are reported.  The control needs
 only counts of p-values in ``BINS`` logarithmic bins, which is all that reaches the
 driver.
 
+A '=' inside a run ends one token and begins the next: in NAME=value the value is tested
+by itself, and the name as any other token.  Not tested (``_MIXED``): tokens without both a
+digit and a Latin letter, unless lower and upper case alternate as in aBcD; so random
+strings of digits alone, or of letters of one case, are not reported.  Nor are tokens of
+fewer than 20 characters with their padding, or 16 without it.
+
 Positions are code points, ends exclusive: gaps between matches (split) and matches
 (extract all) alternate, so their lengths add up to positions.
 
@@ -32,7 +38,9 @@ _BINS_PER_OCTAVE = 8
 _ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 _ACCESS = r"AKIA[A-Z0-9]{12,}"  # AKIA and all of its run, 16 or more characters
 _HEX = r"[0-9a-f]{32,}"  # whole runs of 32 or more
-_TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
+# 20 or more characters; a '=' is padding at the end of a token and a border before the next, so NAME=value is two tokens.
+_CHAR = r"[A-Za-z0-9+/_-]"
+_TOKEN = rf"(?<!{_CHAR})(?:(?=[A-Za-z0-9+/_=-]{{20}}){_CHAR}{{16,}}+=++(?!{_CHAR})|{_CHAR}{{20,}}+)"
 _MIXED = r"(?=.*[0-9])(?=.*[A-Za-z])|[a-z][A-Z]+[a-z]+[A-Z]"
 _BASE_KINDS = ["assign", "access", "hex"]
 _KINDS = [*_BASE_KINDS, "random_hex", "random_base32", "random_base62", "random_base64"]
