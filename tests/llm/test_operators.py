@@ -254,6 +254,23 @@ def test_chat_format(spark):
     assert len(many) > 1 and all(w.n_system == 1 and w.text.startswith("<<SYS>>be brief") for w in many)
 
 
+def test_window_sizes_are_prefix_sums():
+    added = 0
+
+    class Tokens(int):
+        def __radd__(self, other):
+            nonlocal added
+            added += 1
+            return int(other) + int(self)
+
+    for budget, history in ((10**9, 4), (300, 4), (300, 0), (60, 9)):
+        added, c = 0, chat_format._Conversation(1, lambda text: Tokens(len(text)), budget, history)
+        turns = [("system", "be brief")] * 300 * (budget > 300) + [("user" if i % 2 else "assistant", "x" * (i * i % 23)) for i in range(900)]
+        out = [w for role, text in turns for w in c.add(role, text)] + [c.flush()]
+        assert added <= 8 * len(turns) and sum(w["n_turns"] for w in out) + out[0]["n_system"] == len(turns)
+        assert all(w["tokens"] == len(w["text"]) for w in out)
+
+
 def test_secret_scan(odd):
     rules = [(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 8),
              ("AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 16), ("[0-9a-f]+", lambda m: len(m[0]) >= 32)]

@@ -93,22 +93,27 @@ class _Conversation:
         self.new: list[tuple] = []
         self.number = 0
         self.started = False
+        # Tokens of the leading system turns; of all other turns so far; of those before this window.
+        self.lead, self.total, self.before = 0, 0, 0
 
     def add(self, role: str, text: str) -> Iterator[dict]:
         formatted, a, b = write_turn(role, text)
         turn = (formatted, a, b, role == "assistant", self.count(formatted))
         if role == "system" and not self.started:
             self.system.append(turn)
+            self.lead += turn[4]
             return
         self.started = True
         if self.new and self._size() + turn[4] > self.budget:
             yield self.flush()
         while self.repeat and not self.new and self._size() + turn[4] > self.budget:
-            self.repeat.pop(0)  # history gives way to what is new
+            self.before += self.repeat.pop(0)[4]  # history gives way to what is new
         self.new.append(turn)
+        self.total += turn[4]
 
     def _size(self) -> int:
-        return sum(t[4] for t in (*self.system, *self.repeat, *self.new))
+        """Tokens of the window: repeated and new turns follow each other, so a difference of prefix sums."""
+        return self.lead + self.total - self.before
 
     def flush(self) -> dict:
         text, loss = "", []
@@ -122,11 +127,13 @@ class _Conversation:
             "n_turns": len(self.new), "tokens": self._size(), "loss": loss,
         }
         past, kept, room = self.repeat + self.new, [], int(self.budget * HISTORY_SHARE)
+        self.before = self.total
         for turn in reversed(past[-self.history :] if self.history else []):
             room -= turn[4]
             if room < 0:
                 break
             kept.insert(0, turn)
+            self.before -= turn[4]
         self.repeat, self.new, self.number = kept, [], self.number + 1
         return row
 
