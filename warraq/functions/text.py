@@ -34,6 +34,14 @@ def strip_marks_and_tatweel(c: Column) -> Column:
     return F.regexp_replace(c, "[\u064b-\u0652\u0670\u0640]", "")
 
 
+def bare_with_places(c: Column) -> Column:
+    """struct<text, places>: the text without marks and tatweel, and for each of its characters where it was (from 0)."""
+    kept = F.filter(
+        F.transform(F.regexp_extract_all(c, F.lit("(?s)."), 0), lambda x, i: F.struct(x.alias("char"), i.alias("place"))), lambda x: ~x["char"].rlike("[\u064b-\u0652\u0670\u0640]")
+    )
+    return F.struct(strip_marks_and_tatweel(c).alias("text"), F.transform(kept, lambda x: x["place"].cast("int")).alias("places"))
+
+
 def normalize_eols(c: Column) -> Column:
     return F.regexp_replace(c, "\\r\\n|[\\r\u2028\u2029]", "\n")
 
@@ -112,9 +120,9 @@ def decode_set(c: Column) -> Column:
 
 
 def version_parts(c: Column) -> Column:
-    """Numbers of a version, without a leading v; parts that are no number are left out."""
-    parts = F.split(F.regexp_replace(trim(c), "^[vV]", ""), r"\.")
-    return F.filter(F.transform(parts, lambda x: x.try_cast("int")), lambda x: x.isNotNull())
+    """Numbers of a version between dots and hyphens, without a leading v; parts that are no number are left out."""
+    parts = F.split(F.regexp_replace(trim(c), "^v", ""), "[.-]", -1)
+    return F.filter(F.transform(F.filter(parts, lambda x: x.rlike(r"^[+]?[0-9]+$")), lambda x: x.try_cast("int")), lambda x: x.isNotNull())
 
 
 def compare_versions(a: Column, b: Column) -> Column:
@@ -123,12 +131,12 @@ def compare_versions(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_element_at(F.filter(pairs, lambda s: s != 0), F.lit(1)), F.lit(0))
 
 
-def human_size(c: Column) -> Column:
-    kb, mb, gb = 1024.0, 1024.0**2, 1024.0**3
-    return (
-        F.when(c >= gb, F.format_string("%.1f GB", c / gb)).when(c >= mb, F.format_string("%.1f MB", c / mb))
-        .when(c >= kb, F.format_string("%d KB", F.floor(c / kb))).otherwise(F.format_string("%d B", c.cast("long")))
-    )
+def human_size(c: Column, decimal: bool = True) -> Column:
+    """Bytes in the largest unit that fits, whole; gigabytes with one decimal unless that is switched off."""
+    kb, mb, gb = 1 << 10, 1 << 20, 1 << 30
+    whole = lambda unit, name: F.format_string(f"%d {name}", F.floor(c / unit).cast("long"))
+    giga = F.format_string("%.1f GB", c / float(gb)) if decimal else whole(gb, "GB")
+    return F.when(c >= gb, giga).when(c >= mb, whole(mb, "MB")).when(c >= kb, whole(kb, "KB")).otherwise(F.format_string("%d B", c.cast("long")))
 
 
 def citation(style: str, author: Column, title: Column, year: Column, page: Column, accessed: Column | None = None) -> Column:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from itertools import accumulate
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import DISPLAY_GROUP
+from ..work import stage, work_dir
+from .order import serials
 
 _RESULTS = ("book_id", "page_number", "match_position")
 
@@ -33,28 +33,9 @@ def with_neighbours(pages: DataFrame) -> DataFrame:
     return pages.withColumns({"previous_page": F.lag("page_num").over(order), "next_page": F.lead("page_num").over(order)})
 
 
-def _numbered(results: DataFrame) -> tuple[DataFrame, int]:
-    """``numbered`` and the last serial.
-
-    Rows are dealt into ranges of the order and sorted inside them; a serial is the place
-    in the range plus the rows of the ranges before.  The dealt rows are checkpointed,
-    since a second evaluation could draw other ranges; only one count a range reaches the
-    driver.
-    """
-    spark = results.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = results.repartitionByRange(n, *_RESULTS).sortWithinPartitions(*_RESULTS)
-    dealt = dealt.withColumns({"__range": F.spark_partition_id(), "__place": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
-    dealt = dealt.checkpoint() if spark.sparkContext.getCheckpointDir() else dealt.localCheckpoint()
-    sizes = {r["__range"]: r["count"] for r in dealt.groupBy("__range").count().collect()}
-    before = list(accumulate((sizes.get(i, 0) for i in range(max(sizes, default=0) + 1)), initial=0))
-    serial = (F.lit(before)[F.col("__range")] + F.col("__place") + 1).cast("int")
-    return dealt.select(*results.columns, serial.alias("serial")), before[-1]
-
-
 def numbered(results: DataFrame) -> DataFrame:
     """Serial numbers from 1 over all results, in their order; no task holds more than a range of them."""
-    return _numbered(results)[0]
+    return serials(results, *_RESULTS)[0]
 
 
 def grouped(results: DataFrame, size: int = DISPLAY_GROUP) -> DataFrame:
@@ -64,14 +45,27 @@ def grouped(results: DataFrame, size: int = DISPLAY_GROUP) -> DataFrame:
 
 def with_neighbour_results(results: DataFrame, wrap: bool = False) -> DataFrame:
     """Serial of the result before and after; at the ends itself, or the other end with ``wrap``."""
-    df, last = _numbered(results)
+    df, last = serials(results, *_RESULTS)
     s = F.col("serial")
     previous = F.when(s > 1, s - 1).otherwise(F.lit(last) if wrap else s)
     following = F.when(s < last, s + 1).otherwise(F.lit(1) if wrap else s)
     return df.withColumns({"previous_serial": previous, "next_serial": following})
 
 
-def page_of_result(results: DataFrame, pages: DataFrame) -> DataFrame:
-    """Results with the text of their pages; a missing page leaves null."""
+#: Keys of pages (16 bytes each) up to this number are broadcast to pick the pages' texts.
+BROADCAST_KEYS = 1_000_000
+
+
+def page_of_result(results: DataFrame, pages: DataFrame, written: bool = False) -> DataFrame:
+    """Results with the text of their pages; a missing page leaves null.
+
+    Results are written first (unless they are read from a table anyway), and only the pages
+    that they name are shuffled.
+    """
+    spark = results.sparkSession
+    found = results if written else stage(results, work_dir(spark, "results"))
+    keys = stage(found.select("book_id", "page_number").distinct(), work_dir(spark, "result-pages"))
+    few = keys.count() <= BROADCAST_KEYS
     page = pages.select("book_id", F.col("page_num").alias("page_number"), F.col("content").alias("page_content"))
-    return results.join(page.dropDuplicates(["book_id", "page_number"]), ["book_id", "page_number"], "left")
+    page = page.join(F.broadcast(keys) if few else keys, ["book_id", "page_number"], "left_semi").dropDuplicates(["book_id", "page_number"])
+    return found.join(page, ["book_id", "page_number"], "left")
