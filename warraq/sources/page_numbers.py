@@ -34,6 +34,10 @@ def already_marked(text: Column) -> Column:
     return text.rlike(MARKED)
 
 
+def newline_in(text: str) -> str:
+    return "\r\n" if "\r\n" in text else "\r" if "\r" in text and "\n" not in text else "\n"
+
+
 def newline_of(text: Column) -> Column:
     return F.when(text.contains("\r\n"), "\r\n").when(text.contains("\r") & ~text.contains("\n"), "\r").otherwise("\n")
 
@@ -54,43 +58,51 @@ def candidates(text: Column) -> Column:
     return F.filter(F.transform(lines, judged), lambda c: c["num"].isNotNull())
 
 
+def chain_lengths(numbers: list[int], max_gap: int = MAX_GAP) -> list[int]:
+    """For each place, how long a chain of numbers growing by 1 to ``max_gap`` can be that ends there."""
+    longest: dict[int, int] = {}
+    out = []
+    for x in numbers:
+        own = 1 + max(longest.get(x - gap, 0) for gap in range(1, max_gap + 1))
+        longest[x] = max(own, longest.get(x, 0))
+        out.append(own)
+    return out
+
+
 def longest_chain(numbers: list[int], min_length: int = MIN_CHAIN, max_gap: int = MAX_GAP) -> list[int]:
-    """Places of the longest chain of numbers growing by 1 to ``max_gap`` each; empty if under ``min_length``.
+    """Places of the longest such chain; empty if under ``min_length``.
 
-    Ties: the closest smaller number first, and the earliest place.
+    It ends at the first place of the greatest length.  Read from there towards the front, the
+    place before is one whose chain is shorter by one and whose number is in reach: the
+    largest such number, and of its places the first.
     """
-    best: dict[int, tuple[int, int]] = {}  # number -> (length of the best chain that ends in it, place)
-    length, before = [], []
-    for i, x in enumerate(numbers):
-        options = [best[x - d] for d in range(1, max_gap + 1) if x - d in best]
-        top = max(options, key=lambda o: o[0], default=(0, -1))
-        length.append(top[0] + 1)
-        before.append(top[1])
-        if x not in best or length[i] > best[x][0]:
-            best[x] = (length[i], i)
-    end = max(range(len(numbers)), key=length.__getitem__, default=-1)
-    if end < 0 or length[end] < min_length:
+    lengths = chain_lengths(numbers, max_gap)
+    top = max(lengths, default=0)
+    if top < max(min_length, 1):
         return []
-    chain = []
-    while end >= 0:
-        chain.append(end)
-        end = before[end]
+    first = {state: i for i, state in reversed([*enumerate(zip(lengths, numbers, strict=True))])}
+    chain = [lengths.index(top)]
+    for length in range(top - 1, 0, -1):
+        at = chain[-1]
+        before = (first.get((length, numbers[at] - gap), at) for gap in range(1, max_gap + 1))
+        chain.append(next(i for i in before if i < at))
     return chain[::-1]
 
 
+def chains(numbers: list[int]):
+    """Longest chains one after another, each of the places that earlier ones left."""
+    places = list(range(len(numbers)))
+    while found := longest_chain([numbers[i] for i in places]):
+        yield [places[i] for i in found]
+        for i in reversed(found):
+            del places[i]
+
+
 def accepted(numbers: list[int], lines: list[int]) -> list[int]:
-    """Places of the main chain and of every other chain wholly before or after its lines."""
-    chains, left = [], list(range(len(numbers)))
-    while chain := longest_chain([numbers[i] for i in left]):
-        chains.append([left[i] for i in chain])
-        used = set(chains[-1])
-        left = [i for i in left if i not in used]
-    if not chains:
-        return []
-    chains.sort(key=len, reverse=True)
-    low, high = lines[chains[0][0]], lines[chains[0][-1]]
-    keep = chains[0] + [i for c in chains[1:] if lines[c[-1]] < low or lines[c[0]] > high for i in c]
-    return sorted(keep)
+    """Places of the main (longest) chain and of every other chain wholly before or after its lines."""
+    main, *others = [*chains(numbers)] or [[]]
+    outside = (c for c in others if lines[c[-1]] < lines[main[0]] or lines[c[0]] > lines[main[-1]])
+    return sorted(sum(outside, main))
 
 
 def mark(text: str, found: list) -> tuple:
@@ -108,7 +120,7 @@ def mark(text: str, found: list) -> tuple:
             run = []
         if line is not None:
             run.append(line)
-    eol = "\r\n" if "\r\n" in text else "\r" if "\r" in text and "\n" not in text else "\n"
+    eol = newline_in(text)
     whole, out = set(strict), []
     for i, part in enumerate(parts):
         if i in numbers:
@@ -139,3 +151,24 @@ def report(files) -> object:
         F.count_if(m["marked"] > 0).alias("files_marked"), F.count_if((m["marked"] == 0) & ~old).alias("files_without"), F.count_if(old).alias("files_already"),
         F.sum(m["marked"]).alias("numbers"), F.sum(m["strict"]).alias("strict"), F.sum(m["marked"] - m["strict"]).alias("loose"), F.min(m["first"]).alias("first"), F.max(m["last"]).alias("last"),
     )
+
+
+def mark_files(files, folder: str) -> object:
+    """Write the marked texts of a table with ``path`` and ``text`` under a folder, by name; returns the report.
+
+    One task writes the files of its own rows through the shared folder's path.
+    """
+    import os
+
+    done = files.withColumn("m", marked(F.col("text")))
+    os.makedirs(folder, exist_ok=True)
+
+    def run(batches):
+        for batch in batches:
+            for path, text in zip(batch["path"], batch["out"], strict=True):
+                with open(os.path.join(folder, path.rsplit("/", 1)[-1]), "w", encoding="utf-8", newline="") as f:
+                    f.write(text or "")
+            yield batch[["path"]]
+
+    done.select("path", F.col("m.text").alias("out")).mapInPandas(run, "path string").count()
+    return report(done)
