@@ -1,27 +1,36 @@
-"""The stored library: Parquet pages, with append, delete, compaction and health checks.
+"""The stored library: Parquet pages in buckets of books, with append, delete, compaction and health checks.
 
-A library is a folder of versions: each change that rewrites pages writes a new one and
-then moves a pointer file, so a failed write leaves the old version readable.  Paths go
-through Hadoop's file system, wherever Spark can write.
+A library is a folder of data folders and of numbered manifests.  A manifest names the
+data folders of each bucket; a change writes new data folders and then one manifest, by a
+rename, so a change is there as a whole or not at all, and a failed write leaves the last
+manifest readable.  Deleting a book rewrites its bucket only.  Paths go through Hadoop's
+file system, wherever Spark can write.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .functions.text import nonblank, strip_diacritics
 from .schema import PAGES
 
 COMPACT_FILES = 4
+BUCKETS = 64
+MAX_ID_FILE = "bookid.max"
+# What Spark and Hadoop say of files that are gone or no Parquet.
+_DAMAGE = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA", "is not a Parquet file", "CANNOT_READ_FILE_FOOTER", "FAILED_READ_FILE", "FileNotFoundException")
 
 
 class Library:
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
 
     # -- files --------------------------------------------------------------
     def _fs(self, path: str):
@@ -32,89 +41,172 @@ class Library:
         fs, p = self._fs(path)
         return fs.exists(p)
 
-    def touch(self, path: str) -> None:
-        fs, p = self._fs(path)
-        fs.create(p, True).close()
+    def _names(self, folder: str) -> list[str]:
+        fs, p = self._fs(folder)
+        return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
 
+    def _read(self, path: str) -> str:
+        fs, p = self._fs(path)
+        stream = fs.open(p)
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def _write(self, path: str, text: str, replace: bool = False) -> None:
+        """The whole file appears by a rename; without ``replace`` an existing one is an error."""
+        fs, target = self._fs(path)
+        _, new = self._fs(f"{path}.{uuid.uuid4().hex[:8]}.new")
+        stream = fs.create(new, True)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        if replace:
+            fs.delete(target, False)
+        if fs.exists(target) or not fs.rename(new, target):
+            fs.delete(new, False)
+            raise RuntimeError(f"another change was made at the same time: {path}")
+
+    # -- manifests ------------------------------------------------------------
     def versions(self) -> list[str]:
-        fs, p = self._fs(self.path)
-        if not fs.exists(p):
-            return []
-        return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.getPath().getName().startswith("v"))
-
-    def _current(self) -> str | None:
-        """The newest version that was finished."""
-        done = [v for v in self.versions() if self.exists(f"{self.path}/{v}/_SUCCESS")]
-        return f"{self.path}/{done[-1]}" if done else None
-
-    def _replace(self, pages: DataFrame, files: int | None = None) -> None:
-        number = max([int(v[1:9]) for v in self.versions()], default=0) + 1
-        if files:
-            pages = pages.repartitionByRange(files, "book_id")
-        else:
-            pages = pages.repartitionByRange("book_id")
-        # Sorted by book inside files: row groups' ranges serve point lookups.
-        pages.sortWithinPartitions("book_id", "page_num").write.parquet(f"{self.path}/v{number:08d}-{uuid.uuid4().hex[:8]}")
+        return [n for n in self._names(f"{self.path}/_manifests") if n.endswith(".json")]
+
+    def manifest(self) -> dict:
+        """folders: data folders of each bucket; marks: what imports have added; schema: of the pages."""
+        names = self.versions()
+        return json.loads(self._read(f"{self.path}/_manifests/{names[-1]}")) if names else {"folders": {}, "marks": {}, "schema": PAGES.jsonValue()}
+
+    def _commit(self, folders: dict, marks: dict, schema: T.StructType | None = None) -> None:
+        number = max([int(n[:8]) for n in self.versions()], default=0) + 1
+        schema = self.manifest()["schema"] if schema is None else schema.jsonValue()
+        self._write(f"{self.path}/_manifests/{number:08d}.json", json.dumps({"folders": folders, "marks": marks, "schema": schema}))
+
+    def _schema(self) -> T.StructType:
+        return T.StructType.fromJson(self.manifest()["schema"])
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(F.col("book_id")), F.lit(self.buckets)).cast("int")
+
+    def _store(self, pages: DataFrame, files: int | None = None) -> dict[str, list[str]]:
+        """Write rows as a new data folder; its folder in each bucket."""
+        name = uuid.uuid4().hex[:12]
+        rows = pages.withColumn("bucket", self._bucket())
+        # Rows of a bucket in one place, sorted by book: row groups' ranges serve point lookups.
+        rows = rows.repartition(files, "bucket") if files else rows.repartition("bucket")
+        rows.sortWithinPartitions("bucket", "book_id", "page_num").write.partitionBy("bucket").parquet(f"{self.path}/data/{name}")
+        return {n.split("=")[1]: [f"data/{name}/{n}"] for n in self._names(f"{self.path}/data/{name}") if n.startswith("bucket=")}
 
     def drop_old_versions(self) -> None:
-        keep = self._current()
-        for v in self.versions():
-            if f"{self.path}/{v}" != keep:
-                fs, p = self._fs(f"{self.path}/{v}")
+        """Delete manifests but the last, and data folders that it does not name."""
+        keep = {f.split("/")[1] for own in self.manifest()["folders"].values() for f in own}
+        for n in self.versions()[:-1]:
+            fs, p = self._fs(f"{self.path}/_manifests/{n}")
+            fs.delete(p, False)
+        for n in self._names(f"{self.path}/data"):
+            if n not in keep:
+                fs, p = self._fs(f"{self.path}/data/{n}")
                 fs.delete(p, True)
 
     # -- reading ------------------------------------------------------------
+    def _folders(self, bucket: int | None = None) -> list[str]:
+        folders = self.manifest()["folders"]
+        own = folders.values() if bucket is None else [folders.get(str(bucket), [])]
+        return [f"{self.path}/{f}" for x in own for f in x]
+
+    def _pages(self, folders: list[str]) -> DataFrame:
+        if not folders:
+            return self.spark.createDataFrame([], self._schema())
+        # The schema is known and the bucket in a folder's name no part of it: no file is opened for planning.
+        return self.spark.read.schema(self._schema()).parquet(*folders)
+
     def pages(self) -> DataFrame:
-        current = self._current()
-        if current is None:
-            return self.spark.createDataFrame([], PAGES)
-        return self.spark.read.parquet(current)
+        return self._pages(self._folders())
+
+    def pages_of(self, book_id: int) -> DataFrame:
+        """Pages of one book, from its bucket alone."""
+        bucket = self.spark.range(1).select(F.lit(book_id).cast("long").alias("book_id")).select(self._bucket()).first()[0]
+        return self._pages(self._folders(bucket)).where(F.col("book_id") == book_id)
 
     def healthy(self) -> bool:
-        """Is there a version whose files can be opened?"""
+        """Is there a manifest whose files can be opened?  Errors that say nothing of the files are raised."""
+        if not self.versions():
+            return False
         try:
-            current = self._current()
-            if current is None:
-                return False
-            self.spark.read.parquet(current).limit(1).collect()
-        except (AnalysisException, Exception):
+            folders = self._folders()
+        except (json.JSONDecodeError, KeyError):
             return False
+        if not all(map(self.exists, folders)):
+            return False
+        try:
+            self._pages(folders).limit(1).collect()
+        except (AnalysisException, PySparkException, Py4JJavaError) as e:
+            if any(x in str(e) for x in _DAMAGE):
+                return False
+            raise
         return True
 
     def ensure(self, rebuild) -> bool:
         """Rebuild from ``rebuild()`` (page rows) unless healthy; was it rebuilt?"""
         if self.healthy():
             return False
-        self._replace(rebuild())
+        self.overwrite(rebuild())
         return True
 
+    # -- identifiers ------------------------------------------------------------
+    def last_book_id(self) -> int:
+        """From the file beside the pages; where there is none, from a scan, which writes it."""
+        path = f"{self.path}/{MAX_ID_FILE}"
+        if self.exists(path):
+            text = self._read(path).strip()
+            if text.isascii() and text.isdigit():
+                return int(text)
+        return self._persist_last_id(self.pages())
+
+    def _persist_last_id(self, pages: DataFrame, least: int = 0) -> int:
+        last = max(least, int(pages.agg(F.coalesce(F.max("book_id"), F.lit(0)).alias("m")).first()["m"]))
+        self._write(f"{self.path}/{MAX_ID_FILE}", str(last), replace=True)
+        return last
+
     # -- changes ------------------------------------------------------------
-    def append(self, pages: DataFrame, nodiac: bool = True) -> None:
-        """Add page rows; blank countries are missing ones."""
+    def append(self, pages: DataFrame, nodiac: bool = True, mark: tuple[str, int] | None = None) -> bool:
+        """Add page rows; blank countries are missing ones.
+
+        mark: (name, number) of an import's batch, kept by the same rename that adds the rows; a
+        number that is there already adds nothing.  Were rows added?
+        """
+        manifest = self.manifest()
+        if mark and manifest["marks"].get(mark[0], -1) >= mark[1]:
+            return False
         rows = pages.withColumn("country", nonblank(F.col("country")))
         if nodiac:
             rows = rows.withColumn("content_nodiac", strip_diacritics(F.col("content")))
-        current = self._current()
-        if current is None:
-            self._replace(rows)
-        else:
-            rows.write.mode("append").parquet(current)
+        new = self._store(rows)
+        folders = {b: manifest["folders"].get(b, []) + new.get(b, []) for b in {**manifest["folders"], **new}}
+        known = self.last_book_id() if self.exists(f"{self.path}/{MAX_ID_FILE}") else 0
+        old = self._schema()
+        schema = T.StructType(old.fields + [f for f in rows.schema.fields if f.name not in old.names])
+        self._commit(folders, manifest["marks"] | ({mark[0]: mark[1]} if mark else {}), schema)
+        self._persist_last_id(self._pages([f"{self.path}/{f}" for own in new.values() for f in own]), known)
+        return True
 
     def delete_book(self, book_id: int) -> int:
-        """Pages removed."""
-        pages = self.pages()
-        gone = pages.where(F.col("book_id") == book_id).count()
+        """Pages removed; only the book's bucket is written again."""
+        gone = self.pages_of(book_id).count()
         if gone:
-            self._replace(pages.where(~F.col("book_id").eqNullSafe(F.lit(book_id))))
+            manifest = self.manifest()
+            bucket = str(self.spark.range(1).select(F.lit(book_id).cast("long").alias("book_id")).select(self._bucket()).first()[0])
+            rest = self._pages(self._folders(int(bucket))).where(~F.col("book_id").eqNullSafe(F.lit(book_id)))
+            folders = {k: v for k, v in manifest["folders"].items() if k != bucket}
+            self._commit(folders | self._store(rest, 1), manifest["marks"])
         return gone
 
     def clear(self) -> None:
-        self._replace(self.pages().limit(0), 1)
+        self._commit({}, self.manifest()["marks"])
 
     def compact(self, files: int = COMPACT_FILES) -> None:
-        self._replace(self.pages(), files)
+        self._commit(self._store(self.pages(), files), self.manifest()["marks"])
 
     def overwrite(self, pages: DataFrame) -> int:
         """Replace everything and count what was written."""
-        self._replace(pages)
+        self._commit(self._store(pages), {}, pages.schema)
+        self._persist_last_id(self.pages())
         return self.pages().count()
