@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import io
+import re
 import zipfile
 from xml.sax.saxutils import escape
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .functions.text import blank, display_page
+from .functions.text import blank, display_page, trim
 from .operators.reader import numbered, page_of_result
 from .operators.render import CSV_HEADER, csv_line, export_snippet
 
@@ -18,7 +18,7 @@ _RULE, _THIN = "=" * 60, "-" * 60
 
 def export_rows(results: DataFrame, pages: DataFrame) -> DataFrame:
     """Results with a serial, the page shown and the export snippet."""
-    df = page_of_result(numbered(results), pages)
+    df = page_of_result(numbered(results), pages, written=True)
     return df.withColumn("page", display_page(F.col("original_page_number"), F.col("page_number"))).withColumn(
         "snippet", export_snippet(F.col("page_content"), F.col("matched_term"), F.col("context_snippet"))
     )
@@ -60,52 +60,72 @@ def _run(text: str, hit: bool) -> str:
     return f'<w:r><w:rPr><w:rtl/>{look}</w:rPr><w:t xml:space="preserve">{escape(text)}</w:t></w:r>'
 
 
-def docx(paragraphs) -> bytes:
-    """A right-to-left document; paragraphs are lists of (text, is it a hit)."""
-    body = "".join(f"<w:p><w:pPr><w:bidi/></w:pPr>{''.join(_run(t, h) for t, h in p)}</w:p>" for p in paragraphs)
+def write_document(path: str, paragraphs) -> None:
+    """A right-to-left document, written as its paragraphs (lists of (text, is it a hit)) come."""
     main = "application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"
     relation = "http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument"
+    head = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
     files = {
         "[Content_Types].xml": '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" '
         'ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/>'
         f'<Override PartName="/word/document.xml" ContentType="{main}"/></Types>',
         "_rels/.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
         f'<Relationship Id="r1" Type="{relation}" Target="word/document.xml"/></Relationships>',
-        "word/document.xml": f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{body}</w:body></w:document>',
     }
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         for name, text in files.items():
-            z.writestr(name, '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>' + text)
-    return out.getvalue()
+            z.writestr(name, head + text)
+        with z.open("word/document.xml", "w") as body:
+            body.write(f'{head}<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>'.encode())
+            for p in paragraphs:
+                body.write(f"<w:p><w:pPr><w:bidi/></w:pPr>{''.join(_run(t, h) for t, h in p)}</w:p>".encode())
+            body.write(b"</w:body></w:document>")
+
+
+def highlight_terms(term: Column) -> Column:
+    """The distinct words of a query that a snippet shows as hits."""
+    return F.array_distinct(F.filter(F.transform(F.split(term, r"[|+ ]", -1), trim), lambda x: x != ""))
+
+
+_MARK = "[\u064b-\u0652\u0670\u0640]"
+
+
+def hits_in(text: str, terms: list[str]) -> list[tuple[str, bool]]:
+    """The text in runs, those of the terms marked; vowel marks and tatweel do not count, touching hits are one."""
+    bare = [re.sub(_MARK, "", t) for t in terms or []]
+    spans = sorted(m.span() for t in bare if t for m in re.finditer(f"{_MARK}*".join(map(re.escape, t)), text))
+    out, at = [], 0
+    for a, b in spans:
+        if out and out[-1][1] and a <= at:
+            out[-1] = (out[-1][0] + text[at:b], True)
+        else:
+            out += [(text[at:a], False), (text[a:b], True)]
+        at = max(at, b)
+    return [x for x in [*out, (text[at:], False)] if x[0]]
 
 
 def write_docx(results: DataFrame, pages: DataFrame, path: str, query: str) -> None:
     def paragraphs():
         yield [(f"نتائج البحث عن: {query}", False)]
-        for r in export_rows(results, pages).orderBy("serial").toLocalIterator():
+        rows = export_rows(results, pages).withColumn("terms", highlight_terms(F.col("matched_term")))
+        for r in rows.orderBy("serial").toLocalIterator():
             yield [(f"[{r['serial']}] {r['book_title'] or '—'} — صفحة {r['page']}", False)]
-            parts = r["snippet"].split(r["matched_term"]) if r["matched_term"] else [r["snippet"]]
-            line = [(parts[0], False)]
-            for p in parts[1:]:
-                line += [(r["matched_term"], True), (p, False)]
-            yield [x for x in line if x[0]]
+            yield hits_in(r["snippet"] or "", r["terms"])
 
-    with open(path, "wb") as f:
-        f.write(docx(paragraphs()))
+    write_document(path, paragraphs())
 
 
 def write_book(pages: DataFrame, book_id: int, path: str) -> None:
     """A whole book as text, or as DOCX if the path says so."""
     from .operators.reader import get_book_pages
 
-    texts = [r["content"] for r in get_book_pages(pages, book_id).select("content").toLocalIterator()]  # one book
+    texts = (r["content"] for r in get_book_pages(pages, book_id).select("content").toLocalIterator())
     if path.endswith(".docx"):
-        with open(path, "wb") as f:
-            f.write(docx([(line, False)] for t in texts for line in t.split("\n")))
+        write_document(path, ([(line, False)] for t in texts for line in t.split("\n")))
     else:
         with open(path, "w", encoding="utf-8") as f:
-            f.write("\n\n".join(texts))
+            for i, t in enumerate(texts):
+                f.write("\n\n" * (i > 0) + t)
 
 
 def write_favourites(saved: DataFrame, hits: DataFrame, path: str) -> None:
@@ -122,5 +142,4 @@ def write_favourites(saved: DataFrame, hits: DataFrame, path: str) -> None:
                 yield [(f"{r['name']} — {r['query']}", True)]
             yield [(f"[{r['serial']}] {r['context_snippet']}", False)]
 
-    with open(path, "wb") as f:
-        f.write(docx(paragraphs()))
+    write_document(path, paragraphs())

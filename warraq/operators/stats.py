@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import blank, nonblank
 from ..schema import ALL_BOOKS, UNCLASSIFIED, UNKNOWN_YEAR, UNTITLED
+from ..work import stage, work_dir
 from .search import TimeMode
 
 
@@ -59,6 +62,51 @@ def books(pages: DataFrame) -> DataFrame:
     return first_pages(pages).withColumn("book_title", F.coalesce("book_title", F.lit(UNTITLED)))
 
 
+def books_by_title(pages: DataFrame) -> DataFrame:
+    return books(pages).orderBy("book_title", "book_id")
+
+
+@dataclass(frozen=True)
+class Aggregate:
+    """What the library's overview shows; all from one table of books."""
+
+    totals: DataFrame  # one row
+    by_category: DataFrame
+    by_year: DataFrame
+    by_region: DataFrame
+    books: DataFrame  # in order of title
+
+
+def aggregate_all(pages: DataFrame, time_mode: TimeMode = TimeMode.DEATH_YEAR) -> Aggregate:
+    """All statistics from one scan of the pages.
+
+    The scan makes one row a book: its first page's metadata, the distinct values that its
+    pages carry, its pages and characters.  That table is written, and counts are sums over it.
+    """
+    year = F.col(time_mode.value)
+    keys = {"category": nonblank(F.col("category")), "year": F.when(year != UNKNOWN_YEAR, nonblank(year)), "region": nonblank(F.col("country"))}
+    rest = ["book_title", "author", "category", "year", "death_year", "country"]
+    first = F.min_by(F.struct(*rest), F.struct("page_num", *[F.coalesce(c, F.lit("")) for c in rest]))
+    named = [F.collect_set(F.coalesce(value, F.lit(UNCLASSIFIED))).alias(f"in_{k}") for k, value in keys.items()]
+    own = pages.groupBy("book_id").agg(first.alias("f"), *named, F.count(F.lit(1)).alias("pages"), F.coalesce(F.sum(F.length("content")), F.lit(0)).alias("chars"))
+    own = stage(own, work_dir(pages.sparkSession, "library-statistics"))
+    known = own.where("book_id is not null")
+    author = F.when(~blank(F.col("f.author")), F.col("f.author"))
+    totals_ = own.agg(
+        F.count("book_id").alias("total_books"), F.coalesce(F.sum("pages"), F.lit(0)).alias("total_pages"),
+        F.floor(F.coalesce(F.sum(F.when(F.col("book_id").isNotNull(), F.col("chars"))), F.lit(0)) / 5).cast("long").alias("total_words_estimate"),
+        F.count_distinct(F.when(F.col("book_id").isNotNull(), author)).alias("author_count"),
+    )
+
+    def counts(key: str) -> DataFrame:
+        rows = known.select(F.explode(f"in_{key}").alias(key)).groupBy(key).agg(F.count(F.lit(1)).alias("books"))
+        return rows.withColumn("rank", F.when(F.col(key) == UNCLASSIFIED, 1).otherwise(2))
+
+    every = known.agg(F.count(F.lit(1)).alias("books")).select(F.lit(ALL_BOOKS).alias("category"), "books", F.lit(0).alias("rank"))
+    shown = known.select("book_id", "f.*").withColumn("book_title", F.coalesce("book_title", F.lit(UNTITLED)))
+    return Aggregate(totals_, every.unionByName(counts("category")), counts("year"), counts("region"), shown.orderBy("book_title", "book_id"))
+
+
 def total_books(pages: DataFrame) -> DataFrame:
     return pages.agg(F.count_distinct("book_id").alias("total_books"))
 

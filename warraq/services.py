@@ -50,6 +50,24 @@ def delete_saved(saved: DataFrame, id_: str) -> DataFrame:
     return saved.where(F.col("id") != id_)
 
 
+def clear_saved(saved: DataFrame) -> DataFrame:
+    return saved.limit(0)
+
+
+def saved_results(raw: DataFrame) -> DataFrame:
+    """Stored results of saved searches, one row each; those without a book or a term go, missing fields take defaults.
+
+    raw: id and results (array of structs with book_id, page_number, matched_term, match_position, context_snippet).
+    """
+    rows = raw.where("id is not null").select(F.col("id").alias("search_id"), F.posexplode("results").alias("__i", "r"))
+    r = F.col("r")
+    return rows.where(r["book_id"].isNotNull() & r["matched_term"].isNotNull()).select(
+        "search_id", (F.col("__i") + 1).alias("serial"), r["book_id"].alias("book_id"), F.coalesce(r["page_number"], F.lit(0)).alias("page_number"),
+        r["matched_term"].alias("matched_term"), F.coalesce(r["match_position"], F.lit(-1)).alias("match_position"),
+        F.coalesce(r["context_snippet"], F.lit("")).alias("context_snippet"),
+    )
+
+
 def summaries(hits: DataFrame, search: str = "search_id") -> DataFrame:
     """The first hits of each saved search with short snippets."""
     order = Window.partitionBy(search).orderBy("serial")
@@ -78,6 +96,12 @@ def backup_due(last: Column, now: Column, days: int = BACKUP_DAYS) -> Column:
     return F.when(last.isNull(), True).otherwise(F.date_diff(now, last) >= days)
 
 
+def backup_status(enabled: Column, last: Column, now: Column, made: Column | None = None, days: int = BACKUP_DAYS) -> Column:
+    """Disabled, NotDue, Created or Failed; made: did the backup that was due succeed?"""
+    due = F.when(F.lit(True) if made is None else F.coalesce(made, F.lit(False)), "Created").otherwise("Failed")
+    return F.when(~enabled, "Disabled").when(~backup_due(last, now, days), "NotDue").otherwise(due)
+
+
 def translations(keys: DataFrame, table: DataFrame, locale: str, base: str = "ar") -> DataFrame:
     """Text of each key: the locale's, else the base language's, else the key itself."""
     one = lambda lang, name: table.where(F.col("locale") == lang).select("key", F.col("text").alias(name))
@@ -105,6 +129,39 @@ def coverage(table: DataFrame, base: str = "ar") -> DataFrame:
 # -- plain files on the driver ------------------------------------------------
 
 
+def run_backup_if_due(folder: str, target: str, enabled: bool, last: dt.datetime | None, now: dt.datetime, days: int = BACKUP_DAYS) -> tuple[str, str | None]:
+    """(status, file or error): makes the backup when it is due."""
+    if not enabled:
+        return "Disabled", None
+    if last is not None and (now - last).days < days:
+        return "NotDue", None
+    try:
+        return "Created", create_backup(folder, target)
+    except OSError as e:
+        return "Failed", str(e)
+
+
+def flush_telemetry(snapshot: DataFrame, path: str, enabled: bool = True) -> bool:
+    """Write the one-row snapshot of ``telemetry`` as JSON; nothing where counting is switched off."""
+    if not enabled:
+        return False
+    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(snapshot.first()["json"])
+    return True
+
+
+def reset_telemetry(path: str) -> None:
+    if os.path.exists(path):
+        os.remove(path)
+
+
+def write_import_log(lines: DataFrame, path: str) -> None:
+    """The log of an import (see ``importer.log_lines``), a partition at a time."""
+    with open(path, "w", encoding="utf-8") as f:
+        f.writelines(r["value"] + "\n" for r in lines.toLocalIterator())
+
+
 @dataclass
 class Preferences:
     """Typed settings with defaults; numbers are kept in their ranges."""
@@ -143,7 +200,7 @@ def restore_backup(archive: str, folder: str, needed: str = "_SUCCESS") -> None:
         for n in z.namelist():
             if not os.path.realpath(os.path.join(root, n)).startswith(root + os.sep):
                 raise ValueError(f"unsafe entry {n!r}")
-        if not any(os.path.basename(n) == needed for n in z.namelist()):
+        if not any(os.path.basename(n) == needed or "_manifests/" in n for n in z.namelist()):
             raise ValueError("the backup holds no library")
         shutil.rmtree(folder, ignore_errors=True)
         z.extractall(folder)

@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import re
 import sqlite3
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,11 +18,14 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..functions.text import nonblank
 from ..operators.match import without_sentinels
 from ..schema import PAGES
+from ..work import stage, work_dir
 
 ID_STEP = 10**12
-_BOOK_COLUMNS = ["id", "title", "author", "category", "year", "death_year", "country"]
+_BOOK_COLUMNS = [
+    "id", "title", "author", "category", "year", "death_year", "country", "word_count", "pages_count", "publisher", "edition", "volumes_count", "investigator", "translator",
+]
 _PAGE_COLUMNS = ["book_id", "page_num", "content", "content_path", "original_page_number"]
-_TYPES = {"id": "bigint", "book_id": "bigint", "page_num": "int"}
+_TYPES = {"id": "bigint", "book_id": "bigint", "page_num": "int", "word_count": "int", "pages_count": "int"}
 
 
 def shard_number(path: str) -> int:
@@ -36,7 +40,7 @@ def find_shards(folder: str) -> list[str]:
 
 
 class ShardSource(DataSource):
-    """Options: folder; table (books or pages)."""
+    """Options: folder; table (books or pages); shards (file names, comma-separated; all without it)."""
 
     @classmethod
     def name(cls):
@@ -49,12 +53,14 @@ class ShardSource(DataSource):
         return ", ".join(f"{c} {_TYPES.get(c, 'string')}" for c in ["shard", *self._columns()]).replace("shard string", "shard int")
 
     def reader(self, schema):
-        return _ShardReader(self.options["folder"], self.options["table"], self._columns())
+        only = self.options.get("shards")
+        return _ShardReader(self.options["folder"], self.options["table"], self._columns(), only.split(",") if only else None)
 
 
 class _ShardReader(DataSourceReader):
-    def __init__(self, folder, table, columns):
-        self.paths, self.table, self.columns = find_shards(folder), table, columns
+    def __init__(self, folder, table, columns, only=None):
+        self.table, self.columns = table, columns
+        self.paths = [p for p in find_shards(folder) if only is None or os.path.basename(p) in only]
 
     def partitions(self):
         return [InputPartition(p) for p in self.paths]
@@ -86,10 +92,11 @@ def _external(folder: str, name: str) -> str | None:
     return None
 
 
-def read_shards(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """(books, pages) with global identifiers: shard * 10^12 + local identifier."""
+def read_shards(spark: SparkSession, folder: str, only: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(books, pages) with global identifiers: shard * 10^12 + local identifier; of some shards only, if asked for."""
     spark.dataSource.register(ShardSource)
-    read = lambda t: spark.read.format("warraq_shards").option("folder", folder).option("table", t).load()
+    names = ",".join(map(os.path.basename, only)) if only is not None else ""
+    read = lambda t: spark.read.format("warraq_shards").option("folder", folder).option("table", t).option("shards", names).load()
     books = read("books").withColumn("book_id", F.col("shard").cast("long") * ID_STEP + F.col("id"))
     pages = read("pages").withColumn("book_id", F.col("shard").cast("long") * ID_STEP + F.col("book_id"))
     return books, pages
@@ -112,6 +119,51 @@ def migration_totals(books: DataFrame, rows: DataFrame) -> DataFrame:
     return left.join(F.broadcast(rows.agg(F.count(F.lit(1)).alias("pages"))))
 
 
+@dataclass(frozen=True)
+class Migration:
+    shard_count: int
+    total_books: int
+    total_pages: int
+    total_errors: int
+    on_disk: int
+
+
+#: Shards that are read side by side and committed together.
+SHARDS_A_COMMIT = 64
+
+
+def migrate(spark: SparkSession, folder: str, library, shards_a_commit: int = SHARDS_A_COMMIT, on_commit=None) -> Migration:
+    """Replace a library by the shards of a folder, and count what is there in the end.
+
+    A shard that cannot be read counts as an error and is left out.
+    """
+    paths = find_shards(folder)
+    readable = [p for p in paths if _opens(p)]
+    library.overwrite(spark.createDataFrame([], PAGES))
+    n_books = n_pages = 0
+    for a in range(0, len(readable), shards_a_commit):
+        numbers = [shard_number(p) for p in readable[a : a + shards_a_commit]]
+        own_books, own_pages = read_shards(spark, folder, readable[a : a + shards_a_commit])
+        rows = stage(page_rows(own_books, own_pages), work_dir(spark, "migration"))
+        library.append(rows)
+        n_books, n_pages = n_books + own_books.count(), n_pages + rows.count()
+        if on_commit:
+            on_commit(numbers, n_books, n_pages)
+    library.drop_old_versions()
+    on_disk = library.pages().count()
+    if on_disk < n_pages:
+        raise RuntimeError(f"{n_pages} pages were written and {on_disk} are there")
+    return Migration(len(paths), n_books, n_pages, len(paths) - len(readable), on_disk)
+
+
+def _opens(path: str) -> bool:
+    try:
+        with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
+            return {"books", "pages"} <= {r[0] for r in db.execute("SELECT name FROM sqlite_master")}
+    except sqlite3.DatabaseError:
+        return False
+
+
 def load_symbols(path: str) -> dict[str, str]:
     """Pattern symbols from map_data(key, value); the last of a key wins, nulls are left out."""
     with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
