@@ -51,15 +51,13 @@ def folder(tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "a.TXT").write_bytes("[الكتاب]: الأول\n[التصنيف]: فقه\nنص عربي طويل".encode("utf-8-sig"))
     (tmp_path / "sub" / "b.txt").write_bytes("نص عربي بترميز قديم".encode("cp1256"))
-    (tmp_path / "c.docx").write_bytes(exports.docx([[("فقرة أولى", False)], [("فقرة ثانية", True)]]))
+    exports.write_document(str(tmp_path / "c.docx"), [[("فقرة أولى", False)], [("فقرة ثانية", True)]])
     (tmp_path / "bad.docx").write_bytes(b"no zip")
     (tmp_path / "skip.pdf").write_bytes(b"x")
     return tmp_path
 
 
 def test_read_folder(spark, folder):
-    for k, v in files.DECODE_SETTINGS.items():
-        spark.conf.set(k, v)
     rows, status = importer.import_folder(spark, str(folder), last_id=5)
     got = {r.book_title: r for r in rows.collect()}
     assert set(got) == {"الأول", "b", "c"} and got["b"].content == "نص عربي بترميز قديم"
@@ -67,9 +65,102 @@ def test_read_folder(spark, folder):
     assert {(r.title, r.ok) for r in status.collect()} == {("a", True), ("b", True), ("c", True), ("bad", False)}
 
 
+def test_named_files_have_error_rows(spark, folder):
+    rows, status = importer.import_files(spark, [str(folder / "a.TXT"), str(folder / "skip.pdf"), str(folder / "bad.docx")])
+    assert {(r.title, r.ok, r.error) for r in status.collect()} == {("a", True, None), ("skip", False, "نوع غير مدعوم: pdf"), ("bad", False, "فشل قراءة الملف")}
+    assert [r.book_title for r in rows.collect()] == ["الأول"]
+    lines = [r.value for r in importer.log_lines(status).collect()]
+    assert len(lines) == 3 and sum(x.startswith("ERROR ") for x in lines) == 2
+
+
+def test_marked_rule_on_three_lines(spark):
+    """A rule, a number and a rule on lines of their own are text, which is split by words."""
+    word = "كلمة "
+    text = "\n".join(["====", "12", "====", word * 200, word * 200, word * 200])
+    got = one(spark, text, pages.split_pages(F.col("t")))
+    assert [p.original_page_number for p in got] == [None] * 3 and [p.content.count("كلمة") for p in got] == [200] * 3
+
+
+def test_chains_by_definition():
+    """The longest chains over random numbers, by every pair."""
+    import random
+
+    def brute(numbers):
+        length = [1] * len(numbers)
+        for i, x in enumerate(numbers):
+            length[i] = max([1] + [length[j] + 1 for j in range(i) if 1 <= x - numbers[j] <= 4])
+        if max(length, default=0) < 3:
+            return []
+        out = [length.index(max(length))]
+        while length[at := out[-1]] > 1:
+            out.append(min((-numbers[j], j) for j in range(at) if length[j] == length[at] - 1 and 1 <= numbers[at] - numbers[j] <= 4)[1])
+        return out[::-1]
+
+    rng = random.Random(1)
+    for _ in range(3000):
+        numbers = [rng.randint(1, 12) for _ in range(rng.randint(0, 14))]
+        assert page_numbers.longest_chain(numbers) == brute(numbers)
+    # Two chains before and after the main one are kept, one inside it is not.
+    assert page_numbers.accepted([1, 2, 3, 9, 10, 11, 5], list(range(7))) == [0, 1, 2, 6]
+    assert page_numbers.accepted([70, 71, 72, 1, 2, 3, 4], list(range(7))) == list(range(7))
+
+
+def test_marked_files_and_unknown_encodings(spark, tmp_path):
+    texts = spark.createDataFrame([("/in/a.txt", "1\nنص\n2\nنص\n3"), ("/in/b.txt", "بلا أرقام")], "path string, text string")
+    report = page_numbers.mark_files(texts, str(tmp_path / "out")).first()
+    assert (report.files_marked, report.files_without, report.numbers) == (1, 1, 3)
+    assert page_numbers.BAR in (tmp_path / "out" / "a.txt").read_text(encoding="utf-8")
+    raw = spark.createDataFrame([("a", bytearray("نص".encode("cp1256"))), ("b", bytearray("نص".encode("utf-8-sig")))], "path string, content binary")
+    assert {(r.path, r.text, r.encoding) for r in files.read_any(raw).collect()} == {("a", "نص", "cp1256"), ("b", "نص", "utf-8-sig")}
+
+
+def test_a_batch_that_runs_again_adds_nothing(spark, tmp_path, monkeypatch):
+    """Rows and mark enter by one rename: a crash before it leaves neither, one after it both."""
+    from warraq.plans.samples import sample_pages
+
+    library = Library(spark, str(tmp_path / "crash"))
+    real = Library._commit
+    monkeypatch.setattr(Library, "_commit", lambda *a: (_ for _ in ()).throw(OSError("down")))
+    with pytest.raises(OSError):
+        library.append(sample_pages(spark), mark=("job", 0))
+    assert library.pages().count() == 0
+    monkeypatch.setattr(Library, "_commit", real)
+    assert library.append(sample_pages(spark), mark=("job", 0)) and not library.append(sample_pages(spark), mark=("job", 0))
+    assert library.pages().count() == 4 and library.append(sample_pages(spark), mark=("job", 1))
+    # The file of the last identifier is read, and made again where it is missing.
+    assert library.last_book_id() == 4
+    (tmp_path / "crash" / "bookid.max").unlink()
+    (tmp_path / "crash" / ".bookid.max.crc").unlink(missing_ok=True)
+    assert library.last_book_id() == 4 and (tmp_path / "crash" / "bookid.max").read_text() == "4"
+
+
+def test_health_of_a_library(spark, tmp_path):
+    from warraq.plans.samples import sample_pages
+
+    library = Library(spark, str(tmp_path / "sick"), buckets=2)
+    library.append(sample_pages(spark))
+    data = next((tmp_path / "sick" / "data").glob("*/bucket=*/*.parquet"))
+    for f in (tmp_path / "sick" / "data").glob("*/bucket=*/*.parquet"):
+        f.write_bytes(b"no parquet")
+        f.with_name(f".{f.name}.crc").unlink(missing_ok=True)
+    assert data.exists() and not library.healthy()
+    assert library.ensure(lambda: sample_pages(spark)) and library.healthy() and library.pages().count() == 4
+
+
+def test_import_can_stop_and_go_on(spark, folder, tmp_path):
+    from warraq.streaming.ingest import ImportControl, progress
+
+    library = Library(spark, str(tmp_path / "lib3"))
+    control = ImportControl(lambda: import_stream(spark, str(folder), library, str(tmp_path / "check3"), on_batch=control.on_batch))
+    control.resume().awaitTermination()
+    control.pause()
+    (folder / "later.txt").write_bytes("نص عربي جديد للتجربة".encode())
+    control.resume().awaitTermination()
+    assert library.pages().count() == 4 and (control.done, control.failed) == (4, 1)
+    assert progress(30, 10, 100, 60.0) == {"imported": 30, "failed": 10, "per_minute": 40.0, "seconds_left": 90.0}
+
+
 def test_stream_imports_once(spark, folder, tmp_path):
-    for k, v in files.DECODE_SETTINGS.items():
-        spark.conf.set(k, v)
     library = Library(spark, str(tmp_path / "lib"))
     for _ in range(2):
         import_stream(spark, str(folder), library, str(tmp_path / "check")).awaitTermination()
@@ -110,6 +201,13 @@ def test_shards(spark, tmp_path):
     totals = shards.migration_totals(books, out).first()
     assert (totals.shards, totals.books, totals.pages) == (2, 4, 8)
     assert out.where(F.col("book_id") == shards.ID_STEP + 1).orderBy("page_num").first().content == "خارجي"
+    # Migration replaces what was there, commits in groups, leaves out what is no shard and counts in the end.
+    library, seen = Library(spark, str(tmp_path / "index")), []
+    library.append(out)
+    (tmp_path / "shard_0003.db").write_bytes(b"no database at all, only bytes")
+    stats = shards.migrate(spark, str(tmp_path), library, shards_a_commit=1, on_commit=lambda *x: seen.append(x))
+    assert stats == shards.Migration(shard_count=3, total_books=4, total_pages=8, total_errors=1, on_disk=8)
+    assert seen == [([1], 2, 4), ([2], 4, 8)] and library.pages().select("book_id").distinct().count() == 4
     with pytest.raises(FileNotFoundError):
         shards.find_shards(str(tmp_path / "content"))
 
@@ -125,6 +223,8 @@ def test_exports(spark, tmp_path):
     assert len(lines) == 2 and lines[1].startswith("1,الحديث,,الحديث,,1,رسول الله,قال رسول")
     exports.write_docx(found, p, str(tmp_path / "x.docx"), "رسول الله")
     assert "رسول الله" in files.docx_paragraphs((tmp_path / "x.docx").read_bytes()) and zipfile.is_zipfile(tmp_path / "x.docx")
+    assert exports.hits_in("قال كِتَاب الله", ["كتاب", "الله"]) == [("قال ", False), ("كِتَاب", True), (" ", False), ("الله", True)]
+    assert exports.hits_in("abcd", ["ab", "bc", "zz"]) == [("abc", True), ("d", False)]
     exports.write_text(found, p, str(tmp_path / "x.txt"), "رسول الله", "2026")
     assert "[1] الحديث — صفحة 1" in (tmp_path / "x.txt").read_text(encoding="utf-8")
     exports.write_book(p, 3, str(tmp_path / "b.txt"))

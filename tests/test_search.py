@@ -99,10 +99,10 @@ def test_numbering_of_all_results(spark):
     texts = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()
     hits = sorted((r.doc_id, m.start()) for r in texts for m in re.finditer(patterns.phrase("the"), r.text or ""))
     n = len(hits)
-    assert n > 1200 and run("win_serial_all") == [(i + 1, *h) for i, h in enumerate(hits)]
-    assert run("win_groups500_all") == [(i, -(-i // 500)) for i in range(1, n + 1)]
-    assert run("win_next_prev_all") == [(i, max(i - 1, 1), min(i + 1, n)) for i in range(1, n + 1)]
-    assert run("win_next_prev_wrapped_all") == [(i, (i - 2) % n + 1, i % n + 1) for i in range(1, n + 1)]
+    assert n > 1200 and run("win_serial") == [(i + 1, *h) for i, h in enumerate(hits)]
+    assert run("win_groups500") == [(i, -(-i // 500)) for i in range(1, n + 1)]
+    assert run("win_next_prev") == [(i, max(i - 1, 1), min(i + 1, n)) for i in range(1, n + 1)]
+    assert run("win_next_prev_wrapped") == [(i, (i - 2) % n + 1, i % n + 1) for i in range(1, n + 1)]
 
 
 def test_numbering_is_dealt_out(spark):

@@ -46,6 +46,30 @@ def test_statistics(spark):
     assert stats.totals(empty).first().total_books == 0 and stats.max_book_id(empty).first().max_book_id == 0
 
 
+def test_statistics_from_one_scan(spark):
+    from warraq.plans.samples import sample_library_pages
+
+    p = sample_library_pages(spark)
+    found = stats.aggregate_all(p)
+    total = found.totals.first()
+    assert (total.total_books, total.total_pages, total.author_count) == (6, 8, 4) and total == stats.totals(p).first()
+    for one_scan, own in ((found.by_category, stats.by_category(p)), (found.by_year, stats.by_year(p)), (found.by_region, stats.by_region(p))):
+        assert sorted(map(tuple, one_scan.collect())) == sorted(map(tuple, own.collect()))
+    titles = [r.book_title for r in found.books.collect()]
+    assert titles == sorted(titles) == [r.book_title for r in stats.books_by_title(p).collect()] and len(titles) == 6
+    assert stats.aggregate_all(p.limit(0)).totals.first().total_books == 0
+
+
+def test_telemetry_files(spark, tmp_path):
+    events = spark.createDataFrame([("word", "2026-01-01"), ("word", "2026-01-03")], "mode string, day string")
+    path = str(tmp_path / "t" / "telemetry.json")
+    snapshot = services.telemetry(events, "mode", F.col("day"))
+    assert not services.flush_telemetry(snapshot, path, enabled=False) and services.flush_telemetry(snapshot, path)
+    assert '"total_searches":2' in open(path, encoding="utf-8").read()
+    services.reset_telemetry(path)
+    assert not os.path.exists(path)
+
+
 def test_selections(spark):
     b = stats.books(sample_pages(spark))
     pick = lambda view, *chosen: library.Selection(view, frozenset(chosen), frozenset({"a", "b"}))
@@ -61,7 +85,11 @@ def test_text_functions(spark):
     t = F.col("t")
     assert one(spark, 'a,"b"', T.csv_escape(t)) == '"a,""b"""'
     assert one(spark, "/x/y.z/book.one.txt", T.base_name(t)) == "book.one"
-    assert one(spark, "v1.2", T.compare_versions(t, F.lit("1.2.1"))) == -1
+    for a, b, c in (("v1.2", "1.2.1", -1), ("1.2.3-4", "1.2.3-5", -1), ("1.2-1", "1.2", 1), ("1.0.1-beta", "1.0.1", 0), ("1.0-beta", "1.0", 0)):
+        assert one(spark, a, T.compare_versions(t, F.lit(b))) == c
+    assert [one(spark, n, T.human_size(t.cast("long"))) for n in ("5", "2047", "5000000", "1610612736")] == ["5 B", "1 KB", "4 MB", "1.5 GB"]
+    b = one(spark, "كِتـاب😀x", T.bare_with_places(t))
+    assert b.text == "كتاب😀x" and b.places == [0, 2, 4, 5, 6, 7]
     assert one(spark, "2000-01-01", T.hijri_date(t.cast("date"))) in ("1420-09-24", "1420-09-25")
     assert one(spark, "", T.looks_valid(t)) is False and one(spark, "plain ascii", T.looks_valid(t)) is True
 
@@ -80,6 +108,10 @@ def test_services(spark, tmp_path):
     assert len(os.listdir(tmp_path / "logs")) == 20
     services.save_progress(str(tmp_path / "p"), 1000, ["a", "b"])
     assert services.load_progress(str(tmp_path / "p"), 2000) == ["a", "b"] and services.load_progress(str(tmp_path / "p"), 10**12) is None
+    now_ = dt.datetime(2026, 1, 10)
+    due = lambda last, enabled=True, folder=lib: services.run_backup_if_due(str(folder), str(tmp_path / "auto.zip"), enabled, last, now_)[0]
+    assert [due(None, False), due(dt.datetime(2026, 1, 5)), due(dt.datetime(2026, 1, 1)), due(None)] == ["Disabled", "NotDue", "Created", "Created"]
+    assert services.run_backup_if_due(str(lib), str(tmp_path / "no" / "such" / "b.zip"), True, None, now_)[0] == "Failed"
     assert services.Preferences.of({"ocr_workers": 9}).ocr_workers == 4
     now = F.lit("2026-01-08").cast("date")
     assert one(spark, "2026-01-01", services.backup_due(F.col("t").cast("date"), now)) is True
@@ -91,10 +123,17 @@ def test_ocr_stage(spark):
     assert (row.output, row.text, row.chunks, row.failed) == ("book_ocr.txt", "0-950\n950-1900\n1900-2000", 3, 0)
 
 
-def test_entry_without_the_training_operators():
-    import __spark_entry__ as e
+def test_entry_without_the_training_operators(tmp_path):
+    """On a copy without both folders the entry imports and has the other queries."""
+    import shutil
+    import subprocess
+    import sys
 
-    assert set(e.oracle_sql()) <= set(e.queries()) and "mat_word" in e.queries()
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(os.path.join(root, "warraq"), tmp_path / "warraq", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(os.path.join(root, "__spark_entry__.py"), tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'mat_word' in q and not any(n.startswith('op') for n in q) and set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, check=True, timeout=120)
 
 
 @pytest.mark.parametrize("name", ["mat_word", "agg_by_year", "sca_export30", "joi_migrate"])

@@ -14,6 +14,20 @@ SAMPLE_PAGES = [
     (4, 1, None, "ضرب الرجل ضرباً شديداً وهو مضروب ضارب", "النحو 2", None, "اللغة", None, None, None),
 ]
 
+# The library that comes with a new installation: 8 pages of 6 books.
+_BUKHARI = ("صحيح البخاري", "البخاري", "الحديث", "0256", "0256", "بخارى")
+_FATIHA = ("الفاتحة", None, "القرآن", "0001", None, None)
+SAMPLE_LIBRARY = [
+    (1, 1, None, "بسم الله الرحمن الرحيم. الحمد لله رب العالمين الرحمن الرحيم مالك يوم الدين", *_FATIHA),
+    (1, 2, None, "إياك نعبد وإياك نستعين اهدنا الصراط المستقيم صراط الذين أنعمت عليهم", *_FATIHA),
+    (2, 1, None, "كتاب الصلاة. باب وقت الفجر إذا طلع الفجر صلِّ ركعتين قبل صلاة الفجر", *_BUKHARI),
+    (2, 2, None, "كتاب الزكاة. من ملك نصاباً وحال عليه الحول وجبت عليه الزكاة من ماله", *_BUKHARI),
+    (3, 1, None, "العلم نور والجهل ظلام. اطلبوا العلم من المهد إلى اللحد. العلماء ورثة الأنبياء", "جامع بيان العلم", "ابن عبد البر", "العلم", "0463", "0463", "الأندلس"),
+    (4, 1, None, "كاتب يكتب كتاباً مكتوباً مكتبةً كتابةً. كتب الناس فقام كاتبٌ منهم", "نماذج لغوية", None, "اللغة", "0500", None, "العراق"),
+    (5, 1, None, "ضرب الرجل ضرباً شديداً وهو مضروب ضارب. الضرب أنواع كثيرة في علم الصرف", "شذا العرف", "الحملاوي", "اللغة", "1316", "1351", "مصر"),
+    (6, 1, None, "قال رسول الله صلى الله عليه وسلم: إنما الأعمال بالنيات. وإنما لكل امرئ ما نوى", "الأربعون النووية", "النووي", "الحديث", "0676", "0676", "الشام"),
+]
+
 # (text of a file, title by its name)
 SAMPLE_FILES = [
     ("[الكتاب]: مختصر في اللغة\n[المؤلف]: فلان\n[السنة]: ٢٥٦هـ\n[المترجم]: علّان\n[التصنيف]: النحو\n[الجنسية]: مصر\nنص الكتاب هنا", "a"),
@@ -27,6 +41,10 @@ def sample_pages(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(SAMPLE_PAGES, PAGES)
 
 
+def sample_library_pages(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(SAMPLE_LIBRARY, PAGES)
+
+
 def sample_files(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(f"/in/{t}.txt", t, x) for x, t in SAMPLE_FILES], "path string, title string, text string")
 
