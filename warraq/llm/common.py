@@ -8,11 +8,17 @@ folder of our own is made.
 
 from __future__ import annotations
 
+import ctypes
+import hashlib
 import tempfile
 import uuid
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,11 +68,66 @@ def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
 
 
 # --------------------------------------------------------------------------
-# Words of a batch of texts, as arrays over its UTF-8 bytes.
+# Batches in pieces of bounded size
+# --------------------------------------------------------------------------
+
+#: Bytes of text that are worked on at once.
+PIECE_BYTES = 1 << 20
+
+
+def pieces(batches: Iterator[pa.RecordBatch], text_col: str, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches, cut so that a piece holds about ``limit`` bytes of text (or one row)."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(text_col)), 0).to_numpy(zero_copy_only=False)
+        piece = np.cumsum(size) // limit
+        cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if b > a:
+                yield batch.slice(a, b - a)
+        give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system, which a worker would else keep until it ends."""
+    pa.default_memory_pool().release_unused()
+    trim = _libc_trim()
+    if trim:
+        trim(0)
+
+
+@lru_cache(maxsize=1)
+def _libc_trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):  # not glibc
+        return None
+
+
+def one_text(data: np.ndarray) -> pa.Array:
+    """An array of one string over the given UTF-8 bytes, which are not copied."""
+    offsets = pa.py_buffer(np.array([0, len(data)], dtype=np.int64))
+    return pa.Array.from_buffers(pa.large_string(), 1, [None, offsets, pa.py_buffer(data)])
+
+
+def cut_at_space(data: np.ndarray, limit: int = PIECE_BYTES) -> Iterator[np.ndarray]:
+    """A long text's bytes in parts of about ``limit``, cut at white space only."""
+    at = 0
+    while at < len(data):
+        end = at + limit
+        while end < len(data):
+            found = np.flatnonzero(_SPACE[data[end : end + 4096]])
+            if len(found):
+                end += int(found[0])
+                break
+            end += 4096
+        yield data[at : min(end, len(data))]
+        at = min(end, len(data))
+
+
+# --------------------------------------------------------------------------
+# Words of a batch of texts
 # --------------------------------------------------------------------------
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 
@@ -76,11 +137,7 @@ _M2 = np.uint64(0x94D049BB133111EB)
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (bijective), on uint64 arrays."""
-    x = x ^ (x >> np.uint64(30))
-    x = x * _M1
-    x = x ^ (x >> np.uint64(27))
-    x = x * _M2
-    return x ^ (x >> np.uint64(31))
+    return mix_in_place(x.copy())
 
 
 def mix_in_place(x: np.ndarray) -> np.ndarray:
@@ -96,34 +153,6 @@ def mix_in_place(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-_BASE = 0x5851F42D4C957F2D | 1
-_INV = pow(_BASE, -1, 1 << 64)
-
-
-_POWERS: dict[int, np.ndarray] = {}
-
-
-def powers(n: int, base: int = _BASE) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; the longest table made so far is kept."""
-    if base not in _POWERS or len(_POWERS[base]) < n:
-        _POWERS[base] = _make_powers(n, base)
-    return _POWERS[base][:n]
-
-
-def _make_powers(n: int, base: int) -> np.ndarray:
-    out = np.empty(max(n, 1), dtype=np.uint64)
-    out[0] = 1
-    done = 1
-    step = base
-    while done < n:
-        take = min(done, n - done)
-        out[done : done + take] = out[:take] * np.uint64(step)
-        done += take
-        step = step * step % (1 << 64)
-    return out[:n]
-
-
 def raw_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary array; null rows are empty."""
     col = col.cast(pa.large_binary()) if not pa.types.is_large_binary(col.type) else col
@@ -137,60 +166,137 @@ def raw_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
+def hash_words(words: pa.Array) -> np.ndarray:
+    """SipHash-2-4 (keyed, 64 bits) of each string's bytes; equal strings are hashed once."""
+    coded = words.dictionary_encode()
+    if len(coded.dictionary) == 0:
+        return np.zeros(len(words), dtype=np.uint64)
+    distinct = coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False)
+    return pd.util.hash_array(distinct, hash_key=_HASH_KEY, categorize=False)[coded.indices.to_numpy()]
+
+
+_HASH_KEY = "warraq-llm-words"  # 16 bytes
+
+
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(words, number a text): white-space separated, A-Z lower-cased; null texts have none."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    flat = lists.flatten()
+    some = pc.not_equal(pc.binary_length(flat), 0)
+    offsets = lists.offsets.to_numpy()
+    before = np.concatenate([[0], np.cumsum(some.to_numpy(zero_copy_only=False))])
+    return flat.filter(some), np.diff(before[offsets - offsets[0]])
+
+
 class Words:
-    """White-space separated words of a batch of texts, A-Z lower-cased.
+    """Words of a batch of texts, as hashes.
 
-    start, end: byte ranges; row: the text each word belongs to; count: words a text;
-    hash: a 64-bit hash of each word's bytes (polynomial over random byte values, finalised).
+    hash: of each word; row: the text it belongs to; count, first: words a text, and where they
+    begin; digests, if asked for: a cryptographic digest of each text's sequence of words.  Texts are split ``PIECE_BYTES`` at a time, long ones in parts, so that beside the
+    text itself only its hashes grow with it.
     """
 
-    def __init__(self, col: pa.Array):
+    def __init__(self, col: pa.Array, limit: int | None = None, digests: bool = False):
+        limit = limit or PIECE_BYTES
+        self.n_rows = len(col)
+        self.count = np.zeros(self.n_rows, dtype=np.int64)
+        hashes = []
+        open_ = [(hashlib.blake2b(digest_size=16), hashlib.blake2b(digest_size=16)) for _ in range(self.n_rows)] if digests else []
+        for row, texts in self._parts(col, limit):
+            words, count = split_words(texts)
+            self.count[row : row + len(texts)] += count
+            hashes.append(hash_words(words))
+            if digests:
+                data, off = raw_bytes(words)
+                sizes, at = np.diff(off).astype("<u4"), 0
+                for i, n in enumerate(count.tolist()):
+                    letters, lengths = open_[row + i]
+                    letters.update(data[off[at] : off[at + n]])
+                    lengths.update(sizes[at : at + n])
+                    at += n
+        self.digests = [a.digest() + b.digest() for a, b in open_]
+        self.hash = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+        self.first = np.concatenate([[0], np.cumsum(self.count)])
+        self.row = np.repeat(np.arange(self.n_rows, dtype=np.int32), self.count)
+
+    @staticmethod
+    def _parts(col: pa.Array, limit: int) -> Iterator[tuple[int, pa.Array]]:
         data, off = raw_bytes(col)
-        self.n_rows = len(off) - 1
-        data = _LOWER[data]
-        self.data = data
-        inside = np.zeros(len(data) + 2, dtype=bool)
-        inside[1:-1] = ~_SPACE[data]
-        breaks = np.zeros(len(data) + 1, dtype=bool)
-        breaks[off] = True  # texts touch each other; a word never crosses
-        begins = inside[1:] & (~inside[:-1] | breaks)
-        ends = inside[:-1] & (~inside[1:] | breaks)
-        self.start = np.flatnonzero(begins)
-        self.end = np.flatnonzero(ends)
-        first = np.searchsorted(self.start, off)
-        self.first = first
-        self.count = np.diff(first)
-        self.row = np.repeat(np.arange(self.n_rows), self.count)
-        self.hash = byte_range_hash(data, self.start, self.end)
-
-    def text(self, i: int) -> bytes:
-        return self.data[self.start[i] : self.end[i]].tobytes()
-
-
-def byte_range_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of data[start:end] for many ranges, position-independent."""
-    if len(start) == 0:
-        return np.zeros(0, np.uint64)
-    total = prefix_hashes(data)
-    inv = powers(len(data) + 1, _INV)[start]
-    return mix((total[end] - total[start]) * inv + (end - start).astype(np.uint64))
+        size = np.diff(off)
+        if int(size.max(initial=0)) <= limit and int(off[-1]) <= 2 * limit:
+            yield 0, col
+            return
+        start = 0
+        while start < len(col):
+            end = max(start + 1, int(np.searchsorted(off, off[start] + limit, side="right")) - 1)
+            if size[start] > limit:
+                end = start + 1
+                for part in cut_at_space(data[off[start] : off[end]], limit):
+                    yield start, one_text(part)
+            else:
+                yield start, col.slice(start, end - start)
+            start = end
 
 
-def prefix_hashes(data: np.ndarray, base: int = _BASE) -> np.ndarray:
-    total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.take(_BYTE, data, out=total[1:])
-    total[1:] *= powers(len(data), base)
-    np.cumsum(total[1:], out=total[1:])
-    return total
+# --------------------------------------------------------------------------
+# Hashes of byte strings of one length, at every place
+# --------------------------------------------------------------------------
+
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+_BASE = 0x5851F42D4C957F2D | 1
+#: Places that are hashed with one table of powers; it never grows.
+_SPAN = 1 << 16
+
+
+@lru_cache(maxsize=8)
+def _powers(n: int, base: int) -> np.ndarray:
+    out = np.empty(n, dtype=np.uint64)
+    out[0] = 1
+    done, step = 1, base
+    while done < n:
+        take = min(done, n - done)
+        out[done : done + take] = out[:take] * np.uint64(step)
+        done += take
+        step = step * step % (1 << 64)
+    return out
 
 
 def gram_hashes(data: np.ndarray, size: int, base: int = _BASE) -> np.ndarray:
-    """Hash of data[i:i + size] for each i."""
+    """Hash of data[i:i + size] for each i, in spans of bounded size.
+
+    Polynomials over random byte values modulo 2**64: good for dealing, not for deciding
+    equality; whatever rests on equality compares the bytes as well.
+    """
     n = len(data) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    total = prefix_hashes(data, base)
-    out = total[size:] - total[:n]
-    del total
-    out *= powers(n, pow(base, -1, 1 << 64))
-    return mix_in_place(out)
+    out = np.empty(n, dtype=np.uint64)
+    up, down = _powers(_SPAN + size, base), _powers(_SPAN, pow(base, -1, 1 << 64))
+    for at in range(0, n, _SPAN):
+        take = min(_SPAN, n - at)
+        total = np.zeros(take + size, dtype=np.uint64)
+        np.take(_BYTE, data[at : at + take + size - 1], out=total[1:])
+        total[1:] *= up[: take + size - 1]
+        np.cumsum(total[1:], out=total[1:])
+        part = total[size : size + take] - total[:take]
+        part *= down[:take]
+        out[at : at + take] = mix_in_place(part)
+    return out
+
+
+# --------------------------------------------------------------------------
+# Arrays as binary columns
+# --------------------------------------------------------------------------
+
+
+def slices(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """One binary value for values[cuts[i]:cuts[i + 1]], without a copy."""
+    width = values.itemsize * (values.shape[1] if values.ndim > 1 else 1)
+    data = np.ascontiguousarray(values)
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * width).astype(np.int32)), pa.py_buffer(data)])
+
+
+def joined(column: pa.ChunkedArray | pa.Array, dtype: str) -> tuple[np.ndarray, np.ndarray]:
+    """(all values of a column of ``slices`` one after another, bytes of each)."""
+    data, off = raw_bytes(column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column)
+    return data.view(dtype) if dtype != "u1" else data, np.diff(off)

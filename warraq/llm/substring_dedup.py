@@ -4,52 +4,72 @@ Which bytes are covered by a string of ``length`` bytes that also starts elsewhe
 
 1. Lossless thinning.  Each window of ``length`` bytes has a minimizer: the place of
    its least ``gram``-byte hash.  Equal windows have equal minimizers at equal places,
-   so a window whose minimizer hash occurs once in the corpus is unique.  Counts come
-   from distributed requests by hash range (see ``lm_score``).
-2. For each shared minimizer the bytes of the windows that it owns go to the hash's
-   range, equal byte strings of a block once with their number.
-3. A range is a set of shards (the blocks' strings).  Text is read in symbols of
-   ``length / STEPS`` bytes, at each phase; the Burrows-Wheeler transform of each
-   shard is built by itself, and the transforms are merged by iterative interleave
-   refinement: each pass stably deals the interleave by the preceding symbol, so
-   after pass k it is in order of the first k symbols, and the first pass at which
-   neighbours part is their common prefix.  After STEPS passes, places that have not
-   parted are repeated intervals.  No suffix of one shard is compared with one of
-   another.
+   so a window whose minimizer's hash occurs once in the corpus is unique.  Counts come
+   from requests by hash range.  A minimizer with more than ``HOT`` different strings
+   (the border of a licence that half the corpus holds) is split by what its windows
+   share beside it: into groups of neighbouring windows, and those that are hot again
+   into single windows, so the strings that meet in one merge are bounded.
+2. For each shared key the bytes of the windows that it owns go to the key's range,
+   equal strings of a block once, with their number and places.
+3. The corpus has ``SHARDS`` shards (blocks by number).  A range holds the section of
+   each shard that begins with its keys.  Strings of a section are read in symbols of
+   ``length / STEPS`` bytes, at each phase; the section's transform is built by itself,
+   and the sections are merged by iterative interleave refinement: each pass stably
+   deals the interleave by the preceding symbol, so after pass k it is in order of the
+   first k symbols, and the pass at which two neighbours part gives their common prefix.
+   Runs of neighbours with a common prefix of STEPS symbols are the repeated intervals.
+   No suffix of one shard is compared with one of another.
 4. Covered ranges return to their block, which cuts the texts.
 
-A minimizer with more than ``HOT`` places would put too much in one range: its
-windows are dealt by 128-bit hashes of their own instead, and counted.
+Hashes only deal strings out.  Equality is decided by bytes: copies by the strings
+themselves, symbols by comparing each place with the first of its code.  Strings that
+occur more than once are repeated as a whole, so a key is merged only where it has a
+string that occurs once beside others; its copies enter the merge once with their number.
+
+The texts are written once as blocks, which all later steps read, so a lost executor
+costs a re-read and the order of the input's rows does not matter.  A long text is
+worked on in spans; beside its bytes only what repeats grows with it.
 
 Defined cases: null texts are empty; matches never cross documents and overlapping
-occurrences count; repeated rows are copies of each other; texts shorter than
-``length`` are kept whole; other columns are ignored.
+occurrences count; repeated rows are copies of each other; null identifiers are kept;
+texts shorter than ``length`` are kept whole; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, id_text, mix, raw_bytes, stage, text_bytes, work_dir
-from .language_id import _chunks
-from .lm_score import pack_ints, pack_sorted, unpack_ints, unpack_sorted
+from .common import give_back, gram_hashes, id_text, joined, mix, pieces, raw_bytes, slices, stage, work_dir
 
 LENGTH = 400
 GRAM = 200
 STEPS = 4
-HOT = 4096
-RANGE_BYTES = 8 << 20
-_BLOCK_BYTES = 2 << 20
-#: Bytes of strings merged at once; strings of one minimizer stay together.
+#: Different strings (added up over blocks) of one key that meet in one merge; more are split.
+HOT = 1024
+RANGE_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
+#: Bytes of strings merged at once; strings of one key stay together.
 _MERGE_BYTES = 1 << 19
-_OTHER_BASE = 0x2545F4914F6CDD1D
-_SHARDS = 8
+#: Windows whose minimizers are found at once.
+_SPAN = 1 << 18
+SHARDS = 8
+#: Groups of windows that a hot minimizer is split into; hot groups are split into windows.
+_GROUPS = 8
+_UNIQUE, _SHARED, _HOT = 0, 1, 2
+
+
+# --------------------------------------------------------------------------
+# Keys of windows
+# --------------------------------------------------------------------------
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -65,175 +85,293 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(rows.ravel()[: n - w + 1], before)
 
 
-class Anchors:
-    """Minimizers of a block and the runs of windows they own."""
-
-    def __init__(self, texts: pa.Array, length: int, gram: int):
-        self.data, self.off = raw_bytes(texts)
-        size = np.diff(self.off)
-        grams = gram_hashes(self.data, gram)
+#: start, number of windows, place of the minimizer, key.
+Runs = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def anchors(data: np.ndarray, off: np.ndarray, length: int, gram: int) -> Runs:
+    """Minimizers of a block's texts and the runs of windows that they own."""
+    size = np.diff(off)
+    edge = np.zeros(len(data) + 1, dtype=np.int8)
+    fits = size >= length
+    np.add.at(edge, off[:-1][fits], 1)
+    np.add.at(edge, off[1:][fits] - length + 1, -1)
+    inside = np.cumsum(edge, dtype=np.int8)[:-1] > 0  # windows inside one text only
+    del edge
+    found = []
+    for at in range(0, max(len(data) - length + 1, 0), _SPAN):
+        part = data[at : at + _SPAN + length - 1]
+        start = np.flatnonzero(inside[at : at + min(_SPAN, len(part) - length + 1)])
+        if not len(start):
+            continue
+        grams = gram_hashes(part, gram)
         ranked = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
-        least = sliding_min(ranked, length - gram + 1) & np.uint64(0xFFFFFFFF)
-        del ranked
-        # Windows inside one text only.
-        ok = np.zeros(len(self.data) + 1, dtype=np.int32)
-        fits = size >= length
-        np.add.at(ok, self.off[:-1][fits], 1)
-        np.add.at(ok, self.off[1:][fits] - length + 1, -1)
-        start = np.flatnonzero(np.cumsum(ok)[:-1] > 0)
-        place = least[start].astype(np.int64)
+        place = (sliding_min(ranked, length - gram + 1) & np.uint64(0xFFFFFFFF))[start].astype(np.int64)
         new = np.ones(len(start), dtype=bool)
-        if len(start):
-            new[1:] = (place[1:] != place[:-1]) | (start[1:] != start[:-1] + 1)
+        new[1:] = (place[1:] != place[:-1]) | (start[1:] != start[:-1] + 1)
         first = np.flatnonzero(new)
-        self.start = start[first]  # first window of each run
-        self.windows = np.diff(np.append(first, len(start)))
-        self.place = place[first]
-        self.hash = grams[self.place]
+        # Least hashes are small; as keys they are mixed again, so that they spread over the ranges.
+        found.append((start[first] + at, np.diff(np.append(first, len(start))), place[first] + at, mix(grams[place[first]])))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return tuple(map(np.concatenate, zip(*found, strict=True)))
+
+
+def hash_at(data: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of data[at:at + size], span by span."""
+    out = np.empty(len(at), dtype=np.uint64)
+    order = np.argsort(at, kind="stable")
+    cuts = np.searchsorted(at[order], np.arange(0, len(data) + _SPAN, _SPAN))
+    for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        if b > a:
+            own = order[a:b]
+            out[own] = gram_hashes(data[i * _SPAN : (i + 1) * _SPAN + size - 1], size)[at[own] - i * _SPAN]
+    return out
 
 
-_ASK = "range long, block long, fingerprint long, keys binary, n binary"
-_ASK_ARROW = pa.schema([("range", pa.int64()), ("block", pa.int64()), ("fingerprint", pa.int64()), ("keys", pa.binary()), ("n", pa.binary())])
-_MEET = "block long, range long, fingerprint long, body binary"
-_MEET_ARROW = pa.schema([("block", pa.int64()), ("range", pa.int64()), ("fingerprint", pa.int64()), ("body", pa.binary())])
-_SEND = "range long, block long, kind int, key binary, n binary, size binary, body binary, at binary"
-_SEND_ARROW = pa.schema([
-    ("range", pa.int64()), ("block", pa.int64()), ("kind", pa.int32()), ("key", pa.binary()), ("n", pa.binary()), ("size", pa.binary()),
-    ("body", pa.binary()), ("at", pa.binary()),
-])
+def split(data: np.ndarray, runs: Runs, length: int, gram: int, group: int) -> Runs:
+    """The runs in groups of ``group`` windows by their distance from the minimizer.
 
+    The windows of a group share ``length - group + 1`` bytes around the minimizer: the new key.
+    """
+    start, windows, place, key = runs
+    parts = []
+    for low in range(0, length - gram + 1, group):
+        high = low + group - 1  # bytes of a window before its minimizer, from ``low`` to ``high``
+        a, b = np.maximum(start, place - high), np.minimum(start + windows - 1, place - low)
+        own = np.flatnonzero(a <= b)
+        parts.append((a[own], b[own] - a[own] + 1, place[own], key[own], place[own] - low, np.full(len(own), low)))
+    a, n, place, key, common, low = map(np.concatenate, zip(*parts, strict=True))
+    shared = hash_at(data, common, length - group + 1)
+    return a, n, place, mix(shared ^ mix(key + (low * 512 + group).astype(np.uint64)))
 
-def _pieces(batches):
-    for number, piece in enumerate(_chunks(batches, "text", _BLOCK_BYTES)):
-        block = (piece.column("part")[0].as_py() << 32) + number
-        size = pc.sum(pc.binary_length(piece.column("text"))).as_py() or 0
-        ids = ",".join(map(str, piece.column("doc_id").to_pylist()))
-        yield block, int.from_bytes(hashlib.blake2b(f"{ids}|{size}".encode(), digest_size=7).digest(), "big"), piece
 
+def group_sizes(length: int, gram: int) -> list[int]:
+    """Windows of one minimizer that a key of each level can own."""
+    offsets = length - gram + 1
+    return [offsets, -(-offsets // _GROUPS), 1]
 
-def _cuts(keys: np.ndarray, bits: int) -> np.ndarray:
-    return np.append(np.searchsorted(keys >> np.uint64(64 - bits), np.arange(1 << bits, dtype=np.uint64)), len(keys))
 
+def levels(data: np.ndarray, off: np.ndarray, length: int, gram: int, states: list[np.ndarray], hot_keys: list[np.ndarray] = ()) -> Iterator[tuple[Runs, np.ndarray | None]]:
+    """Runs of each level and their states; of the first level that has no states yet, None.
 
-def _ask(docs: DataFrame, length: int, gram: int, bits: int) -> DataFrame:
-    def run(batches):
-        for block, mark, piece in _pieces(batches):
-            keys, n = np.unique(Anchors(piece.column("text"), length, gram).hash, return_counts=True)
-            cuts = _cuts(keys, bits)
-            rows = [
-                {"range": r, "block": block, "fingerprint": mark, "keys": pack_sorted(keys[a:b]), "n": pack_ints(n[a:b])}
-                for r, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a
-            ]
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=_ASK_ARROW)
+    hot_keys: the hot keys of each level (sorted), where only those are known.
+    """
+    runs, sizes = anchors(data, off, length, gram), group_sizes(length, gram)
+    for level in range(len(sizes)):
+        if not len(runs[0]):
+            return
+        state = None
+        if level < len(hot_keys):
+            at = np.minimum(np.searchsorted(hot_keys[level], runs[3]), len(hot_keys[level]) - 1)
+            state = np.where(hot_keys[level][at] == runs[3], _HOT, _UNIQUE)
+        elif level < len(states):
+            keys, at = np.unique(runs[3], return_inverse=True)
+            if len(states[level]) != len(keys):
+                raise RuntimeError("a block has not as many answers as it has keys")
+            state = states[level][at]
+        yield runs, state
+        if state is None or level + 1 == len(sizes):
+            return
+        hot = state == _HOT
+        runs = split(data, tuple(x[hot] for x in runs), length, gram, sizes[level + 1]) if hot.any() else tuple(x[:0] for x in runs)
+
+
+def same_strings(data: np.ndarray, start: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """The number of each string's class: equal keys and bytes, in order of first occurrence."""
+    view, known = memoryview(np.ascontiguousarray(data)), {}
+    number = (known.setdefault((k, bytes(view[a : a + n])), len(known)) for k, a, n in zip(key.tolist(), start.tolist(), size.tolist(), strict=True))
+    return np.fromiter(number, dtype=np.int64, count=len(start))
 
-    return docs.mapInArrow(run, _ASK)
 
+# --------------------------------------------------------------------------
+# Blocks, requests and replies
+# --------------------------------------------------------------------------
 
-def _reply(hot: int):
-    def run(group: pa.Table) -> pa.Table:
-        """0: unique in the corpus, 1: shared, 2: shared by more than ``hot`` places."""
-        keys = [unpack_sorted(x) for x in group.column("keys").to_pylist()]
-        size = np.cumsum([0, *map(len, keys)])
-        _, at = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(at, weights=np.concatenate([unpack_ints(x) for x in group.column("n").to_pylist()]))
-        state = np.where(total > hot, 2, np.where(total > 1, 1, 0))
-        body = [pack_ints(state[at[a:b]]) for a, b in zip(size[:-1], size[1:], strict=True)]
-        return pa.table([group.column("block"), group.column("range"), group.column("fingerprint"), pa.array(body, pa.binary())], names=_MEET_ARROW.names)
+_TEXTS = pa.schema([("doc_id", pa.int64()), ("text", pa.large_string())])
 
-    return run
 
+def _blocks(docs: DataFrame) -> DataFrame:
+    """block, n_bytes, body: compressed texts."""
 
-def _texts(docs: DataFrame) -> DataFrame:
     def run(batches):
-        for block, mark, piece in _pieces(batches):
+        part = TaskContext.get().partitionId() << 32
+        for number, piece in enumerate(pieces(batches, "text", BLOCK_BYTES)):
+            texts = piece.column("text").cast(pa.large_string()).fill_null("")
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, piece.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-                writer.write_batch(piece)
-            yield pa.RecordBatch.from_pylist([{"block": block, "range": -1, "fingerprint": mark, "body": sink.getvalue().to_pybytes()}], schema=_MEET_ARROW)
+            with pa.ipc.new_stream(sink, _TEXTS, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                writer.write_batch(pa.RecordBatch.from_arrays([piece.column("doc_id"), texts], schema=_TEXTS))
+            size = pc.sum(pc.binary_length(texts)).as_py() or 0
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([part + number], pa.int64()), pa.array([size], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "n_bytes", "body"]
+            )
+
+    return docs.mapInArrow(run, "block long, n_bytes long, body binary")
+
+
+def _open(body: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(identifiers, bytes, offsets) of a block."""
+    texts = pa.ipc.open_stream(body).read_all().combine_chunks()
+    ids, column = texts.column("doc_id").combine_chunks(), texts.column("text").combine_chunks()
+    return ids, *raw_bytes(column)
+
+
+_MEET = "block long, range long, level int, n_hot long, body binary, ends binary"
+_ASK = "range long, block long, level int, keys binary, n binary, strings binary"
+
+
+def _cuts(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ranges that sorted keys fall into, where each begins, and the end)."""
+    ranges, first = np.unique(keys >> np.uint64(64 - bits), return_index=True)
+    return ranges.astype(np.int64), np.append(first, len(keys)).astype(np.int64)
+
+
+def _requests(
+    data: np.ndarray, off: np.ndarray, block: int, length: int, gram: int, bits: int, states: list[np.ndarray] = (), hot_keys: list[np.ndarray] = ()
+) -> pa.RecordBatch | None:
+    """Keys of the level after ``states`` or ``hot_keys``, with their places and different strings."""
+    start = None
+    for (start, windows, _, key), state in levels(data, off, length, gram, states, hot_keys):  # noqa: B007
+        pass
+    if start is None or state is not None:
+        return None
+    level = max(len(states), len(hot_keys))
+    keys, at = np.unique(key, return_inverse=True)
+    n = np.bincount(at)
+    strings = np.ones(len(keys), dtype=np.int64)
+    many = np.flatnonzero(n[at] > 1)
+    if len(many):
+        same = same_strings(data, start[many], windows[many] + length - 1, key[many])
+        first = many[np.unique(same, return_index=True)[1]]
+        own = np.bincount(at[first], minlength=len(keys))
+        strings[n > 1] = own[n > 1]
+    ranges, cuts = _cuts(keys, bits)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(ranges), pa.array(np.full(len(ranges), block)), pa.array(np.full(len(ranges), level, dtype=np.int32)),
+            slices(keys.astype("<u8"), cuts), slices(n.astype("<u4"), cuts), slices(strings.astype("<u4"), cuts),
+        ],
+        names=["range", "block", "level", "keys", "n", "strings"],
+    )
 
-    return docs.mapInArrow(run, _MEET)
 
+#: Hot keys (8 bytes each) up to this number are broadcast to the blocks; more meet them by a shuffle.
+BROADCAST_KEYS = 1_000_000
 
-def _open(group: pa.Table) -> tuple[pa.Table, pa.Array, pa.Table]:
-    text = group.filter(pc.equal(group.column("range"), -1))
-    rest = group.filter(pc.not_equal(group.column("range"), -1)).sort_by("range")
-    marks = set(rest.column("fingerprint").to_pylist())
-    if text.num_rows != 1 or marks - {text.column("fingerprint")[0].as_py()}:
-        raise RuntimeError("the documents of a block changed between two reads; use stable=False")
-    piece = pa.ipc.open_stream(text.column("body")[0].as_py()).read_all()
-    return piece, pa.concat_arrays(piece.column("text").chunks), rest
 
+def _ask(blocks: DataFrame, length: int, gram: int, bits: int, hot_keys: list[np.ndarray]) -> DataFrame:
+    """Requests of the level after those of ``hot_keys`` (sorted; at first there are none)."""
+    shared = blocks.sparkSession.sparkContext.broadcast(hot_keys)
 
-def gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """data[start:start + size] one after another."""
-    first = np.cumsum(size) - size
-    return data[np.repeat(start - first, size) + np.arange(int(size.sum()))]
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                _, data, off = _open(batch.column("body")[i].as_py())
+                found = _requests(data, off, batch.column("block")[i].as_py(), length, gram, bits, hot_keys=shared.value)
+                if found is not None:
+                    yield found
+                give_back()
 
+    return blocks.mapInArrow(run, _ASK)
+
+
+def _ask_again(blocks: DataFrame, replies: DataFrame, length: int, gram: int, bits: int) -> DataFrame:
+    """Requests of the next level, from the blocks that have hot keys."""
+    last = replies.agg(F.max("level")).first()[0]
+    hot = replies.where(f"level = {last}").groupBy("block").agg(F.sum("n_hot").alias("n_hot")).where("n_hot > 0").select("block")
+    met = replies.join(hot, "block", "left_semi").unionByName(_as_met(blocks.join(hot, "block", "left_semi")))
+
+    def run(group: pa.Table) -> pa.Table:
+        block, body, states = _met(group)
+        _, data, off = _open(body)
+        found = _requests(data, off, block, length, gram, bits, states=states)
+        return pa.Table.from_batches([found]) if found is not None else _ASK_ARROW.empty_table()
+
+    return met.groupBy("block").applyInArrow(run, _ASK)
+
+
+_ASK_ARROW = pa.schema([("range", pa.int64()), ("block", pa.int64()), ("level", pa.int32()), ("keys", pa.binary()), ("n", pa.binary()), ("strings", pa.binary())])
+
+
+def _as_met(blocks: DataFrame) -> DataFrame:
+    none = F.lit(None).cast("binary")
+    return blocks.select("block", F.lit(-1).cast("long").alias("range"), F.lit(-1).alias("level"), F.lit(0).cast("long").alias("n_hot"), "body", none.alias("ends"))
+
+
+def _met(group: pa.Table) -> tuple[int, bytes, list[np.ndarray]]:
+    """(block, its body, states of its keys at each level)."""
+    is_text = pc.equal(group.column("range"), -1)
+    rest = group.filter(pc.invert(is_text)).sort_by("range")
+    states = []
+    while (own := rest.filter(pc.equal(rest.column("level"), len(states)))).num_rows:
+        states.append(joined(own.column("body"), "u1")[0])
+    return group.column("block")[0].as_py(), group.filter(is_text).column("body")[0].as_py(), states
+
+
+def _reply(hot: int):
+    """State of each key in the order of the requests; and the hot keys of the range, on a row of no block."""
 
-def _send(length: int, gram: int, bits: int):
     def run(group: pa.Table) -> pa.Table:
-        _, texts, replies = _open(group)
-        block = group.column("block")[0].as_py()
-        found = Anchors(texts, length, gram)
-        keys, at = np.unique(found.hash, return_inverse=True)
-        state = np.concatenate([unpack_ints(x) for x in replies.column("body").to_pylist()]) if replies.num_rows else np.zeros(0, np.uint64)
-        if len(state) != len(keys):
-            raise RuntimeError("the documents of a block changed between two reads; use stable=False")
-        state = state[at]
-        rows = []
-
-        # Byte strings of the windows of each shared minimizer, equal ones once.
-        own = np.flatnonzero(state == 1)
-        if len(own):
-            start, size, key = found.start[own], found.windows[own] + length - 1, found.hash[own]
-            body = _range_hash(found.data, start, size)
-            order = np.lexsort((start, body, size, key))
-            start, size, key, body = start[order], size[order], key[order], body[order]
-            new = np.ones(len(order), dtype=bool)
-            new[1:] = (key[1:] != key[:-1]) | (body[1:] != body[:-1]) | (size[1:] != size[:-1])
-            first = np.flatnonzero(new)
-            n = np.diff(np.append(first, len(order)))
-            cuts = _cuts(key[first], bits)
-            ends = np.append(first, len(order))
-            for r, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                if b > a:
-                    f = first[a:b]
-                    rows.append({
-                        "range": r, "block": block, "kind": 0, "key": pack_sorted(key[f]), "n": pack_ints(n[a:b]), "size": pack_ints(size[f]),
-                        "body": pa.compress(gather(found.data, start[f], size[f]).tobytes(), codec="zstd", asbytes=True), "at": pack_ints(start[ends[a] : ends[b]]),
-                    })
-
-        # Windows of minimizers with very many places, by their own hashes.
-        own = np.flatnonzero(state == 2)
-        if len(own):
-            n = found.windows[own]
-            window = np.repeat(found.start[own] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            one, two = gram_hashes(found.data, length)[window], gram_hashes(found.data, length, _OTHER_BASE)[window]
-            order = np.lexsort((window, two, one))
-            window, one, two = window[order], one[order], two[order]
-            new = np.ones(len(order), dtype=bool)
-            new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
-            first = np.flatnonzero(new)
-            n = np.diff(np.append(first, len(order)))
-            cuts = _cuts(one[first], bits)
-            ends = np.append(first, len(order))
-            for r, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                if b > a:
-                    f = first[a:b]
-                    rows.append({
-                        "range": (1 << bits) + r, "block": block, "kind": 1, "key": pack_sorted(one[f]), "n": pack_ints(n[a:b]), "size": pack_ints(two[f]),
-                        "body": b"", "at": pack_ints(window[ends[a] : ends[b]]),
-                    })
-        return pa.Table.from_pylist(rows, schema=_SEND_ARROW)
+        keys, size = joined(group.column("keys"), "<u8")
+        (n, _), (strings, _) = joined(group.column("n"), "<u4"), joined(group.column("strings"), "<u4")
+        distinct, at = np.unique(keys, return_inverse=True)
+        places, different = (np.bincount(at, weights=x)[at] for x in (n, strings))
+        level = group.column("level").to_numpy()
+        splits = np.repeat(level, size // 8) < 2  # single windows cannot be split
+        state = np.where(places == 1, _UNIQUE, np.where(splits & (different > hot), _HOT, _SHARED)).astype(np.uint8)
+        cuts = np.concatenate([[0], np.cumsum(size // 8)])
+        n_hot = np.add.reduceat(state == _HOT, cuts[:-1], dtype=np.int64)
+        names = ["block", "range", "level", "n_hot", "body", "ends"]
+        replies = pa.table([group.column("block"), group.column("range"), group.column("level"), pa.array(n_hot), slices(state, cuts), pa.nulls(len(size), pa.binary())], names=names)
+        is_hot = np.zeros(len(distinct), dtype=bool)
+        is_hot[at[state == _HOT]] = True
+        own = distinct[is_hot].astype("<u8")
+        if not len(own):
+            return replies
+        extra = [[-1], [group.column("range")[0].as_py()], [int(level[0])], [len(own)], [own.tobytes()], [None]]
+        return pa.concat_tables([replies, pa.table([pa.array(x, f.type) for x, f in zip(extra, replies.schema, strict=True)], names=names)])
 
     return run
 
 
-def _range_hash(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    from .common import byte_range_hash
+_SEND = "range long, block long, key binary, n binary, size binary, body binary, at binary"
+_SEND_ARROW = pa.schema([
+    ("range", pa.int64()), ("block", pa.int64()), ("key", pa.binary()), ("n", pa.binary()), ("size", pa.binary()), ("body", pa.binary()), ("at", pa.binary()),
+])
+
+
+def _send(length: int, gram: int, bits: int):
+    def run(group: pa.Table) -> pa.Table:
+        """Strings of the windows of each shared key, equal ones once."""
+        block, body, states = _met(group)
+        _, data, off = _open(body)
+        found = [tuple(x[state == _SHARED] for x in runs) for runs, state in levels(data, off, length, gram, states) if state is not None]
+        start, windows, key = (np.concatenate([x[i] for x in found]) if found else np.zeros(0, np.uint64) for i in (0, 1, 3))
+        if not len(start):
+            return _SEND_ARROW.empty_table()
+        size = windows + length - 1
+        same = same_strings(data, start, size, key)
+        _, first, n = np.unique(same, return_index=True, return_counts=True)
+        by_key = np.argsort(key[first], kind="stable")
+        rank = np.empty(len(first), dtype=np.int64)
+        rank[by_key] = np.arange(len(first))
+        places = start[np.argsort(rank[same], kind="stable")]
+        first, n = first[by_key], n[by_key]
+        ranges, cuts = _cuts(key[first], bits)
+        ends = np.concatenate([[0], np.cumsum(n)])[cuts]
+        text = memoryview(data)
+        parts = [b"".join(text[a : a + s] for a, s in zip(start[first[a:b]].tolist(), size[first[a:b]].tolist(), strict=True)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        out = pa.table(
+            [
+                pa.array(ranges), pa.array(np.full(len(ranges), block)), slices(key[first].astype("<u8"), cuts), slices(n.astype("<u4"), cuts),
+                slices(size[first].astype("<u4"), cuts), pa.array([pa.compress(x, codec="zstd", asbytes=True) for x in parts], pa.binary()), slices(places.astype("<u4"), ends),
+            ],
+            schema=_SEND_ARROW,
+        )
+        give_back()
+        return out
 
-    return byte_range_hash(data, start, start + size)
+    return run
 
 
 # --------------------------------------------------------------------------
@@ -272,13 +410,14 @@ class Shard:
 def merge(shards: list[Shard], steps: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Interleave of the shards' suffixes in order of ``steps`` symbols.
 
-    Returns (shard, rank in the shard, group): places with equal group share ``steps`` symbols.
+    Returns (shard, rank in the shard, common prefix with the place before, in symbols up to ``steps``).
     """
     first = np.cumsum([0] + [s.size for s in shards])
     transform = np.concatenate([s.bwt for s in shards])
     z = np.repeat(np.arange(len(shards), dtype=np.uint8), [s.size for s in shards])
     group = np.zeros(len(z), dtype=np.int64)  # all share the empty prefix
-    for _ in range(steps):
+    common = np.full(len(z), steps, dtype=np.int8)
+    for done in range(steps):
         # The k-th entry of shard s in the interleave is the k-th entry of its transform.
         by_shard = np.argsort(z, kind="stable")
         where = np.empty(len(z), dtype=np.int64)
@@ -288,11 +427,30 @@ def merge(shards: list[Shard], steps: int) -> tuple[np.ndarray, np.ndarray, np.n
         part, old = symbol[dealt], group[dealt]
         new = np.ones(len(z), dtype=bool)
         new[1:] = (part[1:] != part[:-1]) | (old[1:] != old[:-1])
+        # Later passes only refine, so a border stays where it first appears.
+        common[new & (common == steps)] = done
         z, group = z[dealt], np.cumsum(new) - 1
     by_shard = np.argsort(z, kind="stable")
     rank = np.empty(len(z), dtype=np.int64)
     rank[by_shard] = np.arange(len(z))
-    return z, rank - first[z], group
+    return z, rank - first[z], common
+
+
+def exact_codes(data: np.ndarray, place: np.ndarray, size: int) -> np.ndarray:
+    """Numbers of data[place:place + size]: equal exactly where the bytes are."""
+    if not len(place):
+        return np.zeros(0, np.int32)
+    hashes, first, codes = np.unique(gram_hashes(data, size)[place], return_index=True, return_inverse=True)
+    window = np.lib.stride_tricks.sliding_window_view(data, size)
+    head, odd = place[first], []
+    for a in range(0, len(place), 1 << 13):
+        own = slice(a, a + (1 << 13))
+        differ = (window[place[own]] != window[head[codes[own]]]).any(axis=1)
+        odd.append(np.flatnonzero(differ) + a)
+    known: dict[bytes, int] = {}
+    for i in np.concatenate(odd).tolist():  # another string with the same hash
+        codes[i] = known.setdefault(window[place[i]].tobytes(), len(hashes) + len(known))
+    return codes.astype(np.int32)
 
 
 def repeated_windows(data: np.ndarray, start: np.ndarray, size: np.ndarray, n: np.ndarray, shard: np.ndarray, length: int, steps: int = STEPS) -> np.ndarray:
@@ -302,11 +460,10 @@ def repeated_windows(data: np.ndarray, start: np.ndarray, size: np.ndarray, n: n
     """
     step = length // steps
     out = np.zeros(len(data), dtype=bool)
-    grams = gram_hashes(data, step)
     string = np.repeat(np.arange(len(start)), size)
     left = np.repeat(start + size, size) - np.arange(len(data))  # bytes to the string's end
     place = np.flatnonzero(left >= step)
-    codes = np.unique(grams[place], return_inverse=True)[1].astype(np.int32)
+    codes = exact_codes(data, place, step)
     shards, places = [], []
     for s in np.unique(shard):
         own = shard[string[place]] == s
@@ -315,17 +472,18 @@ def repeated_windows(data: np.ndarray, start: np.ndarray, size: np.ndarray, n: n
         index[at] = np.arange(len(at))
         shards.append(Shard(codes[own], np.where(left[at] >= 2 * step, index[at + step], -1), steps))
         places.append(at)
-    z, rank, group = merge(shards, steps)
+    z, rank, common = merge(shards, steps)
     # Back from ranks to places; empty suffixes have none.
     spot = np.full(len(z), -1, dtype=np.int64)
     for s, (x, at) in enumerate(zip(shards, places, strict=True)):
         own = z == s
         suffix = x.order[rank[own]]
         spot[own] = np.where(suffix < x.n, np.append(at, -1)[np.minimum(suffix, x.n)], -1)
+    interval = np.cumsum(common < steps)  # neighbours with ``steps`` symbols in common are one
     whole = (spot >= 0) & (left[np.maximum(spot, 0)] >= length)
-    spot, group = spot[whole], group[whole]
-    weight = np.bincount(group, weights=n[string[spot]], minlength=int(group.max(initial=-1)) + 1)
-    out[spot[weight[group] > 1]] = True
+    spot, interval = spot[whole], interval[whole]
+    weight = np.bincount(interval, weights=n[string[spot]], minlength=int(interval.max(initial=-1)) + 1)
+    out[spot[weight[interval] > 1]] = True
     return out
 
 
@@ -334,116 +492,109 @@ def _runs(mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
+def shard_of(block: np.ndarray) -> np.ndarray:
+    return (mix(block.astype(np.uint64)) % np.uint64(SHARDS)).astype(np.int64)
+
+
 def _solve(length: int):
     def run(group: pa.Table) -> pa.Table:
-        """Ranges of windows that repeat, for each block: first and last window start + 1."""
-        blocks = group.column("block").to_pylist()
-        keys = [unpack_sorted(x) for x in group.column("key").to_pylist()]
-        source = np.repeat(np.arange(len(blocks)), list(map(len, keys)))
-        key = np.concatenate(keys)
-        n = np.concatenate([unpack_ints(x) for x in group.column("n").to_pylist()]).astype(np.int64)
-        size = np.concatenate([unpack_ints(x) for x in group.column("size").to_pylist()])
-        at = np.concatenate([unpack_ints(x) for x in group.column("at").to_pylist()]).astype(np.int64)
-        first_at = np.cumsum(n) - n
-        if group.column("kind")[0].as_py() == 1:  # windows by hash; size holds the second hash
-            order = np.lexsort((size, key))
-            new = np.ones(len(order), dtype=bool)
-            new[1:] = (key[order][1:] != key[order][:-1]) | (size[order][1:] != size[order][:-1])
-            same = np.empty(len(order), dtype=np.int64)
-            same[order] = np.cumsum(new) - 1
-            hit = np.bincount(same, weights=n)[same] > 1
-            from_, to = np.repeat(hit, n), np.repeat(source, n)
-            start, block, end = at[from_], to[from_], at[from_] + 1
-        else:
-            size = size.astype(np.int64)
-            begin = np.cumsum(size) - size
-            packets, hashes, at_packet = [], [], 0
-            for x, number in zip(group.column("body").to_pylist(), map(len, keys), strict=True):
-                own = size[at_packet : at_packet + number]
-                text = np.frombuffer(pa.decompress(x, decompressed_size=int(own.sum()), codec="zstd", asbytes=True), dtype=np.uint8)
-                packets.append(text)
-                hashes.append(_range_hash(text, np.cumsum(own) - own, own))
-                at_packet += number
-            data, body = np.concatenate(packets), np.concatenate(hashes)
-            del packets
-            order = np.lexsort((body, size, key))
-            new = np.ones(len(order), dtype=bool)
-            new[1:] = (key[order][1:] != key[order][:-1]) | (size[order][1:] != size[order][:-1]) | (body[order][1:] != body[order][:-1])
-            same = np.empty(len(order), dtype=np.int64)
-            same[order] = np.cumsum(new) - 1
-            times = np.bincount(same, weights=n).astype(np.int64)
-            # Strings that occur once, beside other strings of their minimizer, are what is left to settle.
-            head = order[new]
-            of_key = np.unique(key[head], return_inverse=True)[1]
-            variants = np.bincount(of_key)[of_key]
-            open_key = np.zeros(of_key.max() + 1, dtype=bool)
-            open_key[of_key[(variants > 1) & (times == 1)]] = True
-            take = head[open_key[of_key]]
-            starts, ends, to = [], [], []
-            many = np.flatnonzero(times[same] > 1)
-            reps = n[many]
-            base = np.repeat(first_at[many] - (np.cumsum(reps) - reps), reps) + np.arange(int(reps.sum()))
-            starts.append(at[base])
-            ends.append(at[base] + np.repeat(size[many] - length + 1, reps))
-            to.append(np.repeat(source[many], reps))
-            # Equal windows have one minimizer, so minimizers can be settled some at a time.
-            turn = np.cumsum(size[take]) // _MERGE_BYTES
-            first_of_key = np.flatnonzero(np.diff(key[take], prepend=key[take][:1] ^ np.uint64(1))) if len(take) else np.zeros(0, np.int64)
-            turn = np.repeat(turn[first_of_key], np.diff(np.append(first_of_key, len(take))))
-            for part in np.split(take, np.flatnonzero(np.diff(turn)) + 1) if len(take) else []:
-                own = gather(data, begin[part], size[part])
+        """Windows that repeat, for each block: first and last window start + 1 of each run."""
+        blocks = group.column("block").to_numpy()
+        key, number = joined(group.column("key"), "<u8")
+        n, size, at = (joined(group.column(c), "<u4")[0].astype(np.int64) for c in ("n", "size", "at"))
+        source = np.repeat(np.arange(len(blocks)), number // 8)
+        first_at, begin = np.cumsum(n) - n, np.cumsum(size) - size
+        ends = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(number // 8)])]
+        data = np.empty(int(size.sum()), dtype=np.uint8)
+        for x, a, b in zip(group.column("body"), ends[:-1], ends[1:], strict=True):
+            data[a:b] = np.frombuffer(pa.decompress(x.as_py(), decompressed_size=int(b - a), codec="zstd", asbytes=True), dtype=np.uint8)
+        same = same_strings(data, begin, size, key)
+        times = np.bincount(same, weights=n).astype(np.int64)
+        starts, stops, to = [], [], []
+
+        # Strings that occur more than once are repeated as a whole.
+        many = np.flatnonzero(times[same] > 1)
+        reps = n[many]
+        base = np.repeat(first_at[many] - (np.cumsum(reps) - reps), reps) + np.arange(int(reps.sum()))
+        starts.append(at[base])
+        stops.append(at[base] + np.repeat(size[many] - length + 1, reps))
+        to.append(np.repeat(source[many], reps))
+
+        # Those that occur once, beside other strings of their key, are what is left to settle.
+        head = np.unique(same, return_index=True)[1]
+        of_key = np.unique(key[head], return_inverse=True)[1]
+        variants = np.bincount(of_key)[of_key]
+        open_ = np.zeros(int(of_key.max(initial=-1)) + 1, dtype=bool)
+        open_[of_key[(variants > 1) & (times[same[head]] == 1)]] = True
+        take = head[open_[of_key]]
+        take = take[np.argsort(key[take], kind="stable")]
+        if len(take):
+            # Equal windows have one key, so keys can be settled some at a time.
+            first_of_key = np.flatnonzero(np.concatenate([[True], key[take][1:] != key[take][:-1]]))
+            turn = (np.cumsum(size[take]) // _MERGE_BYTES)[first_of_key]
+            turn = np.repeat(turn, np.diff(np.append(first_of_key, len(take))))
+            text = memoryview(data)
+            for part in np.split(take, np.flatnonzero(np.diff(turn)) + 1):
+                own = np.frombuffer(b"".join(text[a : a + s] for a, s in zip(begin[part].tolist(), size[part].tolist(), strict=True)), dtype=np.uint8)
                 own_start = np.cumsum(size[part]) - size[part]
-                shard = source[part] * _SHARDS // len(blocks)
-                hit = repeated_windows(own, own_start, size[part], times[same[part]], shard, length)
+                hit = repeated_windows(own, own_start, size[part], times[same[part]], shard_of(blocks[source[part]]), length)
                 a, b = _runs(hit)  # windows of a string end `length` bytes before it does, so runs stay inside
                 where = np.searchsorted(own_start, a, side="right") - 1
                 once = times[same[part[where]]] == 1
                 a, b, where = a[once], b[once], where[once]
                 shift = at[first_at[part[where]]] - own_start[where]
                 starts.append(a + shift)
-                ends.append(b + shift)
+                stops.append(b + shift)
                 to.append(source[part[where]])
-            start, end, block = np.concatenate(starts), np.concatenate(ends), np.concatenate(to)
-        rows = []
-        for i in np.unique(block).astype(int):
-            m = block == i
-            o = np.argsort(start[m], kind="stable")
-            a, b = start[m][o], end[m][o]
-            rows.append({"block": blocks[i], "range": group.column("range")[0].as_py(), "fingerprint": 0, "body": _pair(a, b)})
-        return pa.Table.from_pylist(rows, schema=_MEET_ARROW)
+        start, stop, to = map(np.concatenate, (starts, stops, to))
+        order = np.lexsort((start, to))
+        sources, cuts = np.unique(to[order], return_index=True)
+        cuts = np.append(cuts, len(to))
+        rows = len(sources)
+        out = pa.table(
+            [
+                pa.array(blocks[sources]), pa.array(np.full(rows, group.column("range")[0].as_py())), pa.array(np.zeros(rows, np.int32)), pa.array(np.zeros(rows, np.int64)),
+                slices(start[order].astype("<u4"), cuts), slices(stop[order].astype("<u4"), cuts),
+            ],
+            names=["block", "range", "level", "n_hot", "body", "ends"],
+        )
+        give_back()
+        return out
 
     return run
 
 
-def _pair(a: np.ndarray, b: np.ndarray) -> bytes:
-    left = pack_ints(np.diff(a, prepend=0))
-    return len(left).to_bytes(8, "little") + left + pack_ints(b - a)
-
-
-def _unpair(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    cut = 8 + int.from_bytes(blob[:8], "little")
-    a = np.cumsum(unpack_ints(blob[8:cut])).astype(np.int64)
-    return a, a + unpack_ints(blob[cut:]).astype(np.int64)
-
+def covered(start: np.ndarray, stop: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal byte ranges that windows from ``start`` to ``stop`` - 1 cover, inside texts."""
+    order = np.argsort(start, kind="stable")
+    a, b = start[order], (stop + length - 1)[order]
+    if not len(a):
+        return a, b
+    text = np.searchsorted(off, a, side="right")
+    reach = np.maximum.accumulate(b)
+    new = np.ones(len(a), dtype=bool)
+    new[1:] = (a[1:] > reach[:-1]) | (text[1:] != text[:-1])
+    first = np.flatnonzero(new)
+    return a[first], reach[np.append(first[1:], len(a)) - 1]
 
 
 def _cut(length: int, with_text: bool):
     def run(group: pa.Table) -> pa.Table:
-        text = group.filter(pc.equal(group.column("range"), -1))
-        piece = pa.ipc.open_stream(text.column("body")[0].as_py()).read_all()
-        data, off = raw_bytes(pa.concat_arrays(piece.column("text").chunks))
-        step = np.zeros(len(data) + 1, dtype=np.int32)
-        for body in group.filter(pc.not_equal(group.column("range"), -1)).column("body").to_pylist():
-            a, b = _unpair(body)
-            np.add.at(step, a, 1)
-            np.add.at(step, b + length - 1, -1)
-        gone = np.cumsum(step)[:-1] > 0
-        rows = []
-        for i, doc_id in enumerate(piece.column("doc_id").to_pylist()):
-            own = gone[off[i] : off[i + 1]]
-            a, b = _runs(own)
-            kept = data[off[i] : off[i + 1]][~own].tobytes()
-            rows.append((doc_id, len(own), int((b - a).sum()), [{"start": int(x), "end": int(y)} for x, y in zip(a, b, strict=True)], hashlib.sha256(kept).hexdigest(), kept if with_text else None))
+        is_text = pc.equal(group.column("range"), -1)
+        ids, data, off = _open(group.filter(is_text).column("body")[0].as_py())
+        rest = group.filter(pc.invert(is_text))
+        a, b = covered(*(joined(rest.column(c), "<u4")[0].astype(np.int64) for c in ("body", "ends")), off, length)
+        text, rows = memoryview(data), []
+        cuts = np.searchsorted(a, off)
+        for i, doc_id in enumerate(ids.to_pylist()):
+            own = list(zip(a[cuts[i] : cuts[i + 1]].tolist(), b[cuts[i] : cuts[i + 1]].tolist(), strict=True))
+            digest, kept, at, low, end = hashlib.sha256(), [], int(off[i]), int(off[i]), int(off[i + 1])
+            for x, y in [*own, (end, end)]:
+                digest.update(text[at:x])
+                if with_text:
+                    kept.append(text[at:x])
+                at = y
+            rows.append((doc_id, end - low, sum(y - x for x, y in own), [{"start": x - low, "end": y - low} for x, y in own], digest.hexdigest(), b"".join(kept) if with_text else None))
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string(), pa.binary()]
         names = ["doc_id", "n_bytes", "n_removed", "spans", "kept_sha256", "kept"]
         return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
@@ -452,23 +603,33 @@ def _cut(length: int, with_text: bool):
 
 
 def remove_repeats(
-    docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text",
-    stable: bool = True, with_text: bool = True,
+    docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True,
 ) -> DataFrame:
     """One row a document: doc_id, n_bytes, n_removed, spans (byte ranges removed), kept_sha256, kept (bytes, if asked for)."""
     if length % STEPS or not 0 < gram < length:
         raise ValueError("length must be a multiple of STEPS, and gram shorter than it")
     work = work_dir(docs.sparkSession, "substring-dedup")
-    docs = id_text(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
-    if not stable:
-        docs = stage(docs, f"{work}/docs")
-    docs = docs.withColumn("part", F.spark_partition_id())
-    bits = max(4, int(np.ceil(np.log2(1 + text_bytes(docs) / RANGE_BYTES))))
-    replies = _ask(docs, length, gram, bits).groupBy("range").applyInArrow(_reply(hot), _MEET)
-    replies = stage(replies, f"{work}/replies")
-    sent = replies.unionByName(_texts(docs)).groupBy("block").applyInArrow(_send(length, gram, bits), _SEND)
-    solved = stage(sent.groupBy("range").applyInArrow(_solve(length), _MEET), f"{work}/solved")
-    met = solved.unionByName(_texts(docs))
+    blocks = stage(_blocks(id_text(docs, id_col, text_col)), f"{work}/blocks")
+    n_bytes = blocks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("b")).first()["b"]
+    bits = max(4, int(np.ceil(np.log2(1 + n_bytes / RANGE_BYTES))))
+    replies, asked, hot_keys = None, _ask(blocks, length, gram, bits, []), []
+    for level in range(3):
+        new = stage(asked.groupBy("range").applyInArrow(_reply(hot), _MEET), f"{work}/replies-{level}")
+        own, hot_rows = new.where("block >= 0"), new.where("block = -1")
+        replies = own if replies is None else replies.unionByName(own)
+        n_hot = hot_rows.agg(F.coalesce(F.sum("n_hot"), F.lit(0)).alias("n")).first()["n"]
+        if not n_hot:
+            break
+        if n_hot <= BROADCAST_KEYS and len(hot_keys) == level:
+            hot_keys.append(np.sort(np.concatenate([np.frombuffer(r["body"], "<u8") for r in hot_rows.select("body").collect()])))
+            asked = _ask(blocks, length, gram, bits, hot_keys)
+        else:
+            asked = _ask_again(blocks, replies, length, gram, bits)
+    sent = replies.unionByName(_as_met(blocks)).groupBy("block").applyInArrow(_send(length, gram, bits), _SEND)
+    # Dealt by range to as many tasks as there is text for, since small partitions would else be joined.
+    tasks = max(1, min(1 << bits, 1 << 16) // 2)
+    solved = stage(sent.repartition(tasks, "range").groupBy("range").applyInArrow(_solve(length), _MEET), f"{work}/solved")
+    met = solved.unionByName(_as_met(blocks))
     return met.groupBy("block").applyInArrow(
         _cut(length, with_text), "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept_sha256 string, kept binary"
     )
