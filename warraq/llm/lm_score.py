@@ -5,18 +5,21 @@ depend on the frequency bucket of the context, floor(log2 c(v)), and are learned
 expectation-maximisation on a held-out fold of the training documents against the
 counts of the rest.  All tables of counts cover the whole corpus and stay distributed:
 
-1. a block of documents asks, once for each distinct word and bigram, for its count;
-   requests are sorted hashes, cut by hash range and packed into binary columns;
-2. each hash range adds up the counts of all blocks and answers every block in the
+1. the texts are written once as blocks of about ``BLOCK_BYTES``, long texts in parts
+   cut at white space, so no step holds more than a block; blocks hold rows of one fold
+   (held out while learning, scored only, or the rest);
+2. a block asks, once for each distinct word and bigram, for its count; requests are
+   sorted hashes, cut by hash range, and a range's part of them is one row;
+3. each hash range adds up the counts of all blocks and answers every block in the
    order in which it asked;
-3. a block meets its answers and scores its documents.
+4. a block meets its answers and scores its parts of documents, which are added up.
 
 EM needs only how often each combination of bucket and quantised probabilities
-occurs, a table whose size does not depend on the corpus.
+occurs, a table whose size does not depend on the corpus; only blocks of the held-out
+fold meet their answers for it.  Everything after step 1 reads the written blocks, so a
+lost executor costs a re-read, and the order of the input's rows does not matter.
 
-Blocks are recomputed from the input for step 3 and compared by fingerprint with
-those of step 1, so an input whose rows come in another order on a second read is
-refused rather than scored wrongly (``stable=False`` writes such an input first).
+Words are known by a keyed 64-bit hash (SipHash).
 
 Defined cases: a null or empty text is the end token alone; an identifier that is
 null hashes as the empty string; repeated rows count each; without training tokens
@@ -27,189 +30,230 @@ ignored.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
-import zstandard
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, id_text, mix, stage, text_bytes, work_dir
-from .language_id import _chunks
+from .common import PIECE_BYTES, Words, cut_at_space, give_back, hash_words, id_text, joined, mix, one_text, pieces, raw_bytes, slices, split_words, stage, work_dir
 
+BLOCK_BYTES = 4 << 20
 #: Bytes of text for each hash range.
-RANGE_BYTES = 32 << 20
+RANGE_BYTES = 16 << 20
 QUANTA = 4  # of log2 probability in a cell of the EM table
 
 _END = np.uint64(0x8F3B1C5D2A7E9641)
 _START = np.uint64(0x1D4E7A9B3C6F8052)
-_CODEC = "zstd"
+#: Classes of blocks: counted, counted but held out while the weights are learned, scored only.
+_REST, _TUNE, _TEST = 0, 1, 2
+#: Bytes of a hash in a request; the first is known from the range.
+_KEY = 7
 
 
-# --------------------------------------------------------------------------
-# Arrays as bytes: planes of equal significance lie together and compress well.
-# --------------------------------------------------------------------------
+@dataclass(frozen=True)
+class Folds:
+    folds: int = 7
+    test: int = 2  # scored only
+    tune: int = 3  # held out of the counts while the weights are learned
+
 
+def _remainder(doc_ids: list, folds: int) -> np.ndarray:
+    return np.array([zlib.crc32(b"" if x is None else str(x).encode()) % folds for x in doc_ids], dtype=np.int64)
 
-def pack_ints(values: np.ndarray) -> bytes:
-    values = values.astype("<u8")
-    width = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
-    planes = values.view(np.uint8).reshape(-1, 8)[:, :width].T
-    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
 
+# --------------------------------------------------------------------------
+# Blocks
+# --------------------------------------------------------------------------
 
-def unpack_ints(blob: bytes) -> np.ndarray:
-    width = blob[0]
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[1:]), dtype=np.uint8).reshape(width, -1)
-    out = np.zeros((planes.shape[1], 8), dtype=np.uint8)
-    out[:, :width] = planes.T
-    return out.view("<u8").ravel()
+_PART = pa.schema([
+    ("uid", pa.int64()), ("doc_id", pa.int64()), ("test", pa.bool_()), ("begins", pa.bool_()), ("ends", pa.bool_()), ("before", pa.large_string()), ("text", pa.large_string()),
+])
+_BLOCK_ARROW = pa.schema([("block", pa.int64()), ("class", pa.int32()), ("n_bytes", pa.int64()), ("body", pa.binary())])
 
 
-def pack_sorted(keys: np.ndarray) -> bytes:
-    return pack_ints(np.diff(keys, prepend=np.uint64(0)))
+def _blocks(docs: DataFrame, folds: Folds) -> DataFrame:
+    """block, class, n_bytes, body: compressed parts of texts."""
 
+    def run(batches):
+        part, rows, number = TaskContext.get().partitionId(), 0, 0
+        held: dict[int, list[pa.RecordBatch]] = {_REST: [], _TUNE: [], _TEST: []}
+        size = dict.fromkeys(held, 0)
 
-def unpack_sorted(blob: bytes) -> np.ndarray:
-    return np.cumsum(unpack_ints(blob), dtype=np.uint64)
+        def close(kind: int):
+            nonlocal number
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, _PART, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                for x in held[kind]:
+                    writer.write_batch(x)
+            row = pa.RecordBatch.from_arrays(
+                [pa.array([(part << 32) + number], pa.int64()), pa.array([kind], pa.int32()), pa.array([size[kind]], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())],
+                schema=_BLOCK_ARROW,
+            )
+            number, held[kind], size[kind] = number + 1, [], 0
+            give_back()
+            return row
 
+        def add(kind: int, own: pa.RecordBatch):
+            held[kind].append(own)
+            size[kind] += pc.sum(pc.binary_length(own.column("text"))).as_py() or 0
+            if size[kind] >= BLOCK_BYTES:
+                yield close(kind)
 
-# --------------------------------------------------------------------------
+        for piece in pieces(batches, "text"):
+            rest = _remainder(piece.column("doc_id").to_pylist(), folds.folds)
+            kinds = np.where(rest == folds.test, _TEST, np.where(rest == folds.tune, _TUNE, _REST))
+            n, texts = piece.num_rows, piece.column("text").cast(pa.large_string()).fill_null("")
+            uid = pa.array((part << 36) + rows + np.arange(n))
+            rows += n
+            yes, none = pa.array(np.ones(n, dtype=bool)), pa.nulls(n, pa.large_string())
+            whole = pa.RecordBatch.from_arrays([uid, piece.column("doc_id"), pa.array(rest == folds.test), yes, yes, none, texts], schema=_PART)
+            long = pc.binary_length(texts).to_numpy() > 2 * PIECE_BYTES
+            for kind in held:
+                mine = np.flatnonzero(~long & (kinds == kind))
+                if len(mine):
+                    yield from add(kind, whole.take(pa.array(mine)))
+            for i in np.flatnonzero(long):
+                for own in _parts(whole.slice(int(i), 1)):
+                    yield from add(int(kinds[i]), own)
+        for kind in held:
+            if held[kind]:
+                yield close(kind)
+
+    return docs.mapInArrow(run, "block long, class int, n_bytes long, body binary")
+
+
+def _parts(row: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A row with a long text as parts of it, with the word before each."""
+    uid, doc_id, test, yes, _, before, text = row.columns
+    data, _ = raw_bytes(text)
+    begins, done = yes, 0
+    for part in cut_at_space(data):
+        done += len(part)
+        own = one_text(part)
+        yield pa.RecordBatch.from_arrays([uid, doc_id, test, begins, pa.array([done == len(data)]), before, own], schema=_PART)
+        words, _ = split_words(own)
+        begins, before = pa.array([False]), words.slice(len(words) - 1).cast(pa.large_string()) if len(words) else before
 
 
 @dataclass
 class Block:
-    """Tokens of a block of documents, with an end token a document."""
+    """Tokens of a block's parts of documents, with an end token a document."""
 
-    row: np.ndarray  # the document of each token
+    row: np.ndarray  # the part of each token
     n_tokens: np.ndarray
     word: np.ndarray  # hash of the token
     pair: np.ndarray  # hash of (token before, token)
     last: np.ndarray  # hash of the token before; the end token's where a document starts
+    carried: np.ndarray  # hashes of words before a part, which the block need not hold itself
 
     @classmethod
-    def of(cls, texts: pa.Array) -> Block:
-        words = Words(texts)
-        n = words.count + 1
-        ends = np.cumsum(n) - 1
-        word = np.empty(int(n.sum()), dtype=np.uint64)
-        inner = np.ones(len(word), dtype=bool)
-        inner[ends] = False
+    def of(cls, parts: pa.Table) -> Block:
+        column = lambda c: parts.column(c).combine_chunks()
+        words = Words(column("text"))
+        begins, last = (column(c).to_numpy(zero_copy_only=False) for c in ("begins", "ends"))
+        n = words.count + last
+        stop = np.cumsum(n)
+        total = int(stop[-1]) if len(n) else 0
+        word = np.empty(total, dtype=np.uint64)
+        inner = np.ones(total, dtype=bool)
+        inner[stop[last] - 1] = False
         word[inner] = words.hash
-        word[ends] = _END
+        word[~inner] = _END
+        del words, inner
+        some = np.flatnonzero(n)
+        first = (stop - n)[some]
+        ahead = np.where(begins, _START, hash_words(column("before").fill_null("")))[some]
         before = np.empty_like(word)
         before[1:] = word[:-1]
-        first = ends - n + 1
-        before[first] = _START
+        before[first] = ahead
         pair = mix(mix(before) + word * np.uint64(0x9E3779B97F4A7C15))
-        before[first] = _END  # as many documents start as end
-        return cls(np.repeat(np.arange(len(n)), n), n, word, pair, before)
+        carried = np.unique(ahead[~begins[some]])
+        before[first] = np.where(begins[some], _END, ahead)  # as many documents start as end
+        return cls(np.repeat(np.arange(len(n), dtype=np.int32), n), n, word, pair, before, carried)
 
-
-def _remainder(doc_ids: list, folds: int) -> np.ndarray:
-    return np.array([zlib.crc32(b"" if x is None else str(x).encode()) % folds for x in doc_ids], dtype=np.int64)
+    def keys(self, kind: int) -> tuple[np.ndarray, np.ndarray]:
+        """(distinct hashes to ask for, place of each token's among them)."""
+        if kind:
+            return np.unique(self.pair, return_inverse=True)
+        asked, at = np.unique(np.concatenate([self.word, self.carried]), return_inverse=True)
+        return asked, at[: len(self.word)]
 
 
-def _block_id(piece: pa.RecordBatch, number: int) -> int:
-    return (piece.column("part")[0].as_py() << 32) + number
+def _open(body: bytes) -> pa.Table:
+    return pa.ipc.open_stream(body).read_all()
 
 
-def _fingerprint(piece: pa.RecordBatch) -> int:
-    ids = ",".join(map(str, piece.column("doc_id").to_pylist()))
-    size = pa.compute.sum(pa.compute.binary_length(piece.column("text"))).as_py() or 0
-    return zlib.crc32(f"{ids}|{size}".encode())
-
-
-@dataclass(frozen=True)
-class Folds:
-    folds: int = 7
-    test: int = 2  # scored only
-    tune: int = 3  # held out of the counts while the weights are learned
+# --------------------------------------------------------------------------
+# Requests and answers
+# --------------------------------------------------------------------------
 
+_ASK = "range long, block long, class int, keys binary, n binary"
+_ANSWER = "block long, class int, range long, train binary, tune binary, tokens long, types long, tune_tokens long, core_types long"
 
-_PACKET = "range long, block long, kind int, fingerprint long, keys binary, train binary, tune binary"
-_PACKET_ARROW = pa.schema([
-    ("range", pa.int64()), ("block", pa.int64()), ("kind", pa.int32()), ("fingerprint", pa.int64()),
-    ("keys", pa.binary()), ("train", pa.binary()), ("tune", pa.binary()),
-])
 
+def _requests(blocks: DataFrame, bits: int) -> DataFrame:
+    shift = np.uint64(64 - bits)
 
-def _requests(docs: DataFrame, folds: Folds, bits: int) -> DataFrame:
     def run(batches):
-        for number, piece in enumerate(_chunks(batches, "text")):
-            block = Block.of(piece.column("text"))
-            rest = _remainder(piece.column("doc_id").to_pylist(), folds.folds)
-            train, tune = (rest != folds.test)[block.row], (rest == folds.tune)[block.row]
-            mark, rows = _fingerprint(piece), []
-            for kind, hashes in enumerate((block.word, block.pair)):
-                keys, at = np.unique(hashes, return_inverse=True)
-                counts = [np.bincount(at[m], minlength=len(keys)) for m in (train, tune)]
-                cuts = np.searchsorted(keys >> np.uint64(64 - bits), np.arange(1 << bits, dtype=np.uint64))
-                cuts = np.append(cuts, len(keys))
-                for r in range(1 << bits):
-                    a, b = cuts[r], cuts[r + 1]
-                    if b > a:
-                        rows.append({
-                            "range": (r << 1) | kind, "block": _block_id(piece, number), "kind": kind, "fingerprint": mark,
-                            "keys": pack_sorted(keys[a:b]), "train": pack_ints(counts[0][a:b]), "tune": pack_ints(counts[1][a:b]),
-                        })
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=_PACKET_ARROW)
-
-    return docs.mapInArrow(run, _PACKET)
-
-
-_ANSWER = "block long, range long, kind int, fingerprint long, train binary, tune binary, tokens long, types long, tune_tokens long, core_types long"
+        for batch in batches:
+            for i in range(batch.num_rows):
+                block = Block.of(_open(batch.column("body")[i].as_py()))
+                for kind in (0, 1):
+                    keys, at = block.keys(kind)
+                    n = np.bincount(at, minlength=len(keys)).astype("<u4")
+                    ranges, first = np.unique(keys >> shift, return_index=True)
+                    cuts = np.append(first, len(keys)).astype(np.int64)
+                    low = np.ascontiguousarray(keys.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :_KEY]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array((ranges.astype(np.int64) << 1) | kind), pa.array(np.repeat(batch.column("block")[i].as_py(), len(ranges)), pa.int64()),
+                            pa.array(np.repeat(batch.column("class")[i].as_py(), len(ranges)), pa.int32()), slices(low, cuts), slices(n, cuts),
+                        ],
+                        names=["range", "block", "class", "keys", "n"],
+                    )
+                del block
+                give_back()
+
+    return blocks.mapInArrow(run, _ASK)
 
 
 def _answer(group: pa.Table) -> pa.Table:
     """Counts of one hash range over all blocks, in the order each block asked."""
-    keys = [unpack_sorted(x) for x in group.column("keys").to_pylist()]
-    sizes = np.cumsum([0, *map(len, keys)])
-    _, at = np.unique(np.concatenate(keys), return_inverse=True)
-    del keys
-    total = {}
-    for c in ("train", "tune"):
-        asked = np.concatenate([unpack_ints(x) for x in group.column(c).to_pylist()])
-        total[c] = np.bincount(at, weights=asked).astype(np.int64)
-    core = total["train"] - total["tune"]
-    rows = []
+    low, size = joined(group.column("keys"), "u1")
+    n, _ = joined(group.column("n"), "<u4")
+    size //= _KEY
+    keys = np.zeros((len(n), 8), dtype=np.uint8)
+    keys[:, :_KEY] = low.reshape(-1, _KEY)
+    _, at = np.unique(keys.view("<u8").ravel(), return_inverse=True)
+    del keys, low
+    class_ = group.column("class").to_numpy()
+    of = np.repeat(class_, size)
+    train = np.bincount(at, weights=np.where(of == _TEST, 0, n)).astype(np.int64)
+    tune = np.bincount(at, weights=np.where(of == _TUNE, n, 0), minlength=len(train)).astype(np.int64)
+    core = train - tune
+    number = group.column("range")[0].as_py()
     # The totals of the range, once, on a row of no block.
-    word = group.column("kind")[0].as_py() == 0
-    stats = [int(total["train"].sum()), int((total["train"] > 0).sum()), int(total["tune"].sum()), int((core > 0).sum())] if word else [0] * 4
-    n_range, kind = group.column("range")[0].as_py(), group.column("kind")[0].as_py()
-    rows.append((-1, n_range, kind, 0, None, None, *stats))
-    for i, (block, mark) in enumerate(zip(group.column("block").to_pylist(), group.column("fingerprint").to_pylist(), strict=True)):
-        own = at[sizes[i] : sizes[i + 1]]
-        rows.append((block, n_range, kind, mark, pack_ints(total["train"][own]), pack_ints(total["tune"][own]), 0, 0, 0, 0))
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), *[pa.int64()] * 4]
-    names = ["block", "range", "kind", "fingerprint", "train", "tune", "tokens", "types", "tune_tokens", "core_types"]
-    return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-
-
-def _texts(docs: DataFrame) -> DataFrame:
-    """The blocks again, as one compressed row each."""
-
-    def run(batches):
-        for number, piece in enumerate(_chunks(batches, "text")):
-            mark = _fingerprint(piece)
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, piece.schema, options=pa.ipc.IpcWriteOptions(compression=_CODEC)) as writer:
-                writer.write_batch(piece)
-            yield pa.RecordBatch.from_pylist(
-                [{"range": -1, "block": _block_id(piece, number), "kind": -1, "fingerprint": mark, "train": sink.getvalue().to_pybytes(), "tune": None}],
-                schema=_MEET_ARROW,
-            )
-
-    return docs.mapInArrow(run, _MEET)
-
-
-_MEET = "range long, block long, kind int, fingerprint long, train binary, tune binary"
-_MEET_ARROW = pa.schema([
-    ("range", pa.int64()), ("block", pa.int64()), ("kind", pa.int32()), ("fingerprint", pa.int64()), ("train", pa.binary()), ("tune", pa.binary()),
-])
+    stats = [int(train.sum()), int((train > 0).sum()), int(tune.sum()), int((core > 0).sum())] if number % 2 == 0 else [0] * 4
+    cuts = np.concatenate([[0], np.cumsum(size)])
+    # Counts can pass 2**32 on a very large corpus.
+    answers = slices(train[at].astype("<u8"), cuts)
+    held = of == _TUNE
+    held_out = slices(tune[at[held]].astype("<u8"), np.concatenate([[0], np.cumsum(np.where(class_ == _TUNE, size, 0))]))
+    rows, no = len(size), pa.array([None], pa.binary())
+    empty = lambda x: pa.concat_arrays([pa.array(np.zeros(rows, np.int64)), pa.array([x], pa.int64())])
+    blocks = pa.concat_arrays([*group.column("block").chunks, pa.array([-1], pa.int64())])
+    return pa.table(
+        [
+            blocks, pa.concat_arrays([*group.column("class").chunks, pa.array([-1], pa.int32())]), pa.array(np.full(rows + 1, number)),
+            pa.concat_arrays([answers, no]), pa.concat_arrays([held_out, no]), *map(empty, stats),
+        ],
+        names=["block", "class", "range", "train", "tune", "tokens", "types", "tune_tokens", "core_types"],
+    )
 
 
 class _Counts:
@@ -217,27 +261,23 @@ class _Counts:
 
     def __init__(self, block: Block, answers: pa.Table, name: str):
         found = []
-        for kind, hashes in enumerate((block.word, block.pair)):
-            own = answers.filter(pa.compute.equal(answers.column("kind"), kind)).sort_by("range")
-            counts = [unpack_ints(x) for x in own.column(name).to_pylist()]
-            counts = np.concatenate(counts).astype(np.int64) if counts else np.zeros(0, np.int64)
-            keys, at = np.unique(hashes, return_inverse=True)
+        for kind in (0, 1):
+            own = answers.filter(pc.equal(pc.bit_wise_and(answers.column("range"), 1), kind)).sort_by("range")
+            counts, _ = joined(own.column(name), "<u8")
+            keys, at = block.keys(kind)
             if len(counts) != len(keys):
-                raise RuntimeError("the documents of a block changed between two reads; use stable=False")
+                raise RuntimeError("a block has not as many answers as it has words")
+            counts = counts.astype(np.int64)
             found.append(counts[at])
             if kind == 0:
                 self.context = counts[np.searchsorted(keys, block.last)]
         self.word, self.pair = found
 
 
-def _open(group: pa.Table):
-    text = group.filter(pa.compute.equal(group.column("kind"), -1))
-    answers = group.filter(pa.compute.not_equal(group.column("kind"), -1))
-    if text.num_rows != 1 or any(m != text.column("fingerprint")[0].as_py() for m in answers.column("fingerprint").to_pylist()):
-        raise RuntimeError("the documents of a block changed between two reads; use stable=False")
-    piece = pa.ipc.open_stream(text.column("train")[0].as_py()).read_all().combine_chunks()
-    texts = piece.column("text")
-    return piece, Block.of(texts.chunk(0) if texts.num_chunks else pa.array([], pa.string())), answers
+def _meet(group: pa.Table) -> tuple[pa.Table, Block, pa.Table]:
+    is_text = pc.equal(group.column("range"), -1)
+    parts = _open(group.filter(is_text).column("train")[0].as_py())
+    return parts, Block.of(parts), group.filter(pc.invert(is_text))
 
 
 def _probabilities(word, pair, context, tokens: int, types: int):
@@ -274,33 +314,30 @@ def learn_weights(cells: np.ndarray, p0: float, rounds: int = 60, least: int = 5
     return weights / weights.sum(1, keepdims=True)
 
 
-def score(
-    docs: DataFrame, folds: Folds = Folds(), id_col: str = "doc_id", text_col: str = "text", stable: bool = True
-) -> tuple[DataFrame, np.ndarray]:
+def score(docs: DataFrame, folds: Folds = Folds(), id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, np.ndarray]:
     """(one row a document, weights a bucket).
 
     Columns: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
     """
     spark = docs.sparkSession
     work = work_dir(spark, "lm-score")
-    docs = id_text(docs, id_col, text_col)
-    if not stable:
-        docs = stage(docs, f"{work}/docs")
-    docs = docs.withColumn("part", F.spark_partition_id())
-    bits = max(4, int(np.ceil(np.log2(1 + text_bytes(docs) / RANGE_BYTES))))
-    answers = stage(_requests(docs, folds, bits).groupBy("range").applyInArrow(_answer, _ANSWER), f"{work}/answers")
+    blocks = stage(_blocks(id_text(docs, id_col, text_col), folds), f"{work}/blocks")
+    n_bytes = blocks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("b")).first()["b"]
+    bits = max(8 * (8 - _KEY), int(np.ceil(np.log2(1 + n_bytes / RANGE_BYTES))))
+    answers = stage(_requests(blocks, bits).groupBy("range").applyInArrow(_answer, _ANSWER), f"{work}/answers")
     stats = answers.where("block = -1").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "types", "tune_tokens", "core_types"))).first()
     tokens, types = stats["tokens"], stats["types"]
     core_tokens, core_types = tokens - stats["tune_tokens"], stats["core_types"]
-    replies = answers.where("block >= 0").select("range", "block", "kind", "fingerprint", "train", "tune")
-    met = replies.unionByName(_texts(docs))
+
+    def met(only: str, *counts: str) -> DataFrame:
+        no = F.lit(None).cast("binary")
+        replies = answers.where(f"block >= 0 and {only}").select("block", "range", *(F.col(c) if c in counts else no.alias(c) for c in ("train", "tune")))
+        return replies.unionByName(blocks.where(only).select("block", F.lit(-1).cast("long").alias("range"), F.col("body").alias("train"), no.alias("tune")))
 
     def cells(group: pa.Table) -> pa.Table:
-        piece, block, own = _open(group)
-        rest = _remainder(piece.column("doc_id").to_pylist(), folds.folds)
+        _, block, own = _meet(group)
         all_, tune = _Counts(block, own, "train"), _Counts(block, own, "tune")
-        held = (rest == folds.tune)[block.row]
-        word, pair, context = ((getattr(all_, c) - getattr(tune, c))[held] for c in ("word", "pair", "context"))
+        word, pair, context = (getattr(all_, c) - getattr(tune, c) for c in ("word", "pair", "context"))
         p2, p1, _ = _probabilities(word, pair, context, core_tokens, core_types)
         quantum = lambda p: np.where(p > 0, np.round(np.log2(np.maximum(p, 1e-300)) * QUANTA), 1).astype(np.int64)
         key = (bucket_of(context).astype(np.int64) << 40) | ((quantum(p2) + 4096) << 20) | (quantum(p1) + 4096)
@@ -311,25 +348,28 @@ def score(
         })
 
     def scores(group: pa.Table) -> pa.Table:
-        piece, block, own = _open(group)
-        ids = piece.column("doc_id").to_pylist()
+        parts, block, own = _meet(group)
         c = _Counts(block, own, "train")
         p2, p1, p0 = _probabilities(c.word, c.pair, c.context, tokens, types)
         l = weights[bucket_of(c.context)]
         log_p = np.log10(l[:, 0] * p2 + l[:, 1] * p1 + l[:, 2] * p0)
         base = np.log10((c.word + 1) / (tokens + types + 1))
-        add = lambda w: np.bincount(block.row, weights=w, minlength=len(ids))
-        return pa.table({
-            "doc_id": pa.array(ids, pa.int64()), "held_out": pa.array(_remainder(ids, folds.folds) == folds.test, pa.bool_()),
-            "n_tokens": pa.array(block.n_tokens.astype(np.int64)), "n_known": pa.array(add(c.word > 0).astype(np.int64)),
-            "train_tokens": pa.array(np.full(len(ids), tokens, dtype=np.int64)), "base_score": pa.array(add(base)), "score": pa.array(add(log_p)),
+        add = lambda w: pa.array(np.bincount(block.row, weights=w, minlength=parts.num_rows))
+        out = pa.table({
+            "uid": parts.column("uid"), "doc_id": parts.column("doc_id"), "held_out": parts.column("test"),
+            "n_tokens": pa.array(block.n_tokens.astype(np.int64)), "n_known": add(c.word > 0).cast(pa.int64()), "base_score": add(base), "score": add(log_p),
         })
+        give_back()
+        return out
 
-    table = met.groupBy("block").applyInArrow(cells, "key long, n long, s2 double, s1 double")
+    table = met(f"class = {_TUNE}", "train", "tune").groupBy("block").applyInArrow(cells, "key long, n long, s2 double, s1 double")
     rows = table.groupBy("key").agg(F.sum("n").alias("n"), F.sum("s2").alias("s2"), F.sum("s1").alias("s1")).collect()  # buckets x quanta x quanta
     flat = np.array([(r["key"] >> 40, r["n"], r["s2"] / r["n"], r["s1"] / r["n"]) for r in sorted(rows, key=lambda r: r["key"])]).reshape(-1, 4)
     weights = learn_weights(flat, 1.0 / (core_types + 1))
-    out = met.groupBy("block").applyInArrow(
-        scores, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    schema = "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+    by_part = met("true", "train").groupBy("block").applyInArrow(scores, schema)
+    # Parts of one document are added up; nearly all documents are one part.
+    out = by_part.groupBy("uid").agg(
+        F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score"))
     )
-    return out, weights
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score"), weights
