@@ -7,35 +7,41 @@ each, so every coordinate fills; the work is about set size plus t log t instead
 their product, with Chernoff-like concentration.  Bands of coordinates give bucket
 keys: with 45 bands of 6, a pair at 0.8 is missed with probability about 1e-6.
 
-Documents with equal sets are one class from the start.  A bucket's members are
-paired with one center only, the member that is in the fullest buckets; pairs are
-verified on the full shingle sets of the texts, and verified links joined into
-components.  Where members of a center's family are still in different components,
+Documents with the same words in the same order (equal 128-bit BLAKE2 digests of all
+words and of their lengths) are one class from the start; equal sets in another order
+meet as candidates like any others.  A bucket's members are paired with one center
+only, the member that is in the fullest buckets; pairs are verified on the full shingle
+sets of the texts, and verified links joined into components.  Where members of a center's family are still in different components,
 those are compared across components by intersection counts in blocks of bounded
 size, so no link found by banding is left out and no pairs of a group are emitted.
 
 Defined cases: a null, empty or blank text has an empty set and is linked with
 nothing; fewer words than a shingle make one shingle of all words; repeated rows are
-one class; of rows that share a doc_id one text speaks for all; an empty table gives
-an empty result; other columns are ignored.
+one class; rows that share a doc_id but not a text are linked each by its own text; a
+null identifier is smaller than none, so it names a component only where all its
+identifiers are null; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, id_text, mix, stage, work_dir
+from .common import Words, drop_stage, give_back, id_text, mix, pieces, stage, work_dir
 from .components import components
-from .language_id import _chunks
 
 BANDS, ROWS = 45, 6
 #: Members of a family that meet in one task, and the size up to which families share a task.
 FAMILY_BLOCK, SMALL_FAMILY = 1024, 64
 
-#: Candidates (8 bytes each) up to this number are broadcast to pick their texts; more are joined by a shuffle.
+#: Elements that are hashed at once for a sketch.
+_AT_ONCE = 1 << 17
+#: Candidates (about 40 bytes each) up to this number are broadcast to pick their texts; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -52,11 +58,13 @@ def fast_sketch(h: np.ndarray, t: int, seeds: np.ndarray) -> np.ndarray:
     done, left = 0, t
     while left and done < t:
         rounds = min(t - done, max(1, int(1.2 * t * (np.log(t) + 2) / len(h)) if done == 0 else done))
+        some = max(1, _AT_ONCE // rounds)
         i = np.arange(done, done + rounds, dtype=np.uint64)
-        g = mix(h[None, :] ^ seeds[done : done + rounds, None])
-        at = ((g >> np.uint64(32)) * np.uint64(t)) >> np.uint64(32)
-        value = (i[:, None] << np.uint64(32)) | (g & np.uint64(0xFFFFFFFF))
-        np.minimum.at(out, at.ravel().astype(np.int64), value.ravel())
+        for a in range(0, len(h), some):
+            g = mix(h[None, a : a + some] ^ seeds[done : done + rounds, None])
+            at = ((g >> np.uint64(32)) * np.uint64(t)) >> np.uint64(32)
+            value = (i[:, None] << np.uint64(32)) | (g & np.uint64(0xFFFFFFFF))
+            np.minimum.at(out, at.ravel().astype(np.int64), value.ravel())
         done += rounds
         left = int((out == _EMPTY).sum())
     for j in np.flatnonzero(out == _EMPTY):  # the sure rounds
@@ -94,21 +102,19 @@ def shingle_hashes(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketches(docs: DataFrame, k: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, fp1, fp2 (fingerprint of the set), keys (one a band; empty for empty sets)."""
+    """uid (of the row), doc_id, n_shingles, digest (of the words), keys (one a band; empty for empty sets)."""
     t = bands * rows
 
     def run(batches):
         seeds = _seeds(2 * t)
         band = _seeds(3 * bands)[2 * bands :]
-        for piece in _chunks(batches, "text"):
-            words = Words(piece.column("text"))
+        at = TaskContext.get().partitionId() << 36
+        for piece in pieces(batches, "text"):
+            words = Words(piece.column("text"), digests=True)
             row, h = shingle_hashes(words, k)
             n = np.bincount(row, minlength=piece.num_rows)
             first = np.concatenate([[0], np.cumsum(n)])
-            fp = []
-            for salt in (np.uint64(0xA5A5A5A5A5A5A5A5), np.uint64(0x3C3C3C3C3C3C3C3C)):
-                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h ^ salt))])
-                fp.append((total[first[1:]] - total[first[:-1]]).view(np.int64))
+            del row
             keys = []
             for a, b in zip(first[:-1], first[1:], strict=True):
                 if a == b:
@@ -121,11 +127,16 @@ def sketches(docs: DataFrame, k: int, bands: int = BANDS, rows: int = ROWS) -> D
             flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
             offsets = np.concatenate([[0], np.cumsum((n > 0) * bands)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [piece.column("doc_id"), pa.array(n), pa.array(fp[0]), pa.array(fp[1]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
-                names=["doc_id", "n_shingles", "fp1", "fp2", "keys"],
+                [
+                    pa.array(at + np.arange(piece.num_rows)), piece.column("doc_id"), pa.array(n), pa.array(words.digests, pa.binary()),
+                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
+                ],
+                names=["uid", "doc_id", "n_shingles", "digest", "keys"],
             )
+            at += piece.num_rows
+            del words, h
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, fp1 long, fp2 long, keys array<long>")
+    return docs.mapInArrow(run, "uid long, doc_id long, n_shingles long, digest binary, keys array<long>")
 
 
 def shingle_set(text: bytes | None, k: int) -> set:
@@ -137,8 +148,8 @@ def shingle_set(text: bytes | None, k: int) -> set:
 
 def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets have at least ``percent`` % similarity."""
-    one = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    two = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
+    one = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+    two = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     both = pairs.select("a", "b").join(one, "b").join(two, "a")
 
     def run(batches):
@@ -157,31 +168,47 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def _texts_of(nodes: DataFrame, source: DataFrame, few: bool) -> DataFrame:
+    """node, text: of the rows whose identifier and words ``nodes`` (node, doc_id, digest) tells."""
+    ids = nodes.select(F.col("doc_id").alias("__id")).distinct()
+    some = source.join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+
+    def run(batches):
+        for piece in pieces(batches, "text"):
+            digests = Words(piece.column("text"), digests=True).digests
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(digests, pa.binary()), piece.column("text")], names=["__id", "__digest", "text"])
+
+    named = some.select("doc_id", "text").mapInArrow(run, "__id long, __digest binary, text string")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("digest") == F.col("__digest"))
+    return named.join(F.broadcast(nodes) if few else nodes, same).select("node", "text").dropDuplicates(["node"])
+
+
 def near_components(
     docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id, kept."""
-    spark = docs.sparkSession
-    work = work_dir(spark, "near-dedup")
+    work = work_dir(docs.sparkSession, "near-dedup")
     source = id_text(docs, id_col, text_col)
     sketch = stage(sketches(source, k, bands, rows), f"{work}/sketches")
     some = sketch.where("n_shingles > 0")
-    classes = stage(some.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("rep")), f"{work}/classes")
-    reps = some.select("doc_id", "keys").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    member = reps.select(F.explode("keys").alias("key"), "doc_id")
+    # A node of the graph is a class of equal texts, named by the least uid of its rows.
+    classes = stage(some.groupBy("digest").agg(F.min("doc_id").alias("low"), F.min("uid").alias("node")), f"{work}/classes")
+    reps = some.select(F.col("uid").alias("node"), "keys").join(classes.select("node"), "node", "left_semi")
+    member = reps.select(F.explode("keys").alias("key"), "node")
     buckets = member.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = stage(member.join(buckets, "key"), f"{work}/buckets")
     # The member that is in the fullest buckets speaks for a bucket: the origin of a family of copies.
-    central = shared.groupBy("doc_id").agg(F.sum("size").alias("weight"))
-    weighted = stage(shared.join(central, "doc_id").select("key", "doc_id", "weight"), f"{work}/weighted")
-    center = weighted.groupBy("key").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("n"))).alias("m"))
-    stars = weighted.select("key", F.col("doc_id").alias("b")).join(center.select("key", (-F.col("m.n")).alias("a")), "key").where("a <> b")
+    central = shared.groupBy("node").agg(F.sum("size").alias("weight"))
+    weighted = stage(shared.join(central, "node").select("key", "node", "weight"), f"{work}/weighted")
+    center = weighted.groupBy("key").agg(F.max(F.struct("weight", (-F.col("node")).alias("n"))).alias("m"))
+    stars = weighted.select("key", F.col("node").alias("b")).join(center.select("key", (-F.col("m.n")).alias("a")), "key").where("a <> b")
     stars = stage(stars.groupBy("a", "b").agg(F.count(F.lit(1)).alias("bands")), f"{work}/stars")
-    ids = stars.select(F.col("a").alias("doc_id")).unionByName(stars.select(F.col("b").alias("doc_id"))).distinct()
-    ids = stage(ids, f"{work}/ids")
-    known = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    texts = stage(source.join(known, "doc_id", "left_semi").dropDuplicates(["doc_id"]), f"{work}/texts")
+    drop_stage(docs.sparkSession, f"{work}/buckets")
+    drop_stage(docs.sparkSession, f"{work}/weighted")
+    ids = stars.select(F.col("a").alias("uid")).unionByName(stars.select(F.col("b").alias("uid"))).distinct()
+    nodes = stage(some.select("uid", "doc_id", "digest").join(ids, "uid", "left_semi").withColumnRenamed("uid", "node"), f"{work}/nodes")
+    texts = stage(_texts_of(nodes, source, nodes.count() <= BROADCAST_IDS), f"{work}/texts")
 
     # Each document against the center it shares most bands with; families still apart are settled in blocks.
     best = stars.groupBy("b").agg(F.max(F.struct("bands", (-F.col("a")).alias("na"))).alias("m")).select((-F.col("m.na")).alias("a"), "b")
@@ -191,10 +218,11 @@ def near_components(
     if not more.isEmpty():
         labels = components(links.unionByName(more), f"{work}/components-1")
 
-    named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "fp1", "fp2", "n_shingles", F.coalesce("comp", "rep").alias("component_id")
-    )
-    out = some.select("doc_id", "n_shingles", "fp1", "fp2").join(named, ["fp1", "fp2", "n_shingles"]).select("doc_id", "n_shingles", "component_id")
+    # The least identifier of each component, for the classes in it; the others are components of their own.
+    linked = labels.join(classes, "node").select("digest", "low", "comp")
+    named = linked.select("digest", "comp").join(linked.groupBy("comp").agg(F.min("low").alias("component_id")), "comp").select("digest", "component_id")
+    named = classes.select("digest", "low").join(named, "digest", "left").select("digest", F.coalesce("component_id", "low").alias("component_id"))
+    out = some.select("doc_id", "n_shingles", "digest").join(named, "digest").select("doc_id", "n_shingles", "component_id")
     out = out.unionByName(sketch.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
@@ -226,7 +254,7 @@ def _settle(stars: DataFrame, labels: DataFrame, texts: DataFrame, k: int, perce
     left = rows.where("apart").withColumn("i", own("m")).withColumn("j", F.explode(F.sequence(F.lit(0), parts("n") - 1))).withColumn("asks", F.lit(True))
     right = rows.withColumn("j", own("n")).withColumn("i", F.explode(F.sequence(F.lit(0), parts("m") - 1))).withColumn("asks", F.lit(False))
     both = left.unionByName(right).select("g", "i", "j", "a", "b", "comp_b", "asks")
-    both = both.join(texts.select(F.col("doc_id").alias("b"), "text"), "b")
+    both = both.join(texts.select(F.col("node").alias("b"), "text"), "b")
 
     def run(group: pa.Table) -> pa.Table:
         words = Words(pa.concat_arrays(group.column("text").chunks))
@@ -266,6 +294,10 @@ def _settle(stars: DataFrame, labels: DataFrame, texts: DataFrame, k: int, perce
 
 
 def drop_near_copies(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the smallest identifier of each component only, all columns kept."""
-    gone = near_components(docs, k, percent, id_col=id_col, text_col=text_col).where("not kept").select(F.col("doc_id").alias("__w_id"))
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("__w_id"), "left_anti")
+    """``docs`` with the smallest identifier of each component only, all columns kept.
+
+    Rows that share an identifier stay or go together, and stay where any of them would.
+    """
+    found = near_components(docs, k, percent, id_col=id_col, text_col=text_col)
+    gone = found.groupBy(F.col("doc_id").alias("__w_id")).agg(F.bool_or("kept").alias("__w_kept")).where("not __w_kept").select("__w_id")
+    return docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("__w_id")), "left_anti")
