@@ -21,18 +21,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, mix
+from .common import id_text, mix, pieces
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3, 4)
 SWITCH_PENALTY = 6.0
 #: Share of a language's words that must be in a script for that script to admit it.
 SCRIPT_SHARE = 0.005
-_CHUNK_BYTES = 8 << 20
+#: Bytes of text whose words are scored together.
+_CHUNK_BYTES = 2 << 20
 
 _RUN = re.compile(r"[^\W\d_]+")
 
@@ -61,17 +61,6 @@ class Model:
     scripts: np.ndarray  # scripts x languages, True where the script admits the language
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], text_col: str, limit: int = _CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches, cut so that a piece holds about ``limit`` bytes of text (or one row)."""
-    for batch in batches:
-        size = pa.compute.fill_null(pa.compute.binary_length(batch.column(text_col)), 0).to_numpy(zero_copy_only=False)
-        piece = np.cumsum(size) // limit
-        cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), batch.num_rows]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if b > a:
-                yield batch.slice(a, b - a)
-
-
 class _Runs:
     """Letter runs of a piece: distinct words, and for each text the ids of its words."""
 
@@ -122,7 +111,7 @@ def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Mo
     def count(batches):
         sums: dict[str, np.ndarray] = {}
         scripts: dict[str, np.ndarray] = {}
-        for piece in _chunks(batches, "text"):
+        for piece in pieces(batches, "text", _CHUNK_BYTES):
             langs = np.array(piece.column("lang").to_pylist(), dtype=object)
             texts = np.array(piece.column("text").to_pylist(), dtype=object)
             for lang in sorted(set(langs)):
@@ -225,7 +214,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     def run(batches):
         m = shared.value
-        for piece in _chunks(batches, "text"):
+        for piece in pieces(batches, "text", _CHUNK_BYTES):
             pick, conf, runs, label = _predict(m, piece.column("text").to_pylist(), penalty)
             names = [m.langs[i] if i >= 0 else "und" for i in pick]
             spans = []
@@ -248,7 +237,7 @@ def keep_identified(docs: DataFrame, model: Model, min_score: float, text_col: s
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for piece in _chunks(batches, text_col):
+        for piece in pieces(batches, text_col, _CHUNK_BYTES):
             pick, conf, _, _ = _predict(shared.value, piece.column(text_col).to_pylist(), penalty)
             yield piece.filter(pa.array((pick >= 0) & (conf >= min_score)))
 
