@@ -7,12 +7,17 @@ folder of our own is made.
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .session import ship
+
 _OWN: dict[str, str] = {}
+#: Folders made inside each open ``working_tables``, innermost last.
+_OPEN: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,7 +32,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/warraq/{name}-{uuid.uuid4().hex[:12]}"
+    """A new folder's path; what is going to run there finds the package on the workers."""
+    ship(spark)
+    path = f"{shared_dir(spark)}/warraq/{name}-{uuid.uuid4().hex[:12]}"
+    if _OPEN:
+        _OPEN[-1].append(path)
+    return path
+
+
+@contextlib.contextmanager
+def working_tables(spark: SparkSession):
+    """Working tables that operators make inside are deleted at the end, when their results have been written."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            drop_stage(spark, path)
 
 
 def stage(df: DataFrame, path: str) -> DataFrame:
