@@ -1,17 +1,9 @@
-"""Shared helpers: working tables in the cluster's shared folder, byte-level words.
-
-Working tables are written as Parquet under ``spark.checkpoint.dir`` (one fresh
-sub-folder a call), so a lost executor costs a re-read and never a long
-recomputation.  Only where that setting is unset (unit tests in local mode) a
-folder of our own is made.
-"""
+"""Shared helpers: batches in bounded pieces, words and byte strings as hashes, arrays as columns."""
 
 from __future__ import annotations
 
 import ctypes
 import hashlib
-import tempfile
-import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,51 +14,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="warraq-")
-    return _OWN[app]
-
-
-def work_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/warraq/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def stage(df: DataFrame, path: str) -> DataFrame:
-    """Write ``df`` as Parquet and read it again: cuts lineage, gives exact sizes."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_stage(spark: SparkSession, path: str) -> None:
-    """Delete a working table that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
+from ..session import ship
+from ..work import drop_stage, stage, work_dir  # noqa: F401  for the operators
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Only identifier and text, whatever else the table carries."""
+    """Only identifier and text, whatever else the table carries; workers find the package."""
+    ship(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
-    """Whole size of the texts in bytes (one scan of one column)."""
-    return int(docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col))), F.lit(0)).alias("b")).first()["b"])
-
-
 # --------------------------------------------------------------------------
 # Batches in pieces of bounded size
 # --------------------------------------------------------------------------

@@ -16,13 +16,12 @@ result; other columns of the input are ignored.
 
 from __future__ import annotations
 
-import contextlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_stage, id_text, stage, work_dir
+from .common import id_text, stage, work_dir
 
 #: Hit digests (32 bytes each) up to this number are broadcast to filter the byte check;
 #: beyond it every text goes through the check's partial aggregates.
@@ -39,18 +38,6 @@ _STATE = {
 }
 
 
-@contextlib.contextmanager
-def _settings(spark: SparkSession, values: dict[str, str]):
-    before = {k: spark.conf.get(k, None) for k in values}
-    for k, v in values.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
 def sha256_digest(text: Column) -> Column:
     return F.unhex(F.sha2(text.cast("binary"), 256))
 
@@ -58,32 +45,29 @@ def sha256_digest(text: Column) -> Column:
 def run_stream(spark: SparkSession, keys_path: str, state_dir: str, max_bytes_per_trigger: str | None = None) -> DataFrame:
     """Feed the key table through the keyed state; returns the state, one row a digest.
 
-    Run again with the same ``state_dir`` after files were added, only new files are read.
+    Run again with the same ``state_dir`` after files were added, only new files are read and
+    meet the state that is there.
     """
-    schema = "doc_id long, digest binary, locator long"
-    reader = spark.readStream.schema(schema)
+    own = spark.newSession()  # the stream's settings are those of a session of its own
+    own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    for k, v in _STATE.items():
+        own.conf.set(k, v)
+    reader = own.readStream.schema("doc_id long, digest binary, locator long")
     if max_bytes_per_trigger:
         reader = reader.option("maxBytesPerTrigger", max_bytes_per_trigger)
     groups = reader.parquet(keys_path).groupBy("digest").agg(
         F.max(F.struct("doc_id", "locator")).alias("keep"), F.count(F.lit(1)).alias("group_size")
     )
-    with _settings(spark, _STATE):
-        query = (
-            groups.writeStream.format("noop").outputMode("update")
-            .option("checkpointLocation", state_dir).trigger(availableNow=True).start()
-        )
-        query.awaitTermination()
-        state = spark.read.format("statestore").load(state_dir)
-        value = [f.name for f in state.schema["value"].dataType.fields]
-        return stage(
-            state.select(
-                F.col("key.digest").alias("digest"),
-                F.col("value")[value[0]]["doc_id"].alias("keep_id"),
-                F.col("value")[value[0]]["locator"].alias("keep_locator"),
-                F.col("value")[value[1]].alias("group_size"),
-            ),
-            state_dir + "-groups",
-        )
+    query = groups.writeStream.format("noop").outputMode("update").option("checkpointLocation", state_dir).trigger(availableNow=True).start()
+    query.awaitTermination()
+    state = own.read.format("statestore").load(state_dir)
+    value = [f.name for f in state.schema["value"].dataType.fields]
+    found = state.select(
+        F.col("key.digest").alias("digest"), F.col("value")[value[0]]["doc_id"].alias("keep_id"),
+        F.col("value")[value[0]]["locator"].alias("keep_locator"), F.col("value")[value[1]].alias("group_size"),
+    )
+    written = stage(found, state_dir + "-groups")
+    return spark.read.schema(written.schema).parquet(state_dir + "-groups")
 
 
 def find_copies(
@@ -153,20 +137,12 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         {"__w_text": text, "__w_digest": F.sha2(text.cast("binary"), 256)}
     )
     tagged = stage(rest.withColumn("__w_loc", F.monotonically_increasing_id()), f"{work}/rest")
-    best = rows_of_largest(docs, id_col, text_col)
-    pick = tagged.groupBy("__w_digest", key.alias("__w_id")).agg(F.min("__w_loc").alias("__w_first"))
-    pick = pick.join(best, "__w_digest").where(F.col("__w_id").eqNullSafe(F.col("__w_keep"))).select("__w_digest", "__w_first")
-    rest = tagged.join(
-        pick.withColumnRenamed("__w_digest", "__w_d"),
-        (F.col("__w_digest") == F.col("__w_d")) & (F.col("__w_loc") == F.col("__w_first")), "left_semi",
-    )
+    # The largest identifier of each of their texts; a digest picks the rows, the text itself decides.
+    asked = tagged.select(F.col("__w_digest").alias("__w_asked")).distinct()
+    same = docs.select(key.alias("__w_keep"), text.alias("__w_text"), F.sha2(text.cast("binary"), 256).alias("__w_digest"))
+    same = same.join(asked, F.col("__w_digest") == F.col("__w_asked"), "left_semi")
+    best = same.groupBy("__w_digest", "__w_text").agg(F.max("__w_keep").alias("__w_keep"))
+    pick = tagged.groupBy("__w_digest", "__w_text", key.alias("__w_id")).agg(F.min("__w_loc").alias("__w_first"))
+    pick = pick.join(best, ["__w_digest", "__w_text"]).where(F.col("__w_id").eqNullSafe(F.col("__w_keep"))).select("__w_first")
+    rest = tagged.join(pick, F.col("__w_loc") == F.col("__w_first"), "left_semi")
     return single.unionByName(rest.drop("__w_text", "__w_digest", "__w_loc"))
-
-
-def rows_of_largest(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The largest identifier of each text's digest."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.groupBy(F.sha2(text.cast("binary"), 256).alias("__w_digest")).agg(F.max(F.col(id_col).cast("long")).alias("__w_keep"))
-
-
-__all__ = ["BROADCAST_HITS", "drop_copies", "drop_stage", "find_copies", "run_stream", "sha256_digest"]
