@@ -1,38 +1,53 @@
 """Secret scans with a battery of randomness tests (operator 6, native).
 
 Three fixed kinds are found by pattern.  Beyond them, long tokens get an encoding
-inferred from their characters (hex, base32, base62, base64); per encoding a
-chi-squared test of uniform use of the alphabet, a runs test about its middle and a
-lag-1 serial correlation test are combined into one p-value of "is random".  Over
-all tokens of the corpus, Benjamini-Hochberg control weighted by token length
-rejects the structured ones; those not rejected are reported.  The control needs
-only counts of p-values in ``BINS`` logarithmic bins, which is all that reaches the
-driver.
+inferred from their characters, the narrowest alphabet that holds them all: decimal, hex,
+base26 (small letters), base32, base36, base62 or base64.  Per encoding, a chi-squared
+test of even use of the alphabet (from exact tables up to ``EXACT`` characters, where the
+usual approximation fails), a runs test about its middle and a lag-1 serial correlation
+test give one p-value of "is random" (the least of three, corrected for being that).
+
+Few tests speak against a short token, so what bounds false alarms is a comparison: each
+token has a decoy, as long, cut out of the ordinary text of its own document and written
+in the token's alphabet.  For each class of lengths, tokens with a p-value over a bound
+are reported, the bound being the least at which the decoys over it, in proportion, are
+at most ``FALSE_DISCOVERY`` of the tokens over it; and never under ``LEVEL``, the level at
+which the tests themselves reject a token.  So the share that is controlled (by an
+estimate) is that of ordinary strings among those reported.  The control needs counts of
+p-values in ``BINS`` bins a class, which is all that reaches the driver.  Where documents
+with tokens hold no ordinary text, the bound is ``LEVEL``.
 
 A '=' inside a run ends one token and begins the next: in NAME=value the value is tested
-by itself, and the name as any other token.  Not tested (``_MIXED``): tokens without both a
-digit and a Latin letter, unless lower and upper case alternate as in aBcD; so random
-strings of digits alone, or of letters of one case, are not reported.  Nor are tokens of
-fewer than 20 characters with their padding, or 16 without it.
+by itself, and the name as any other token.  Not tested: tokens of fewer than 20
+characters with their padding, or 16 without it.
 
 Positions are code points, ends exclusive: gaps between matches (split) and matches
 (extract all) alternate, so their lengths add up to positions.
 
 Defined cases: null and empty texts have no spans; rows with one doc_id are scanned
-each; a corpus without tokens needs no control; other columns are ignored.
+each; a corpus without tokens needs no control; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_text, stage, work_dir
 
-#: Share of truly random tokens among those dismissed as structured.
+#: Share of ordinary strings among the tokens reported, as the decoys tell.
 FALSE_DISCOVERY = 0.05
-BINS = 512
-_BINS_PER_OCTAVE = 8
+#: A token whose p-value is under this is not random, whatever the decoys say.
+LEVEL = 0.01
+BINS = 200
+#: Least number of characters of each class of lengths.
+CLASSES = [16, 24, 32, 48, 64]
+#: Tokens up to this length have exact chi-squared tables.
+EXACT = 64
 
 # The base patterns.
 _ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -41,40 +56,100 @@ _HEX = r"[0-9a-f]{32,}"  # whole runs of 32 or more
 # 20 or more characters; a '=' is padding at the end of a token and a border before the next, so NAME=value is two tokens.
 _CHAR = r"[A-Za-z0-9+/_-]"
 _TOKEN = rf"(?<!{_CHAR})(?:(?=[A-Za-z0-9+/_=-]{{20}}){_CHAR}{{16,}}+=++(?!{_CHAR})|{_CHAR}{{20,}}+)"
-_MIXED = r"(?=.*[0-9])(?=.*[A-Za-z])|[a-z][A-Z]+[a-z]+[A-Z]"
 _BASE_KINDS = ["assign", "access", "hex"]
-_KINDS = [*_BASE_KINDS, "random_hex", "random_base32", "random_base62", "random_base64"]
-_ALPHABET = {
-    "random_hex": "0123456789abcdef",
-    "random_base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
-    "random_base62": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
-    "random_base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+_LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+#: Encodings from narrow to wide: what all characters are, the alphabet, and how a token is spelt in it.
+_ENCODINGS = {
+    "random_decimal": ("^[0-9]+$", _DIGITS, F.lower),
+    "random_hex": ("^([0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef", F.lower),
+    "random_base26": ("^[a-z]+$", _LOWER, F.lower),
+    "random_base32": ("^[A-Z2-7]+$", _UPPER + "234567", F.upper),
+    "random_base36": ("^([0-9a-z]+|[0-9A-Z]+)$", _DIGITS + _LOWER, F.lower),
+    "random_base62": ("^[0-9A-Za-z]+$", _UPPER + _LOWER + _DIGITS, lambda c: c),
+    "random_base64": ("^.+$", _UPPER + _LOWER + _DIGITS + "+/", lambda c: F.translate(c, "-_", "+/")),
 }
+_KINDS = [*_BASE_KINDS, *_ENCODINGS]
 
 _SPAN = "array<struct<start:int,rank:int,kind:string,end:int,token:string>>"
+_BLOCK = 64
 
 
 
 def _matches(text: Column, pattern: str, kind: str, value_group: int = 0, least: int = 0) -> Column:
-    """Spans of a pattern; those whose value group has fewer than ``least`` characters are dropped."""
+    """Spans of a pattern; those whose value group has fewer than ``least`` characters are dropped.
+
+    A position is a sum of lengths before it: over whole blocks of matches, and inside its own.
+    """
     p = F.lit(pattern)
     gaps, whole, value = F.split(text, pattern, -1), F.regexp_extract_all(text, p, 0), F.regexp_extract_all(text, p, value_group)
-    pairs = F.zip_with(gaps, whole, lambda g, m: F.struct(F.length(g).alias("g"), m.alias("m")))
-    pairs = F.zip_with(pairs, value, lambda x, v: F.struct(x["g"].alias("g"), x["m"].alias("m"), F.length(v).alias("v")))
-    pairs = F.filter(pairs, lambda x: x["m"].isNotNull())
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast(_SPAN).alias("out"))
+    both = F.zip_with(gaps, F.zip_with(whole, value, lambda m, v: F.struct(m.alias("m"), F.length(v).alias("v"))), lambda g, x: F.struct(F.length(g).alias("g"), x["m"].alias("m"), x["v"].alias("v")))
+    found = F.filter(both, lambda x: x["m"].isNotNull())
 
-    def step(acc, x):
-        begin = acc["pos"] + x["g"]
-        end = begin + F.length(x["m"])
-        span = F.struct(
-            begin.cast("int").alias("start"), F.lit(_KINDS.index(kind) if kind in _KINDS else 9).alias("rank"), F.lit(kind).alias("kind"),
-            end.cast("int").alias("end"), (x["m"] if kind == "token" else F.lit(None).cast("string")).alias("token"),
+    def length_of(xs: Column) -> Column:
+        return F.aggregate(xs, F.lit(0), lambda acc, x: acc + x["g"] + F.length(x["m"]))
+
+    blocks = F.sequence(F.lit(0), F.floor(F.size(found) / _BLOCK).cast("int"))
+    sums = lambda xs: F.aggregate(
+        blocks, F.array(F.lit(0)), lambda acc, b: F.concat(acc, F.array(F.element_at(acc, -1) + length_of(F.slice(xs, b * _BLOCK + 1, F.lit(_BLOCK)))))
+    )
+
+    def span(xs: Column, before: Column, x: Column, i: Column) -> Column:
+        block = F.floor(i / _BLOCK).cast("int")
+        begin = F.get(before, block) + length_of(F.slice(xs, block * _BLOCK + 1, i % _BLOCK)) + x["g"]
+        token = x["m"] if kind == "token" else F.lit(None).cast("string")
+        rank = F.lit(_KINDS.index(kind) if kind in _KINDS else len(_KINDS))
+        return F.struct(
+            begin.cast("int").alias("start"), rank.alias("rank"), F.lit(kind).alias("kind"), (begin + F.length(x["m"])).cast("int").alias("end"), token.alias("token"), x["v"].alias("v")
         )
-        return F.struct(end.alias("pos"), F.when(x["v"] >= least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-    spans = F.aggregate(pairs, start, step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(_SPAN))
+    # Each array is made once and handed to the lambda.
+    spans = F.flatten(F.transform(F.array(found), lambda xs: F.flatten(F.transform(F.array(sums(xs)), lambda before: F.transform(xs, lambda x, i: span(xs, before, x, i))))))
+    kept = F.transform(
+        F.filter(spans, lambda x: x["v"] >= least), lambda x: F.struct(*(x[c].alias(c) for c in ("start", "rank", "kind", "end", "token")))
+    )
+    return F.when(text.rlike(pattern), kept.cast(_SPAN)).otherwise(F.array().cast(_SPAN))
+
+
+@lru_cache(maxsize=16)
+def collision_tails(k: int, longest: int = EXACT) -> list[np.ndarray]:
+    """For each length n up to ``longest``: P(at least c equal pairs among n random characters of k), c = 0, 1, ...
+
+    Pairs of equal characters are the chi-squared statistic but for a scale.  One character's
+    share is Poisson, so the distribution is the k-th power of a polynomial in (characters,
+    pairs), read off where the characters add up to n.
+    """
+    mean, pairs = longest * 0.6 / k, longest * (longest - 1) / 2
+    cap = int(min(pairs, pairs / k + 14 * np.sqrt(pairs / k) + 20))
+    one = np.zeros((longest + 1, cap + 1))
+    weight = np.exp(-mean)
+    for c in range(longest + 1):
+        if c * (c - 1) // 2 <= cap:
+            one[c, c * (c - 1) // 2] = weight
+        weight *= mean / (c + 1)
+    shape = (2 * longest + 2, 2 * cap + 2)
+
+    def times(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.maximum(np.fft.irfft2(np.fft.rfft2(x, shape) * np.fft.rfft2(y, shape), shape)[: longest + 1, : cap + 1], 0)
+
+    power, square, left = None, one, k
+    while left:
+        if left % 2:
+            power = square if power is None else times(power, square)
+        left //= 2
+        square = times(square, square) if left else square
+    mu = k * mean
+    out = []
+    for n in range(longest + 1):
+        log_all = n * np.log(mu) - mu - float(np.sum(np.log(np.arange(1, n + 1))))
+        below = np.concatenate([[0.0], np.cumsum(power[n])]) / np.exp(log_all)
+        out.append(np.clip(1 - below, 0, 1))
+    return out
+
+
+def _tables(df: DataFrame) -> DataFrame:
+    """kind, size, tail: one row an encoding and length, a few hundred rows by definition."""
+    rows = [(kind, n, [float(x) for x in collision_tails(len(alphabet))[n]]) for kind, (_, alphabet, _) in _ENCODINGS.items() for n in range(CLASSES[0], EXACT + 1)]
+    return df.sparkSession.createDataFrame(rows, "kind string, size int, tail array<double>")
 
 
 def _two_sided(z: Column) -> Column:
@@ -85,24 +160,42 @@ def _two_sided(z: Column) -> Column:
     return F.greatest(poly * F.exp(-x * x), F.lit(1e-300))
 
 
+def inferred(bare: Column) -> Column:
+    """The encoding of a token without its padding."""
+    kind = F.lit(None).cast("string")
+    for name, (pattern, _, _) in reversed(_ENCODINGS.items()):
+        kind = F.when(bare.rlike(pattern), name).otherwise(kind)
+    return kind
+
+
+def spelt(kind: Column, bare: Column) -> Column:
+    """A token in the characters of its alphabet."""
+    out = bare
+    for name, (_, _, write) in _ENCODINGS.items():
+        out = F.when(kind == name, write(bare)).otherwise(out)
+    return out
+
+
+def in_alphabet(kind: Column, plain: Column) -> Column:
+    """Letters and digits of ordinary text in an encoding's alphabet, letters by their place modulo its size."""
+    out = plain
+    for name, alphabet in (("random_decimal", _DIGITS), ("random_hex", "0123456789abcdef")):
+        letters = "".join(alphabet[i % len(alphabet)] for i in range(26))
+        out = F.when(kind == name, F.translate(F.lower(plain), _LOWER, letters)).otherwise(out)
+    out = F.when(kind == "random_base26", F.translate(F.lower(plain), _DIGITS, _LOWER[:10])).otherwise(out)
+    out = F.when(kind == "random_base32", F.translate(F.upper(plain), "0189", "OIBG")).otherwise(out)
+    return F.when(kind == "random_base36", F.lower(plain)).otherwise(out)
+
+
 def battery(tokens: DataFrame) -> DataFrame:
-    """Adds kind, symbols and p (of "is random") to rows with ``token``; rows of no encoding go."""
-    bare = F.regexp_replace("token", "=+$", "")
-    kind = (
-        F.when(~bare.rlike(_MIXED) | bare.contains("="), None)
-        .when(bare.rlike("^([0-9a-f]+|[0-9A-F]+)$"), "random_hex")
-        .when(bare.rlike("^[A-Z2-7]+$"), "random_base32")
-        .when(bare.rlike("[+/_-]"), "random_base64")
-        .otherwise("random_base62")
-    )
-    df = tokens.withColumn("kind", kind).where("kind is not null")
-    df = df.withColumn("s", F.when(F.col("kind") == "random_hex", F.lower(bare)).otherwise(F.translate(bare, "-_", "+/")))
-    alphabet = F.create_map(*[F.lit(x) for pair in _ALPHABET.items() for x in pair])[F.col("kind")]
-    df = df.withColumn("alphabet", alphabet).withColumn("n", F.length("s").cast("double")).withColumn("k", F.length("alphabet").cast("double"))
-    df = df.where("n >= 16").withColumn("letters", F.regexp_extract_all("alphabet", F.lit("."), 0))
+    """Adds symbols and p (of "is random") to rows with kind and s, a string over the alphabet of the kind."""
+    df = tokens
+    alphabet = F.create_map(*[F.lit(x) for kind, (_, a, _) in _ENCODINGS.items() for x in (kind, a)])[F.col("kind")]
+    df = df.withColumn("alphabet", alphabet).withColumn("size", F.length("s")).withColumn("n", F.col("size").cast("double")).withColumn("k", F.length("alphabet").cast("double"))
+    df = df.join(F.broadcast(_tables(df)), ["kind", "size"], "left").withColumn("letters", F.regexp_extract_all("alphabet", F.lit("."), 0))
     counts = F.transform("letters", lambda c: F.col("n") - F.length(F.replace(F.col("s"), c, F.lit(""))))
-    squares = F.aggregate(counts, F.lit(0.0), lambda acc, c: acc + c * c)
-    df = df.withColumn("chi2", F.col("k") / F.col("n") * squares - F.col("n"))
+    df = df.withColumn("squares", F.aggregate(counts, F.lit(0.0), lambda acc, c: acc + c * c))
+    df = df.withColumn("chi2", F.col("k") / F.col("n") * F.col("squares") - F.col("n"))
     codes = F.transform(F.regexp_extract_all("s", F.lit("."), 0), lambda c: F.instr(F.col("alphabet"), c).cast("double") - 1)
     zero = {"prev": -1.0, "first": -1.0, "sum": 0.0, "sq": 0.0, "xy": 0.0, "runs": 0.0, "high": 0.0}
     start = F.struct(*(F.lit(v).alias(c) for c, v in zero.items()))
@@ -119,7 +212,10 @@ def battery(tokens: DataFrame) -> DataFrame:
     df = df.withColumn("f", F.aggregate(codes, start, step))
     n, f, d = F.col("n"), F.col("f"), F.col("k") - 1
     wilson = (F.pow(F.col("chi2") / d, F.lit(1 / 3)) - (1 - 2 / (9 * d))) / F.sqrt(2 / (9 * d))
-    p_chi = F.when(wilson <= 0, 1.0).otherwise(_two_sided(wilson) / 2)  # only uneven use speaks against
+    # Only uneven use speaks against.  Beyond the table's last entry a count is as good as impossible.
+    far = F.when(wilson <= 0, 1 - _two_sided(wilson) / 2).otherwise(_two_sided(wilson) / 2)
+    pairs = ((F.col("squares") - n) / 2).cast("int")
+    p_chi = F.when(F.col("tail").isNotNull(), F.coalesce(F.get("tail", pairs), F.lit(0.0))).otherwise(far)
     mu = 2 * f["high"] * (n - f["high"]) / n + 1
     var = (mu - 1) * (mu - 2) / (n - 1)
     p_runs = F.when(var > 0, _two_sided((f["runs"] - mu) / F.sqrt(F.greatest(var, F.lit(1e-9))))).otherwise(1e-300)
@@ -127,24 +223,31 @@ def battery(tokens: DataFrame) -> DataFrame:
     spread = f["sq"] - n * mean * mean
     corr = (f["xy"] - mean * (2 * f["sum"] - f["first"] - f["prev"]) + (n - 1) * mean * mean) / F.greatest(spread, F.lit(1e-9))
     p_serial = F.when(spread > 0, _two_sided((corr + 1 / n) * F.sqrt(n))).otherwise(1e-300)
-    return df.withColumn("p", F.least(F.lit(1.0), 3 * F.least(p_chi, p_runs, p_serial))).withColumn("symbols", n)
-
-
-def _rejection_bound(tested: DataFrame, rate: float) -> tuple[float, float]:
-    """(mean length, largest weighted p-value rejected) from binned counts."""
-    mean = tested.agg(F.avg("symbols").alias("m")).first()["m"]
-    if mean is None:
-        return 1.0, 0.0
-    weighted = F.least(F.lit(1.0), F.col("p") * mean / F.col("symbols"))
-    level = F.least(F.lit(BINS - 1), F.floor(-F.log2(weighted) * _BINS_PER_OCTAVE)).cast("int")
-    rows = tested.groupBy(level.alias("level")).count().collect()  # at most BINS rows
-    total, seen, bound = sum(r["count"] for r in rows), 0, 0.0
-    for r in sorted(rows, key=lambda r: -r["level"]):  # smallest p-values first
-        seen += r["count"]
-        edge = 2.0 ** (-r["level"] / _BINS_PER_OCTAVE)
-        if edge * total / seen <= rate:
-            bound = edge
-    return mean, bound
+    least = F.greatest(F.lit(0.0), F.least(p_chi, p_runs, p_serial))
+    return df.withColumn("p", 1 - F.pow(1 - least, F.lit(3.0))).withColumn("symbols", F.col("size"))
+
+
+def _class_of(symbols: Column) -> Column:
+    out = F.lit(0)
+    for i, least in enumerate(CLASSES):
+        out = F.when(symbols >= least, i).otherwise(out)
+    return out
+
+
+def bounds(tested: DataFrame, rate: float = FALSE_DISCOVERY) -> list[float]:
+    """For each class of lengths the p-value over which tokens are reported (see the module)."""
+    level = F.least(F.lit(BINS - 1), F.floor(F.col("p") * BINS)).cast("int")
+    rows = tested.groupBy(_class_of(F.col("symbols")).alias("class"), "decoy", level.alias("level")).count().collect()  # classes x 2 x BINS
+    seen = np.zeros((len(CLASSES), 2, BINS))
+    for r in rows:
+        seen[r["class"], int(r["decoy"]), r["level"]] = r["count"]
+    out = []
+    for tokens, decoys in seen:
+        over, wrong = (x[::-1].cumsum()[::-1] for x in (tokens, decoys))
+        share = tokens.sum() / max(decoys.sum(), 1)
+        fine = [i for i in range(int(LEVEL * BINS), BINS) if wrong[i] * share <= rate * over[i]]
+        out.append(min(fine) / BINS if fine else 1.0)
+    return out
 
 
 def scan(docs: DataFrame, rate: float = FALSE_DISCOVERY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -156,15 +259,27 @@ def scan(docs: DataFrame, rate: float = FALSE_DISCOVERY, id_col: str = "doc_id",
         "doc_id", "uid",
         F.concat(_matches(text, _ASSIGN, "assign", 2, 8), _matches(text, _ACCESS, "access"), _matches(text, _HEX, "hex")).alias("base"),
         _matches(text, _TOKEN, "token").alias("tokens"),
+        # Ordinary text: letters and digits outside long tokens; wanted only where there is a token.
+        F.when(text.rlike(_TOKEN), F.regexp_replace(F.regexp_replace(text, _TOKEN, ""), "[^A-Za-z0-9]+", "")).otherwise("").alias("plain"),
+    )
+    size = lambda t: F.length(F.regexp_replace(t["token"], "=+$", ""))
+    place = lambda t: 1 + F.pmod(F.xxhash64(F.lit(7), t["start"], t["token"]), F.greatest(F.length("plain") - size(t) + 1, F.lit(1)).cast("long")).cast("int")
+    clear = lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
+    paired = F.transform(F.filter("tokens", clear), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["token"].alias("token"), F.substring(F.col("plain"), place(t), size(t)).alias("decoy")))
+    rows = stage(rows.select("doc_id", "uid", "base", paired.alias("tokens")), f"{work}/rows")
+    bare = F.regexp_replace("t.token", "=+$", "")
+    tokens = rows.select("uid", F.explode("tokens").alias("t")).select("uid", "t.start", "t.end", bare.alias("bare"), inferred(bare).alias("kind"), F.col("t.decoy").alias("plain"))
+    kind = F.col("kind")
+    pairs = F.array(
+        F.struct(F.lit(False).alias("decoy"), spelt(kind, F.col("bare")).alias("s")),
+        F.struct(F.lit(True).alias("decoy"), F.when(F.length("plain") == F.length("bare"), in_alphabet(kind, F.col("plain"))).alias("s")),
     )
-    rows = stage(rows, f"{work}/rows")
-    apart = F.filter("tokens", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    tokens = rows.select("uid", F.explode(apart).alias("t")).select("uid", "t.start", "t.end", "t.token")
-    tested = stage(battery(tokens).select("uid", "start", "end", "kind", "symbols", "p"), f"{work}/tested")
-    mean, bound = _rejection_bound(tested, rate)
+    both = tokens.select("uid", "start", "end", "kind", F.explode(pairs).alias("x")).select("uid", "start", "end", "kind", "x.*").where("s is not null and length(s) >= 16")
+    tested = stage(battery(both).select("uid", "start", "end", "kind", "decoy", "symbols", "p"), f"{work}/tested")
+    least = F.array(*map(F.lit, bounds(tested, rate)))
     names = F.array(*map(F.lit, _KINDS))
-    random = tested.where(F.col("p") * mean / F.col("symbols") > bound).select(
-        "uid", F.struct("start", (F.array_position(names, F.col("kind")) - 1).cast("int").alias("rank"), "kind", "end", F.lit(None).cast("string").alias("token")).alias("span")
+    random = tested.where(~F.col("decoy") & (F.col("p") >= F.get(least, _class_of(F.col("symbols"))))).select(
+        "uid", F.struct("start", (F.array_position(names, kind) - 1).cast("int").alias("rank"), "kind", "end", F.lit(None).cast("string").alias("token")).alias("span")
     )
     random = random.groupBy("uid").agg(F.collect_list("span").alias("more"))
     return rows.join(random, "uid", "left").select(
