@@ -4,8 +4,9 @@ Each document becomes an array of words and an array of window hashes in one pas
 over its text; the hashes are exploded and probed against the benchmark's windows
 in generated code, so that only hits leave the task.  A hit is then compared word
 by word.  The benchmark's windows are broadcast while their number stays under
-``BROADCAST_WINDOWS`` (about 200 bytes each); a larger benchmark is joined by a
-shuffle on the hash instead.
+``BROADCAST_WINDOWS`` (about 200 bytes each); beyond it the documents' words are written
+once, hashes alone meet the benchmark's by a shuffle, and hits return to their document
+to be compared.
 
 Defined cases: null and empty texts have no words; an item with fewer words than a
 window is one window, an item without words none; repeated items and windows count
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text
+from .common import id_text, stage, work_dir
 
 WINDOW = 10
 BROADCAST_WINDOWS = 1_000_000
@@ -60,13 +61,31 @@ def find_hits(
         F.xxhash64(F.lit("document")).alias("h"), F.lit(0).alias("len"),
         F.expr("cast(null as array<string>)").alias("gram"), F.expr("cast(array() as array<string>)").alias("items"),
     )
-    probes = grams.select("h", "len", "gram", "items").unionByName(mark)
     words = id_text(docs, id_col, text_col).select("doc_id", F.monotonically_increasing_id().alias("uid"), words_of(F.col("text")).alias("w"))
-    # One array a document: a mark that matches once, then the window hashes of each length.
-    starts = " , ".join(
-        ["array(xxhash64('document'))"]
-        + [f"if(size(w) >= {n}, transform(sequence(1, greatest(size(w) - {n - 1}, 1)), i -> xxhash64(slice(w, i, {n}))), cast(array() as array<bigint>))" for n in lens]
+    probe = _by_broadcast if stats["n"] <= BROADCAST_WINDOWS else _by_shuffle
+    hit = probe(words, grams.select("h", "len", "gram", "items"), lens)
+    by_doc = hit.groupBy("uid", "doc_id").agg(
+        F.max("n").cast("long").alias("n_words"),
+        F.array_sort(F.collect_set(F.when(F.col("len") > 0, F.struct("at", (F.col("at") + F.col("len")).alias("end"))))).alias("ranges"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("item_ids"),
     )
+    # Words hit, in order; a run begins where the word before is not hit and ends where the next is not.
+    hit_words = F.array_sort(F.array_distinct(F.flatten(F.transform("ranges", lambda r: F.sequence(r["at"], r["end"] - 1)))))
+    by_doc = by_doc.withColumn("at", hit_words)
+    first = F.filter(F.transform("at", lambda x, i: F.when((i == 0) | (F.get("at", i - 1) != x - 1), x)), lambda x: x.isNotNull())
+    last = F.filter(F.transform("at", lambda x, i: F.when((i == F.size("at") - 1) | (F.get("at", i + 1) != x + 1), x)), lambda x: x.isNotNull())
+    spans = F.zip_with(first, last, lambda a, b: F.struct(a.alias("at"), (b + 1).alias("end")))
+    return by_doc.select("doc_id", "uid", "n_words", spans.alias("spans"), "item_ids")
+
+
+def _by_broadcast(words: DataFrame, grams: DataFrame, lens: list[int]) -> DataFrame:
+    """Hits (doc_id, uid, len, at, n, items), and a row for each document with its number of words."""
+    mark = words.sparkSession.range(1).select(
+        F.xxhash64(F.lit("document")).alias("h"), F.lit(0).alias("len"),
+        F.expr("cast(null as array<string>)").alias("gram"), F.expr("cast(array() as array<string>)").alias("items"),
+    )
+    # One array a document: a mark that matches once, then the window hashes of each length.
+    starts = " , ".join(["array(xxhash64('document'))"] + [_window_hashes(n) for n in lens])
     hashed = words.withColumn("hs", F.expr(f"concat({starts})"))
     flat = hashed.select("doc_id", "uid", "w", F.posexplode_outer("hs").alias("p", "hash"))
     offset, before = "case len", "1"
@@ -76,24 +95,32 @@ def find_hits(
     offset += " when 0 then 0 end"
     # The condition compares the words themselves; neither it nor the projection holds a lambda,
     # so the explode, the probe and the comparison stay in one generated loop that copies hits only.
-    same = F.col("hash") == F.col("h")
-    same &= F.expr(f"len = 0 or slice(w, ({offset}) + 1, len) = gram")
-    small = stats["n"] <= BROADCAST_WINDOWS
-    hit = flat.join(F.broadcast(probes) if small else probes, same).select(
+    same = (F.col("hash") == F.col("h")) & F.expr(f"len = 0 or slice(w, ({offset}) + 1, len) = gram")
+    return flat.join(F.broadcast(grams.unionByName(mark)), same).select(
         "doc_id", "uid", "len", F.expr(offset).alias("at"), F.expr("if(len = 0, size(w), null)").alias("n"), "items"
     )
-    by_doc = hit.groupBy("uid", "doc_id").agg(
-        F.max("n").cast("long").alias("n_words"),
-        F.array_sort(F.collect_set(F.when(F.col("len") > 0, F.struct("at", (F.col("at") + F.col("len")).alias("end"))))).alias("ranges"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("item_ids"),
-    )
-    merged = F.expr(
-        """aggregate(ranges, cast(array() as array<struct<at:int,end:int>>), (acc, r) ->
-             case when size(acc) > 0 and element_at(acc, -1).end >= r.at
-                  then concat(slice(acc, 1, size(acc) - 1), array(named_struct('at', element_at(acc, -1).at, 'end', greatest(element_at(acc, -1).end, r.end))))
-                  else concat(acc, array(named_struct('at', r.at, 'end', r.end))) end)"""
-    )
-    return by_doc.select("doc_id", "uid", "n_words", merged.alias("spans"), "item_ids")
+
+
+def _window_hashes(n: int) -> str:
+    return f"if(size(w) >= {n}, transform(sequence(1, greatest(size(w) - {n - 1}, 1)), i -> xxhash64(slice(w, i, {n}))), cast(array() as array<bigint>))"
+
+
+def _by_shuffle(words: DataFrame, grams: DataFrame, lens: list[int]) -> DataFrame:
+    """The same for any number of windows: only (uid, length, place, hash) are shuffled for the search."""
+    words = stage(words, work_dir(words.sparkSession, "decontaminate-words"))
+    flat = None
+    for n in lens:
+        own = words.select("uid", F.lit(n).alias("len"), F.posexplode(F.expr(_window_hashes(n))).alias("at", "h"))
+        flat = own if flat is None else flat.unionByName(own)
+    counts = words.select("doc_id", "uid", F.lit(0).alias("len"), F.lit(0).alias("at"), F.size("w").alias("n"), F.expr("cast(array() as array<string>)").alias("items"))
+    if flat is None:
+        return counts
+    candidates = flat.join(grams, ["h", "len"]).select("uid", "len", "at", "gram", "items")
+    # A document has at most as many candidates as windows; its words are read once for them.
+    by_doc = candidates.groupBy("uid").agg(F.collect_list(F.struct("len", "at", "gram", "items")).alias("found"))
+    confirmed = words.join(by_doc, "uid").select("doc_id", "uid", F.explode(F.expr("filter(found, c -> slice(w, c.at + 1, c.len) = c.gram)")).alias("c"))
+    hits = confirmed.select("doc_id", "uid", "c.len", "c.at", F.lit(None).cast("int").alias("n"), "c.items")
+    return counts.unionByName(hits)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
