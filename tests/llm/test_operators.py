@@ -9,10 +9,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from warraq.llm import chat_format, decontaminate, exact_dedup, language_id, lm_score, near_dedup, packing, secret_scan, sharding, substring_dedup
+from warraq.llm import chat_format, common, decontaminate, exact_dedup, language_id, lm_score, near_dedup, packing, secret_scan, sharding, substring_dedup
 from warraq.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -43,10 +44,6 @@ def rows(docs):
     return [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
 
 
-def both(request, name):
-    return request.getfixturevalue(name)
-
-
 @pytest.mark.parametrize("weak", [False, True])
 def test_exact_dedup(odd, weak):
     digest = (lambda t: F.encode(F.length(t).cast("string"), "utf-8")) if weak else exact_dedup.sha256_digest
@@ -59,6 +56,27 @@ def test_exact_dedup(odd, weak):
         assert (got[i].keep_id, got[i].group_size, got[i].kept) == (max(own), len(own), i == max(own))
 
 
+def test_exact_dedup_goes_on_with_its_state(spark, tmp_path):
+    """A second run reads new files only and meets the digests that the first has left."""
+    keys, state = f"file://{tmp_path}/keys", f"file://{tmp_path}/state"
+    before = dict(spark.sparkContext.getConf().getAll()), spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    for batch in ([(1, b"a", 10), (2, b"b", 11)], [(7, b"a", 12), (3, b"c", 13)], []):
+        if batch:
+            spark.createDataFrame(batch, "doc_id long, digest binary, locator long").coalesce(1).write.mode("append").parquet(keys)
+        found = {bytes(r.digest): (r.keep_id, r.keep_locator, r.group_size) for r in exact_dedup.run_stream(spark, keys, state).collect()}
+    assert found == {b"a": (7, 12, 2), b"b": (2, 11, 1), b"c": (3, 13, 1)}
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) == before[1]
+
+
+def test_exact_dedup_of_null_identifiers(spark):
+    data = [(None, "a"), (None, "a"), (3, "a"), (None, "b"), (4, None), (5, "")]
+    df = spark.createDataFrame([(i, t, 1) for i, t in data], "doc_id long, text string, keep_id int")
+    got = sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.find_copies(df).collect()), key=repr)
+    assert got == sorted([(None, 3, 3, False), (None, 3, 3, False), (3, 3, 3, True), (None, None, 1, True), (4, 5, 2, False), (5, 5, 2, True)], key=repr)
+    left = exact_dedup.drop_copies(df)
+    assert left.columns == df.columns and sorted(((r.doc_id, r.text) for r in left.collect()), key=repr) == sorted([(3, "a"), (None, "b"), (5, "")], key=repr)
+
+
 def test_exact_drop_of_repeated_rows(odd):
     twice = odd.unionByName(odd)
     left = sorted((r.doc_id, r.text or "") for r in exact_dedup.drop_copies(twice).collect())
@@ -69,25 +87,79 @@ def test_exact_drop_of_repeated_rows(odd):
     assert exact_dedup.drop_copies(odd.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("k", [2, 5])
-def test_near_dedup(spark, odd, docs, rows, k):
-    for frame, data in ((odd, ODD), (docs, rows)):
-        sets = [(i, frozenset(near_dedup.shingle_set((t or "").encode(), k))) for i, t in data]
-        up = {i: i for i, _ in sets}
+def _linked(data, k):
+    """(number of shingles, component, kept) of each row by brute force over an inverted index."""
+    sets = [frozenset(near_dedup.shingle_set((t or "").encode(), k)) for _, t in data]
+    up = list(range(len(data)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
 
-        def root(x, up=up):
-            while up[x] != x:
-                x = up[x]
-            return x
+    posting: dict = {}
+    for i, own in enumerate(sets):
+        same = Counter(j for g in own for j in posting.get(g, ()))
+        for j, n in same.items():
+            if 100 * n >= 80 * (len(own) + len(sets[j]) - n):
+                up[max(root(i), root(j))] = min(root(i), root(j))
+        for g in own:
+            posting.setdefault(g, []).append(i)
+    least: dict = {}
+    for i, (doc_id, _) in enumerate(data):
+        if doc_id is not None:
+            least[root(i)] = min(doc_id, least.get(root(i), doc_id))
+    return sorted(((d, len(sets[i]), least.get(root(i)), d == least.get(root(i))) for i, (d, _) in enumerate(data)), key=repr)
 
-        for n, (i, a) in enumerate(sets):
-            for j, b in sets[:n]:
-                same = len(a & b)
-                if same and 100 * same >= 80 * (len(a) + len(b) - same):
-                    x, y = root(i), root(j)
-                    up[max(x, y)] = min(x, y)
-        got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_components(frame, k=k).collect()}
-        assert got == {i: (len(s), root(i), root(i) == i) for i, s in sets}
+
+def _components(frame, **more):
+    return sorted(map(tuple, near_dedup.near_components(frame, **more).collect()), key=repr)
+
+
+@pytest.mark.parametrize("k", [2, 5])
+def test_near_dedup(spark, odd, docs, rows, k):
+    assert _components(odd, k=k) == _linked(ODD, k)
+    assert _components(docs, k=k) == _linked(rows, k)
+    assert _components(odd.limit(0), k=k) == []
+
+
+def test_near_dedup_of_repeated_and_null_identifiers(spark, monkeypatch):
+    """Rows of one identifier are linked each by its own text; also with the shuffles for many candidates."""
+    words = [f"w{i}" for i in range(30)]
+    text = " ".join(words)
+    data = [(5, text), (5, "quite another one"), (5, "quite another one"), (9, text + " x"), (None, text), (7, "Quite  another one"), (None, None), (3, "b a"), (2, "a b a b a"), (4, "a b a b")]
+    df = spark.createDataFrame([(i, t, 1, "k") for i, t in data], "doc_id long, text string, node int, digest string")
+    assert _components(df, k=2) == _linked(data, 2)
+    left = near_dedup.drop_near_copies(df, k=2)
+    assert left.columns == df.columns and sorted((r.doc_id for r in left.collect()), key=repr) == [2, 3, 5, 5, 5, None, None]
+    monkeypatch.setattr(near_dedup, "BROADCAST_IDS", 0)
+    assert _components(df, k=2) == _linked(data, 2)
+
+
+def test_equal_hashes_do_not_link(spark):
+    """Strings that collide under every polynomial hash modulo 2**64 (Thue-Morse and its complement)."""
+    bits = [bin(i).count("1") % 2 for i in range(2048)]
+    one, two = ("".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))
+    df = spark.createDataFrame([(1, one), (2, two), (3, f"{one} {two}"), (4, f"{two} {one}")], "doc_id long, text string")
+    assert [r[2] for r in _components(df, k=2)] == [1, 2, 3, 4]
+    assert len(set(common.hash_words(pa.array([one, two])).tolist())) == 2
+
+
+def test_near_dedup_recall(spark):
+    """Against all pairs of every fiftieth document with all others: links between different texts found as one component."""
+    big = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    found = {r.doc_id: r.component_id for r in near_dedup.near_components(big, k=2).collect()}
+    sets = {r.doc_id: frozenset(near_dedup.shingle_set((r.text or "").encode(), 2)) for r in big.collect()}
+    asked = {i: s for i, s in sets.items() if i % 50 == 0 and s}
+    posting: dict = {}
+    for i, s in asked.items():
+        for g in s:
+            posting.setdefault(g, []).append(i)
+    links = []
+    for j, s in sets.items():
+        same = Counter(i for g in s for i in posting.get(g, ()))
+        links += [(i, j) for i, n in same.items() if i != j and sets[i] != s and 100 * n >= 80 * (len(s) + len(sets[i]) - n)]
+    assert len(links) > 50 and all(found[i] == found[j] for i, j in links)
 
 
 def test_families_of_near_copies(spark, monkeypatch):
@@ -131,7 +203,10 @@ def test_sketch_fills_every_coordinate():
         assert (s != near_dedup._EMPTY).all() and (s == near_dedup.fast_sketch(h[::-1].copy(), 64, seeds)).all()
 
 
-def test_decontamination(spark, odd):
+@pytest.mark.parametrize("windows", [10**6, 0])
+def test_decontamination(spark, odd, monkeypatch, windows):
+    """0: the windows meet the documents by a shuffle."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", windows)
     items = [(1, "b c d e f g h i j k l"), (2, "ONE"), (3, None), (4, "..."), (5, "word word word")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     split = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").translate(LOWER))
@@ -154,46 +229,76 @@ def test_decontamination(spark, odd):
     assert {r.doc_id for r in decontaminate.drop_contaminated(odd, bench).collect()} == {i for i in expected if not expected[i][4]}
     none = decontaminate.contamination(odd, bench.limit(0)).collect()
     assert len(none) == len(ODD) and not any(r.contaminated for r in none)
+    assert decontaminate.contamination(odd.limit(0), bench).count() == 0
+    spans = {r.doc_id: [(x.at, x.end) for x in r.spans] for r in decontaminate.find_hits(odd, bench).collect()}
+    assert spans[11] == [(0, 3000)] and spans[6] == [(1, 12)] and spans[1] == []
 
 
-def test_lm_score(odd):
-    out, weights = lm_score.score(odd)
-    got = {r.doc_id: r for r in out.collect()}
-    data = [(i, [*re.findall(r"[^\x20\x09-\x0d]+", (t or "").translate(LOWER)), None], zlib.crc32(str(i).encode()) % 7) for i, t in ODD]
+def _scores(data, weights):
+    """Rows of the operator by brute force, given the weights."""
+    rows = [(i, [*re.findall(r"[^\x20\x09-\x0d]+", (t or "").translate(LOWER)), None], zlib.crc32(("" if i is None else str(i)).encode()) % 7) for i, t in data]
     words, pairs, contexts = Counter(), Counter(), Counter()
-    for _, w, fold in data:
+    for _, w, fold in rows:
         if fold != 2:
             words.update(w)
             pairs.update(zip(["<s>", *w[:-1]], w, strict=True))
             contexts.update(["<s>", *w[:-1]])
     n, v = sum(words.values()), len(words)
-    for i, w, fold in data:
+    for i, w, fold in rows:
         base = sum(math.log10((words[x] + 1) / (n + v + 1)) for x in w)
         score = 0.0
         for a, x in zip(["<s>", *w[:-1]], w, strict=True):
             c = contexts[a]
             l2, l1, l0 = weights[1 + int(math.log2(c)) if c else 0]
-            score += math.log10(l2 * (pairs[a, x] / c if c else 0) + l1 * words[x] / n + l0 / (v + 1))
-        g = got[i]
-        assert (g.held_out, g.n_tokens, g.n_known, g.train_tokens) == (fold == 2, len(w), sum(words[x] > 0 for x in w), n)
-        assert g.base_score == pytest.approx(base) and g.score == pytest.approx(score)
+            score += math.log10(l2 * (pairs[a, x] / c if c else 0) + l1 * (words[x] / n if n else 0) + l0 / (v + 1))
+        yield i, fold == 2, len(w), sum(words[x] > 0 for x in w), n, base, score
+
+
+def _same_scores(frame, data):
+    out, weights = lm_score.score(frame)
+    got = sorted(out.collect(), key=repr)
+    expected = sorted(_scores(data, weights), key=lambda r: repr((r[0], r[2], r[1])))
+    got = sorted(got, key=lambda r: repr((r.doc_id, r.n_tokens, r.held_out)))
+    assert len(got) == len(expected)
+    for g, e in zip(got, expected, strict=True):
+        assert tuple(g)[:5] == e[:5]
+        assert g.base_score == pytest.approx(e[5]) and g.score == pytest.approx(e[6])
+
+
+def test_lm_score(spark, odd):
+    _same_scores(odd, ODD)
+    more = [*ODD, *ODD[5:9], (None, "a b"), (None, None), (10**12, "a b c d")]
+    _same_scores(spark.createDataFrame([(i, t, 1, b"x") for i, t in more], "doc_id long, text string, block int, body binary").repartition(2), more)
     assert lm_score.score(odd.limit(0))[0].count() == 0
 
 
-@pytest.mark.parametrize(("length", "gram", "hot"), [(40, 20, 4096), (40, 12, 2), (400, 200, 4096)])
-def test_substring_dedup(spark, odd, length, gram, hot):
-    rng = np.random.default_rng(5)
-    base = ["".join(rng.choice(list("abcdé ")) for _ in range(300)) for _ in range(4)]
-    data = ODD[:5] + [(12, "x" * 900), (14, "ab" * 300)]
-    for i in range(20, 80):
-        a = int(rng.integers(0, 200))
-        data.append((i, "".join(rng.choice(list("abcdefgé ")) for _ in range(60)) + base[i % 4][a : a + int(rng.integers(10, 100))]))
-    data += [(90, base[0] * 2), (91, base[0] + "!" + base[0])]
+def test_lm_score_of_a_long_text(spark):
+    """Cut into parts, with the words across the cuts."""
+    rng = np.random.default_rng(4)
+    long = "  ".join(f"w{int(x)}" for x in rng.zipf(1.4, 700_000) % 5000)
+    assert len(long) > 3 * common.PIECE_BYTES
+    data = [(1, long), (2, "w1 w2 w3"), (5, long[:4000]), (None, None)]
+    _same_scores(spark.createDataFrame(data, "doc_id long, text string"), data)
+
+
+def test_weights_by_expectation_maximisation():
+    """The weights learned are those of the greatest likelihood, found by a grid."""
+    rng = np.random.default_rng(0)
+    cells = np.column_stack([np.full(40, 3), rng.integers(1, 90, 40), rng.random(40) * (rng.random(40) < 0.6), rng.random(40) * 0.1])
+    p0 = 0.001
+    l2, l1, l0 = lm_score.learn_weights(cells, p0, rounds=2000)[3]
+    like = lambda a, b: float((cells[:, 1] * np.log(a * cells[:, 2] + b * cells[:, 3] + (1 - a - b) * p0)).sum())
+    best = max(like(a, b) for a in np.arange(0.01, 1, 0.01) for b in np.arange(0.005, 1 - a, 0.01))
+    assert l2 + l1 + l0 == pytest.approx(1) and like(l2, l1) >= best - 1e-3 * abs(best)
+    assert (lm_score.learn_weights(cells, p0)[9] == lm_score.learn_weights(cells, p0)[3]).all()  # no counts: the nearest bucket's
+
+
+def _without_repeats(data, length):
     seen = Counter()
     for _, t in data:
         b = (t or "").encode()
         seen.update(b[i : i + length] for i in range(len(b) - length + 1))
-    expected = {}
+    expected = []
     for i, t in data:
         b = (t or "").encode()
         gone = np.zeros(len(b), dtype=bool)
@@ -201,15 +306,73 @@ def test_substring_dedup(spark, odd, length, gram, hot):
             if seen[b[k : k + length]] > 1:
                 gone[k : k + length] = True
         kept = bytes(np.frombuffer(b, np.uint8)[~gone])
-        expected[i] = (len(b), int(gone.sum()), len(substring_dedup._runs(gone)[0]), hashlib.sha256(kept).hexdigest())
-    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3).persist()
-    got = {r.doc_id: (r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for r in substring_dedup.remove_repeats(df, length, gram, hot).collect()}
-    assert got == expected
+        expected.append((i, len(b), int(gone.sum()), len(substring_dedup._runs(gone)[0]), hashlib.sha256(kept).hexdigest()))
+    return sorted(expected, key=repr)
+
+
+def _cut(frame, *args, **more):
+    found = substring_dedup.remove_repeats(frame, *args, **more).collect()
+    return sorted(((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for r in found), key=repr)
+
+
+def _repetitive():
+    rng = np.random.default_rng(5)
+    base = ["".join(rng.choice(list("abcdé ")) for _ in range(300)) for _ in range(4)]
+    data = ODD[:5] + [(12, "x" * 900), (14, "ab" * 300), (None, base[1]), (None, base[1]), (12, "x" * 900)]  # null identifiers, repeated rows
+    for i in range(20, 80):
+        a = int(rng.integers(0, 200))
+        data.append((i, "".join(rng.choice(list("abcdefgé ")) for _ in range(60)) + base[i % 4][a : a + int(rng.integers(10, 100))]))
+    return data + [(90, base[0] * 2), (91, base[0] + "!" + base[0])]
+
+
+@pytest.mark.parametrize(("length", "gram", "hot", "broadcast"), [(40, 20, 1024, 10**6), (40, 12, 2, 10**6), (40, 12, 2, 0), (40, 20, 0, 10**6), (400, 200, 1024, 10**6)])
+def test_substring_dedup(spark, monkeypatch, length, gram, hot, broadcast):
+    """hot 2 and 0: minimizers are split into groups and then into single windows."""
+    monkeypatch.setattr(substring_dedup, "BROADCAST_KEYS", broadcast)
+    data = _repetitive()
+    df = spark.createDataFrame([(i, t, 1, "x") for i, t in data], "doc_id long, text string, block int, body string").repartition(3).persist()
+    assert _cut(df, length, gram, hot) == _without_repeats(data, length)
+    texts = {r.doc_id: r.kept for r in substring_dedup.remove_repeats(df, length, gram, hot).where("doc_id is not null").collect()}
+    assert all(hashlib.sha256(texts[r[0]]).hexdigest() == r[4] for r in _cut(df, length, gram, hot) if r[0] is not None)
     assert substring_dedup.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_substring_dedup_of_the_smallest_tables(spark, docs, rows):
+    assert _cut(docs, with_text=False) == _without_repeats(rows, 400)
+
+
+def test_anchors_do_not_depend_on_spans(monkeypatch):
+    """A long text in spans: every window has the same key as in one span."""
+    rng = np.random.default_rng(2)
+    data = rng.integers(0, 4, 5000).astype(np.uint8)
+    off = np.array([0, 30, 2100, 2100, 5000])
+
+    def keys():
+        start, windows, place, key = substring_dedup.anchors(data, off, 40, 20)
+        return {int(a) + i: (int(p), int(k)) for a, n, p, k in zip(start, windows, place, key, strict=True) for i in range(n)}
+
+    whole = keys()
+    monkeypatch.setattr(substring_dedup, "_SPAN", 97)
+    assert keys() == whole and set(whole) == {i for a, b in zip(off[:-1], off[1:], strict=True) for i in range(a, max(a, b - 39))}
+
+
+def test_equal_hashes_of_different_symbols(monkeypatch):
+    """Symbols are told apart by their bytes where the hashes do not."""
+    real = substring_dedup.gram_hashes
+    monkeypatch.setattr(substring_dedup, "gram_hashes", lambda data, size, *a: real(data, size, *a) & np.uint64(3))
+    rng = np.random.default_rng(7)
+    strings = [rng.integers(0, 3, 60).astype(np.uint8) for _ in range(6)]
+    strings.append(np.concatenate([strings[0][10:50], strings[1][:20]]))
+    data, size = np.concatenate(strings), np.array(list(map(len, strings)))
+    start = np.cumsum(size) - size
+    got = substring_dedup.repeated_windows(data, start, size, np.ones(len(size), int), np.arange(len(size)) % 3, 40)
+    windows = {i: data[i : i + 40].tobytes() for a, n in zip(start, size, strict=True) for i in range(a, a + n - 39)}
+    times = Counter(windows.values())
+    assert set(np.flatnonzero(got)) == {i for i, w in windows.items() if times[w] > 1} != set()
+
+
 def test_merge_of_transforms():
-    """Groups after k passes are the groups of equal k-symbol prefixes."""
+    """The interleave is in order of prefixes, and common prefixes are those of neighbours."""
     rng = np.random.default_rng(1)
     shards, texts = [], []
     for _ in range(3):
@@ -218,7 +381,7 @@ def test_merge_of_transforms():
         follow[[9, 24, 39]] = -1  # three strings a shard
         shards.append(substring_dedup.Shard(symbols, follow, 3))
         texts.append((symbols, follow))
-    z, rank, group = substring_dedup.merge(shards, 3)
+    z, rank, common = substring_dedup.merge(shards, 3)
 
     def prefix(shard, place):
         symbols, follow = texts[shard]
@@ -230,8 +393,10 @@ def test_merge_of_transforms():
 
     found = [prefix(s, shards[s].order[r]) for s, r in zip(z, rank, strict=True)]
     for x in range(1, len(found)):
-        if len(found[x]) == 3:
-            assert (found[x] == found[x - 1]) == (group[x] == group[x - 1])
+        if len(found[x]) == len(found[x - 1]) == 3:
+            assert found[x - 1] <= found[x]
+            same = next((k for k in range(3) if found[x][k] != found[x - 1][k]), 3)
+            assert common[x] == same
 
 
 def test_chat_format(spark):
@@ -254,6 +419,30 @@ def test_chat_format(spark):
     assert len(many) > 1 and all(w.n_system == 1 and w.text.startswith("<<SYS>>be brief") for w in many)
 
 
+def _digests(turns):
+    """By brute force: number of turns, digest of all, digest of the assistant's text, by conversation."""
+    out = {}
+    for conv in {c for c, *_ in turns}:
+        own = sorted(((t is not None, t or 0, r or "", x or "") for c, t, r, x in turns if c == conv))
+        loss = "".join(x for *_, r, x in own if r == "assistant")
+        out[conv] = (len(own), hashlib.sha256("".join(f"{r}\n{x}\n" for *_, r, x in own).encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    return out
+
+
+def test_chat_format_of_odd_conversations(spark):
+    """Null conversations, system turns only and over the budget, repeated rows, clashing columns, empty tables."""
+    turns = [(None, 1, "user", "a"), (None, 2, "assistant", "b"), (4, 1, "user", "x"), (4, 1, "user", "x"), (5, 0, "system", "s " * 4000), (5, 1, "assistant", "y")]
+    turns += [(6, i, "system", f"rule {i} " * 20) for i in range(200)]
+    df = spark.createDataFrame([(*t, "w", 1) for t in turns], "conv_id long, turn long, role string, text string, window string, loss int")
+    windows = chat_format.format_windows(df, 300, 2)
+    for in_order in (False, True):
+        got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat_format.read_back(windows, in_order).collect()}
+        assert got == _digests(turns)
+    only = windows.where("conv_id = 6").collect()
+    assert len(only) > 10 and all(w.tokens <= 300 for w in only) and all(w.n_system == only[0].n_system > 0 for w in only)
+    assert chat_format.format_windows(df.limit(0)).count() == 0
+
+
 def test_window_sizes_are_prefix_sums():
     added = 0
 
@@ -271,26 +460,101 @@ def test_window_sizes_are_prefix_sums():
         assert all(w["tokens"] == len(w["text"]) for w in out)
 
 
-def test_secret_scan(odd):
+def test_secret_scan(spark, odd):
     rules = [(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 8),
              ("AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 16), ("[0-9a-f]+", lambda m: len(m[0]) >= 32)]
-    got = {r.doc_id: r for r in secret_scan.digest(secret_scan.scan(odd)).collect()}
-    for i, t in ODD:
+    many = [(20, " ".join(f"token={i:08d} é AKIA{i:016d}" for i in range(300))), (20, "secret: 12345678"), (None, "secret: 12345678"), (21, "secret=" + "aB3/" * 20_000)]
+    both = [*ODD, *many]
+    frame = odd.select("doc_id", "text").unionByName(spark.createDataFrame(many, "doc_id long, text string"))
+    expected = []
+    for i, t in both:
         spans = sorted((m.start(), k, m.end()) for k, (p, ok) in enumerate(rules) for m in re.finditer(p, t or "") if ok(m))
         joined = ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in spans)
-        assert got[i].base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
-    assert (got[13].n_assign, got[13].n_access, got[13].n_hex) == (2, 1, 1)
+        expected.append((i, *(sum(k == n for _, k, _ in spans) for n in range(3)), hashlib.sha256(joined.encode()).hexdigest()))
+    found = secret_scan.digest(secret_scan.scan(frame))
+    assert sorted((tuple(r)[:5] for r in found.collect()), key=repr) == sorted(expected, key=repr)
+    assert secret_scan.digest(secret_scan.scan(odd.limit(0))).count() == 0
+
+
+def _statistics(s, alphabet):
+    """chi-squared (by simulation), runs and serial correlation of one string, in plain Python."""
+    k, n, codes = len(alphabet), len(s), [alphabet.index(c) for c in s]
+    pairs = sum(v * (v - 1) // 2 for v in Counter(codes).values())
+    up = [2 * c >= k for c in codes]
+    runs = 1 + sum(a != b for a, b in zip(up, up[1:], strict=False))
+    high = sum(up)
+    mu = 2 * high * (n - high) / n + 1
+    var = (mu - 1) * (mu - 2) / (n - 1)
+    p_runs = math.erfc(abs(runs - mu) / math.sqrt(2 * var)) if var > 0 else 0
+    mean = sum(codes) / n
+    spread = sum((c - mean) ** 2 for c in codes)
+    corr = sum((a - mean) * (b - mean) for a, b in zip(codes, codes[1:], strict=False)) / spread if spread else None
+    p_serial = math.erfc(abs((corr + 1 / n) * math.sqrt(n)) / math.sqrt(2)) if spread else 0
+    return pairs, p_runs, p_serial
+
+
+def test_battery_by_brute_force(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for kind, (_, alphabet, _) in secret_scan._ENCODINGS.items():
+        for n in (16, 20, 40, 64, 65, 120):
+            rows += [(kind, "".join(rng.choice(list(alphabet), n))), (kind, "".join(rng.choice(list(alphabet[:5]), n))), (kind, (alphabet[:3] * n)[:n])]
+    rows.append(("random_hex", "a" * 20))
+    got = secret_scan.battery(spark.createDataFrame(rows, "kind string, s string")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        alphabet = secret_scan._ENCODINGS[r.kind][1]
+        pairs, p_runs, p_serial = _statistics(r.s, alphabet)
+        if len(r.s) <= secret_scan.EXACT:
+            tail = secret_scan.collision_tails(len(alphabet))[len(r.s)]
+            p_chi = tail[pairs] if pairs < len(tail) else 0
+        else:  # the cube root of chi-squared is about normal
+            k, n = len(alphabet), len(r.s)
+            x = k / n * (2 * pairs + n) - n
+            z = ((x / (k - 1)) ** (1 / 3) - 1 + 2 / (9 * (k - 1))) / math.sqrt(2 / (9 * (k - 1)))
+            p_chi = math.erfc(z / math.sqrt(2)) / 2
+        assert r.p == pytest.approx(1 - (1 - min(p_chi, p_runs, p_serial)) ** 3, abs=2e-6)
+
+
+def test_exact_tables():
+    """Against all strings of a few characters, and against draws."""
+    from itertools import product
+
+    pairs = lambda x: sum(v * (v - 1) // 2 for v in Counter(x).values())
+    every = Counter(pairs(x) for x in product(range(3), repeat=7))
+    tail = secret_scan.collision_tails(3, 16)[7]
+    for c in range(22):
+        assert tail[c] == pytest.approx(sum(n for x, n in every.items() if x >= c) / 3**7, abs=1e-9)
+    drawn = [pairs(x) for x in np.random.default_rng(0).integers(0, 62, (4000, 20)).tolist()]
+    for c in (1, 3, 6):
+        assert secret_scan.collision_tails(62)[20][c] == pytest.approx(sum(x >= c for x in drawn) / 4000, abs=0.03)
 
 
 def test_randomness_battery(spark):
+    """Random strings of every encoding are found; strings of ordinary words are not reported beyond the stated share."""
     rng = np.random.default_rng(2)
-    alphabet = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
-    random = ["".join(rng.choice(alphabet, 40)) for _ in range(50)]
-    plain = ["ggggbbbb1111" * 4, "xyzxyzxyzxyzxyzxyzxyz123123", "user1user1user1user1user1user1"] * 5
-    data = [(i, f"see {t} here") for i, t in enumerate(random + plain)]
-    found = {r.doc_id: r.spans for r in secret_scan.digest(secret_scan.scan(spark.createDataFrame(data, "doc_id long, text string"))).collect()}
-    assert sum("random_base62:4:44" in found[i] for i in range(50)) >= 45
-    assert not any(found[i] for i in range(50, 65))
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang = 'en' and length(text) between 300 and 3000").limit(100).collect()]
+    words = [w for t in texts for w in t.split() if w.isalpha() and w.isascii()]
+    data, planted = [], {}
+    for kind, (_, alphabet, _) in secret_scan._ENCODINGS.items():
+        for n in (24, 31) if kind in ("random_decimal", "random_hex") else (40, 60):  # longer ones of these are base spans; short ones are harder to tell
+            for _ in range(20):
+                token = "".join(rng.choice(list(alphabet), n))
+                planted[len(data)] = kind, n
+                data.append((len(data), f"{texts[len(data) % 100]} see {token} here"))
+    plain = len(data)
+    for j in range(400):
+        token = "ggggbbbb1111" * 4 if j % 40 == 0 else ""
+        while len(token) < 20 + j % 40:
+            token += ("-" if j % 2 and token else "") + str(rng.choice(words)).lower()
+        data.append((len(data), f"{texts[j % 100]} see {token} here"))
+    frame = spark.createDataFrame(data, "doc_id long, text string")
+    found = {r.doc_id: [(s.kind, s.end - s.start) for s in r.spans if s.kind.startswith("random")] for r in secret_scan.scan(frame).collect()}
+    for kind in secret_scan._ENCODINGS:
+        own = [i for i, (k, _) in planted.items() if k == kind]
+        assert sum(any(n == planted[i][1] for _, n in found[i]) for i in own) >= (0.5 if kind in ("random_decimal", "random_hex") else 0.85) * len(own), kind
+    reported = sum(map(len, found.values()))
+    assert sum(len(found[i]) for i in range(plain, len(data))) <= secret_scan.FALSE_DISCOVERY * reported
 
 
 def test_values_after_an_equals_sign(spark):
@@ -313,6 +577,7 @@ def test_values_after_an_equals_sign(spark):
 
 @pytest.mark.parametrize("limit", [200, 2000, 10**9])
 def test_sharding(odd, docs, limit):
+    assert sharding.assign(odd.limit(0), limit).count() == 0
     for frame in (odd, docs):
         got = frame.join(sharding.assign(frame, limit), "doc_id").select("doc_id", "shard", "depth", "shard_bytes", "oversize", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).collect()
         assert len(got) == frame.count()
@@ -328,24 +593,55 @@ def test_sharding(odd, docs, limit):
                 assert parent > limit
 
 
-def test_packing(odd, docs):
+def _reference_ids():
     from tokenizers import Tokenizer
 
     import public_tokenizers
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     t.encode_special_tokens = True
-    for frame in (odd, docs.limit(60)):
+    return lambda text: t.encode(text, add_special_tokens=False).ids
+
+
+def test_ids_are_those_of_the_json_vocabulary(spark):
+    """Over every text of sf0.1, and over long runs."""
+    encode, ids = packing.encoder(packing.default_vocabulary()), _reference_ids()
+    for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").toLocalIterator():
+        assert encode(r.text or "") == ids(r.text or "")
+    for text in ("a" * 200_000, " " * 200_000, "ab" * 100_000, "\n \t" * 50_000, "\U0001f600" * 30_000, "7" * 100_000, "'" * 50_000):
+        assert encode(text) == ids(text)
+    words = " ".join(["word", "don't", "  ", "é", "a1", "x" * 300, "\n"][i * i % 7] for i in range(20_000))
+    for limit in (1, 7, 1000):
+        assert packing.encode_in_parts(encode, words, limit).tolist() == ids(words)
+
+
+@pytest.mark.parametrize("bases", [10**6, 0])
+def test_packing(spark, odd, docs, monkeypatch, bases):
+    """0: the numbers of pieces before each block meet the pieces by a shuffle."""
+    monkeypatch.setattr(packing, "BROADCAST_BASES", bases)
+    encode = _reference_ids()
+    extra = spark.createDataFrame([(40, "x y"), (40, "x y"), (None, "x y"), (41, " ".join(f"w{i}" for i in range(9000)))], "doc_id long, text string")
+    for frame in (odd, docs, extra):
         out = packing.pack(frame, with_ids=True).toPandas()
-        for r in frame.collect():
-            own = out[out.doc_id == r.doc_id].sort_values("piece")
-            ids = t.encode(r.text or "", add_special_tokens=False).ids + [2]
-            assert list(np.concatenate(own.ids.values)) == ids
-            assert own.start.tolist() == [0, *np.cumsum(own.length.values)[:-1].tolist()]
-            assert all(x == 1024 for x in own.length[1:]) and own.ids_crc32.tolist() == [zlib.crc32(np.array(x, dtype="<u4").tobytes()) for x in own.ids]
+        expected = sorted((repr(r.doc_id), [*encode(r.text or ""), 2]) for r in frame.select("doc_id", "text").collect())
+        out["doc_id"] = [repr(None if x != x else int(x)) for x in out.doc_id]
+        out = out.sort_values(["doc_id", "piece"], kind="stable")
+        own = {i: g for i, g in out.groupby("doc_id")}
+        for i in {i for i, _ in expected}:
+            texts = [ids for x, ids in expected if x == i]
+            g = own[i]
+            if len(texts) > 1:  # repeated rows are packed each
+                assert sorted(list(x) for x in g.ids) == sorted(texts)
+                continue
+            assert list(np.concatenate(g.ids.values)) == texts[0] and g.piece.tolist() == list(range(len(g)))
+            assert g.start.tolist() == [0, *np.cumsum(g.length.values)[:-1].tolist()] and all(x == 1024 for x in g.length[1:])
+        assert out.ids_crc32.tolist() == [zlib.crc32(np.array(x, dtype="<u4").tobytes()) for x in out.ids]
         for _, g in out.groupby("sequence_id"):
             g = g.sort_values("offset")
             assert g.offset.tolist() == [0, *np.cumsum(g.length.values)[:-1].tolist()] and g.length.sum() <= 1024
+        # No fewer sequences are possible than the ids fill, and than pieces over half a sequence need.
+        least = max(-(-int(out.length.sum()) // 1024), int((out.length > 512).sum()))
+        assert least <= out.sequence_id.nunique() <= 1.02 * least + 1
     assert packing.pack(docs.limit(0)).count() == 0
 
 
@@ -373,6 +669,36 @@ def test_packing_plans_are_no_worse_than_best_fit():
         assert packing.Places(patterns, cap).sequences <= len(rooms)
 
 
+def test_viterbi_by_brute_force():
+    """The labels are those of the best of all paths, scores less a penalty for each switch."""
+    from itertools import product
+
+    rng = np.random.default_rng(6)
+    texts = ["aa bb cc aa dd", "bb", "", "dd cc bb aa dd cc", None, "aa aa aa"]
+    runs = language_id._Runs(texts)
+    for penalty in (0.0, 0.5, 2.0):
+        score = -rng.random((len(runs.words), 3)) * 3
+        label = language_id._viterbi(score, runs, penalty)
+        for i in range(len(texts)):
+            own = runs.ids[runs.first[i] : runs.first[i + 1]]
+            value = lambda path: sum(score[w, s] for w, s in zip(own, path, strict=True)) - penalty * sum(a != b for a, b in zip(path, path[1:], strict=False))  # noqa: E731, B023
+            found = label[runs.first[i] : runs.first[i + 1]]
+            if len(own):
+                assert value(found) == pytest.approx(max(map(value, product(range(3), repeat=len(own)))))
+
+
+def test_language_id_pieces_and_columns(spark, monkeypatch):
+    """Batches cut in pieces give the same; other columns and empty tables do no harm."""
+    big = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = language_id.learn(big)
+    whole = {r.doc_id: (r.lang_pred, round(r.score, 9)) for r in language_id.predict(big, model).collect()}
+    clash = big.withColumns({"lang_pred": F.lit("x"), "score": F.lit(1), "spans": F.lit(1)})
+    assert {r.doc_id: (r.lang_pred, round(r.score, 9)) for r in language_id.predict(clash.repartition(50), model).collect()} == whole
+    assert language_id.predict(big.limit(0), model).count() == 0
+    kept = language_id.keep_identified(clash, model, 0.15)
+    assert kept.columns == clash.columns and {r.doc_id for r in kept.collect()} == {i for i, (lang, score) in whole.items() if lang != "und" and score >= 0.15}
+
+
 def test_language_id(spark, docs):
     big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language_id.learn(big.where(language_id.fold() != 2))
@@ -389,27 +715,69 @@ def test_language_id(spark, docs):
     assert language_id.predict(odd, nothing).where("lang_pred <> 'und'").count() == 0
 
 
-def test_pipeline(spark):
+def _pipeline_by_brute_force(spark, rows, d):
+    """What each stage keeps: identifiers, from the stage before, by definition."""
     import corpus_pipeline as c
 
-    d = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{d}/documents.parquet")
-    at, kept = docs, {}
-    for name, f in c.STAGES:
-        at = f(spark, at, d)
-        kept[name] = {r.doc_id for r in at.select("doc_id").collect()}
-        if name != "packing":
-            assert at.columns == docs.columns
-    data = {r.doc_id: r.text for r in docs.collect()}
+    data = [(r.doc_id, r.text) for r in rows]
+    model = language_id.learn(spark.createDataFrame([(r.text, r.lang) for r in rows], "text string, lang string"))
+    pick, score, _, _ = language_id._predict(model, [t for _, t in data], language_id.SWITCH_PENALTY)
+    at = [x for x, p, s in zip(data, pick, score, strict=True) if p >= 0 and s >= c.MIN_SCORE]
+    yield at
     best: dict[str, int] = {}
-    for i in kept["language_id"]:
-        best[data[i]] = max(i, best.get(data[i], -1))
-    assert kept["exact_dedup"] == set(best.values())
-    sets = {i: near_dedup.shingle_set(data[i].encode(), 5) for i in kept["exact_dedup"]}
+    for i, t in at:
+        best[t] = max(i, best.get(t, i))
+    at = sorted({(i, t) for t, i in best.items()})
+    yield at
+    sets = {i: near_dedup.shingle_set(t.encode(), 5) for i, t in at}
     label = {i: i for i in sets}
     links = [(i, j) for i in sets for j in sets if i < j and sets[i] & sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
     for _ in range(5):
         for i, j in links:
             label[i] = label[j] = min(label[i], label[j])
-    assert kept["near_dedup"] == set(label.values())
-    assert kept["packing"] == kept["decontamination"] <= kept["near_dedup"]
+    at = [x for x in at if label[x[0]] == x[0]]
+    yield at
+    split = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", t.translate(LOWER))
+    items = [w for r in spark.read.parquet(f"{d}/benchmark.parquet").collect() if (w := split(r.text or ""))]
+    grams = {tuple(w[k : k + 10]) for w in items for k in range(max(len(w) - 10, 0) + 1)}
+    sizes = {len(g) for g in grams}
+    at = [x for x in at if not any(tuple(w[k : k + n]) in grams for w in [split(x[1])] for n in sizes for k in range(len(w) - n + 1))]
+    yield at
+    ids = _reference_ids()
+    yield [(i, len(ids(t)) + 1) for i, t in at]
+
+
+def test_pipeline(spark, tmp_path):
+    import corpus_pipeline as c
+
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    odd = [(10**6, None), (10**6 + 1, ""), (10**6 + 2, " 42 "), (10**6 + 3, None)]
+    extra = spark.createDataFrame([(i, t, None, "s", 0) for i, t in odd], docs.schema)
+    at = docs.unionByName(extra).withColumns({"digest": F.lit("x"), "__w": F.lit(1)})
+    rows, columns = at.collect(), at.columns
+    for (name, f), expected in zip(c.STAGES, _pipeline_by_brute_force(spark, rows, d), strict=True):
+        at = f(spark, at, d)
+        if name == "packing":
+            ids = Counter()
+            for r in at.collect():
+                ids[r.doc_id] += r.length
+            assert ids == dict(expected)
+        else:
+            assert at.columns == columns and sorted((r.doc_id, r.text) for r in at.collect()) == sorted(expected)
+    empty = docs.limit(0)
+    for name, f in c.STAGES:
+        empty = f(spark, empty, d)
+        assert empty.count() == 0, name
+
+
+def test_pipeline_leaves_its_results_only(spark):
+    from pathlib import Path
+
+    import corpus_pipeline as c
+
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"), "warraq")
+    before = set(shared.iterdir()) if shared.exists() else set()
+    assert c.run(spark, "/root/testdata/sf0.001").count() > 0
+    (work,) = set(shared.iterdir()) - before
+    assert sorted(p.name for p in work.iterdir()) == sorted(name for name, _ in c.STAGES)

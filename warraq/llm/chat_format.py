@@ -6,10 +6,16 @@ a window takes: the leading system turns come first in each window, then at most
 ``history`` turns repeated from the window before, then new turns.  Only assistant
 turns that are new in a window are under the loss mask, so each is a target once.
 
+Leading system turns are retained while together they take at most ``SYSTEM_SHARE`` of
+the budget; from the first that does not fit, they are turns like others.
+
 Conversations are streamed in order of (conversation, turn) through a task, which
-holds one window at a time; a conversation of any length needs bounded memory.
+holds one window at a time; a conversation of any length, of system turns too, needs
+memory for a window and a turn.  Since digests run over a conversation in order, one
+conversation is the work of one task.
 
-Defined cases: null texts and roles are empty; null turns sort first; rows with the
+Defined cases: null texts and roles are empty; a null conversation is one of its own;
+null turns sort first; rows with the
 same turn are ordered by role and text and all kept; a turn over the budget has a
 window of its own (``tokens`` tells); an empty table gives an empty result; other
 columns are ignored.
@@ -25,12 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .packing import default_vocabulary, encoder
 
 BUDGET = 1024
 HISTORY = 2
 #: Share of the budget that repeated history may take.
 HISTORY_SHARE = 0.25
+#: Share that the retained system turns may take.
+SYSTEM_SHARE = 0.75
 
 # Marks before and after a turn of each role, and of any other role.
 _MARKS = {"system": ("<<SYS>>", "<</SYS>>"), "user": ("[INST]", "[/INST]"), "assistant": ("<a>", "</s>")}
@@ -99,7 +108,7 @@ class _Conversation:
     def add(self, role: str, text: str) -> Iterator[dict]:
         formatted, a, b = write_turn(role, text)
         turn = (formatted, a, b, role == "assistant", self.count(formatted))
-        if role == "system" and not self.started:
+        if role == "system" and not self.started and self.lead + turn[4] <= self.budget * SYSTEM_SHARE:
             self.system.append(turn)
             self.lead += turn[4]
             return
@@ -143,6 +152,7 @@ def format_windows(
     conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text",
 ) -> DataFrame:
     """One row a window: conv_id, window, text, n_system, n_repeat, n_turns, tokens, loss (code point spans)."""
+    ship(conversations.sparkSession)
     vocabulary = vocabulary or default_vocabulary()
     rows = conversations.select(
         F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"),

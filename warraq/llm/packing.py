@@ -6,7 +6,8 @@ whatever the corpus' size.  The driver reduces it: sets of up to three lengths t
 dominate every other set with their largest piece are fixed for good; what remains
 is packed best-fit, longest first.  The plan says which ranks of each length go to
 which sequences; each piece finds its own by its rank among pieces of its length,
-which is a prefix sum over blocks plus its place inside its block.
+which is a prefix sum over blocks (a block is what one task wrote) plus its place
+inside its block.  A long text is encoded in parts, cut where a token surely ends.
 
 Defined cases: a null or empty text is one piece holding the end id alone; texts of
 more than ``capacity`` ids are cut into full pieces with the first taking what is
@@ -17,6 +18,7 @@ columns are ignored.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from functools import lru_cache
 
@@ -26,10 +28,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_text, stage, work_dir
+from .common import PIECE_BYTES, give_back, id_text, pieces, stage, work_dir
 
 CAPACITY = 1024
 END_ID = 2
+#: Rows (block, length, pieces before; about 30 bytes each) up to this number are broadcast to the pieces; more are shuffled.
+BROADCAST_BASES = 1_000_000
+#: Before a single space between letters a byte-level token always ends, whatever is around.
+_SURE_END = re.compile("(?<=[A-Za-z])(?= [A-Za-z])")
 
 
 @lru_cache(maxsize=2)
@@ -59,21 +65,35 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def encode_in_parts(encode, text: str, limit: int = PIECE_BYTES) -> np.ndarray:
+    """Ids of a text; of a long one part by part, so that only ids grow with it."""
+    out, at = [], 0
+    while len(text) - at > limit:
+        end = _SURE_END.search(text, at + limit)
+        if not end:
+            break
+        out.append(np.array(encode(text[at : end.start()]), dtype="<u4"))
+        at = end.start()
+    out.append(np.array(encode(text[at:] if at else text), dtype="<u4"))
+    return np.concatenate(out) if at else out[0]
+
+
 def tokenize(docs: DataFrame, vocabulary: str, capacity: int, end_id: int, with_ids: bool) -> DataFrame:
     """One row a piece; ``nth`` is its place among the pieces of its length in its block."""
 
     def run(batches):
         encode = encoder(vocabulary)
-        part = TaskContext.get().partitionId() << 32
-        for number, batch in enumerate(batches):
-            ids_of, pieces, starts, lengths, sums, arrays = [], [], [], [], [], []
+        block = TaskContext.get().partitionId()
+        seen = np.zeros(capacity + 1, dtype=np.int64)  # pieces of each length so far
+        for batch in pieces(batches, "text"):
+            ids_of, numbers, starts, lengths, sums, arrays = [], [], [], [], [], []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = np.array(encode(text.as_py() or "") + [end_id], dtype="<u4")
+                ids = np.append(encode_in_parts(encode, text.as_py() or ""), np.uint32(end_id)).astype("<u4")
                 first = len(ids) % capacity or capacity
                 cuts = [0, *range(first, len(ids) + 1, capacity)]
                 for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
                     ids_of.append(doc_id)
-                    pieces.append(k)
+                    numbers.append(k)
                     starts.append(a)
                     lengths.append(b - a)
                     sums.append(zlib.crc32(ids[a:b].tobytes()))
@@ -85,15 +105,18 @@ def tokenize(docs: DataFrame, vocabulary: str, capacity: int, end_id: int, with_
             nth = np.empty(len(length), dtype=np.int64)
             sizes = np.diff(np.append(run_start, len(length)))
             nth[order] = np.arange(len(length)) - np.repeat(run_start, sizes)
+            nth += seen[length]
+            seen += np.bincount(length, minlength=capacity + 1)
             columns = [
-                pa.array(ids_of, pa.int64()), pa.array(pieces, pa.int32()), pa.array(starts, pa.int64()), pa.array(length),
-                pa.array(sums, pa.int64()), pa.array(np.full(len(length), part + number)), pa.array(nth),
+                pa.array(ids_of, pa.int64()), pa.array(numbers, pa.int32()), pa.array(starts, pa.int64()), pa.array(length),
+                pa.array(sums, pa.int64()), pa.array(np.full(len(length), block, dtype=np.int64)), pa.array(nth),
             ]
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "block", "nth"]
             if with_ids:
                 columns.append(pa.array(arrays, pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names=names)
+        give_back()
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, block long, nth long"
     return id_text(docs).mapInArrow(run, schema + (", ids array<int>" if with_ids else ""))
@@ -229,15 +252,16 @@ def pack(
     """One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids, if asked for)."""
     spark = docs.sparkSession
     work = work_dir(spark, "packing")
-    pieces = stage(tokenize(id_text(docs, id_col, text_col), vocabulary or default_vocabulary(), capacity, end_id, with_ids), f"{work}/pieces")
-    blocks = stage(pieces.groupBy("block", "length").agg(F.count(F.lit(1)).alias("n")), f"{work}/blocks")
+    cut = stage(tokenize(id_text(docs, id_col, text_col), vocabulary or default_vocabulary(), capacity, end_id, with_ids), f"{work}/pieces")
+    blocks = stage(cut.groupBy("block", "length").agg(F.count(F.lit(1)).alias("n")), f"{work}/blocks")
     counts = np.zeros(capacity + 1, dtype=np.int64)
     for row in blocks.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most `capacity` rows
         counts[row["length"]] = row["n"]
     places = spark.sparkContext.broadcast(Places(plan(counts, capacity), capacity))
     before = Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     bases = blocks.select("block", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    ranked = pieces.join(bases, ["block", "length"]).withColumn("rank", F.col("base") + F.col("nth"))
+    bases = F.broadcast(bases) if blocks.count() <= BROADCAST_BASES else bases.hint("shuffle_hash")
+    ranked = cut.join(bases, ["block", "length"]).withColumn("rank", F.col("base") + F.col("nth"))
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + (["ids"] if with_ids else [])
 
     def place(batches):

@@ -66,6 +66,13 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign(table(spark, sf_dir, "documents"))
 
 
+def sharding_small_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator at a limit that splits small tables, several bits deep."""
+    from .sharding import assign
+
+    return assign(table(spark, sf_dir, "documents"), limit_bytes=1 << 16)
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -93,6 +100,7 @@ QUERIES: dict[str, Query] = {
     "op5_chat_format": op5_chat_format,
     "op6_secret_scan": op6_secret_scan,
     "op7_sharding": op7_sharding,
+    "sharding_small_limit": sharding_small_limit,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_language_id": op9_language_id,
     "op10_exact_dedup": op10_exact_dedup,
@@ -102,6 +110,21 @@ QUERIES: dict[str, Query] = {
 _WORDS = r"""list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
         '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"""
 
+
+
+def _shards(limit: int) -> str:
+    return f"""
+        WITH d AS (SELECT doc_id, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h,
+                          coalesce(strlen(text), 0)::BIGINT AS bytes FROM documents),
+        p AS (SELECT doc_id, h, bytes, k, h >> (60 - k) AS prefix FROM d, unnest(generate_series(0, 60)) AS s(k)),
+        n AS (SELECT k, prefix, sum(bytes)::BIGINT AS shard_bytes, count(*) AS shard_docs, min(h) AS lo, max(h) AS hi FROM p GROUP BY 1, 2),
+        leaf AS (SELECT p.doc_id, min(k) AS depth FROM p JOIN n USING (k, prefix)
+                 WHERE shard_bytes <= {limit} OR lo = hi GROUP BY 1)
+        SELECT p.doc_id, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(p.prefix), depth::INT, '0') END AS shard, depth::INT AS depth,
+               shard_bytes, shard_docs, shard_bytes > {limit} AS oversize
+        FROM leaf JOIN p ON p.doc_id = leaf.doc_id AND p.k = leaf.depth JOIN n ON n.k = p.k AND n.prefix = p.prefix"""
+
+
 SQL: dict[str, str] = {
     "op2_decontamination": f"""
         WITH dw AS (SELECT doc_id, {_WORDS} AS w FROM documents),
@@ -116,16 +139,8 @@ SQL: dict[str, str] = {
         SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
                sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM dw LEFT JOIN cov USING (doc_id) LEFT JOIN it USING (doc_id)""",
-    "op7_sharding": """
-        WITH d AS (SELECT doc_id, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h,
-                          coalesce(strlen(text), 0)::BIGINT AS bytes FROM documents),
-        p AS (SELECT doc_id, h, bytes, k, h >> (60 - k) AS prefix FROM d, unnest(generate_series(0, 60)) AS s(k)),
-        n AS (SELECT k, prefix, sum(bytes)::BIGINT AS shard_bytes, count(*) AS shard_docs, min(h) AS lo, max(h) AS hi FROM p GROUP BY 1, 2),
-        leaf AS (SELECT p.doc_id, min(k) AS depth FROM p JOIN n USING (k, prefix)
-                 WHERE shard_bytes <= 33554432 OR lo = hi GROUP BY 1)
-        SELECT p.doc_id, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(p.prefix), depth::INT, '0') END AS shard, depth::INT AS depth,
-               shard_bytes, shard_docs, shard_bytes > 33554432 AS oversize
-        FROM leaf JOIN p ON p.doc_id = leaf.doc_id AND p.k = leaf.depth JOIN n ON n.k = p.k AND n.prefix = p.prefix""",
+    "op7_sharding": _shards(32 << 20),
+    "sharding_small_limit": _shards(1 << 16),
     "op10_exact_dedup": """
         WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
