@@ -112,7 +112,10 @@ def test_services(spark, tmp_path):
     due = lambda last, enabled=True, folder=lib: services.run_backup_if_due(str(folder), str(tmp_path / "auto.zip"), enabled, last, now_)[0]
     assert [due(None, False), due(dt.datetime(2026, 1, 5)), due(dt.datetime(2026, 1, 1)), due(None)] == ["Disabled", "NotDue", "Created", "Created"]
     assert services.run_backup_if_due(str(lib), str(tmp_path / "no" / "such" / "b.zip"), True, None, now_)[0] == "Failed"
-    assert services.Preferences.of({"ocr_workers": 9}).ocr_workers == 4
+    p = services.Preferences.of({"parallel_ocr_workers": "9", "results_limit": "many", "time_mode": "usage_date", "auto_backup_enabled": "TRUE", "split_books": "0.01"})
+    assert (p.parallel_ocr_workers, p.results_limit, p.time_mode, p.auto_backup_enabled, p.split_books) == (4, 1000, "usage_date", True, 0.1)
+    p.save(str(tmp_path / "prefs"))
+    assert services.Preferences.load(str(tmp_path / "prefs")) == p and services.Preferences.load(str(tmp_path / "none")) == services.Preferences()
     now = F.lit("2026-01-08").cast("date")
     assert one(spark, "2026-01-01", services.backup_due(F.col("t").cast("date"), now)) is True
 

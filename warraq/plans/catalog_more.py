@@ -536,3 +536,45 @@ def _(spark, d):
     own = lambda n, letter, word: c.where(i % n == 0).select(F.concat(F.lit(letter), i.cast("string")).alias("key"), F.concat(F.lit(f"{word} "), F.col("c_name")).alias("text"))
     known = own(3, "كَ", "exact").unionByName(own(2, "ك", "loose"))
     return services.translation_chain(c.select(F.concat(F.lit("كَ"), i.cast("string")).alias("key")), own(5, "كَ", "hand"), known)
+
+
+# -- files -----------------------------------------------------------------------------------
+
+_LETTERS, _AR_LETTERS = _LATIN[:52], _ARABIC[:52]
+_PLAIN = f"translate(regexp_replace(text, '[^ -~\\n]', '', 'g'), '{_LETTERS}', '{_AR_LETTERS}')"
+
+
+@query("src_read_texts", f"""WITH t AS (SELECT doc_id, {_PLAIN} AS a, CASE doc_id % 4 WHEN 3 THEN 'PDF' WHEN 2 THEN 'Txt' ELSE 'txt' END AS ext FROM documents),
+    v AS (SELECT *, ext <> 'PDF' AND len(regexp_extract_all(substr(a, 1, 2000), '[؀-ۿ]')) > 5 AS ok FROM t)
+    SELECT '/in/' || doc_id || '.' || ext AS path, doc_id::VARCHAR AS title, CASE WHEN ok THEN a END AS text, CASE WHEN ext = 'PDF' THEN 'نوع غير مدعوم: pdf' WHEN NOT ok THEN 'فشل قراءة الملف' END AS error
+    FROM v WHERE ok OR ext = 'PDF' OR NOT regexp_full_match(substr(a, 1, 2000), '[\\x20-\\x7E\\s]*')""")
+def _(spark, d):
+    """Texts as files: with a byte order mark, in an old encoding, of another kind."""
+    files.with_decode_settings(spark)
+    i = F.col("doc_id")
+    a = F.translate(F.regexp_replace("text", "[^ -~\\n]", ""), _LETTERS, _AR_LETTERS)
+    content = F.when(i % 4 == 0, F.concat(F.unhex(F.lit("EFBBBF")), F.encode(a, "UTF-8"))).when(i % 4 == 1, F.encode(a, "windows-1256")).otherwise(F.encode(a, "UTF-8"))
+    ext = F.when(i % 4 == 3, "PDF").when(i % 4 == 2, "Txt").otherwise("txt")
+    arabic_enough = F.regexp_count(F.substring(a, 1, 2000), F.lit("[؀-ۿ]")) > 5
+    rows = table(spark, d, "documents").where((i % 4 == 3) | arabic_enough | ~F.substring(a, 1, 2000).rlike(r"\A[\x20-\x7E\s]*\z"))
+    return files.read_texts(rows.select(F.concat(F.lit("/in/"), i.cast("string"), F.lit("."), ext).alias("path"), content.alias("content")))
+
+
+@query("sca_parse_int", """SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE (o_orderkey * 1003)::INT END AS n FROM orders""")
+def _(spark, d):
+    """Counts with thousands separators and a word after them."""
+    i = F.col("o_orderkey")
+    text = F.when(i % 5 == 0, "كثير").otherwise(F.concat(F.lit(" "), F.format_number((i * 1003).cast("long"), 0), F.lit(" كلمة 99")))
+    return table(spark, d, "orders").select("o_orderkey", headers.parse_int(text).alias("n"))
+
+
+@query("set_chain_acceptance", """SELECT c_custkey, (c_custkey % 20 + 6 + CASE WHEN c_custkey % 2 = 0 THEN 3 ELSE 0 END)::INT AS marked, 1::BIGINT AS first,
+    (CASE WHEN c_custkey % 2 = 0 THEN 502 ELSE c_custkey % 20 + 6 END)::BIGINT AS last FROM customer""")
+def _(spark, d):
+    """A second chain is kept after the main one, and not inside its lines."""
+    n = (F.col("c_custkey") % 20 + 6).cast("int")
+    own = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(i.cast("string"), F.lit("\nنص")))
+    other = F.array(*[F.lit(f"{i}\nنص") for i in (500, 501, 502)])
+    lines = F.when(F.col("c_custkey") % 2 == 0, F.concat(own, other)).otherwise(F.concat(F.slice(own, 1, 3), other, F.slice(own, F.lit(4), F.size(own))))
+    m = page_numbers.marked(F.array_join(lines, "\n"))
+    return table(spark, d, "customer").select("c_custkey", m.alias("m")).select("c_custkey", "m.marked", "m.first", "m.last")

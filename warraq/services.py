@@ -164,22 +164,61 @@ def write_import_log(lines: DataFrame, path: str) -> None:
 
 @dataclass
 class Preferences:
-    """Typed settings with defaults; numbers are kept in their ranges."""
+    """Typed settings with defaults, kept as text; what is no number falls back, numbers are kept in their ranges."""
 
     results_limit: int = 1000
-    ocr_workers: int = 2
-    text_workers: int = min(max(os.cpu_count() or 2, 2), 8)
-    time_mode: str = "DEATH_YEAR"
+    parallel_ocr_workers: int = 2
+    parallel_text_workers: int = min(max(os.cpu_count() or 2, 2), 8)
+    time_mode: str = "death_year"
     locale: str = "ar"
+    theme: str = "earthy"
+    font_size: str = "M"
+    font_family: str = "Sakkal Majalla"
+    telemetry_enabled: bool = False
+    bundle_imported: bool = False
+    auto_backup_enabled: bool = False
+    last_backup_at_epoch: int = 0
+    last_import_folder_txt: str = ""
+    last_import_folder_pdf: str = ""
+    split_categories: float = 0.18
+    split_books: float = 0.33
+    split_display_vertical: float = 0.6
 
     def __post_init__(self):
-        self.ocr_workers = min(max(int(self.ocr_workers), 1), 4)
-        self.text_workers = min(max(int(self.text_workers), 1), 16)
+        for f in fields(self):
+            setattr(self, f.name, _typed(getattr(self, f.name), f.default))
+        for name, (low, high) in _RANGES.items():
+            setattr(self, name, min(max(getattr(self, name), low), high))
+        self.time_mode = self.time_mode if self.time_mode == "usage_date" else "death_year"
 
     @classmethod
     def of(cls, values: dict) -> Preferences:
         return cls(**{f.name: values[f.name] for f in fields(cls) if f.name in values})
 
+    @classmethod
+    def load(cls, path: str) -> Preferences:
+        if not os.path.exists(path):
+            return cls()
+        with open(path, encoding="utf-8") as f:
+            return cls.of(dict(line.rstrip("\n").split("=", 1) for line in f if "=" in line))
+
+    def save(self, path: str) -> None:
+        with open(path, "w", encoding="utf-8") as f:
+            f.writelines(f"{x.name}={str(getattr(self, x.name)).lower() if isinstance(x.default, bool) else getattr(self, x.name)}\n" for x in fields(self))
+
+
+_RANGES = {"parallel_ocr_workers": (1, 4), "parallel_text_workers": (1, 16), "split_categories": (0.05, 0.5), "split_books": (0.1, 0.7), "split_display_vertical": (0.2, 0.85)}
+
+
+def _typed(value, default):
+    """The value in the default's type, or the default."""
+    if isinstance(default, bool):
+        return str(value).lower() == "true"
+    try:
+        return type(default)(value)
+    except (TypeError, ValueError):
+        return default
+
 
 def locale_of(code: str, known: tuple[str, ...] = ("ar", "en", "fr")) -> str:
     return code if code in known else "ar"
