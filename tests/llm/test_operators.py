@@ -669,14 +669,15 @@ def test_packing_plans_are_no_worse_than_best_fit():
         assert packing.Places(patterns, cap).sequences <= len(rooms)
 
 
-def test_viterbi_by_brute_force():
+def test_viterbi_by_brute_force(monkeypatch):
     """The labels are those of the best of all paths, scores less a penalty for each switch."""
     from itertools import product
 
     rng = np.random.default_rng(6)
     texts = ["aa bb cc aa dd", "bb", "", "dd cc bb aa dd cc", None, "aa aa aa"]
     runs = language_id._Runs(texts)
-    for penalty in (0.0, 0.5, 2.0):
+    for penalty, step in ((0.0, 64), (0.5, 64), (2.0, 64), (0.5, 2), (1.0, 2), (2.0, 1), (0.3, 3)):
+        monkeypatch.setattr(language_id, "_STEP", step)
         score = -rng.random((len(runs.words), 3)) * 3
         label = language_id._viterbi(score, runs, penalty)
         for i in range(len(texts)):

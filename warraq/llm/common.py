@@ -5,7 +5,7 @@ from __future__ import annotations
 import ctypes
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -177,7 +177,10 @@ class Words:
         self.digests = [a.digest() + b.digest() for a, b in open_]
         self.hash = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         self.first = np.concatenate([[0], np.cumsum(self.count)])
-        self.row = np.repeat(np.arange(self.n_rows, dtype=np.int32), self.count)
+
+    @cached_property
+    def row(self) -> np.ndarray:
+        return np.repeat(np.arange(self.n_rows, dtype=np.int32), self.count)
 
     @staticmethod
     def _parts(col: pa.Array, limit: int) -> Iterator[tuple[int, pa.Array]]:

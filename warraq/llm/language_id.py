@@ -5,7 +5,8 @@ labelled word, and the scripts each language is written in.  The model has a fix
 size: ``BUCKETS`` rows a language.  Prediction scores each distinct word of a batch
 once, lets the word's script narrow the candidate languages, and runs Viterbi over
 the words of each text with a penalty for switching, which labels spans of mixed
-text.  All texts of a batch advance in step, so the dynamic programme is array work.
+text.  Texts are cut into blocks of words that advance in step, so the dynamic programme
+is array work for a long text as for many short ones.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0 and no
 spans; ties go to the language first in alphabetical order; words of a script that
@@ -32,6 +33,8 @@ ORDERS = (1, 2, 3, 4)
 SWITCH_PENALTY = 6.0
 #: Share of a language's words that must be in a script for that script to admit it.
 SCRIPT_SHARE = 0.005
+#: Words of a block that the dynamic programme steps through one by one.
+_STEP = 64
 #: Bytes of text whose words are scored together.
 _CHUNK_BYTES = 2 << 20
 
@@ -62,21 +65,30 @@ class Model:
     scripts: np.ndarray  # scripts x languages, True where the script admits the language
 
 
+def _parts(text: str, limit: int = 1 << 20) -> Iterator[str]:
+    """A long text in parts cut at spaces, where no word is cut."""
+    at = 0
+    while len(text) - at > limit and (end := text.find(" ", at + limit)) >= 0:
+        yield text[at:end]
+        at = end
+    yield text[at:] if at else text
+
+
 class _Runs:
     """Letter runs of a piece: distinct words, and for each text the ids of its words."""
 
     def __init__(self, texts: list[str | None]):
         ids: dict[str, int] = {}
-        seen: list[int] = []
+        seen: list[np.ndarray] = []
         count = np.zeros(len(texts), dtype=np.int64)
         for i, text in enumerate(texts):
-            if text:
-                found = [ids.setdefault(w, len(ids)) for w in _RUN.findall(text.lower())]
-                seen += found
-                count[i] = len(found)
+            for part in _parts(text or ""):
+                found = _RUN.findall(part.lower())
+                seen.append(np.fromiter((ids.setdefault(w, len(ids)) for w in found), dtype=np.int32, count=len(found)))
+                count[i] += len(found)
         self.words = list(ids)
         letters = np.fromiter((w.isalpha() or any(map(str.isalpha, w)) for w in self.words), dtype=bool, count=len(ids))
-        seen_a = np.array(seen, dtype=np.int64)
+        seen_a = np.concatenate(seen) if seen else np.zeros(0, dtype=np.int32)
         if len(ids) and not letters.all():  # such as a lone superscript digit
             keep = letters[seen_a]
             count = np.bincount(np.repeat(np.arange(len(texts)), count)[keep], minlength=len(texts))
@@ -159,32 +171,74 @@ def _emissions(model: Model, runs: _Runs) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _viterbi(score: np.ndarray, runs: _Runs, penalty: float) -> np.ndarray:
-    """Language of each word; all texts advance together, longest first."""
-    order = np.argsort(-runs.count, kind="stable")
-    count, first = runs.count[order], runs.first[:-1][order]
-    total, k = len(runs.ids), score.shape[1]
-    came = np.empty((total, k), dtype=np.int8 if k < 128 else np.int16)
-    best = np.zeros((len(order), k))
-    active = len(order) - np.searchsorted(count[::-1], np.arange(1, (count[0] if len(count) else 0) + 1))
-    stay = np.arange(k, dtype=came.dtype)
-    for t, a in enumerate(active):
-        at = first[:a] + t
-        cur = best[:a]
-        if t:
-            top = cur.argmax(1)
-            jump = cur[np.arange(a), top] - penalty
-            moved = jump[:, None] > cur
-            came[at] = np.where(moved, top[:, None].astype(came.dtype), stay)
-            cur = np.where(moved, jump[:, None], cur)
-        best[:a] = cur + score[runs.ids[at]]
-    label = np.zeros(total, dtype=np.int64)
-    state = best.argmax(1)
-    for t in range(len(active) - 1, -1, -1):
-        a = active[t]
-        at = first[:a] + t
-        label[at] = state[:a]
-        if t:
-            state[:a] = came[at, state[:a]]
+    """Language of each word.
+
+    Texts are cut into blocks of ``_STEP`` words, which advance together: once from each
+    language that could come before (what the block adds from language to language), then
+    from what the blocks before really give, and back the same way.  So the number of steps
+    is that of a block's words and of a text's blocks, not of a text's words.
+    """
+    k, total = score.shape[1], len(runs.ids)
+    label = np.zeros(total, dtype=np.int16)
+    n_blocks = -(-runs.count // _STEP)
+    text = np.repeat(np.arange(len(n_blocks)), n_blocks)
+    nth = np.arange(len(text)) - np.repeat(np.cumsum(n_blocks) - n_blocks, n_blocks)
+    size = np.minimum(_STEP, runs.count[text] - nth * _STEP)
+    order = np.argsort(-size, kind="stable")  # those still running are the first ones
+    text, nth, size = text[order], nth[order], size[order]
+    start = runs.first[:-1][text] + nth * _STEP
+    where = np.empty(len(order), dtype=np.int64)
+    where[order] = np.arange(len(order))  # row of the i-th block in reading order
+    before = np.where(nth > 0, np.append(where, -1)[order - 1], -1)  # row of the block before it
+    running = len(size) - np.searchsorted(size[::-1], np.arange(1, _STEP + 1))
+    running = running[running > 0]
+    stay = np.arange(k, dtype=np.int8 if k < 128 else np.int16)
+    came = np.empty((total, k), dtype=stay.dtype)
+
+    def forward(cur: np.ndarray, rows: np.ndarray | None = None) -> np.ndarray:
+        """Best values (block, way in, language) at the end of each block; without ``rows`` for all, keeping where each came from."""
+        own_start, fresh = (start, nth == 0) if rows is None else (start[rows], nth[rows] == 0)
+        for t, a in enumerate(running if rows is None else [len(rows)] * _STEP):
+            at, now = own_start[:a] + t, cur[:a]
+            jump = now.max(axis=2, keepdims=True) - penalty
+            moved = jump > now
+            if t == 0:
+                moved &= ~fresh[:a, None, None]
+            if rows is None:
+                came[at] = np.where(moved[:, 0], now[:, 0].argmax(axis=1)[:, None].astype(stay.dtype), stay)
+            cur[:a] = np.where(moved, jump, now) + score[runs.ids[at]][:, None, :]
+        return cur
+
+    entry = np.zeros((len(order), k))
+    inner = np.flatnonzero(np.isin(np.arange(len(order)), before[before >= 0]))  # full blocks with one after them
+    by_nth = np.argsort(nth[inner], kind="stable")
+    levels = np.split(inner[by_nth], np.flatnonzero(np.diff(nth[inner][by_nth])) + 1) if len(inner) else []
+    after = np.full(len(order) + 1, -1)
+    after[before] = np.arange(len(order))
+    if len(inner):
+        ways = np.where(np.eye(k, dtype=bool), 0.0, -np.inf)
+        adds = np.empty((len(order), k, k))
+        adds[inner] = forward(np.where((nth[inner] == 0)[:, None, None], 0.0, ways[None]), inner)
+        for rows in levels:
+            entry[after[rows]] = (entry[rows][:, :, None] + adds[rows]).max(axis=1)
+        del adds
+    last = forward(entry[:, None, :].copy())[:, 0].argmax(axis=1)
+
+    def back(state: np.ndarray, keep: bool) -> np.ndarray:
+        """State before each block, from states (block, way out) at its end."""
+        for t in range(len(running) - 1, -1, -1):
+            a = running[t]
+            at = start[:a] + t
+            if keep:
+                label[at] = state[:a, 0]
+            state[:a] = np.take_along_axis(came[at], state[:a], axis=1)
+        return state
+
+    if len(inner):
+        ways_back = back(np.tile(np.arange(k), (len(order), 1)), keep=False)
+        for rows in reversed(levels):
+            last[rows] = ways_back[after[rows], last[after[rows]]]
+    back(last[:, None].copy(), keep=True)
     return label
 
 
@@ -194,11 +248,11 @@ def _predict(model: Model, texts: list[str | None], penalty: float):
     n, k = len(texts), len(model.langs)
     pick, conf = np.full(n, -1), np.zeros(n)
     if not len(runs.ids) or not k:
-        return pick, conf, runs, np.zeros(len(runs.ids), dtype=np.int64)
+        return pick, conf, runs, np.zeros(len(runs.ids), dtype=np.int16)
     score, evidence = _emissions(model, runs)
     label = _viterbi(score, runs, penalty)
-    row = np.repeat(np.arange(n), runs.count)
-    weight = runs.length[runs.ids] * evidence[runs.ids]
+    row = np.repeat(np.arange(n, dtype=np.int32), runs.count)
+    weight = (runs.length * evidence)[runs.ids]
     letters = np.stack([np.bincount(row, weights=weight * (label == j), minlength=n) for j in range(k)], 1)
     like = np.stack([np.bincount(row, weights=score[runs.ids, j], minlength=n) for j in range(k)], 1)
     some = runs.count > 0

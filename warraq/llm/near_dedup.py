@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, drop_stage, give_back, id_text, mix, pieces, stage, work_dir
+from .common import Words, drop_stage, give_back, id_text, mix, mix_in_place, pieces, stage, work_dir
 from .components import components
 
 BANDS, ROWS = 45, 6
@@ -75,24 +75,30 @@ def fast_sketch(h: np.ndarray, t: int, seeds: np.ndarray) -> np.ndarray:
 
 def shingle_hashes(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, hash) of each distinct shingle, rows ascending."""
-    h = words.hash
-    n = len(h)
-    rows, hashes = [], []
-    if n >= k:
-        acc = np.zeros(n - k + 1, dtype=np.uint64)
+    h, n = words.hash, len(words.hash)
+    whole = max(n - k + 1, 0)
+    acc = np.zeros(whole, dtype=np.uint64)
+    for a in range(0, whole, _AT_ONCE):
+        own = acc[a : a + _AT_ONCE]
         for j in range(k):
-            acc = mix(acc * np.uint64(0x2545F4914F6CDD1D) + h[j : n - k + 1 + j])
-        ok = words.row[: n - k + 1] == words.row[k - 1 :]
-        rows.append(words.row[: n - k + 1][ok])
-        hashes.append(acc[ok])
-    for row in np.flatnonzero((words.count > 0) & (words.count < k)):
-        acc = np.zeros(1, dtype=np.uint64)
+            own *= np.uint64(0x2545F4914F6CDD1D)
+            own += h[a + j : a + j + len(own)]
+            mix_in_place(own)
+    short = np.flatnonzero((words.count > 0) & (words.count < k))
+    if words.n_rows == 1 and not len(short):  # one long text: nothing to tell apart
+        acc.sort()
+        new = np.ones(whole, dtype=bool)
+        new[1:] = acc[1:] != acc[:-1]
+        acc = acc[new]
+        return np.zeros(len(acc), dtype=np.int32), acc
+    ok = words.row[:whole] == words.row[k - 1 :] if whole else np.zeros(0, dtype=bool)
+    rows, hashes = [words.row[:whole][ok]], [acc[ok]]
+    for row in short:
+        one = np.zeros(1, dtype=np.uint64)
         for x in h[words.first[row] : words.first[row + 1]]:
-            acc = mix(acc * np.uint64(0x2545F4914F6CDD1D) + x)
+            one = mix(one * np.uint64(0x2545F4914F6CDD1D) + x)
         rows.append(np.array([row]))
-        hashes.append(mix(acc + words.count[row].astype(np.uint64)))
-    if not rows:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        hashes.append(mix(one + words.count[row].astype(np.uint64)))
     row, hash_ = np.concatenate(rows), np.concatenate(hashes)
     order = np.lexsort((hash_, row))
     row, hash_ = row[order], hash_[order]

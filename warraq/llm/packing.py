@@ -34,8 +34,8 @@ CAPACITY = 1024
 END_ID = 2
 #: Rows (block, length, pieces before; about 30 bytes each) up to this number are broadcast to the pieces; more are shuffled.
 BROADCAST_BASES = 1_000_000
-#: Before a single space between letters a byte-level token always ends, whatever is around.
-_SURE_END = re.compile("(?<=[A-Za-z])(?= [A-Za-z])")
+#: Before a single space between other characters a byte-level token always ends, whatever is around.
+_SURE_END = re.compile("(?<=[!-~])(?= [!-~])")
 
 
 @lru_cache(maxsize=2)
