@@ -18,7 +18,11 @@ _RULE, _THIN = "=" * 60, "-" * 60
 
 def export_rows(results: DataFrame, pages: DataFrame) -> DataFrame:
     """Results with a serial, the page shown and the export snippet."""
-    df = page_of_result(numbered(results), pages, written=True)
+    return _shown(numbered(results), pages)
+
+
+def _shown(rows: DataFrame, pages: DataFrame) -> DataFrame:
+    df = page_of_result(rows, pages, written=True)
     return df.withColumn("page", display_page(F.col("original_page_number"), F.col("page_number"))).withColumn(
         "snippet", export_snippet(F.col("page_content"), F.col("matched_term"), F.col("context_snippet"))
     )
@@ -31,7 +35,10 @@ def csv_lines(results: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def text_blocks(results: DataFrame, pages: DataFrame) -> DataFrame:
-    df = export_rows(results, pages)
+    return _blocks(export_rows(results, pages))
+
+
+def _blocks(df: DataFrame) -> DataFrame:
     author = F.when(~blank(F.col("book_author")), F.concat(F.lit("\n    المؤلّف: "), F.col("book_author"))).otherwise("")
     year = F.when(~blank(F.col("book_year")), F.concat(F.lit("\n    السنة: "), F.col("book_year"))).otherwise("")
     head = F.concat(F.lit("["), F.col("serial").cast("string"), F.lit("] "), F.coalesce("book_title", F.lit("—")), F.lit(" — صفحة "), F.col("page"))
@@ -50,9 +57,10 @@ def write_csv(results: DataFrame, pages: DataFrame, path: str) -> None:
 
 
 def write_text(results: DataFrame, pages: DataFrame, path: str, query: str, when: str) -> None:
+    rows = numbered(results)  # written once, so the search runs once
     with open(path, "w", encoding="utf-8", newline="") as f:
-        f.write(f"نتائج البحث عن: {query}\nعدد النتائج: {results.count()}\nتاريخ التصدير: {when}\n{_RULE}\n\n")
-        f.writelines(block + "\n" for block in _stream(text_blocks(results, pages)))
+        f.write(f"نتائج البحث عن: {query}\nعدد النتائج: {rows.count()}\nتاريخ التصدير: {when}\n{_RULE}\n\n")
+        f.writelines(block + "\n" for block in _stream(_blocks(_shown(rows, pages))))
 
 
 def _run(text: str, hit: bool) -> str:

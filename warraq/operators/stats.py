@@ -13,10 +13,16 @@ from ..work import stage, work_dir
 from .search import TimeMode
 
 
+_META = ["book_title", "author", "category", "year", "death_year", "country"]
+
+
+def _first_page() -> Column:
+    return F.min_by(F.struct(*_META), F.struct("page_num", *[F.coalesce(c, F.lit("")) for c in _META]))
+
+
 def first_pages(pages: DataFrame) -> DataFrame:
     """The first page's metadata of each book: one struct minimum, no window."""
-    rest = ["book_title", "author", "category", "year", "death_year", "country"]
-    first = pages.groupBy("book_id").agg(F.min_by(F.struct(*rest), F.struct("page_num", *[F.coalesce(c, F.lit("")) for c in rest])).alias("f"))
+    first = pages.groupBy("book_id").agg(_first_page().alias("f"))
     return first.where("book_id is not null").select("book_id", "f.*")
 
 
@@ -49,13 +55,19 @@ def in_display_order(stats: DataFrame, key: str) -> DataFrame:
 
 
 def totals(pages: DataFrame) -> DataFrame:
-    """One row: books, pages, estimated words (characters by 5), authors of first pages."""
-    sums = pages.agg(
-        F.count_distinct("book_id").alias("total_books"), F.count(F.lit(1)).alias("total_pages"),
-        F.floor(F.coalesce(F.sum(F.when(F.col("book_id").isNotNull(), F.length("content"))), F.lit(0)) / 5).cast("long").alias("total_words_estimate"),
+    """One row: books, pages, estimated words (characters by 5), authors of first pages; one scan, added up by book first."""
+    first = F.min_by("author", F.struct("page_num", *[F.coalesce(c, F.lit("")) for c in _META])).alias("author")
+    own = pages.groupBy("book_id").agg(first, F.count(F.lit(1)).alias("pages"), F.sum(F.length("content")).alias("chars"))
+    return _totals(own, F.col("author"))
+
+
+def _totals(books: DataFrame, author: Column) -> DataFrame:
+    known = F.col("book_id").isNotNull()
+    return books.agg(
+        F.count("book_id").alias("total_books"), F.coalesce(F.sum("pages"), F.lit(0)).alias("total_pages"),
+        F.floor(F.coalesce(F.sum(F.when(known, F.col("chars"))), F.lit(0)) / 5).cast("long").alias("total_words_estimate"),
+        F.count_distinct(F.when(known & ~blank(author), author)).alias("author_count"),
     )
-    authors = first_pages(pages).where(~blank(F.col("author"))).agg(F.count_distinct("author").alias("author_count"))
-    return sums.join(F.broadcast(authors))  # one row beside one row
 
 
 def books(pages: DataFrame) -> DataFrame:
@@ -85,18 +97,12 @@ def aggregate_all(pages: DataFrame, time_mode: TimeMode = TimeMode.DEATH_YEAR) -
     """
     year = F.col(time_mode.value)
     keys = {"category": nonblank(F.col("category")), "year": F.when(year != UNKNOWN_YEAR, nonblank(year)), "region": nonblank(F.col("country"))}
-    rest = ["book_title", "author", "category", "year", "death_year", "country"]
-    first = F.min_by(F.struct(*rest), F.struct("page_num", *[F.coalesce(c, F.lit("")) for c in rest]))
+    first = _first_page()
     named = [F.collect_set(F.coalesce(value, F.lit(UNCLASSIFIED))).alias(f"in_{k}") for k, value in keys.items()]
     own = pages.groupBy("book_id").agg(first.alias("f"), *named, F.count(F.lit(1)).alias("pages"), F.coalesce(F.sum(F.length("content")), F.lit(0)).alias("chars"))
     own = stage(own, work_dir(pages.sparkSession, "library-statistics"))
     known = own.where("book_id is not null")
-    author = F.when(~blank(F.col("f.author")), F.col("f.author"))
-    totals_ = own.agg(
-        F.count("book_id").alias("total_books"), F.coalesce(F.sum("pages"), F.lit(0)).alias("total_pages"),
-        F.floor(F.coalesce(F.sum(F.when(F.col("book_id").isNotNull(), F.col("chars"))), F.lit(0)) / 5).cast("long").alias("total_words_estimate"),
-        F.count_distinct(F.when(F.col("book_id").isNotNull(), author)).alias("author_count"),
-    )
+    totals_ = _totals(own, F.col("f.author"))
 
     def counts(key: str) -> DataFrame:
         rows = known.select(F.explode(f"in_{key}").alias(key)).groupBy(key).agg(F.count(F.lit(1)).alias("books"))

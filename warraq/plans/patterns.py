@@ -110,9 +110,13 @@ def allowed_letters(letters: str, vowels: bool = True) -> str:
     return "^[" + "".join("\\" + c if c in "\\]^-[&" else c for c in sorted(allowed)) + "]*$"
 
 
+# Fixed value: what a user's expression must not ask for.
+_DOT_ALL = r"\(\?s:|(?<!\()\?-?s[:)]"
+
+
 def user_regex(pattern: str) -> str | None:
     """A user's expression, multi-line and without dot-all; None if it asks for dot-all."""
-    if not pattern.strip() or re.search(r"\(\?s:|(?<!\()\?-?s[:)]", pattern):
+    if not pattern.strip() or re.search(_DOT_ALL, pattern):
         return None
     return "(?m)(?-s)" + pattern.replace("(?s)", "").replace("(?-s)", "")
 
