@@ -16,6 +16,7 @@ from ..operators.search import SearchMode, SearchOptions
 from ..schema import ALL_BOOKS, UNCLASSIFIED
 from ..sources import files, headers, importer, ocr, page_numbers, pages, shards
 from ..store import Library
+from ..streaming import ingest
 from ..work import work_dir
 from .catalog import _LIB, _RESULT, ALL, _found, _hits, corpus, query, table
 from .samples import SAMPLE_LIBRARY, sample_library_pages, values
@@ -578,3 +579,23 @@ def _(spark, d):
     lines = F.when(F.col("c_custkey") % 2 == 0, F.concat(own, other)).otherwise(F.concat(F.slice(own, 1, 3), other, F.slice(own, F.lit(4), F.size(own))))
     m = page_numbers.marked(F.array_join(lines, "\n"))
     return table(spark, d, "customer").select("c_custkey", m.alias("m")).select("c_custkey", "m.marked", "m.first", "m.last")
+
+
+@query("src_any_encoding", f"""SELECT '/in/' || doc_id AS path, {_PLAIN} AS text, CASE WHEN doc_id % 2 = 0 THEN 'cp1256' ELSE 'utf-8-sig' END AS encoding FROM documents WHERE regexp_matches({_PLAIN}, '[ء-ي]')""")
+def _(spark, d):
+    """OCR output in an encoding that nobody tells."""
+    files.with_decode_settings(spark)
+    a = F.translate(F.regexp_replace("text", "[^ -~\\n]", ""), _LETTERS, _AR_LETTERS)
+    rows = table(spark, d, "documents").where(a.rlike("[ء-ي]"))
+    content = F.when(F.col("doc_id") % 2 == 0, F.encode(a, "windows-1256")).otherwise(F.encode(a, "UTF-8"))
+    return files.read_any(rows.select(F.concat(F.lit("/in/"), F.col("doc_id").cast("string")).alias("path"), content.alias("content")))
+
+
+@query("str_import", r"""SELECT sum(len(regexp_extract_all(regexp_replace(text, '[^ -~\n]', '', 'g'), '[A-Za-z]+')))::BIGINT AS words FROM documents""")
+def _(spark, d):
+    """The texts as a folder of files, imported by the stream; a second run of it finds nothing new."""
+    folder, lib, state = work_dir(spark, "import-folder"), _library(spark), work_dir(spark, "import-state")
+    table(spark, d, "documents").select(F.regexp_replace("text", "[^ -~\\n]", "")).write.text(folder)
+    for _run in range(2):
+        ingest.import_stream(spark, folder, lib, state).awaitTermination()
+    return lib.pages().agg(F.sum(F.regexp_count("content", F.lit("[A-Za-z]+"))).cast("long").alias("words"))
