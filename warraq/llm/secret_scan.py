@@ -8,14 +8,19 @@ usual approximation fails), a runs test about its middle and a lag-1 serial corr
 test give one p-value of "is random" (the least of three, corrected for being that).
 
 Few tests speak against a short token, so what bounds false alarms is a comparison: each
-token has a decoy, as long, cut out of the ordinary text of its own document and written
-in the token's alphabet.  For each class of lengths, tokens with a p-value over a bound
-are reported, the bound being the least at which the decoys over it, in proportion, are
-at most ``FALSE_DISCOVERY`` of the tokens over it; and never under ``LEVEL``, the level at
-which the tests themselves reject a token.  So the share that is controlled (by an
-estimate) is that of ordinary strings among those reported.  The control needs counts of
-p-values in ``BINS`` bins a class, which is all that reaches the driver.  Where documents
-with tokens hold no ordinary text, the bound is ``LEVEL``.
+token has ``DECOYS`` decoys, as long, cut out of the ordinary text of its own document and
+written in the token's alphabet.  For each encoding and class of lengths, tokens with a
+p-value over a bound are reported, the bound being the least at which the ordinary strings
+expected over it are at most ``FALSE_DISCOVERY`` of the tokens over it; and never under
+``LEVEL``, the level at which the tests themselves reject a token.  How many are expected
+follows from the decoys: the share of them over the bound, or that of a normal law with
+the mean and spread of their log p-values, whichever is more, times the ordinary strings
+among the stratum's tokens.  Those are told by how many tokens have p-values under
+``LOW``, where random ones have few and decoys have many (one more is counted, so that a
+few tokens prove nothing).  So the share that is controlled (by an estimate) is that of ordinary strings
+among those reported.  The control needs counts and sums of p-values in ``BINS`` bins a
+stratum, which is all that reaches the driver.  Where documents with tokens hold no
+ordinary text, the bound is ``LEVEL``.
 
 A '=' inside a run ends one token and begins the next: in NAME=value the value is tested
 by itself, and the name as any other token.  Not tested: tokens of fewer than 20
@@ -31,6 +36,7 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 
 import numpy as np
@@ -44,6 +50,12 @@ FALSE_DISCOVERY = 0.05
 #: A token whose p-value is under this is not random, whatever the decoys say.
 LEVEL = 0.01
 BINS = 200
+#: P-values under this tell how many of a stratum's tokens are ordinary.
+LOW = 0.05
+#: Ordinary strings that each token is held against.
+DECOYS = 4
+#: Log p-values under this count as this.
+_LEAST_LOG_P = -40.0
 #: Least number of characters of each class of lengths.
 CLASSES = [16, 24, 32, 48, 64]
 #: Tokens up to this length have exact chi-squared tables.
@@ -234,19 +246,32 @@ def _class_of(symbols: Column) -> Column:
     return out
 
 
-def bounds(tested: DataFrame, rate: float = FALSE_DISCOVERY) -> list[float]:
-    """For each class of lengths the p-value over which tokens are reported (see the module)."""
+def bounds(tested: DataFrame, rate: float = FALSE_DISCOVERY) -> dict[tuple[str, int], float]:
+    """For each encoding and class of lengths the p-value over which tokens are reported (see the module)."""
     level = F.least(F.lit(BINS - 1), F.floor(F.col("p") * BINS)).cast("int")
-    rows = tested.groupBy(_class_of(F.col("symbols")).alias("class"), "decoy", level.alias("level")).count().collect()  # classes x 2 x BINS
-    seen = np.zeros((len(CLASSES), 2, BINS))
-    for r in rows:
-        seen[r["class"], int(r["decoy"]), r["level"]] = r["count"]
-    out = []
-    for tokens, decoys in seen:
-        over, wrong = (x[::-1].cumsum()[::-1] for x in (tokens, decoys))
-        share = tokens.sum() / max(decoys.sum(), 1)
-        fine = [i for i in range(int(LEVEL * BINS), BINS) if wrong[i] * share <= rate * over[i]]
-        out.append(min(fine) / BINS if fine else 1.0)
+    log_p = F.greatest(F.lit(_LEAST_LOG_P), F.log(F.greatest(F.col("p"), F.lit(1e-300))))
+    # Strata x 2 x BINS rows at most.
+    rows = tested.groupBy("kind", _class_of(F.col("symbols")).alias("class"), "decoy", level.alias("level")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(log_p).alias("sum"), F.sum(log_p * log_p).alias("squares")
+    )
+    seen: dict[tuple[str, int], np.ndarray] = {}
+    for r in rows.collect():
+        seen.setdefault((r["kind"], r["class"]), np.zeros((2, 3, BINS)))[int(r["decoy"]), :, r["level"]] = r["n"], r["sum"], r["squares"]
+    out = {}
+    for stratum, (tokens, decoys) in seen.items():
+        over = tokens[0][::-1].cumsum()[::-1]
+        share, ordinary = np.zeros(BINS), over[0]
+        if n := decoys[0].sum():
+            low = int(LOW * BINS)
+            of_decoys = decoys[0][:low].sum() / n
+            if of_decoys > 2 * LOW:
+                ordinary = min(over[0], (tokens[0][:low].sum() + 1 - LOW * over[0]) / (of_decoys - LOW))
+            mean, mean_square = decoys[1].sum() / n, decoys[2].sum() / n
+            spread = max(np.sqrt(max(mean_square - mean * mean, 0.0)), 1.0)
+            normal = [0.5 * math.erfc((math.log(max(i, 0.5) / BINS) - mean) / spread / math.sqrt(2)) for i in range(BINS)]
+            share = np.maximum(decoys[0][::-1].cumsum()[::-1] / n, normal)
+        fine = [i for i in range(int(LEVEL * BINS), BINS) if over[i] and share[i] * max(ordinary, 0) <= rate * over[i]]
+        out[stratum] = min(fine) / BINS if fine else 2.0
     return out
 
 
@@ -263,22 +288,23 @@ def scan(docs: DataFrame, rate: float = FALSE_DISCOVERY, id_col: str = "doc_id",
         F.when(text.rlike(_TOKEN), F.regexp_replace(F.regexp_replace(text, _TOKEN, ""), "[^A-Za-z0-9]+", "")).otherwise("").alias("plain"),
     )
     size = lambda t: F.length(F.regexp_replace(t["token"], "=+$", ""))
-    place = lambda t: 1 + F.pmod(F.xxhash64(F.lit(7), t["start"], t["token"]), F.greatest(F.length("plain") - size(t) + 1, F.lit(1)).cast("long")).cast("int")
+    place = lambda t, i: 1 + F.pmod(F.xxhash64(F.lit(i), t["start"], t["token"]), F.greatest(F.length("plain") - size(t) + 1, F.lit(1)).cast("long")).cast("int")
+    cuts = lambda t: F.array(*[F.substring(F.col("plain"), place(t, i), size(t)) for i in range(DECOYS)])
     clear = lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
-    paired = F.transform(F.filter("tokens", clear), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["token"].alias("token"), F.substring(F.col("plain"), place(t), size(t)).alias("decoy")))
+    paired = F.transform(F.filter("tokens", clear), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["token"].alias("token"), cuts(t).alias("decoys")))
     rows = stage(rows.select("doc_id", "uid", "base", paired.alias("tokens")), f"{work}/rows")
     bare = F.regexp_replace("t.token", "=+$", "")
-    tokens = rows.select("uid", F.explode("tokens").alias("t")).select("uid", "t.start", "t.end", bare.alias("bare"), inferred(bare).alias("kind"), F.col("t.decoy").alias("plain"))
+    tokens = rows.select("uid", F.explode("tokens").alias("t")).select("uid", "t.start", "t.end", bare.alias("bare"), inferred(bare).alias("kind"), F.col("t.decoys").alias("plain"))
     kind = F.col("kind")
-    pairs = F.array(
-        F.struct(F.lit(False).alias("decoy"), spelt(kind, F.col("bare")).alias("s")),
-        F.struct(F.lit(True).alias("decoy"), F.when(F.length("plain") == F.length("bare"), in_alphabet(kind, F.col("plain"))).alias("s")),
-    )
-    both = tokens.select("uid", "start", "end", "kind", F.explode(pairs).alias("x")).select("uid", "start", "end", "kind", "x.*").where("s is not null and length(s) >= 16")
+    own = F.array(F.struct(F.lit(False).alias("decoy"), spelt(kind, F.col("bare")).alias("s")))
+    decoys = F.transform("plain", lambda x: F.struct(F.lit(True).alias("decoy"), F.when(F.length(x) == F.length("bare"), in_alphabet(kind, x)).alias("s")))
+    both = tokens.select("uid", "start", "end", "kind", F.explode(F.concat(own, decoys)).alias("x")).select("uid", "start", "end", "kind", "x.*").where("s is not null and length(s) >= 16")
     tested = stage(battery(both).select("uid", "start", "end", "kind", "decoy", "symbols", "p"), f"{work}/tested")
-    least = F.array(*map(F.lit, bounds(tested, rate)))
+    least = F.lit(2.0)  # a few dozen strata
+    for (name, class_), bound in sorted(bounds(tested, rate).items()):
+        least = F.when((kind == name) & (_class_of(F.col("symbols")) == class_), bound).otherwise(least)
     names = F.array(*map(F.lit, _KINDS))
-    random = tested.where(~F.col("decoy") & (F.col("p") >= F.get(least, _class_of(F.col("symbols"))))).select(
+    random = tested.where(~F.col("decoy") & (F.col("p") >= least)).select(
         "uid", F.struct("start", (F.array_position(names, kind) - 1).cast("int").alias("rank"), "kind", "end", F.lit(None).cast("string").alias("token")).alias("span")
     )
     random = random.groupBy("uid").agg(F.collect_list("span").alias("more"))
