@@ -32,12 +32,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, drop_stage, give_back, id_text, mix, mix_in_place, pieces, stage, work_dir
+from .common import Words, drop_stage, give_back, id_text, mix, mix_in_place, pieces, stage, without_ids, work_dir
 from .components import components
 
 BANDS, ROWS = 45, 6
 #: Members of a family that meet in one task, and the size up to which families share a task.
 FAMILY_BLOCK, SMALL_FAMILY = 1024, 64
+#: Bytes of text of the members that meet in one task, on either side.
+FAMILY_BYTES = 8 << 20
 
 #: Elements that are hashed at once for a sketch.
 _AT_ONCE = 1 << 17
@@ -245,20 +247,27 @@ def _settle(stars: DataFrame, labels: DataFrame, texts: DataFrame, k: int, perce
     """Verified links between components of one family (a center and all that share a bucket with it).
 
     Members outside the center's component meet all members of other components, by
-    intersection counts inside blocks of FAMILY_BLOCK; only links that join components leave a block.
+    intersection counts inside blocks of FAMILY_BLOCK members and FAMILY_BYTES; only links that join components leave a block.
     """
     family = stars.select("a", "b").unionByName(stars.select("a", F.col("a").alias("b")).distinct())
     family = _labelled(family, labels, ["a", "b"])
-    size = family.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("comp_a") != F.col("comp_b")).alias("m")).where("m > 0")
-    open_ = stage(family.join(size, "a").select("a", "b", "comp_b", "n", "m", (F.col("comp_a") != F.col("comp_b")).alias("apart")), f"{work}/families")
-    small = open_.where(F.col("n") <= SMALL_FAMILY).count()
-    bins = max(1, -(-small // FAMILY_BLOCK))
-    parts = lambda c: F.ceil(F.col(c) / FAMILY_BLOCK).cast("int")
-    own = lambda c: F.pmod(F.xxhash64("b"), parts(c)).cast("int")
-    whole = F.col("n") <= SMALL_FAMILY
+    family = family.join(texts.select(F.col("node").alias("b"), F.octet_length("text").cast("long").alias("bytes")), "b")
+    apart = F.col("comp_a") != F.col("comp_b")
+    block = lambda n, bytes_: F.greatest(F.ceil(n / FAMILY_BLOCK), F.ceil(bytes_ / FAMILY_BYTES), F.lit(1)).cast("int")
+    size = family.groupBy("a").agg(
+        F.count(F.lit(1)).alias("size"), F.sum("bytes").alias("all_bytes"), F.count_if(apart).alias("asked"), block(F.count(F.lit(1)), F.sum("bytes")).alias("n"),
+        block(F.count_if(apart), F.sum(F.when(apart, F.col("bytes")).otherwise(0))).alias("m"),
+    ).where("asked > 0")
+    whole = (F.col("size") <= SMALL_FAMILY) & (F.col("all_bytes") <= FAMILY_BYTES)
+    open_ = family.join(size, "a").select("a", "b", "comp_b", "bytes", "n", "m", apart.alias("apart"), whole.alias("whole"))
+    open_ = stage(open_, f"{work}/families")
+    small = open_.where("whole").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
+    bins = max(1, -(-small["n"] // FAMILY_BLOCK), -(-small["bytes"] // FAMILY_BYTES))
+    own = lambda parts: F.pmod(F.xxhash64("b"), F.col(parts)).cast("int")
+    whole = F.col("whole")
     rows = open_.withColumn("g", F.when(whole, -1 - F.pmod(F.xxhash64("a"), F.lit(bins))).otherwise(F.col("a")))
-    left = rows.where("apart").withColumn("i", own("m")).withColumn("j", F.explode(F.sequence(F.lit(0), parts("n") - 1))).withColumn("asks", F.lit(True))
-    right = rows.withColumn("j", own("n")).withColumn("i", F.explode(F.sequence(F.lit(0), parts("m") - 1))).withColumn("asks", F.lit(False))
+    left = rows.where("apart").withColumn("i", own("m")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("asks", F.lit(True))
+    right = rows.withColumn("j", own("n")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).withColumn("asks", F.lit(False))
     both = left.unionByName(right).select("g", "i", "j", "a", "b", "comp_b", "asks")
     both = both.join(texts.select(F.col("node").alias("b"), "text"), "b")
 
@@ -306,4 +315,4 @@ def drop_near_copies(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     """
     found = near_components(docs, k, percent, id_col=id_col, text_col=text_col)
     gone = found.groupBy(F.col("doc_id").alias("__w_id")).agg(F.bool_or("kept").alias("__w_kept")).where("not __w_kept").select("__w_id")
-    return docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("__w_id")), "left_anti")
+    return without_ids(docs, gone, id_col)
