@@ -27,6 +27,17 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+#: Identifiers (8 bytes each, some 50 in a hash table) up to this number are broadcast to drop their rows; more meet them by a shuffle.
+BROADCAST_GONE = 1_000_000
+
+
+def without_ids(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
+    """``docs`` without the rows whose identifier is in ``gone`` (one column; null is an identifier like others)."""
+    ids = stage(gone.toDF("__w_gone").distinct(), work_dir(docs.sparkSession, "gone"))
+    few = ids.count() <= BROADCAST_GONE
+    return docs.join(F.broadcast(ids) if few else ids, F.col(id_col).cast("long").eqNullSafe(F.col("__w_gone")), "left_anti")
+
+
 # --------------------------------------------------------------------------
 # Batches in pieces of bounded size
 # --------------------------------------------------------------------------

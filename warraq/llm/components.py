@@ -37,7 +37,8 @@ def components(edges: DataFrame, work: str) -> DataFrame:
 
     Each round takes the least label of the neighbours (a pre-aggregated minimum, so a
     hub is no bottleneck) and then the label of that label; rounds are written to
-    ``work``, so a lost executor re-reads one round.
+    ``work``, so a lost executor re-reads one round.  Links of a node with itself are no
+    links; without links there are no rows.
     """
     spark = edges.sparkSession
     edges = stage(edges.where("a <> b").select("a", "b").distinct(), f"{work}/links")

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, stage, work_dir
+from .common import id_text, stage, without_ids, work_dir
 
 WINDOW = 10
 BROADCAST_WINDOWS = 1_000_000
@@ -135,5 +135,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` whose text holds no benchmark window, all columns kept."""
-    hit = find_hits(docs, benchmark, window, id_col, text_col).where("size(spans) > 0").select(F.col("doc_id").alias("__w_id")).distinct()
-    return docs.join(hit, F.col(id_col).cast("long").eqNullSafe(F.col("__w_id")), "left_anti")
+    hit = find_hits(docs, benchmark, window, id_col, text_col).where("size(spans) > 0").select("doc_id")
+    return without_ids(docs, hit, id_col)

@@ -21,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_text, stage, work_dir
+from .common import id_text, stage, without_ids, work_dir
 
 #: Hit digests (32 bytes each) up to this number are broadcast to filter the byte check;
 #: beyond it every text goes through the check's partial aggregates.
@@ -128,11 +128,10 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # An identifier can be on several rows; those are settled by identifier and text below.
     repeated = stage(marks.groupBy("doc_id").count().where("count > 1").select("doc_id"), f"{work}/repeated")
     key, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    gone = gone.withColumnRenamed("doc_id", "__w_id")
     if repeated.isEmpty():
-        return docs.join(gone, key == F.col("__w_id"), "left_anti")
+        return without_ids(docs, gone, id_col)
     many = repeated.withColumnRenamed("doc_id", "__w_id")
-    single = docs.join(many, key.eqNullSafe(F.col("__w_id")), "left_anti").join(gone, key == F.col("__w_id"), "left_anti")
+    single = without_ids(docs, gone.unionByName(repeated), id_col)
     rest = docs.join(many, key.eqNullSafe(F.col("__w_id")), "left_semi").withColumns(
         {"__w_text": text, "__w_digest": F.sha2(text.cast("binary"), 256)}
     )
