@@ -181,7 +181,7 @@ class Library:
             rows = rows.withColumn("content_nodiac", strip_diacritics(F.col("content")))
         new = self._store(rows)
         folders = {b: manifest["folders"].get(b, []) + new.get(b, []) for b in {**manifest["folders"], **new}}
-        known = self.last_book_id() if self.exists(f"{self.path}/{MAX_ID_FILE}") else 0
+        known = self.last_book_id()
         old = self._schema()
         schema = T.StructType(old.fields + [f for f in rows.schema.fields if f.name not in old.names])
         self._commit(folders, manifest["marks"] | ({mark[0]: mark[1]} if mark else {}), schema)
