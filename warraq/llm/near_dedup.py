@@ -24,15 +24,13 @@ identifiers are null; an empty table gives an empty result; other columns are ig
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, drop_stage, give_back, id_text, mix, mix_in_place, pieces, stage, without_ids, work_dir
+from .common import Words, drop_stage, id_text, mix, mix_in_place, pieces, stage, without_ids, work_dir
 from .components import components
 
 BANDS, ROWS = 45, 6
