@@ -68,8 +68,8 @@ def _run(text: str, hit: bool) -> str:
     return f'<w:r><w:rPr><w:rtl/>{look}</w:rPr><w:t xml:space="preserve">{escape(text)}</w:t></w:r>'
 
 
-def write_document(path: str, paragraphs) -> None:
-    """A right-to-left document, written as its paragraphs (lists of (text, is it a hit)) come."""
+def write_document(path, paragraphs) -> None:
+    """A right-to-left document in a file (or file object), written as its paragraphs (lists of (text, is it a hit)) come."""
     main = "application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"
     relation = "http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument"
     head = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'

@@ -7,6 +7,10 @@ expressions are written out and do not come from the builders under test.
 
 from __future__ import annotations
 
+import io
+import os
+import sqlite3
+
 from pyspark.sql import functions as F
 
 from .. import exports, services
@@ -14,6 +18,7 @@ from ..functions import text as T
 from ..operators import library, render, search, stats
 from ..operators.search import SearchMode, SearchOptions
 from ..schema import ALL_BOOKS, UNCLASSIFIED
+from ..session import ship
 from ..sources import files, headers, importer, ocr, page_numbers, pages, shards
 from ..store import Library
 from ..streaming import ingest
@@ -599,3 +604,53 @@ def _(spark, d):
     for _run in range(2):
         ingest.import_stream(spark, folder, lib, state).awaitTermination()
     return lib.pages().agg(F.sum(F.regexp_count("content", F.lit("[A-Za-z]+"))).cast("long").alias("words"))
+
+
+def _docx(batches):
+    for batch in batches:
+        files_ = []
+        for text in batch["text"]:
+            out = io.BytesIO()
+            exports.write_document(out, ([(line, False)] for line in (text or "").split("\n")))
+            files_.append(out.getvalue())
+        yield batch[["path"]].assign(content=files_)
+
+
+@query("src_docx", "SELECT '/in/' || doc_id || '.DOCX' AS path, doc_id::VARCHAR AS title, text, NULL::VARCHAR AS error FROM documents WHERE length(trim(text)) > 0")
+def _(spark, d):
+    """Texts as documents, a paragraph a line, and read back."""
+    ship(spark)
+    rows = table(spark, d, "documents").where(F.length(F.trim("text")) > 0)
+    path = F.concat(F.lit("/in/"), F.col("doc_id").cast("string"), F.lit(".DOCX"))
+    return files.read_texts(rows.select(path.alias("path"), "text").mapInPandas(_docx, "path string, content binary"))
+
+
+def _write_shard(folder: str):
+    def run(key, rows):
+        with sqlite3.connect(os.path.join(folder, f"shard_{int(key[0]):04d}.db")) as db:
+            db.execute("CREATE TABLE books(id INTEGER PRIMARY KEY, title TEXT, category TEXT)")
+            db.execute("CREATE TABLE pages(book_id INTEGER, page_num INTEGER, content TEXT)")
+            books, texts = rows[rows.page_num.isna()], rows[rows.page_num.notna()]
+            db.executemany("INSERT INTO books VALUES (?, ?, ?)", [(int(i), t, c) for i, t, c in zip(books.id, books.title, books.text, strict=True)])
+            db.executemany("INSERT INTO pages VALUES (?, ?, ?)", [(int(i), int(p), t) for i, p, t in zip(texts.id, texts.page_num, texts.text, strict=True)])
+        return rows[["shard"]].head(1)
+
+    return run
+
+
+@query("src_shards", """SELECT (c_nationkey % 4)::BIGINT * 1000000000000 + c_custkey AS book_id, o_orderkey::INT AS page_num, o_orderpriority AS content, c_name AS book_title, c_mktsegment AS category,
+    (SELECT count(*) FROM customer) AS books FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus <> 'F'""")
+def _(spark, d):
+    """Customers and orders as four SQLite shards in the shared folder, migrated into a library."""
+    ship(spark)
+    folder = work_dir(spark, "shards").removeprefix("file://")
+    os.makedirs(folder)
+    c = table(spark, d, "customer").withColumn("shard", F.col("c_nationkey") % 4)
+    books = c.select("shard", F.col("c_custkey").alias("id"), F.lit(None).cast("long").alias("page_num"), F.col("c_name").alias("title"), F.col("c_mktsegment").alias("text"))
+    o = table(spark, d, "orders").join(c, F.col("o_custkey") == F.col("c_custkey"))
+    text = F.when(F.col("o_orderstatus") != "F", F.col("o_orderpriority")).otherwise("")
+    rows = books.unionByName(o.select("shard", F.col("c_custkey").alias("id"), F.col("o_orderkey").alias("page_num"), F.lit("").alias("title"), text.alias("text")))
+    rows.groupBy("shard").applyInPandas(_write_shard(folder), "shard int").count()
+    lib = _library(spark)
+    done = shards.migrate(spark, folder, lib)
+    return lib.pages().select("book_id", "page_num", "content", "book_title", "category", F.lit(done.total_books).cast("long").alias("books"))
