@@ -7,10 +7,12 @@ expressions are written out and do not come from the builders under test.
 
 from __future__ import annotations
 
+import datetime as dt
 import io
 import os
 import sqlite3
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import exports, services
@@ -654,3 +656,101 @@ def _(spark, d):
     lib = _library(spark)
     done = shards.migrate(spark, folder, lib)
     return lib.pages().select("book_id", "page_num", "content", "book_title", "category", F.lit(done.total_books).cast("long").alias("books"))
+
+
+# -- files on the driver's side, in the shared folder ------------------------------------------
+
+
+def _folder(spark, name: str) -> str:
+    path = work_dir(spark, name).removeprefix("file://")
+    os.makedirs(path, exist_ok=True)
+    return path
+
+
+@query("src_symbols", _found(f"[نمس]{_V}[اي]{_V}[تط]{_V}", _ARLIB))
+def _(spark, d):
+    """A pattern under symbols from a SQLite map; the last row of a key holds."""
+    path = os.path.join(_folder(spark, "symbols"), "map.db")
+    with sqlite3.connect(path) as db:
+        db.execute("CREATE TABLE map_data(key TEXT, value TEXT)")
+        db.executemany("INSERT INTO map_data VALUES (?, ?)", [("ف", "x"), ("ف", "[نمس]"), ("ع", "[اي]"), ("ل", "[تط]"), ("ل", None)])
+    return search.search_pattern(arabic(spark, d), "فعل", ALL, shards.load_symbols(path))
+
+
+@query("snk_backup_restore", f"WITH {_LIB} {_STORED}")
+def _(spark, d):
+    """A library put back from its backup after it was emptied."""
+    folder = _folder(spark, "backup")
+    lib = Library(spark, f"file://{folder}/library", buckets=8)
+    lib.append(corpus(spark, d))
+    archive = services.create_backup(f"{folder}/library", f"{folder}/library.zip")
+    lib.clear()
+    services.restore_backup(archive, f"{folder}/library")
+    return _stored(lib)
+
+
+@query("snk_book_text", "SELECT text AS value FROM documents WHERE doc_id = 42")
+def _(spark, d):
+    path = os.path.join(_folder(spark, "book"), "book.txt")
+    exports.write_book(corpus(spark, d), 42, path)
+    return spark.read.text(f"file://{path}", wholetext=True)
+
+
+@query("snk_docx", f"""{_hits('trash')}, {_SNIP} SELECT 'نتائج البحث عن: trash' || chr(10) || string_agg('[' || serial || '] ' || book_title || ' — صفحة 1' || chr(10) || v, chr(10) ORDER BY serial) AS text FROM e""")
+def _(spark, d):
+    """All results as a document, and read back."""
+    path, p = os.path.join(_folder(spark, "docx"), "results.docx"), corpus(spark, d)
+    exports.write_docx(search.search(p, "trash", SearchMode.WORD, ALL), p, path, "trash")
+    return files.read_texts(files.scan_files(spark, [f"file://{path}"])).select("text")
+
+
+@query("snk_csv_file", f"""{_hits('trash')}, {_SNIP} SELECT count(*) + 1 AS records, sum(serial)::BIGINT AS serials FROM e""")
+def _(spark, d):
+    """The file with its mark and header; lines inside quotes belong to their record."""
+    path, p = os.path.join(_folder(spark, "csv"), "results.csv"), corpus(spark, d)
+    exports.write_csv(search.search(p, "trash", SearchMode.WORD, ALL), p, path)
+    rows = spark.read.csv(f"file://{path}", multiLine=True, escape='"')
+    return rows.agg(F.count(F.lit(1)).alias("records"), F.sum(F.col(rows.columns[0]).try_cast("long")).alias("serials"))
+
+
+@query("snk_crash_logs", "SELECT 'crash-' || strftime(TIMESTAMP '2026-01-01' + INTERVAL (o_orderkey) MINUTE, '%Y%m%d-%H%M%S-000000.log') AS name FROM orders WHERE o_orderkey < 60 ORDER BY o_orderkey DESC LIMIT 20")
+def _(spark, d):
+    """One log an event, the newest kept."""
+    folder = _folder(spark, "logs")
+    for r in table(spark, d, "orders").where("o_orderkey < 60").select("o_orderkey").toLocalIterator():
+        services.write_crash_log(folder, "x", dt.datetime(2026, 1, 1) + dt.timedelta(minutes=r["o_orderkey"]))
+    return spark.createDataFrame([(n,) for n in sorted(os.listdir(folder))], "name string")
+
+
+@query("snk_import_log", """SELECT CASE WHEN length(text) >= 300 THEN 'OK /in/' || doc_id ELSE 'ERROR /in/' || doc_id || ' فشل قراءة الملف' END AS value FROM documents""")
+def _(spark, d):
+    ok = F.length("text") >= 300
+    status = table(spark, d, "documents").select(F.concat(F.lit("/in/"), F.col("doc_id").cast("string")).alias("path"), ok.alias("ok"), F.when(~ok, files.UNREADABLE).alias("error"))
+    return importer.log_lines(status)
+
+
+# Two chains, the second after the first; where they touch, the numbers are put in order.
+_BAR = "repeat('=', 25)"
+_MARK = lambda x: f"{_BAR} || ' ' || ({x}) || ' ' || {_BAR}"
+
+
+@query("sca_facing_pages", f"""SELECT c_custkey, {_MARK('n')} || chr(10) || 'نص' || chr(10) || {_MARK('n + 1')} || chr(10) || 'نص' || chr(10) || {_MARK('n + 2')} || chr(10) || 'نص' || chr(10) || {_MARK('3')} || chr(10) || chr(10)
+    || {_MARK('n + 3')} || chr(10) || 'نص' || chr(10) || {_MARK('4')} || chr(10) || 'نص' || chr(10) || {_MARK('5')} AS text FROM (SELECT c_custkey, c_custkey % 50 + 20 AS n FROM customer)""")
+def _(spark, d):
+    n = F.col("c_custkey") % 50 + 20
+    lines = [n, "نص", n + 1, "نص", n + 2, "نص", n + 3, "", 3, "نص", 4, "نص", 5]
+    text = F.concat_ws("\n", *[x.cast("string") if isinstance(x, Column) else F.lit(str(x)) for x in lines])
+    return table(spark, d, "customer").select("c_custkey", page_numbers.marked(text)["text"].alias("text"))
+
+
+@query("src_scan", """SELECT n_name || CASE n_nationkey % 5 WHEN 0 THEN '.txt' WHEN 1 THEN '.TXT' ELSE '.Docx' END AS name, length(n_name)::BIGINT AS length FROM nation WHERE n_nationkey % 5 < 3""")
+def _(spark, d):
+    """Files of the kinds that can be read, whatever the case, in folders of folders."""
+    folder = _folder(spark, "scan")
+    for r in table(spark, d, "nation").toLocalIterator():  # 25 rows by definition
+        at = os.path.join(folder, "ab"[r["n_nationkey"] % 2], str(r["n_regionkey"]))
+        os.makedirs(at, exist_ok=True)
+        ext = (".txt", ".TXT", ".Docx", ".pdf", "")[r["n_nationkey"] % 5]
+        with open(os.path.join(at, r["n_name"] + ext), "w", encoding="utf-8") as f:
+            f.write(r["n_name"])
+    return files.scan(spark, f"file://{folder}").select(F.element_at(F.split("path", "/"), -1).alias("name"), "length")
