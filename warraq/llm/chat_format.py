@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship
+from .common import ready
 from .packing import default_vocabulary, encoder
 
 BUDGET = 1024
@@ -152,7 +152,7 @@ def format_windows(
     conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text",
 ) -> DataFrame:
     """One row a window: conv_id, window, text, n_system, n_repeat, n_turns, tokens, loss (code point spans)."""
-    ship(conversations.sparkSession)
+    ready(conversations.sparkSession)
     vocabulary = vocabulary or default_vocabulary()
     rows = conversations.select(
         F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"),

@@ -25,8 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship
-from .common import id_text, mix, pieces
+from .common import id_text, mix, pieces, ready
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3, 4)
@@ -117,7 +116,7 @@ class _Runs:
 
 def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Model:
     """Counts over every row of ``docs`` with a language; the model's size is fixed."""
-    ship(docs.sparkSession)
+    ready(docs.sparkSession)
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")
     )
@@ -290,7 +289,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 def keep_identified(docs: DataFrame, model: Model, min_score: float, text_col: str = "text", penalty: float = SWITCH_PENALTY) -> DataFrame:
     """Rows of ``docs``, unchanged, whose text has a language with at least ``min_score``."""
-    ship(docs.sparkSession)
+    ready(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
