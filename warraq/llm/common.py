@@ -162,9 +162,10 @@ def hash_words(words: pa.Array) -> np.ndarray:
 _HASH_KEY = "warraq-llm-words"  # 16 bytes
 
 
-def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+def split_words(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray]:
     """(words, number a text): white-space separated, A-Z lower-cased; null texts have none."""
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    texts = texts.fill_null("")
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
     flat = lists.flatten()
     some = pc.not_equal(pc.binary_length(flat), 0)
     offsets = lists.offsets.to_numpy()
@@ -186,7 +187,7 @@ class Words:
         self.count = np.zeros(self.n_rows, dtype=np.int64)
         hashes = []
         open_ = [(hashlib.blake2b(digest_size=16), hashlib.blake2b(digest_size=16)) for _ in range(self.n_rows)] if digests else []
-        for row, texts in self._parts(col, limit):
+        for row, texts in text_parts(col, limit):
             words, count = split_words(texts)
             self.count[row : row + len(texts)] += count
             hashes.append(hash_words(words))
@@ -206,23 +207,24 @@ class Words:
     def row(self) -> np.ndarray:
         return np.repeat(np.arange(self.n_rows, dtype=np.int32), self.count)
 
-    @staticmethod
-    def _parts(col: pa.Array, limit: int) -> Iterator[tuple[int, pa.Array]]:
-        data, off = raw_bytes(col)
-        size = np.diff(off)
-        if int(size.max(initial=0)) <= limit and int(off[-1]) <= 2 * limit:
-            yield 0, col
-            return
-        start = 0
-        while start < len(col):
-            end = max(start + 1, int(np.searchsorted(off, off[start] + limit, side="right")) - 1)
-            if size[start] > limit:
-                end = start + 1
-                for part in cut_at_space(data[off[start] : off[end]], limit):
-                    yield start, one_text(part)
-            else:
-                yield start, col.slice(start, end - start)
-            start = end
+
+def text_parts(col: pa.Array, limit: int = PIECE_BYTES) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, texts): runs of rows of about ``limit`` bytes; a longer text comes in parts, cut at white space."""
+    data, off = raw_bytes(col)
+    size = np.diff(off)
+    if int(size.max(initial=0)) <= limit and int(off[-1]) <= 2 * limit:
+        yield 0, col
+        return
+    start = 0
+    while start < len(col):
+        end = max(start + 1, int(np.searchsorted(off, off[start] + limit, side="right")) - 1)
+        if size[start] > limit:
+            end = start + 1
+            for part in cut_at_space(data[off[start] : off[end]], limit):
+                yield start, one_text(part)
+        else:
+            yield start, col.slice(start, end - start)
+        start = end
 
 
 # --------------------------------------------------------------------------

@@ -88,6 +88,14 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold() == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .runs import longest, periodic_runs, runs_sha256, with_planted_runs
+
+    found = periodic_runs(with_planted_runs(table(spark, sf_dir, "documents"))).withColumn("best", longest(F.col("runs")))
+    milli = F.floor(F.col("best.length") * 1000 / F.col("best.period")).cast("long")
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.*", milli.alias("exponent_milli"), runs_sha256(F.col("runs")).alias("runs_sha256"), "collapsed_sha256")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
@@ -104,6 +112,7 @@ QUERIES: dict[str, Query] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_language_id": op9_language_id,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_periodic_runs": op11_periodic_runs,
     "pipeline": pipeline,
 }
 
