@@ -1,4 +1,4 @@
-"""The ten operators as driver queries, with DuckDB SQL where SQL can say the same."""
+"""The operators as driver queries, with DuckDB SQL where SQL can say the same."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, work_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -102,6 +102,14 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_files import read_documents, write_token_files
+
+    path = f"{work_dir(spark, 'token-files')}/shards"
+    write_token_files(table(spark, sf_dir, "documents"), path)
+    return read_documents(spark, path)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
@@ -120,6 +128,7 @@ QUERIES: dict[str, Query] = {
     "op10_exact_dedup": op10_exact_dedup,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_token_files": op13_token_files,
     "pipeline": pipeline,
 }
 
