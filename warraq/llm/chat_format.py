@@ -6,12 +6,17 @@ a window takes: the leading system turns come first in each window, then at most
 ``history`` turns repeated from the window before, then new turns.  Only assistant
 turns that are new in a window are under the loss mask, so each is a target once.
 
-Leading system turns are retained while together they take at most ``SYSTEM_SHARE`` of
-the budget; from the first that does not fit, they are turns like others.
+The first turn, if it is a system turn that fits the budget, is retained, and system turns that
+follow it are while with it they take at most ``SYSTEM_SHARE`` of the budget; from the first that does
+not, they are turns like others.  Every window has the retained ones, but for a window
+whose new turn fits the budget, but not beside them: that one goes alone without (if it would
+have been the first, they have the first to themselves).  So no window is over the budget
+but one whose only new turn is over it alone.  History gives way before they do.  A window's
+``tokens`` is the sum of its turns' tokens, as they are encoded turn by turn.
 
 Conversations are streamed in order of (conversation, turn) through a task, which
 holds one window at a time; a conversation of any length, of system turns too, needs
-memory for a window and a turn.  Since digests run over a conversation in order, one
+memory for a window and a turn, and a very long turn is encoded in parts.  Since digests run over a conversation in order, one
 conversation is the work of one task.
 
 Defined cases: null texts and roles are empty; a null conversation is one of its own;
@@ -32,13 +37,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ready
-from .packing import default_vocabulary, encoder
+from .packing import default_vocabulary, encode_in_parts, encoder
 
 BUDGET = 1024
 HISTORY = 2
 #: Share of the budget that repeated history may take.
 HISTORY_SHARE = 0.25
-#: Share that the retained system turns may take.
+#: Share up to which system turns after the first are retained beside it.
 SYSTEM_SHARE = 0.75
 
 # Marks before and after a turn of each role, and of any other role.
@@ -102,37 +107,45 @@ class _Conversation:
         self.new: list[tuple] = []
         self.number = 0
         self.started = False
+        self.retain = True  # has this window the system turns?
         # Tokens of the leading system turns; of all other turns so far; of those before this window.
         self.lead, self.total, self.before = 0, 0, 0
 
     def add(self, role: str, text: str) -> Iterator[dict]:
         formatted, a, b = write_turn(role, text)
         turn = (formatted, a, b, role == "assistant", self.count(formatted))
-        if role == "system" and not self.started and self.lead + turn[4] <= self.budget * SYSTEM_SHARE:
+        most = self.budget * SYSTEM_SHARE if self.system else self.budget
+        if role == "system" and not self.started and self.lead + turn[4] <= most:
             self.system.append(turn)
             self.lead += turn[4]
             return
         self.started = True
-        if self.new and self._size() + turn[4] > self.budget:
+        if self.new and (not self.retain or self._size() + turn[4] > self.budget):
             yield self.flush()
         while self.repeat and not self.new and self._size() + turn[4] > self.budget:
             self.before += self.repeat.pop(0)[4]  # history gives way to what is new
+        if self.system and not self.new and turn[4] <= self.budget < self.lead + turn[4]:
+            if self.number == 0:
+                yield self.flush()
+            self.retain = False
         self.new.append(turn)
         self.total += turn[4]
 
     def _size(self) -> int:
         """Tokens of the window: repeated and new turns follow each other, so a difference of prefix sums."""
-        return self.lead + self.total - self.before
+        return (self.lead if self.retain else 0) + self.total - self.before
 
     def flush(self) -> dict:
-        text, loss = "", []
-        for kind, turns in enumerate((self.system, self.repeat, self.new)):
+        parts, at, loss = [], 0, []
+        system = self.system if self.retain else []
+        for kind, turns in enumerate((system, self.repeat, self.new)):
             for formatted, a, b, target, _ in turns:
                 if kind == 2 and target:
-                    loss.append({"start": len(text) + a, "end": len(text) + b})
-                text += formatted
+                    loss.append({"start": at + a, "end": at + b})
+                parts.append(formatted)
+                at += len(formatted)
         row = {
-            "conv_id": self.conv_id, "window": self.number, "text": text, "n_system": len(self.system), "n_repeat": len(self.repeat),
+            "conv_id": self.conv_id, "window": self.number, "text": "".join(parts), "n_system": len(system), "n_repeat": len(self.repeat),
             "n_turns": len(self.new), "tokens": self._size(), "loss": loss,
         }
         past, kept, room = self.repeat + self.new, [], int(self.budget * HISTORY_SHARE)
@@ -143,7 +156,7 @@ class _Conversation:
                 break
             kept.insert(0, turn)
             self.before -= turn[4]
-        self.repeat, self.new, self.number = kept, [], self.number + 1
+        self.repeat, self.new, self.number, self.retain = kept, [], self.number + 1, True
         return row
 
 
@@ -165,7 +178,7 @@ def format_windows(
 
     def run(batches):
         encode = encoder(vocabulary)
-        count = lambda text: len(encode(text))
+        count = lambda text: len(encode_in_parts(encode, text))
         open_, seen = None, False
         for batch in batches:
             out: list[dict] = []
