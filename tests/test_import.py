@@ -137,7 +137,7 @@ def test_a_batch_that_runs_again_adds_nothing(spark, tmp_path, monkeypatch):
 def test_health_of_a_library(spark, tmp_path):
     from warraq.plans.samples import sample_pages
 
-    library = Library(spark, str(tmp_path / "sick"), buckets=2)
+    library = Library(spark, str(tmp_path / "sick"), books=2)
     library.append(sample_pages(spark))
     data = next((tmp_path / "sick" / "data").glob("*/bucket=*/*.parquet"))
     for f in (tmp_path / "sick" / "data").glob("*/bucket=*/*.parquet"):

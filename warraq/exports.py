@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .functions.text import blank, display_page, trim
-from .operators.reader import numbered, page_of_result
+from .operators.reader import beside_pages, numbered
 from .operators.render import CSV_HEADER, csv_line, export_snippet
 
 _RULE, _THIN = "=" * 60, "-" * 60
@@ -22,10 +22,8 @@ def export_rows(results: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def _shown(rows: DataFrame, pages: DataFrame) -> DataFrame:
-    df = page_of_result(rows, pages, written=True)
-    return df.withColumn("page", display_page(F.col("original_page_number"), F.col("page_number"))).withColumn(
-        "snippet", export_snippet(F.col("page_content"), F.col("matched_term"), F.col("context_snippet"))
-    )
+    cut = lambda text, hit: export_snippet(text, hit["matched_term"], hit["context_snippet"])
+    return beside_pages(rows, pages, cut, "snippet", written=True).withColumn("page", display_page(F.col("original_page_number"), F.col("page_number")))
 
 
 def csv_lines(results: DataFrame, pages: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ matches and positions are sums of segment lengths.  The sums are taken inside th
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +29,12 @@ def segments_of(content: Column, pattern: str) -> Column:
     return F.split(F.regexp_replace(content, pattern, OPEN + "$0" + CLOSE), f"[{OPEN}{CLOSE}]", -1)
 
 
-def find_all(pages: DataFrame, pattern: str, content: str = "content") -> DataFrame:
-    """One row a match: all columns of ``pages``, matched_term, match_position (from 0)."""
+def find_all(pages: DataFrame, pattern: str, content: str = "content", keep: Callable[[Column], Column] | None = None, radius: int | None = None) -> DataFrame:
+    """One row a match: all columns of ``pages``, matched_term, match_position (from 0).
+
+    keep: which terms are wanted; the others go before rows are made.
+    radius: adds context_snippet and leaves out the text, so that rows do not carry it.
+    """
     df = pages.where(F.col(content).rlike(pattern)).withColumn("__seg", segments_of(F.col(content), pattern))
     df = df.withColumn("__len", F.expr("transform(__seg, s -> length(s))"))
     df = df.withColumn(
@@ -38,13 +44,23 @@ def find_all(pages: DataFrame, pattern: str, content: str = "content") -> DataFr
                 element_at(acc, -1) + aggregate(slice(__len, b * {_BLOCK} + 1, {_BLOCK}), 0, (s, x) -> s + x))))"""
         ),
     )
-    spans = F.expr(
-        f"""transform(sequence(1, size(__seg) - 1, 2), i -> struct(element_at(__seg, i + 1) as term,
-            element_at(__sum, cast(i div {_BLOCK} as int) + 1)
-              + aggregate(slice(__len, cast(i div {_BLOCK} as int) * {_BLOCK} + 1, i % {_BLOCK}), 0, (s, x) -> s + x) as pos))"""
-    )
-    df = df.withColumn("__m", F.explode(spans))
-    return df.select(*pages.columns, F.col("__m.term").alias("matched_term"), F.col("__m.pos").alias("match_position"))
+    places = F.sequence(F.lit(1), F.size("__seg") - 1, F.lit(2))
+    if keep:
+        places = F.filter(places, lambda i: keep(F.element_at("__seg", i + 1)))
+
+    def span(i: Column) -> Column:
+        block = F.floor(i / _BLOCK).cast("int")
+        inside = F.aggregate(F.slice("__len", block * _BLOCK + 1, i % _BLOCK), F.lit(0), lambda s, x: s + x)
+        return F.struct(F.element_at("__seg", i + 1).alias("term"), (F.element_at("__sum", block + 1) + inside).alias("pos"))
+
+    spans = F.transform(places, span)
+    rest = [c for c in pages.columns if c != content]
+    if radius is None:
+        df = df.withColumn("__m", F.explode(spans))
+        return df.select(*pages.columns, F.col("__m.term").alias("matched_term"), F.col("__m.pos").alias("match_position"))
+    around = lambda m: F.struct(m["term"].alias("term"), m["pos"].alias("pos"), snippet(F.col(content), m["pos"], m["pos"] + F.length(m["term"]), radius).alias("around"))
+    df = df.select(*rest, F.explode(F.transform(spans, around)).alias("__m"))
+    return df.select(*rest, F.col("__m.term").alias("matched_term"), F.col("__m.pos").alias("match_position"), F.col("__m.around").alias("context_snippet"))
 
 
 def first_position(content: Column, pattern: str) -> Column:
@@ -76,6 +92,6 @@ def snippet(content: Column, start: Column, end: Column, radius: int = SNIPPET_R
     return F.substring(content, low + 1, end + radius - low)
 
 
-def tokens(pages: DataFrame) -> DataFrame:
+def tokens(pages: DataFrame, keep: Callable[[Column], Column] | None = None, radius: int | None = None) -> DataFrame:
     """White-space tokens with their positions, as matches."""
-    return find_all(pages, r"\S+")
+    return find_all(pages, r"\S+", keep=keep, radius=radius)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import DISPLAY_GROUP
@@ -56,16 +58,32 @@ def with_neighbour_results(results: DataFrame, wrap: bool = False) -> DataFrame:
 BROADCAST_KEYS = 1_000_000
 
 
-def page_of_result(results: DataFrame, pages: DataFrame, written: bool = False) -> DataFrame:
-    """Results with the text of their pages; a missing page leaves null.
+#: Characters of a page whose hits are one array; a page with hits all over has several.
+SALT_CHARS = 1 << 16
+
+
+def beside_pages(results: DataFrame, pages: DataFrame, make: Callable[[Column, Column], Column], name: str, written: bool = False) -> DataFrame:
+    """Results with a column ``name`` that ``make(page's text, result)`` gives where the text is; a missing page's text is null.
 
-    Results are written first (unless they are read from a table anyway), and only the pages
+    The results of a page (of a stretch of it) are one array, so that a page meets its text once for each
+    and not once a result.  Results are written first (unless they are read from a table anyway), and only the pages
     that they name are shuffled.
     """
     spark = results.sparkSession
     found = results if written else stage(results, work_dir(spark, "results"))
     keys = stage(found.select("book_id", "page_number").distinct(), work_dir(spark, "result-pages"))
     few = keys.count() <= BROADCAST_KEYS
-    page = pages.select("book_id", F.col("page_num").alias("page_number"), F.col("content").alias("page_content"))
+    page = pages.select("book_id", F.col("page_num").alias("page_number"), F.col("content").alias("__text"))
     page = page.join(F.broadcast(keys) if few else keys, ["book_id", "page_number"], "left_semi").dropDuplicates(["book_id", "page_number"])
-    return found.join(page, ["book_id", "page_number"], "left")
+    rest = [c for c in results.columns if c not in ("book_id", "page_number")]
+    salt = F.floor(F.coalesce("match_position", F.lit(0)) / SALT_CHARS)
+    hits = found.groupBy("book_id", "page_number", salt.alias("__salt")).agg(F.collect_list(F.struct(*rest)).alias("__hits"))
+    order = lambda a, b: F.when(a["match_position"] < b["match_position"], -1).when(a["match_position"] > b["match_position"], 1).otherwise(0)
+    made = lambda h: F.struct(h.alias("h"), make(F.col("__text"), h).alias("made"))
+    met = hits.join(page, ["book_id", "page_number"], "left").select("book_id", "page_number", F.explode(F.transform(F.array_sort("__hits", order), made)).alias("x"))
+    return met.select(*[F.col(c) if c in ("book_id", "page_number") else F.col(f"x.h.{c}").alias(c) for c in results.columns], F.col("x.made").alias(name))
+
+
+def page_of_result(results: DataFrame, pages: DataFrame, written: bool = False) -> DataFrame:
+    """Results, each with the whole text of its page; where less will do, ``beside_pages`` is cheaper."""
+    return beside_pages(results, pages, lambda text, _: text, "page_content", written)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import prepare_for_regex, strip_diacritics
 from ..plans import patterns
-from ..schema import DEFAULT_LIMIT, RESULT_COLUMNS, UNCLASSIFIED_NAMES
+from ..schema import DEFAULT_LIMIT, RESULT_COLUMNS, SNIPPET_RADIUS, UNCLASSIFIED_NAMES
 from . import match
 
 
@@ -65,18 +65,27 @@ def metadata_filter(pages: DataFrame, options: SearchOptions) -> DataFrame:
     return pages.where(reduce(and_, terms)) if terms else pages
 
 
-def _results(found: DataFrame, options: SearchOptions, content: Column | None = None) -> DataFrame:
-    content = F.col("content") if content is None else content
+def _results(found: DataFrame, options: SearchOptions, more: tuple[str, ...] = ()) -> DataFrame:
+    """Result rows of matches, whose snippet is made here unless they have one; ``more`` columns are kept."""
     pos, end = F.col("match_position"), F.col("match_position") + F.length("matched_term")
+    around = F.col("context_snippet") if "context_snippet" in found.columns else match.snippet(F.col("content"), pos, end)
     rows = found.select(
         F.coalesce("book_id", F.lit(0)).cast("long").alias("book_id"), F.coalesce("page_num", F.lit(0)).cast("int").alias("page_number"),
-        "original_page_number", "matched_term", pos.cast("long").alias("match_position"), match.snippet(content, pos, end).alias("context_snippet"),
+        "original_page_number", "matched_term", pos.cast("long").alias("match_position"), around.alias("context_snippet"),
         "book_title", F.col("author").alias("book_author"), F.col("category").alias("book_category"), F.col("year").alias("book_year"),
-        F.lit(1.0).alias("relevance"),
+        F.lit(1.0).alias("relevance"), *more,
     )
     return limited(rows, options)
 
 
+def _matches(pages: DataFrame, pattern: str, keep=None) -> DataFrame:
+    """Matches with what results show of their page; the text itself stays behind."""
+    return match.find_all(pages.select(*_SHOWN), pattern, keep=keep, radius=SNIPPET_RADIUS)
+
+
+_SHOWN = ["book_id", "page_num", "original_page_number", "content", "book_title", "author", "category", "year"]
+
+
 def limited(rows: DataFrame, options: SearchOptions) -> DataFrame:
     """Canonical order and limit; without a limit the rows stay unordered (no sort of everything)."""
     return rows if options.limit is None else rows.orderBy("book_id", "page_number", "match_position").limit(options.limit)
@@ -108,14 +117,14 @@ def search_word(pages: DataFrame, query: str, options: SearchOptions = SearchOpt
     if not pattern or not patterns.compiles(spark, pattern):
         return _nothing(pages)
     words = [p.strip() for p in query.split("|") if p.strip()][:2] if "|" in query else query.split()
-    return _results(match.find_all(_needed(pages_, words, options), pattern), options)
+    return _results(_matches(_needed(pages_, words, options), pattern), options)
 
 
 def search_pattern(pages: DataFrame, wazn: str, options: SearchOptions = SearchOptions(), symbols: dict[str, str] | None = None) -> DataFrame:
     pattern = patterns.wazn(wazn, options.respect_diacritics, options.whole_letters, symbols)
     if not wazn.strip() or not patterns.compiles(pages.sparkSession, pattern):
         return _nothing(pages)
-    return _results(match.find_all(metadata_filter(pages, options), pattern), options)
+    return _results(_matches(metadata_filter(pages, options), pattern), options)
 
 
 def search_regex(pages: DataFrame, pattern: str, options: SearchOptions = SearchOptions()) -> DataFrame:
@@ -124,21 +133,22 @@ def search_regex(pages: DataFrame, pattern: str, options: SearchOptions = Search
     if full is None or not patterns.compiles(pages.sparkSession, full):
         return _nothing(pages)
     ready = metadata_filter(pages, options).withColumn("content", prepare_for_regex(F.col("content")))
-    return _results(match.find_all(ready, full), options)
+    return _results(_matches(ready, full), options)
 
 
-def derivative_tokens(pages: DataFrame, root: str, vowels: bool = True, min_length: int = 3, max_length: int = 20) -> DataFrame:
-    bare = strip_diacritics(F.col("matched_term"))
-    return match.tokens(pages).withColumn("__bare", bare).where(
-        F.length("__bare").between(min_length, max_length) & F.col("__bare").rlike(patterns.allowed_letters(root, vowels)) & F.col("__bare").rlike(patterns.root(root, vowels))
-    ).drop("__bare")
+def is_derivative(root: str, vowels: bool = True, min_length: int = 3, max_length: int = 20):
+    """A test of a token: made of the root's letters and letters of increase, the root's in order."""
+    allowed, order = patterns.allowed_letters(root, vowels), patterns.root(root, vowels)
+    # In an array of one, so that marks are taken out once and not for each condition.
+    return lambda token: F.exists(F.array(strip_diacritics(token)), lambda t: F.length(t).between(min_length, max_length) & t.rlike(allowed) & t.rlike(order))
 
 
 def search_derivatives(pages: DataFrame, root: str, options: SearchOptions = SearchOptions(), vowels: bool = True, min_length: int = 3, max_length: int = 20) -> DataFrame:
     """Distinct words of a root at their first place, most frequent first; adds match_count."""
     if not root.strip() or not patterns.compiles(pages.sparkSession, patterns.root(root, vowels)):
         return _nothing(pages).withColumn("match_count", F.lit(0).cast("long"))
-    found = derivative_tokens(metadata_filter(pages, options), root, vowels, min_length, max_length)
+    # Tokens are judged inside the page, so that only those of the root become rows.
+    found = _matches(metadata_filter(pages, options), r"\S+", is_derivative(root, vowels, min_length, max_length))
     rows = _results(found, SearchOptions(limit=None))
     # Words are few beside their occurrences: count and first place are partial aggregates.
     first = F.min(F.struct("book_id", "page_number", "match_position", *[c for c in RESULT_COLUMNS if c not in ("book_id", "page_number", "match_position", "matched_term")]))

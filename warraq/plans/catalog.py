@@ -490,8 +490,8 @@ def _(spark, d):
 @query("joi_result_pages", _hits(_TRASH) + " SELECT book_id, pos AS match_position, length(content)::BIGINT AS page_length FROM hit")
 def _(spark, d):
     p = corpus(spark, d)
-    found = reader.page_of_result(search.search(p, _TRASH, SearchMode.WORD, ALL), p)
-    return found.select("book_id", "match_position", F.length("page_content").cast("long").alias("page_length"))
+    found = reader.beside_pages(search.search(p, _TRASH, SearchMode.WORD, ALL), p, lambda text, _: F.length(text).cast("long"), "page_length")
+    return found.select("book_id", "match_position", "page_length")
 
 
 @query("joi_duplicates", "SELECT '/in/' || doc_id || '/DOC-' || doc_id || '.txt' AS path FROM documents")

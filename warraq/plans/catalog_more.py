@@ -372,7 +372,7 @@ _STORED = "SELECT book_id, page_num::INT AS page_num, content, nullif(trim(count
 
 
 def _library(spark) -> Library:
-    return Library(spark, work_dir(spark, "library"), buckets=8)
+    return Library(spark, work_dir(spark, "library"))
 
 
 def _stored(lib: Library):
@@ -681,7 +681,7 @@ def _(spark, d):
 def _(spark, d):
     """A library put back from its backup after it was emptied."""
     folder = _folder(spark, "backup")
-    lib = Library(spark, f"file://{folder}/library", buckets=8)
+    lib = Library(spark, f"file://{folder}/library")
     lib.append(corpus(spark, d))
     archive = services.create_backup(f"{folder}/library", f"{folder}/library.zip")
     lib.clear()
