@@ -22,9 +22,9 @@ Which bytes are covered by a string of ``length`` bytes that also starts elsewhe
 4. Covered ranges return to their block, which cuts the texts.
 
 Hashes only deal strings out.  Equality is decided by bytes: copies by the strings
-themselves, symbols by comparing each place with the first of its code.  Strings that
-occur more than once are repeated as a whole, so a key is merged only where it has a
-string that occurs once beside others; its copies enter the merge once with their number.
+themselves, symbols by comparing each place with the first of its code.  Each different
+string of a shared key enters the merge, once, with the number of its copies: an interval
+of the merged order is repeated if its suffixes, so counted, are more than one.
 
 The texts are written once as blocks, which all later steps read, so a lost executor
 costs a re-read and the order of the input's rows does not matter.  A long text is
@@ -53,7 +53,7 @@ from .common import give_back, gram_hashes, id_text, joined, mix, pieces, raw_by
 LENGTH = 400
 GRAM = 200
 STEPS = 4
-#: Different strings (added up over blocks) of one key that meet in one merge; more are split.
+#: Different strings of one key that meet in one merge; more are split.  Copies count once, in however many blocks they stand.
 HOT = 1024
 RANGE_BYTES = 4 << 20
 BLOCK_BYTES = 2 << 20
@@ -217,7 +217,7 @@ def _open(body: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 
 
 _MEET = "block long, range long, level int, n_hot long, body binary, ends binary"
-_ASK = "range long, block long, level int, keys binary, n binary, strings binary"
+_ASK = "range long, block long, level int, keys binary, n binary, marks binary"
 
 
 def _cuts(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -229,32 +229,37 @@ def _cuts(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 def _requests(
     data: np.ndarray, off: np.ndarray, block: int, length: int, gram: int, bits: int, states: list[np.ndarray] = (), hot_keys: list[np.ndarray] = ()
 ) -> pa.RecordBatch | None:
-    """Keys of the level after ``states`` or ``hot_keys``, with their places and different strings."""
+    """Keys of the level after ``states`` or ``hot_keys``: an entry for each of a key's different strings, with its places."""
     start = None
     for (start, windows, _, key), state in levels(data, off, length, gram, states, hot_keys):  # noqa: B007
         pass
     if start is None or state is not None:
         return None
     level = max(len(states), len(hot_keys))
-    keys, at = np.unique(key, return_inverse=True)
-    n = np.bincount(at)
-    strings = np.ones(len(keys), dtype=np.int64)
-    many = np.flatnonzero(n[at] > 1)
-    if len(many):
-        same = same_strings(data, start[many], windows[many] + length - 1, key[many])
-        first = many[np.unique(same, return_index=True)[1]]
-        own = np.bincount(at[first], minlength=len(keys))
-        strings[n > 1] = own[n > 1]
-    ranges, cuts = _cuts(keys, bits)
+    mark = string_marks(data, start, windows + length - 1, gram)
+    order = np.lexsort((mark, key))
+    key, mark = key[order], mark[order]
+    first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (mark[1:] != mark[:-1])]))
+    n = np.diff(np.append(first, len(key)))
+    ranges, cuts = _cuts(key[first], bits)
     return pa.RecordBatch.from_arrays(
         [
             pa.array(ranges), pa.array(np.full(len(ranges), block)), pa.array(np.full(len(ranges), level, dtype=np.int32)),
-            slices(keys.astype("<u8"), cuts), slices(n.astype("<u4"), cuts), slices(strings.astype("<u4"), cuts),
+            slices(key[first].astype("<u8"), cuts), slices(n.astype("<u4"), cuts), slices(mark[first].astype("<u4"), cuts),
         ],
-        names=["range", "block", "level", "keys", "n", "strings"],
+        names=["range", "block", "level", "keys", "n", "marks"],
     )
 
 
+def string_marks(data: np.ndarray, start: np.ndarray, size: np.ndarray, gram: int) -> np.ndarray:
+    """32 bits of a hash of data[start:start + size], from grams that cover it; tells strings of one key apart when they are counted."""
+    out = mix(size.astype(np.uint64))
+    last = start + size - gram
+    for k in range(-(-int(size.max(initial=0)) // gram)):
+        out = mix(out ^ hash_at(data, np.minimum(start + k * gram, last), gram))
+    return out >> np.uint64(32)
+
+
 #: Hot keys (8 bytes each) up to this number are broadcast to the blocks; more meet them by a shuffle.
 BROADCAST_KEYS = 1_000_000
 
@@ -290,7 +295,7 @@ def _ask_again(blocks: DataFrame, replies: DataFrame, length: int, gram: int, bi
     return met.groupBy("block").applyInArrow(run, _ASK)
 
 
-_ASK_ARROW = pa.schema([("range", pa.int64()), ("block", pa.int64()), ("level", pa.int32()), ("keys", pa.binary()), ("n", pa.binary()), ("strings", pa.binary())])
+_ASK_ARROW = pa.schema([("range", pa.int64()), ("block", pa.int64()), ("level", pa.int32()), ("keys", pa.binary()), ("n", pa.binary()), ("marks", pa.binary())])
 
 
 def _as_met(blocks: DataFrame) -> DataFrame:
@@ -313,18 +318,23 @@ def _reply(hot: int):
 
     def run(group: pa.Table) -> pa.Table:
         keys, size = joined(group.column("keys"), "<u8")
-        (n, _), (strings, _) = joined(group.column("n"), "<u4"), joined(group.column("strings"), "<u4")
+        (n, _), (marks, _) = joined(group.column("n"), "<u4"), joined(group.column("marks"), "<u4")
         distinct, at = np.unique(keys, return_inverse=True)
-        places, different = (np.bincount(at, weights=x)[at] for x in (n, strings))
+        places = np.bincount(at, weights=n)[at]
+        different = np.bincount((np.unique((at.astype(np.uint64) << np.uint64(32)) | marks) >> np.uint64(32)).astype(np.int64))[at]
         level = group.column("level").to_numpy()
         splits = np.repeat(level, size // 8) < 2  # single windows cannot be split
         state = np.where(places == 1, _UNIQUE, np.where(splits & (different > hot), _HOT, _SHARED)).astype(np.uint8)
+        # One answer a key and request; a key's entries follow each other.
         cuts = np.concatenate([[0], np.cumsum(size // 8)])
+        head = np.concatenate([[True], keys[1:] != keys[:-1]])
+        head[cuts[:-1]] = True
+        is_hot = np.zeros(len(distinct), dtype=bool)
+        is_hot[at[state == _HOT]] = True
+        state, cuts = state[head], np.concatenate([[0], np.cumsum(head)])[cuts]
         n_hot = np.add.reduceat(state == _HOT, cuts[:-1], dtype=np.int64)
         names = ["block", "range", "level", "n_hot", "body", "ends"]
         replies = pa.table([group.column("block"), group.column("range"), group.column("level"), pa.array(n_hot), slices(state, cuts), pa.nulls(len(size), pa.binary())], names=names)
-        is_hot = np.zeros(len(distinct), dtype=bool)
-        is_hot[at[state == _HOT]] = True
         own = distinct[is_hot].astype("<u8")
         if not len(own):
             return replies
@@ -510,42 +520,32 @@ def _solve(length: int):
             data[a:b] = np.frombuffer(pa.decompress(x.as_py(), decompressed_size=int(b - a), codec="zstd", asbytes=True), dtype=np.uint8)
         same = same_strings(data, begin, size, key)
         times = np.bincount(same, weights=n).astype(np.int64)
-        starts, stops, to = [], [], []
-
-        # Strings that occur more than once are repeated as a whole.
-        many = np.flatnonzero(times[same] > 1)
-        reps = n[many]
-        base = np.repeat(first_at[many] - (np.cumsum(reps) - reps), reps) + np.arange(int(reps.sum()))
-        starts.append(at[base])
-        stops.append(at[base] + np.repeat(size[many] - length + 1, reps))
-        to.append(np.repeat(source[many], reps))
-
-        # Those that occur once, beside other strings of their key, are what is left to settle.
-        head = np.unique(same, return_index=True)[1]
-        of_key = np.unique(key[head], return_inverse=True)[1]
-        variants = np.bincount(of_key)[of_key]
-        open_ = np.zeros(int(of_key.max(initial=-1)) + 1, dtype=bool)
-        open_[of_key[(variants > 1) & (times[same[head]] == 1)]] = True
-        take = head[open_[of_key]]
+        # Each different string enters the merge once, with the number of its copies; what repeats in it does in each of them.
+        take = np.unique(same, return_index=True)[1]
         take = take[np.argsort(key[take], kind="stable")]
-        if len(take):
-            # Equal windows have one key, so keys can be settled some at a time.
-            first_of_key = np.flatnonzero(np.concatenate([[True], key[take][1:] != key[take][:-1]]))
-            turn = (np.cumsum(size[take]) // _MERGE_BYTES)[first_of_key]
-            turn = np.repeat(turn, np.diff(np.append(first_of_key, len(take))))
-            text = memoryview(data)
-            for part in np.split(take, np.flatnonzero(np.diff(turn)) + 1):
-                own = np.frombuffer(b"".join(text[a : a + s] for a, s in zip(begin[part].tolist(), size[part].tolist(), strict=True)), dtype=np.uint8)
-                own_start = np.cumsum(size[part]) - size[part]
-                hit = repeated_windows(own, own_start, size[part], times[same[part]], shard_of(blocks[source[part]]), length)
-                a, b = _runs(hit)  # windows of a string end `length` bytes before it does, so runs stay inside
-                where = np.searchsorted(own_start, a, side="right") - 1
-                once = times[same[part[where]]] == 1
-                a, b, where = a[once], b[once], where[once]
-                shift = at[first_at[part[where]]] - own_start[where]
-                starts.append(a + shift)
-                stops.append(b + shift)
-                to.append(source[part[where]])
+        copies = np.argsort(same, kind="stable")  # requests by string
+        of_string = np.concatenate([[0], np.cumsum(np.bincount(same))])
+        starts, stops, to = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        # Equal windows have one key, so keys can be settled some at a time.
+        first_of_key = np.flatnonzero(np.concatenate([[True], key[take][1:] != key[take][:-1]]))
+        turn = (np.cumsum(size[take]) // _MERGE_BYTES)[first_of_key]
+        turn = np.repeat(turn, np.diff(np.append(first_of_key, len(take))))
+        text = memoryview(data)
+        for part in np.split(take, np.flatnonzero(np.diff(turn)) + 1):
+            own = np.frombuffer(b"".join(text[a : a + s] for a, s in zip(begin[part].tolist(), size[part].tolist(), strict=True)), dtype=np.uint8)
+            own_start = np.cumsum(size[part]) - size[part]
+            hit = repeated_windows(own, own_start, size[part], times[same[part]], shard_of(blocks[source[part]]), length)
+            a, b = _runs(hit)  # windows of a string end `length` bytes before it does, so runs stay inside
+            where = np.searchsorted(own_start, a, side="right") - 1
+            a, b, string = a - own_start[where], b - own_start[where], same[part[where]]
+            # From a run to the requests that hold its string, and from these to their places.
+            many = of_string[string + 1] - of_string[string]
+            asked = copies[np.repeat(of_string[string] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]
+            a, b, reps = np.repeat(a, many), np.repeat(b, many), n[asked]
+            place = at[np.repeat(first_at[asked] - (np.cumsum(reps) - reps), reps) + np.arange(int(reps.sum()))]
+            starts.append(place + np.repeat(a, reps))
+            stops.append(place + np.repeat(b, reps))
+            to.append(np.repeat(source[asked], reps))
         start, stop, to = map(np.concatenate, (starts, stops, to))
         order = np.lexsort((start, to))
         sources, cuts = np.unique(to[order], return_index=True)
