@@ -16,9 +16,10 @@ numbers ascend with the identifiers.  Rows, in this order:
 
 ``length`` in every row is the number of ids in the shard, ``width`` the number of planes.
 
-A document is never split over shards.  Encoding takes each distinct word of a piece once
-(``by_words``), for vocabularies that drop white space, where a text's ids are those of
-its words one after another; for others the text is encoded as a whole.
+A document is never split over shards.  Encoding takes each distinct word once as long as a
+worker knows it (``by_words``), for vocabularies that lower-case texts, drop white space and
+take letters, digits and signs apart, so that a text's ids are those of its words one after
+another, and of plain letters and the signs behind them; for others the text is encoded as a whole.
 
 Defined cases: a null, empty or blank text is its end id alone; repeated rows and rows that share an
 identifier are all kept, ordered by a hash of their text; null identifiers come first; a very long text is a
@@ -47,8 +48,12 @@ END_ID = 2
 SHARD_BYTES, SHARD_TOKENS = 16 << 20, 1 << 23
 #: Places and documents in one row of a file.
 BLOCK, DOCS = 1 << 16, 1 << 14
-#: Words whose ids a worker remembers, and bytes of the longest of them.
-KNOWN_WORDS, KNOWN_BYTES = 200_000, 64
+#: After so many words (some 200 bytes each) a worker forgets them and begins anew.
+KNOWN_WORDS = 400_000
+#: Lower-case letters that are one character composed or not; words of them, and words followed by signs.
+_LETTERS = "".join(map(chr, [*range(0x61, 0x7B), *range(0xDF, 0xF7), *range(0xF8, 0x100)]))
+_PLAIN = r"^[a-z\x{df}-\x{f6}\x{f8}-\x{ff}]+$"
+_APART = r"^(?P<stem>[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}]+)(?P<tail>[!-/:-@\[-`{-~]*)$"
 #: One row group a file.
 _ROW_GROUP = 1 << 30
 
@@ -75,7 +80,15 @@ class Encoder:
 
     def __init__(self, vocabulary: str, by_words: bool = True):
         self.tokenizer, self.by_words = _tokenizer(vocabulary), by_words
-        self.known: dict[str, np.ndarray] = {}
+        if by_words:
+            # What the vocabulary's own steps before the merges make of each plain letter.
+            before = lambda c: self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(c))
+            self.letters = {ord(c): "".join(x for x, _ in before(c)) for c in _LETTERS}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ends, self.flat = np.zeros(1024, dtype=np.int64), np.zeros(4096, dtype="<u4")
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, ids a text)."""
@@ -88,29 +101,48 @@ class Encoder:
         for row, part in text_parts(texts):
             words, n = split_words(part, lower=False)
             coded = words.dictionary_encode()
-            flat, first = self._words(coded.dictionary.to_pylist())
-            at = coded.indices.to_numpy()
-            size = np.diff(first)[at]
+            word = coded.indices.to_numpy()
+            # Letters and the signs after them are taken apart: each has its own ids wherever it stands.
+            apart = pc.extract_regex(coded.dictionary, _APART)
+            plain = apart.is_valid()
+            stems = pc.if_else(plain, pc.utf8_lower(apart.field("stem")), coded.dictionary)
+            tails = pc.fill_null(pc.if_else(plain, apart.field("tail"), ""), "")
+            units = pa.chunked_array([stems, tails]).combine_chunks().dictionary_encode()
+            place = self._places(units.dictionary)[units.indices.to_numpy()]
+            unit = np.stack([place[: len(stems)][word], place[len(stems) :][word]], axis=1).ravel()
+            begin = np.where(unit > 0, self.ends[unit - 1], 0)
+            size = self.ends[unit] - begin
             ends = np.cumsum(size)
-            # Each word's ids, gathered from the distinct words' ones.
-            out.append(flat[np.repeat(first[at] - (ends - size), size) + np.arange(int(size.sum()))])
-            count[row : row + len(part)] += np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(n)])])
+            out.append(self.flat[np.repeat(begin - (ends - size), size) + np.arange(int(size.sum()))])
+            count[row : row + len(part)] += np.diff(np.concatenate([[0], ends])[2 * np.concatenate([[0], np.cumsum(n)])])
         return np.concatenate(out), count
 
-    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        known = self.known
-        if len(known) > KNOWN_WORDS:
-            known.clear()
-        new = [w for w in words if w not in known]
-        fresh = {}
-        if new:
-            done = self.tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(done.ids, dtype="<u4")
-            cuts = np.searchsorted(np.array(done.word_ids, dtype=np.int64), np.arange(len(new) + 1))
-            for w, a, b in zip(new, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                (known if len(w) <= KNOWN_BYTES and len(known) <= KNOWN_WORDS else fresh)[w] = ids[a:b].copy()
-        found = [known[w] if w in known else fresh[w] for w in words]
-        return np.concatenate([np.zeros(0, "<u4"), *found]), np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int64)
+    def _places(self, units: pa.Array) -> np.ndarray:
+        """The number of each unit among those whose ids are known; new ones are encoded."""
+        if len(self.known) > KNOWN_WORDS:
+            self._forget()
+        known, letters, merges = self.known, self.letters, self.tokenizer.model.tokenize
+        plain = pc.match_substring_regex(units, _PLAIN).to_numpy(zero_copy_only=False).tolist()
+        places, fresh, sizes = [], [], []
+        for w, simple in zip(units.to_pylist(), plain, strict=True):
+            at = known.get(w)
+            if at is None:
+                at = known[w] = len(known)
+                ids = [t.id for t in merges(w.translate(letters))] if simple else self.tokenizer.encode(w, add_special_tokens=False).ids
+                fresh += ids
+                sizes.append(len(ids))
+            places.append(at)
+        if sizes:
+            n, old = len(known) - len(sizes), int(self.ends[len(known) - len(sizes) - 1]) if len(known) > len(sizes) else 0
+            ends = old + np.cumsum(sizes)
+            self.ends, self.flat = _room(self.ends, len(known)), _room(self.flat, int(ends[-1]))
+            self.ends[n : len(known)], self.flat[old : int(ends[-1])] = ends, fresh
+        return np.array(places, dtype=np.int64)
+
+
+def _room(x: np.ndarray, n: int) -> np.ndarray:
+    """The same numbers with room for n, growing by half at least."""
+    return x if n <= len(x) else np.concatenate([x, np.zeros(max(n - len(x), len(x) // 2), x.dtype)])
 
 
 # --------------------------------------------------------------------------
