@@ -355,16 +355,16 @@ _AROUND = """CASE WHEN p > 81 THEN '…' ELSE '' END || substr(text, greatest(p
     CASE WHEN p + 84 < length(text) THEN '…' ELSE '' END"""
 
 
-@query("sca_snippet_around", f"SELECT doc_id, {_AROUND} AS snippet FROM (SELECT *, strpos(text, 'trash') AS p FROM documents) WHERE p > 0")
+@query("sca_snippet_around", f"SELECT doc_id, CASE WHEN p > 0 THEN {_AROUND} END AS snippet FROM (SELECT *, strpos(text, 'trash') AS p FROM documents)")
 def _(spark, d):
-    docs = table(spark, d, "documents").where(F.col("text").contains(_TRASH))
+    docs = table(spark, d, "documents")
     return docs.select("doc_id", render.snippet_around(F.col("text"), _TRASH).alias("snippet"))
 
 
 @query("sca_snippet_html", f"""SELECT doc_id, regexp_replace({_ESC.replace('text', 'snip')}, 'trash', '<b>\\0</b>', 'g') AS html
-    FROM (SELECT doc_id, {_AROUND} AS snip FROM (SELECT *, strpos(text, 'trash') AS p FROM documents) WHERE p > 0)""")
+    FROM (SELECT doc_id, CASE WHEN p > 0 THEN {_AROUND} END AS snip FROM (SELECT *, strpos(text, 'trash') AS p FROM documents))""")
 def _(spark, d):
-    docs = table(spark, d, "documents").where(F.col("text").contains(_TRASH))
+    docs = table(spark, d, "documents")
     return docs.select("doc_id", render.snippet_html(F.col("text"), _TRASH, open_tag="<b>", close_tag="</b>").alias("html"))
 
 
@@ -382,15 +382,16 @@ def _(spark, d):
     return found.select("book_id", "match_position", render.context_window(F.col("context_snippet"), F.col("matched_term")).alias("kwic"))
 
 
-@query("sca_export30", r"""WITH d AS (SELECT doc_id, text, strpos(text, 'trash') AS p FROM documents WHERE contains(text, 'trash')),
+@query("sca_export30", r"""WITH d AS (SELECT doc_id, text, strpos(text, 'trash') AS p FROM documents),
     c AS (SELECT *, length(regexp_extract(substr(text, 1, p - 1), '[\p{L}\p{Nd}]+$')) AS h FROM d),
-    s AS (SELECT doc_id, substr(text, 1, p - 1 - h) AS l, substr(text, p - h) AS r FROM c),
+    s AS (SELECT doc_id, p, substr(text, 1, p - 1 - h) AS l, substr(text, p - h) AS r FROM c),
     n AS (SELECT *, len(regexp_extract_all(l, '[\p{L}\p{Nd}]+')) AS nl, len(regexp_extract_all(r, '[\p{L}\p{Nd}]+')) AS nr FROM s)
-    SELECT doc_id, CASE WHEN nl > 30 THEN '… ' ELSE '' END || trim(regexp_extract(l, '(?:[\p{L}\p{Nd}]+[^\p{L}\p{Nd}]*){0,30}$')
-      || regexp_extract(r, '^((?:[\p{L}\p{Nd}]+[^\p{L}\p{Nd}]*){0,30}[\p{L}\p{Nd}]+)', 1), E' \n\t') || CASE WHEN nr > 31 THEN ' …' ELSE '' END AS snippet FROM n""")
+    SELECT doc_id, CASE WHEN coalesce(p, 0) = 0 THEN 'no hit' ELSE CASE WHEN nl > 30 THEN '… ' ELSE '' END || trim(regexp_extract(l, '(?:[\p{L}\p{Nd}]+[^\p{L}\p{Nd}]*){0,30}$')
+      || regexp_extract(r, '^((?:[\p{L}\p{Nd}]+[^\p{L}\p{Nd}]*){0,30}[\p{L}\p{Nd}]+)', 1), E' \n\t') || CASE WHEN nr > 31 THEN ' …' ELSE '' END END AS snippet FROM n""")
 def _(spark, d):
-    docs = table(spark, d, "documents").where(F.col("text").contains(_TRASH))
-    return docs.select("doc_id", render.export_snippet(F.col("text"), F.lit(_TRASH), F.lit("")).alias("snippet"))
+    """What the result showed stays where the page has no hit."""
+    docs = table(spark, d, "documents")
+    return docs.select("doc_id", render.export_snippet(F.col("text"), F.lit(_TRASH), F.lit("no hit")).alias("snippet"))
 
 
 def _cite(name: str, sql: str) -> None:

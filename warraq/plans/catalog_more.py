@@ -132,9 +132,9 @@ def _(spark, d):
     return rows.unionByName(totals.select(F.lit("totals").alias("kind"), "r.name", "r.n", F.lit(3).alias("rank")))
 
 
-@query("srt_books_by_title", f"WITH {_LIB} SELECT book_id, book_title FROM lib ORDER BY book_title, book_id LIMIT 500")
+@query("srt_books_by_title", f"WITH {_LIB} SELECT book_id, book_title FROM lib ORDER BY book_title, book_id")
 def _(spark, d):
-    return stats.books_by_title(corpus(spark, d)).select("book_id", "book_title").limit(500)
+    return stats.books_by_title(corpus(spark, d)).select("book_id", "book_title")
 
 
 @query("agg_word_count", f"SELECT doc_id, len(regexp_extract_all({_TO_ARABIC}, '[؀-ۿݐ-ݿࢠ-ࣿ]+'))::BIGINT AS words FROM documents")
@@ -331,9 +331,9 @@ def _(spark, d):
     return pages.with_book_ids(table(spark, d, "pages").select(F.col("url").alias("path")).distinct(), 41).select("path", "book_id")
 
 
-@query("srt_path_order", "SELECT url AS path FROM pages ORDER BY url LIMIT 100")
+@query("srt_path_order", "SELECT url AS path FROM pages ORDER BY url")
 def _(spark, d):
-    return files.in_path_order(table(spark, d, "pages").select(F.col("url").alias("path"))).limit(100)
+    return files.in_path_order(table(spark, d, "pages").select(F.col("url").alias("path")))
 
 
 def _numbered_text(spark, d):
@@ -552,20 +552,49 @@ _LETTERS, _AR_LETTERS = _LATIN[:52], _ARABIC[:52]
 _PLAIN = f"translate(regexp_replace(text, '[^ -~\\n]', '', 'g'), '{_LETTERS}', '{_AR_LETTERS}')"
 
 
-@query("src_read_texts", f"""WITH t AS (SELECT doc_id, {_PLAIN} AS a, CASE doc_id % 4 WHEN 3 THEN 'PDF' WHEN 2 THEN 'Txt' ELSE 'txt' END AS ext FROM documents),
-    v AS (SELECT *, ext <> 'PDF' AND len(regexp_extract_all(substr(a, 1, 2000), '[؀-ۿ]')) > 5 AS ok FROM t)
-    SELECT '/in/' || doc_id || '.' || ext AS path, doc_id::VARCHAR AS title, CASE WHEN ok THEN a END AS text, CASE WHEN ext = 'PDF' THEN 'نوع غير مدعوم: pdf' WHEN NOT ok THEN 'فشل قراءة الملف' END AS error
-    FROM v WHERE ok OR ext = 'PDF' OR NOT regexp_full_match(substr(a, 1, 2000), '[\\x20-\\x7E\\s]*')""")
+# Texts spelt in Arabic letters; signs that one of the encodings lacks are taken out on both sides.
+_SPELT = f"translate(regexp_replace(text, '[^ -~\\néèàçâêîôûäöüßñóíáú]', '', 'g'), '{_LETTERS}', '{_AR_LETTERS}')"
+
+
+def _spelt():
+    return F.translate(F.regexp_replace("text", "[^ -~\\néèàçâêîôûäöüßñóíáú]", ""), _LETTERS, _AR_LETTERS)
+
+
+_HAS = {"cp1256": "éèàçâêîôûü", "iso-8859-6": ""}
+
+
+def _reduced(a: str, encoding: str) -> str:
+    lost = "".join(c for c in "éèàçâêîôûäöüßñóíáú" if c not in _HAS[encoding])
+    return f"translate({a}, '{lost}', '{'?' * len(lost)}')"
+
+
+@query("src_read_texts", f"""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 4 = 1 THEN {_reduced(_SPELT, 'cp1256')} ELSE {_SPELT} END AS a, CASE doc_id % 4 WHEN 3 THEN 'PDF' WHEN 2 THEN 'Txt' ELSE 'txt' END AS ext FROM documents),
+    v AS (SELECT *, len(regexp_extract_all(substr(a, 1, 2000), '[؀-ۿ]')) > 5 OR (regexp_full_match(substr(a, 1, 2000), '[\\x20-\\x7E\\s]*') AND regexp_matches(a, '[^\\s]')) AS ok FROM t)
+    SELECT '/in/' || doc_id || '.' || ext AS path, doc_id::VARCHAR AS title, CASE WHEN ok AND ext <> 'PDF' THEN a END AS text,
+        CASE WHEN ext = 'PDF' THEN 'نوع غير مدعوم: pdf' WHEN NOT ok THEN 'فشل قراءة الملف' END AS error FROM v""")
 def _(spark, d):
     """Texts as files: with a byte order mark, in an old encoding, of another kind."""
-    files.with_decode_settings(spark)
-    i = F.col("doc_id")
-    a = F.translate(F.regexp_replace("text", "[^ -~\\n]", ""), _LETTERS, _AR_LETTERS)
-    content = F.when(i % 4 == 0, F.concat(F.unhex(F.lit("EFBBBF")), F.encode(a, "UTF-8"))).when(i % 4 == 1, F.encode(a, "windows-1256")).otherwise(F.encode(a, "UTF-8"))
+    i, a = F.col("doc_id"), _spelt()
+    content = F.when(i % 4 == 0, F.concat(F.unhex(F.lit("EFBBBF")), F.encode(a, "UTF-8"))).when(i % 4 == 1, files.encode_eight_bit(a, "cp1256")).otherwise(F.encode(a, "UTF-8"))
     ext = F.when(i % 4 == 3, "PDF").when(i % 4 == 2, "Txt").otherwise("txt")
-    arabic_enough = F.regexp_count(F.substring(a, 1, 2000), F.lit("[؀-ۿ]")) > 5
-    rows = table(spark, d, "documents").where((i % 4 == 3) | arabic_enough | ~F.substring(a, 1, 2000).rlike(r"\A[\x20-\x7E\s]*\z"))
-    return files.read_texts(rows.select(F.concat(F.lit("/in/"), i.cast("string"), F.lit("."), ext).alias("path"), content.alias("content")))
+    return files.read_texts(table(spark, d, "documents").select(F.concat(F.lit("/in/"), i.cast("string"), F.lit("."), ext).alias("path"), content.alias("content")))
+
+
+@query(
+    "src_named_encodings",
+    f"""SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN {_SPELT} WHEN 1 THEN {_SPELT} WHEN 2 THEN {_reduced(_SPELT, 'cp1256')} WHEN 3 THEN {_reduced(_SPELT, 'iso-8859-6')}
+        WHEN 4 THEN {_SPELT} WHEN 5 THEN {_SPELT} END AS text FROM documents""",
+)
+def _(spark, d):
+    """Every encoding in one table, each row's named; of a row whose bytes are no text of it, null."""
+    i, a = F.col("doc_id") % 7, _spelt()
+    content = (
+        F.when(i == 0, F.encode(a, "UTF-8")).when(i == 1, F.concat(F.unhex(F.lit("EFBBBF")), F.encode(a, "UTF-8"))).when(i == 2, files.encode_eight_bit(a, "cp1256"))
+        .when(i == 3, files.encode_eight_bit(a, "iso-8859-6")).when(i == 4, F.encode(a, "UTF-16LE")).when(i == 5, F.encode(a, "UTF-16BE")).otherwise(F.concat(F.encode(a, "UTF-8"), F.unhex(F.lit("FF"))))
+    )
+    names = F.array(*map(F.lit, ("utf-8", "utf-8-sig", "cp1256", "iso-8859-6", "utf-16-le", "utf-16-be", "utf-8")))
+    rows = table(spark, d, "documents").select("doc_id", content.alias("content"), F.element_at(names, (i + 1).cast("int")).alias("encoding"))
+    return rows.select("doc_id", files.decode_named(F.col("content"), F.col("encoding")).alias("text"))
 
 
 @query("sca_parse_int", """SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE (o_orderkey * 1003)::INT END AS n FROM orders""")
@@ -588,14 +617,12 @@ def _(spark, d):
     return table(spark, d, "customer").select("c_custkey", m.alias("m")).select("c_custkey", "m.marked", "m.first", "m.last")
 
 
-@query("src_any_encoding", f"""SELECT '/in/' || doc_id AS path, {_PLAIN} AS text, CASE WHEN doc_id % 2 = 0 THEN 'cp1256' ELSE 'utf-8-sig' END AS encoding FROM documents WHERE regexp_matches({_PLAIN}, '[ء-ي]')""")
+@query("src_any_encoding", f"""SELECT '/in/' || doc_id AS path, CASE WHEN doc_id % 2 = 0 THEN p ELSE a END AS text, CASE WHEN doc_id % 2 = 0 AND NOT regexp_full_match(p, '[\\x00-\\x7F]*') THEN 'cp1256' ELSE 'utf-8-sig' END AS encoding
+    FROM (SELECT doc_id, {_SPELT} AS a, {_reduced(_SPELT, 'cp1256')} AS p FROM documents)""")
 def _(spark, d):
-    """OCR output in an encoding that nobody tells."""
-    files.with_decode_settings(spark)
-    a = F.translate(F.regexp_replace("text", "[^ -~\\n]", ""), _LETTERS, _AR_LETTERS)
-    rows = table(spark, d, "documents").where(a.rlike("[ء-ي]"))
-    content = F.when(F.col("doc_id") % 2 == 0, F.encode(a, "windows-1256")).otherwise(F.encode(a, "UTF-8"))
-    return files.read_any(rows.select(F.concat(F.lit("/in/"), F.col("doc_id").cast("string")).alias("path"), content.alias("content")))
+    """OCR output in an encoding that nobody tells; ASCII is UTF-8."""
+    content = F.when(F.col("doc_id") % 2 == 0, files.encode_eight_bit(_spelt(), "cp1256")).otherwise(F.encode(_spelt(), "UTF-8"))
+    return files.read_any(table(spark, d, "documents").select(F.concat(F.lit("/in/"), F.col("doc_id").cast("string")).alias("path"), content.alias("content")))
 
 
 @query("str_import", r"""SELECT sum(len(regexp_extract_all(regexp_replace(text, '[^ -~\n]', '', 'g'), '[A-Za-z]+')))::BIGINT AS words FROM documents""")
@@ -618,11 +645,11 @@ def _docx(batches):
         yield batch[["path"]].assign(content=files_)
 
 
-@query("src_docx", "SELECT '/in/' || doc_id || '.DOCX' AS path, doc_id::VARCHAR AS title, text, NULL::VARCHAR AS error FROM documents WHERE length(trim(text)) > 0")
+@query("src_docx", "SELECT '/in/' || doc_id || '.DOCX' AS path, doc_id::VARCHAR AS title, CASE WHEN NOT b THEN text END AS text, CASE WHEN b THEN 'فشل قراءة الملف' END AS error FROM (SELECT *, coalesce(regexp_full_match(text, '[\\s\\x0b\\x{85}\\p{Z}]*'), TRUE) AS b FROM documents)")
 def _(spark, d):
     """Texts as documents, a paragraph a line, and read back."""
     ship(spark)
-    rows = table(spark, d, "documents").where(F.length(F.trim("text")) > 0)
+    rows = table(spark, d, "documents")
     path = F.concat(F.lit("/in/"), F.col("doc_id").cast("string"), F.lit(".DOCX"))
     return files.read_texts(rows.select(path.alias("path"), "text").mapInPandas(_docx, "path string, content binary"))
 
