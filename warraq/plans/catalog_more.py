@@ -21,7 +21,7 @@ from ..operators import library, render, search, stats
 from ..operators.search import SearchMode, SearchOptions
 from ..schema import ALL_BOOKS, UNCLASSIFIED
 from ..session import ship
-from ..sources import files, headers, importer, ocr, page_numbers, pages, shards
+from ..sources import files, headers, importer, ocr, page_numbers, pages, shards, text_files
 from ..store import Library
 from ..streaming import ingest
 from ..work import work_dir
@@ -625,14 +625,62 @@ def _(spark, d):
     return files.read_any(table(spark, d, "documents").select(F.concat(F.lit("/in/"), F.col("doc_id").cast("string")).alias("path"), content.alias("content")))
 
 
-@query("str_import", r"""SELECT sum(len(regexp_extract_all(regexp_replace(text, '[^ -~\n]', '', 'g'), '[A-Za-z]+')))::BIGINT AS words FROM documents""")
+@query("str_import", f"""WITH t AS (SELECT doc_id, {_SPELT} AS a FROM documents)
+    SELECT doc_id::VARCHAR AS book_title, len(regexp_extract_all(a, '[؀-ۿݐ-ݿࢠ-ࣿ]+'))::BIGINT AS words, TRUE AS numbered FROM t
+    WHERE len(regexp_extract_all(substr(a, 1, 2000), '[؀-ۿ]')) > 5 OR (regexp_full_match(substr(a, 1, 2000), '[\\x20-\\x7E\\s]*') AND regexp_matches(a, '[^\\s]'))""")
 def _(spark, d):
-    """The texts as a folder of files, imported by the stream; a second run of it finds nothing new."""
+    """The texts as a folder of files, imported by the stream; a second run of it finds nothing new.  Each book's words, and whether its pages are numbered from 1 on."""
     folder, lib, state = work_dir(spark, "import-folder"), _library(spark), work_dir(spark, "import-state")
-    table(spark, d, "documents").select(F.regexp_replace("text", "[^ -~\\n]", "")).write.text(folder)
+    text_files.write_text_files(table(spark, d, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), _spelt().alias("text")), folder)
     for _run in range(2):
         ingest.import_stream(spark, folder, lib, state).awaitTermination()
-    return lib.pages().agg(F.sum(F.regexp_count("content", F.lit("[A-Za-z]+"))).cast("long").alias("words"))
+    books = lib.pages().groupBy("book_id", "book_title").agg(F.sum(T.arabic_word_count(F.col("content"))).cast("long").alias("words"), (F.max("page_num") == F.count(F.lit(1))).alias("numbered"))
+    return books.drop("book_id")
+
+
+_OCR_STATE = """WITH e AS (SELECT event_id AS seq, 'f' || user_id AS file, CASE event_id % 10 WHEN 0 THEN 'start' WHEN 8 THEN 'done' WHEN 9 THEN 'error' ELSE 'progress' END AS event,
+        (event_id % 7) / 8.0::DOUBLE AS fraction, event_id::VARCHAR AS text FROM events WHERE event_id % 11 <> 0),
+    s AS (SELECT file, arg_max(event, seq) AS e, arg_max(fraction, seq) FILTER (event = 'progress') AS f, arg_max(text, seq) FILTER (event = 'progress') AS message, arg_max(text, seq) FILTER (event = 'done') AS txt,
+        arg_max(text, seq) FILTER (event = 'error') AS error, count(*) FILTER (event = 'start') AS starts, count(*) FILTER (event = 'error') AS failures, max(seq) AS last_seq FROM e GROUP BY file)
+    SELECT file, CASE e WHEN 'done' THEN 'done' WHEN 'error' THEN 'failed' ELSE 'running' END AS state, CASE WHEN e = 'done' THEN 1.0::DOUBLE ELSE coalesce(f, 0)::DOUBLE END AS fraction, message,
+        CASE WHEN txt IS NOT NULL THEN 3 END::INT AS pages, txt, error, starts, failures, last_seq FROM s"""
+
+
+def _ocr_lines(spark, d):
+    """A log of recognition over the events, a file for each user, among lines that are no events."""
+    i = F.col("event_id")
+    kind = F.when(i % 10 == 0, "start").when(i % 10 == 8, "done").when(i % 10 == 9, "error").otherwise("progress")
+    said = F.when(kind == "done", "txt").when(kind == "error", "error").otherwise("message")
+    number = F.when(kind == "done", F.lit(', "pages": 3')).when(kind == "progress", F.concat(F.lit(', "fraction": '), (i % 7 / 8.0).cast("string"))).otherwise("")
+    line = F.concat(F.lit('{"event": "'), kind, F.lit('", "file": "f'), F.col("user_id").cast("string"), F.lit('", "'), said, F.lit('": "'), i.cast("string"), F.lit('"'), number, F.lit("}"))
+    return table(spark, d, "events").select(i.alias("seq"), F.when(i % 11 == 0, "noise").otherwise(line).alias("value"))
+
+
+@query("agg_ocr_states", _OCR_STATE)
+def _(spark, d):
+    lines = _ocr_lines(spark, d)
+    return ocr.file_states(ocr.parse_events(lines, keep=("seq",)))
+
+
+@query("str_ocr_states", _OCR_STATE)
+def _(spark, d):
+    """The log in pieces that come out of order, followed by a stream that ends after half of them and starts again."""
+    log, out, state, lines = work_dir(spark, "ocr-log"), work_dir(spark, "ocr-states"), work_dir(spark, "ocr-checkpoint"), _ocr_lines(spark, d)
+    for late in (True, False):
+        lines.where((F.col("seq") % 3 == 0) == late).repartition(3, "seq").write.mode("append").parquet(log)
+        stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 2).parquet(log)
+        ocr.follow_events(stream, out, state).awaitTermination()
+    return ocr.followed(spark, out)
+
+
+@query("snk_marked_files", "SELECT c_custkey || '.txt' AS name, CASE WHEN c_custkey % 40 >= 3 THEN c_custkey % 40 ELSE 0 END::BIGINT AS marks FROM customer")
+def _(spark, d):
+    """Numbered texts marked by tasks into files, and read back."""
+    folder = work_dir(spark, "marked")
+    texts = _numbered_text(spark, d).select(F.concat(F.lit("/in/"), F.col("c_custkey").cast("string"), F.lit(".txt")).alias("path"), "text")
+    page_numbers.mark_files(texts, folder)
+    back = files.scan(spark, folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("content").cast("string").alias("text"))
+    return back.select("name", F.regexp_count("text", F.lit(f"{page_numbers.BAR} [0-9]+ {page_numbers.BAR}")).cast("long").alias("marks"))
 
 
 def _docx(batches):

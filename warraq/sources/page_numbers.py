@@ -156,19 +156,11 @@ def report(files) -> object:
 def mark_files(files, folder: str) -> object:
     """Write the marked texts of a table with ``path`` and ``text`` under a folder, by name; returns the report.
 
-    One task writes the files of its own rows through the shared folder's path.
+    The files appear when the whole job has ended; a task that fails and runs again leaves each once.
     """
-    import os
+    from .text_files import write_text_files
 
     done = files.withColumn("m", marked(F.col("text")))
-    os.makedirs(folder, exist_ok=True)
-
-    def run(batches):
-        for batch in batches:
-            for path, text in zip(batch["path"], batch["out"], strict=True):
-                with open(os.path.join(folder, path.rsplit("/", 1)[-1]), "w", encoding="utf-8", newline="") as f:
-                    f.write(text or "")
-            yield batch[["path"]]
-
-    done.select("path", F.col("m.text").alias("out")).mapInPandas(run, "path string").count()
+    name = F.regexp_extract("path", r"([^/]*)$", 1)
+    write_text_files(done.select(name.alias("name"), F.coalesce("m.text", F.lit("")).alias("text")), folder)
     return report(done)

@@ -1,4 +1,4 @@
-"""Legacy libraries in SQLite shards, read by a Python data source (one partition a shard).
+"""Legacy libraries in SQLite shards, read by a Python data source: ranges of rows of a shard are a task each.
 
 Driver and executors must both see the shard files under the same path (a shared
 folder), as SQLite opens files by path.
@@ -25,6 +25,11 @@ _BOOK_COLUMNS = [
     "id", "title", "author", "category", "year", "death_year", "country", "word_count", "pages_count", "publisher", "edition", "volumes_count", "investigator", "translator",
 ]
 _PAGE_COLUMNS = ["book_id", "page_num", "content", "content_path", "original_page_number"]
+#: Rows of a shard that one task reads.
+ROWS_A_TASK = 200_000
+#: Filters that SQLite can take.
+_SIGNS = {"EqualTo": "=", "In": "IN", "GreaterThan": ">", "GreaterThanOrEqual": ">=", "LessThan": "<", "LessThanOrEqual": "<="}
+PUSH_DOWN = "spark.sql.python.filterPushdown.enabled"
 _TYPES = {"id": "bigint", "book_id": "bigint", "page_num": "int", "word_count": "int", "pages_count": "int"}
 
 
@@ -40,7 +45,7 @@ def find_shards(folder: str) -> list[str]:
 
 
 class ShardSource(DataSource):
-    """Options: folder; table (books or pages); shards (file names, comma-separated; all without it)."""
+    """Options: folder; table (books or pages); shards (file names, comma-separated; all without it); rows (a task); push (take filters)."""
 
     @classmethod
     def name(cls):
@@ -54,32 +59,83 @@ class ShardSource(DataSource):
 
     def reader(self, schema):
         only = self.options.get("shards")
-        return _ShardReader(self.options["folder"], self.options["table"], self._columns(), only.split(",") if only else None)
+        kind = _PushingReader if self.options.get("push") == "true" else _ShardReader
+        return kind(self.options["folder"], self.options["table"], self._columns(), only.split(",") if only else None, int(self.options.get("rows", ROWS_A_TASK)))
+
+
+@dataclass
+class _Range(InputPartition):
+    """Rows of one shard by their number in the file; without bounds all."""
+
+    path: str
+    low: int | None = None
+    high: int | None = None
 
 
 class _ShardReader(DataSourceReader):
-    def __init__(self, folder, table, columns, only=None):
-        self.table, self.columns = table, columns
+    def __init__(self, folder, table, columns, only=None, rows=None):
+        self.table, self.columns, self.rows = table, columns, rows or ROWS_A_TASK
         self.paths = [p for p in find_shards(folder) if only is None or os.path.basename(p) in only]
+        #: Conditions for SQLite's statement, and their values.
+        self.tests: list[str] = []
+        self.values: list = []
 
     def partitions(self):
-        return [InputPartition(p) for p in self.paths]
-
-    def read(self, partition):
-        path = partition.value
-        with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
+        out = []
+        for path in self.paths:
+            try:
+                with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
+                    low, high = db.execute(f"SELECT min(rowid), max(rowid) FROM {self.table}").fetchone()
+            except sqlite3.DatabaseError:  # no row numbers, or no database: what it is shows when it is read
+                out.append(_Range(path))
+                continue
+            out += [_Range(path, a, min(a + self.rows - 1, high)) for a in range(low, high + 1, self.rows)] if low is not None else []
+        return out or [_Range("")]
+
+    def statement(self, there: set[str], part: _Range) -> tuple[str, list]:
+        """SQLite's statement for a range of rows, and its values."""
+        columns = [c if c in there else f"NULL AS {c}" for c in self.columns]
+        tests, values = [f"({t})" for t in self.tests], list(self.values)
+        if self.table == "pages":
+            tests.append("(" + " OR ".join(["length(content) > 0"] + (["length(content_path) > 0"] if "content_path" in there else [])) + ")")
+        if part.low is not None:
+            tests.append("rowid BETWEEN ? AND ?")
+            values += [part.low, part.high]
+        where = f" WHERE {' AND '.join(tests)}" if tests else ""
+        return f"SELECT {', '.join(columns)} FROM {self.table}{where}", values
+
+    def read(self, part):
+        if not part.path:
+            return
+        with sqlite3.connect(f"file:{part.path}?mode=ro", uri=True) as db:
             there = {row[1] for row in db.execute(f"PRAGMA table_info({self.table})")}
-            columns = [c if c in there else f"NULL AS {c}" for c in self.columns]
-            where = ""
-            if self.table == "pages":
-                tests = ["length(content) > 0"] + (["length(content_path) > 0"] if "content_path" in there else [])
-                where = " WHERE " + " OR ".join(tests) + " ORDER BY book_id, page_num"
-            for row in db.execute(f"SELECT {', '.join(columns)} FROM {self.table}{where}"):
+            for row in db.execute(*self.statement(there, part)):
                 row = list(row)
                 if self.table == "pages" and row[3] and row[3].strip():
-                    row[2] = _external(os.path.dirname(path), row[3].strip()) or row[2]
+                    row[2] = _external(os.path.dirname(part.path), row[3].strip()) or row[2]
                 texts = [x if x is None or self.columns[i] in _TYPES else str(x) for i, x in enumerate(row)]
-                yield (shard_number(path), *texts)
+                yield (shard_number(part.path), *texts)
+
+
+class _PushingReader(_ShardReader):
+    """For sessions that push filters down; Spark refuses the method where it does not."""
+
+    def pushFilters(self, filters):
+        """Comparisons of a column with values go into SQLite's statement, those of ``shard`` choose files; the rest is Spark's."""
+        for f in filters:
+            column = ".".join(f.attribute) if isinstance(getattr(f, "attribute", None), tuple) else None
+            sign = _SIGNS.get(type(f).__name__)
+            if column == "shard" and sign in ("=", "IN"):
+                wanted = set(f.value) if sign == "IN" else {f.value}
+                self.paths = [p for p in self.paths if shard_number(p) in wanted]
+            elif column in _TYPES and sign == "IN":
+                self.tests.append(f"{column} IN ({', '.join('?' * len(f.value))})")
+                self.values += f.value
+            elif column in _TYPES and sign:
+                self.tests.append(f"{column} {sign} ?")
+                self.values.append(f.value)
+            else:
+                yield f
 
 
 def _external(folder: str, name: str) -> str | None:
@@ -92,13 +148,25 @@ def _external(folder: str, name: str) -> str | None:
     return None
 
 
-def read_shards(spark: SparkSession, folder: str, only: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(books, pages) with global identifiers: shard * 10^12 + local identifier; of some shards only, if asked for."""
+def read_shards(spark: SparkSession, folder: str, only: list[str] | None = None, book_ids: list[int] | None = None, rows: int = ROWS_A_TASK) -> tuple[DataFrame, DataFrame]:
+    """(books, pages) with global identifiers: shard * 10^12 + local identifier; of some shards or books only, if asked for.
+
+    rows: how many of a shard one task reads.  Where the session has PUSH_DOWN on, conditions on shards, books and pages reach SQLite.
+    """
     spark.dataSource.register(ShardSource)
     names = ",".join(map(os.path.basename, only)) if only is not None else ""
-    read = lambda t: spark.read.format("warraq_shards").option("folder", folder).option("table", t).option("shards", names).load()
-    books = read("books").withColumn("book_id", F.col("shard").cast("long") * ID_STEP + F.col("id"))
-    pages = read("pages").withColumn("book_id", F.col("shard").cast("long") * ID_STEP + F.col("book_id"))
+    push = spark.conf.get(PUSH_DOWN, "false")
+    read = lambda t: spark.read.format("warraq_shards").option("folder", folder).option("table", t).option("shards", names).option("rows", rows).option("push", push).load()
+    books, pages = read("books"), read("pages")
+    if book_ids is not None:
+        # Of the local identifiers, as the source has them; what is left too many is taken out by the global ones.
+        local, numbers = sorted({i % ID_STEP for i in book_ids}), sorted({i // ID_STEP for i in book_ids})
+        books = books.where(F.col("shard").isin(numbers) & F.col("id").isin(local))
+        pages = pages.where(F.col("shard").isin(numbers) & F.col("book_id").isin(local))
+    books = books.withColumn("book_id", F.col("shard").cast("long") * ID_STEP + F.col("id"))
+    pages = pages.withColumn("book_id", F.col("shard").cast("long") * ID_STEP + F.col("book_id"))
+    if book_ids is not None:
+        books, pages = (t.where(F.col("book_id").isin(book_ids)) for t in (books, pages))
     return books, pages
 
 
