@@ -11,6 +11,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from brute_language import Brute
 from pyspark.sql import functions as F
 
 from warraq.llm import chat_format, common, decontaminate, exact_dedup, language_id, lm_score, near_dedup, packing, secret_scan, sharding, substring_dedup
@@ -732,9 +733,9 @@ def _pipeline_by_brute_force(spark, rows, d):
     import corpus_pipeline as c
 
     data = [(r.doc_id, r.text) for r in rows]
-    model = language_id.learn(spark.createDataFrame([(r.text, r.lang) for r in rows], "text string, lang string"))
-    pick, score, _, _ = language_id._predict(model, [t for _, t in data], language_id.SWITCH_PENALTY)
-    at = [x for x, p, s in zip(data, pick, score, strict=True) if p >= 0 and s >= c.MIN_SCORE]
+    brute = Brute([(r.text, r.lang) for r in rows])
+    found = [brute.predict(t) for _, t in data]
+    at = [x for x, (lang, score) in zip(data, found, strict=True) if lang != "und" and score >= c.MIN_SCORE]
     yield at
     best: dict[str, int] = {}
     for i, t in at:
