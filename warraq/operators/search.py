@@ -147,8 +147,8 @@ def search_derivatives(pages: DataFrame, root: str, options: SearchOptions = Sea
     """Distinct words of a root at their first place, most frequent first; adds match_count."""
     if not root.strip() or not patterns.compiles(pages.sparkSession, patterns.root(root, vowels)):
         return _nothing(pages).withColumn("match_count", F.lit(0).cast("long"))
-    # Tokens are judged inside the page, so that only those of the root become rows.
-    found = _matches(metadata_filter(pages, options), r"\S+", is_derivative(root, vowels, min_length, max_length))
+    # Tokens of other letters are passed over by the expression, the rest is judged inside the page: only words of the root become rows.
+    found = _matches(metadata_filter(pages, options), patterns.allowed_tokens(root, vowels), is_derivative(root, vowels, min_length, max_length))
     rows = _results(found, SearchOptions(limit=None))
     # Words are few beside their occurrences: count and first place are partial aggregates.
     first = F.min(F.struct("book_id", "page_number", "match_position", *[c for c in RESULT_COLUMNS if c not in ("book_id", "page_number", "match_position", "matched_term")]))

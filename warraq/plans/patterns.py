@@ -100,14 +100,24 @@ def root(letters: str, vowels: bool = True) -> str:
     return "".join(".*" + one(c) for c in letters) + ".*"
 
 
-def allowed_letters(letters: str, vowels: bool = True) -> str:
-    """Pattern of words made of root letters, letters of increase and marks only."""
+def allowed_class(letters: str, vowels: bool = True) -> str:
+    """Root letters, letters of increase and marks, as they stand between brackets."""
     allowed = set(letters) | set(ADDED_LETTERS)
     if vowels and "ء" in letters:
         allowed |= set(HAMZA)
     if vowels and set(letters) & set("وي"):
         allowed |= set(WEAK)
-    return "^[" + "".join("\\" + c if c in "\\]^-[&" else c for c in sorted(allowed)) + "]*$"
+    return "".join("\\" + c if c in "\\]^-[&" else c for c in sorted(allowed))
+
+
+def allowed_letters(letters: str, vowels: bool = True) -> str:
+    """Pattern of words made of root letters, letters of increase and marks only."""
+    return f"^[{allowed_class(letters, vowels)}]*$"
+
+
+def allowed_tokens(letters: str, vowels: bool = True) -> str:
+    """Pattern of whole white-space tokens that are such words with any marks; nothing is tried twice."""
+    return rf"(?<!\S)[{allowed_class(letters, vowels)}{HARAKAT}]++(?!\S)"
 
 
 # Fixed value: what a user's expression must not ask for.

@@ -241,8 +241,16 @@ def restore_backup(archive: str, folder: str, needed: str = "_SUCCESS") -> None:
                 raise ValueError(f"unsafe entry {n!r}")
         if not any(os.path.basename(n) == needed or "_manifests/" in n for n in z.namelist()):
             raise ValueError("the backup holds no library")
-        shutil.rmtree(folder, ignore_errors=True)
-        z.extractall(folder)
+        # Unpacked beside it, then swapped: a damaged archive or a full disk leaves what was there.
+        new, old = f"{root}.{os.getpid()}.new", f"{root}.{os.getpid()}.old"
+        try:
+            z.extractall(new)
+            if os.path.exists(root):
+                os.rename(root, old)
+            os.rename(new, root)
+        finally:
+            shutil.rmtree(new, ignore_errors=True)
+        shutil.rmtree(old, ignore_errors=True)
 
 
 def list_backups(folder: str) -> list[str]:
