@@ -22,7 +22,7 @@ conversation is the work of one task.
 Defined cases: null texts and roles are empty; a null conversation is one of its own;
 null turns sort first; rows with the
 same turn are ordered by role and text and all kept; a turn over the budget has a
-window of its own (``tokens`` tells); an empty table gives an empty result; other
+window of its own (``tokens`` tells); a very long turn is held whole beside its formatted copy; an empty table gives an empty result; other
 columns are ignored.
 """
 

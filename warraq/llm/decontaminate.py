@@ -10,8 +10,9 @@ to be compared.
 
 Defined cases: null and empty texts have no words; an item with fewer words than a
 window is one window, an item without words none; repeated items and windows count
-once an item identifier; rows with the same doc_id are judged one by one; other
-columns are ignored.
+once an item identifier; rows with the same doc_id are judged one by one; a word hit by
+several windows (a tie) counts once; an empty table on either side gives no hits; of a very long text
+the JVM holds the array of its words in one row; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -31,7 +31,8 @@ Positions are code points, ends exclusive: gaps between matches (split) and matc
 
 Defined cases: null and empty texts have no spans; rows with one doc_id are scanned
 each; a corpus without tokens needs no control; an empty table gives an empty result;
-other columns are ignored.
+spans that begin at one place (a tie) go by kind as listed; of a very long text the JVM
+holds the arrays of its tokens and spans in one row; other columns are ignored.
 """
 
 from __future__ import annotations

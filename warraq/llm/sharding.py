@@ -10,7 +10,8 @@ exceed the limit are refined by further bits of their own documents only.
 Defined cases: a null or empty text counts no bytes; rows of one identifier have one
 hash and stay together; a bucket of a single hash cannot be split and is marked
 ``oversize`` when it exceeds the limit; a null identifier hashes as the empty string;
-an empty table gives an empty result; other columns are ignored.
+an empty table gives an empty result; of a very long text only its length counts, and
+one over the limit is an oversize shard; other columns are ignored.
 """
 
 from __future__ import annotations
