@@ -1,5 +1,6 @@
 """Headers, pages, page numbers, files, shards and the stored library."""
 
+import os
 import sqlite3
 import zipfile
 
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from warraq import exports
-from warraq.sources import files, headers, importer, page_numbers, pages, shards
+from warraq.sources import files, headers, importer, page_numbers, pages, shards, text_files
 from warraq.store import Library
 from warraq.streaming.ingest import import_stream
 
@@ -218,17 +219,52 @@ def test_exports(spark, tmp_path):
 
     p = sample_pages(spark)
     found = search(p, "رسول الله")
-    exports.write_csv(found, p, str(tmp_path / "x.csv"))
-    lines = (tmp_path / "x.csv").read_bytes().decode("utf-8-sig").splitlines()
+    out = lambda name: str(tmp_path / name)
+    exports.write_csv(found, p, out("csv"))
+    lines = (tmp_path / "csv" / "results-000000.csv").read_bytes().decode("utf-8-sig").splitlines()
     assert len(lines) == 2 and lines[1].startswith("1,الحديث,,الحديث,,1,رسول الله,قال رسول")
-    exports.write_docx(found, p, str(tmp_path / "x.docx"), "رسول الله")
-    assert "رسول الله" in files.docx_paragraphs((tmp_path / "x.docx").read_bytes()) and zipfile.is_zipfile(tmp_path / "x.docx")
+    exports.write_docx(found, p, out("docx"), "رسول الله")
+    document = tmp_path / "docx" / "results-000000.docx"
+    assert "رسول الله" in files.docx_paragraphs(document.read_bytes()) and zipfile.is_zipfile(document)
+    assert b'<w:color w:val="FF0000"/>' in zipfile.ZipFile(document).read("word/document.xml")
     assert exports.hits_in("قال كِتَاب الله", ["كتاب", "الله"]) == [("قال ", False), ("كِتَاب", True), (" ", False), ("الله", True)]
     assert exports.hits_in("abcd", ["ab", "bc", "zz"]) == [("abc", True), ("d", False)]
-    exports.write_text(found, p, str(tmp_path / "x.txt"), "رسول الله", "2026")
-    assert "[1] الحديث — صفحة 1" in (tmp_path / "x.txt").read_text(encoding="utf-8")
-    exports.write_book(p, 3, str(tmp_path / "b.txt"))
-    assert (tmp_path / "b.txt").read_text(encoding="utf-8").startswith("قال")
+    exports.write_text(found, p, out("txt"), "رسول الله", "2026")
+    assert "[1] الحديث — صفحة 1" in (tmp_path / "txt" / "results-000000.txt").read_text(encoding="utf-8")
+    exports.write_book(p, 3, out("book"))
+    assert (tmp_path / "book" / "3.txt").read_text(encoding="utf-8").startswith("قال") and os.listdir(tmp_path / "book") == ["3.txt"]
+
+
+def test_exports_of_several_files_and_of_nothing(spark, tmp_path):
+    from warraq.operators.search import SearchOptions, search
+
+    docs = spark.range(10).selectExpr("id as book_id", "1 as page_num", "string(null) as original_page_number", "'a trash, \"b\"' as content", "'t' as book_title", "'' as author",
+                                      "'c' as category", "'1' as year", "'1' as death_year", "'x' as country")
+    found = search(docs, "trash", options=SearchOptions(limit=None))
+    exports.write_csv(found, docs, str(tmp_path / "csv"), per_file=4)
+    assert sorted(os.listdir(tmp_path / "csv")) == [f"results-00000{i}.csv" for i in range(3)]
+    for i, n in enumerate((4, 4, 2)):
+        lines = (tmp_path / "csv" / f"results-00000{i}.csv").read_bytes().decode("utf-8-sig").splitlines()
+        assert len(lines) == n + 1 and lines[1].startswith(f"{4 * i + 1},t,") and lines[1].endswith(',"a trash, ""b"')  # a snippet ends with a word
+    exports.write_text(found, docs, str(tmp_path / "txt"), "trash", "now", per_file=9)
+    first, second = (open(tmp_path / "txt" / f"results-00000{i}.txt", encoding="utf-8").read() for i in range(2))
+    assert first.startswith("نتائج البحث عن: trash\nعدد النتائج: 10\n") and second.startswith("[10] t")
+    none = search(docs, "nothing", options=SearchOptions(limit=None))
+    exports.write_csv(none, docs, str(tmp_path / "none"))
+    exports.write_docx(none, docs, str(tmp_path / "none"), "nothing")
+    assert (tmp_path / "none" / "results-000000.csv").read_bytes().decode("utf-8-sig").count("\n") == 1
+    assert files.docx_paragraphs((tmp_path / "none" / "results-000000.docx").read_bytes()) == "نتائج البحث عن: nothing"
+
+
+def test_books_as_documents(spark, tmp_path):
+    rows = [(1, 2, "d\ne"), (1, 1, "a\n\nb"), (2, 1, None), (None, 1, "z")]
+    pages_ = spark.createDataFrame(rows, "book_id long, page_num int, content string")
+    exports.write_books(pages_, str(tmp_path / "docx"), ".docx")
+    assert files.docx_paragraphs((tmp_path / "docx" / "1.docx").read_bytes()) == "a\n\nb\nd\ne"
+    exports.write_books(pages_, str(tmp_path / "txt"))
+    assert (tmp_path / "txt" / "1.txt").read_text() == "a\n\nb\n\nd\ne" and sorted(os.listdir(tmp_path / "txt")) == ["1.txt", "2.txt"]
+    with pytest.raises(Exception, match="no name of a file"):
+        text_files.write_text_files(spark.createDataFrame([("../x.txt", "a")], "name string, text string"), str(tmp_path / "txt"))
 
 
 def test_csv_export_has_every_result(spark, tmp_path):

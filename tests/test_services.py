@@ -1,6 +1,7 @@
 """Rendering, statistics, selections and services."""
 
 import datetime as dt
+import json
 import os
 
 import pytest
@@ -10,7 +11,7 @@ from warraq import services
 from warraq.functions import text as T
 from warraq.operators import library, render, stats
 from warraq.plans.samples import sample_pages
-from warraq.schema import UNCLASSIFIED
+from warraq.schema import PAGES, UNCLASSIFIED
 from warraq.sources import ocr
 
 
@@ -94,24 +95,60 @@ def test_text_functions(spark):
     assert one(spark, "", T.looks_valid(t)) is False and one(spark, "plain ascii", T.looks_valid(t)) is True
 
 
+def test_backups(spark, tmp_path):
+    from warraq.store import Library
+
+    page = lambda i, text: (i, 1, None, text, f"b{i}", "", "c", "1", "1", None)
+    rows = lambda *own: spark.createDataFrame([page(*r) for r in own], PAGES)
+    held = lambda lib: sorted((r.book_id, r.content) for r in lib.pages().collect())
+    lib, folder = Library(spark, f"file://{tmp_path}/lib"), f"file://{tmp_path}/backups"
+    assert services.list_backups(lib, folder) == []
+    lib.append(rows((1, "a"), (300, "b"), (2, "c")))
+    lib.delete_book(2)
+    assert services.create_backup(lib, folder, "b1") == f"{folder}/b1"
+    lib.append(rows((4, "d")))
+    services.create_backup(lib, folder, "b2")
+    lib.clear()
+    services.restore_backup(lib, folder, "b1")
+    assert held(lib) == [(1, "a"), (300, "b")] and services.list_backups(lib, folder) == ["b2", "b1"]
+    # Nothing of the library changes where a backup is missing, damaged or leads elsewhere.
+    backup = Library(spark, f"{folder}/b2")
+    newest = tmp_path / "backups" / "b2" / "_manifests" / backup.versions()[-1]
+    good = newest.read_text()
+    (tmp_path / "backups" / "b2" / "_manifests" / f".{newest.name}.crc").unlink(missing_ok=True)
+    newest.write_text(good.replace('"data/', '"../lib/data/'))
+    with pytest.raises(ValueError, match="unsafe entry"):
+        services.restore_backup(lib, folder, "b2")
+    newest.write_text(json.dumps(json.loads(good) | {"parts": json.loads(good)["parts"][:1]}))
+    with pytest.raises(ValueError, match="damaged"):
+        services.restore_backup(lib, folder, "b2")
+    for name, said in (("none", "holds no library"), ("../lib", "no name of a backup"), ("", "no name of a backup")):
+        with pytest.raises(ValueError, match=said):
+            services.restore_backup(lib, folder, name)
+    assert held(lib) == [(1, "a"), (300, "b")]
+    now_ = dt.datetime(2026, 1, 10)
+    due = lambda last, enabled=True, name="auto": services.run_backup_if_due(lib, folder, name, enabled, last, now_)[0]
+    assert [due(None, False), due(dt.datetime(2026, 1, 5)), due(dt.datetime(2026, 1, 1)), due(None), due(None, name="a/b")] == ["Disabled", "NotDue", "Created", "Created", "Failed"]
+    empty = Library(spark, f"file://{tmp_path}/empty")
+    services.create_backup(empty, folder, "b3")
+    services.restore_backup(lib, folder, "b3")
+    assert held(lib) == []
+
+
+def test_logs_of_a_table(spark, tmp_path):
+    logs = lambda a, b: spark.range(a, b).selectExpr("timestamp_seconds(id) as at", "string(id) as text")
+    folder = f"file://{tmp_path}/many"
+    for a, b in ((0, 30), (25, 40), (3, 4)):
+        services.write_crash_logs(logs(a, b), folder)
+    assert [int(r.text) for r in services.crash_logs(spark, folder).collect()] == list(range(39, 19, -1))
+
+
 def test_services(spark, tmp_path):
-    lib = tmp_path / "lib"
-    lib.mkdir()
-    (lib / "_SUCCESS").write_text("")
-    (lib / "data").write_text("1")
-    archive = services.create_backup(str(lib), str(tmp_path / "b.zip"))
-    (lib / "data").write_text("2")
-    services.restore_backup(archive, str(lib))
-    assert (lib / "data").read_text() == "1" and services.list_backups(str(tmp_path)) == ["b.zip"]
     for i in range(25):
         services.write_crash_log(str(tmp_path / "logs"), "x", dt.datetime(2026, 1, 1, 0, 0, i))
     assert len(os.listdir(tmp_path / "logs")) == 20
     services.save_progress(str(tmp_path / "p"), 1000, ["a", "b"])
     assert services.load_progress(str(tmp_path / "p"), 2000) == ["a", "b"] and services.load_progress(str(tmp_path / "p"), 10**12) is None
-    now_ = dt.datetime(2026, 1, 10)
-    due = lambda last, enabled=True, folder=lib: services.run_backup_if_due(str(folder), str(tmp_path / "auto.zip"), enabled, last, now_)[0]
-    assert [due(None, False), due(dt.datetime(2026, 1, 5)), due(dt.datetime(2026, 1, 1)), due(None)] == ["Disabled", "NotDue", "Created", "Created"]
-    assert services.run_backup_if_due(str(lib), str(tmp_path / "no" / "such" / "b.zip"), True, None, now_)[0] == "Failed"
     p = services.Preferences.of({"parallel_ocr_workers": "9", "results_limit": "many", "time_mode": "usage_date", "auto_backup_enabled": "TRUE", "split_books": "0.01"})
     assert (p.parallel_ocr_workers, p.results_limit, p.time_mode, p.auto_backup_enabled, p.split_books) == (4, 1000, "usage_date", True, 0.1)
     p.save(str(tmp_path / "prefs"))

@@ -1,4 +1,8 @@
-"""Exports of results and books: text, CSV and DOCX."""
+"""Exports of results and books: text, CSV and DOCX.
+
+Results go to a folder of numbered files with ``FILE_RESULTS`` results each, books to a file each.  Tasks write the
+files, a row at a time, and they appear when the whole job has ended (see ``sources/text_files.py``).
+"""
 
 from __future__ import annotations
 
@@ -12,6 +16,7 @@ from pyspark.sql import functions as F
 from .functions.text import blank, display_page, trim
 from .operators.reader import beside_pages, numbered
 from .operators.render import CSV_HEADER, csv_line, export_snippet
+from .sources.text_files import write_long_files
 
 _RULE, _THIN = "=" * 60, "-" * 60
 
@@ -43,22 +48,37 @@ def _blocks(df: DataFrame) -> DataFrame:
     return df.select("serial", F.concat(head, author, year, F.lit("\n\n"), F.col("snippet"), F.lit(f"\n\n{_THIN}")).alias("value"))
 
 
-def _stream(rows: DataFrame):
-    """Values in order of their serial, a partition at a time."""
-    return (r["value"] for r in rows.orderBy("serial").select("value").toLocalIterator())
+#: Results in one file of an export.
+FILE_RESULTS = 100_000
+
+
+def _in_files(rows: DataFrame, ending: str, per_file: int) -> DataFrame:
+    """With the name of the file that each serial belongs to."""
+    number = F.floor((F.col("serial") - 1) / per_file).cast("long")
+    return rows.withColumn("name", F.concat(F.lit("results-"), F.lpad(number.cast("string"), 6, "0"), F.lit(ending)))
+
+
+def _with_head(rows: DataFrame, ending: str, head: str) -> DataFrame:
+    """A first row (serial 0) in the first file, which so is there without any results."""
+    first = rows.sparkSession.createDataFrame([(f"results-000000{ending}", 0, head)], "name string, serial int, value string")
+    return first.unionByName(rows, allowMissingColumns=True)
 
 
-def write_csv(results: DataFrame, pages: DataFrame, path: str) -> None:
-    with open(path, "w", encoding="utf-8-sig", newline="") as f:
-        f.write(CSV_HEADER + "\n")
-        f.writelines(line + "\n" for line in _stream(csv_lines(results, pages)))
+def write_csv(results: DataFrame, pages: DataFrame, folder: str, per_file: int = FILE_RESULTS) -> None:
+    """Each file has its byte order mark and header."""
+    mark = f"\ufeff{CSV_HEADER}\n"
+    rows = _in_files(csv_lines(results, pages), ".csv", per_file)
+    begins = (F.col("serial") > 1) & ((F.col("serial") - 1) % per_file == 0)
+    rows = rows.withColumn("value", F.concat(F.when(begins, mark).otherwise(""), "value", F.lit("\n")))
+    write_long_files(_with_head(rows, ".csv", mark), folder, "serial")
 
 
-def write_text(results: DataFrame, pages: DataFrame, path: str, query: str, when: str) -> None:
+def write_text(results: DataFrame, pages: DataFrame, folder: str, query: str, when: str, per_file: int = FILE_RESULTS) -> None:
+    """The first file begins with the query, the number of results and the time."""
     rows = numbered(results)  # written once, so the search runs once
-    with open(path, "w", encoding="utf-8", newline="") as f:
-        f.write(f"نتائج البحث عن: {query}\nعدد النتائج: {rows.count()}\nتاريخ التصدير: {when}\n{_RULE}\n\n")
-        f.writelines(block + "\n" for block in _stream(_blocks(_shown(rows, pages))))
+    head = f"نتائج البحث عن: {query}\nعدد النتائج: {rows.count()}\nتاريخ التصدير: {when}\n{_RULE}\n\n"
+    blocks = _in_files(_blocks(_shown(rows, pages)), ".txt", per_file).withColumn("value", F.concat("value", F.lit("\n")))
+    write_long_files(_with_head(blocks, ".txt", head), folder, "serial")
 
 
 def _run(text: str, hit: bool) -> str:
@@ -110,32 +130,33 @@ def hits_in(text: str, terms: list[str]) -> list[tuple[str, bool]]:
     return [x for x in [*out, (text[at:], False)] if x[0]]
 
 
-def write_docx(results: DataFrame, pages: DataFrame, path: str, query: str) -> None:
-    def paragraphs():
-        yield [(f"نتائج البحث عن: {query}", False)]
-        rows = export_rows(results, pages).withColumn("terms", highlight_terms(F.col("matched_term")))
-        for r in rows.orderBy("serial").toLocalIterator():
-            yield [(f"[{r['serial']}] {r['book_title'] or '—'} — صفحة {r['page']}", False)]
-            yield hits_in(r["snippet"] or "", r["terms"])
+def write_docx(results: DataFrame, pages: DataFrame, folder: str, query: str, per_file: int = FILE_RESULTS) -> None:
+    """Documents of a heading and a snippet with its hits marked for each result; the first begins with the query."""
+    rows = export_rows(results, pages)
+    heading = F.concat(F.lit("["), F.col("serial").cast("string"), F.lit("] "), F.coalesce("book_title", F.lit("—")), F.lit(" — صفحة "), F.col("page"))
+    none = F.lit(None).cast("array<string>")
+    both = F.array(F.struct(heading.alias("value"), none.alias("terms")), F.struct(F.col("snippet").alias("value"), highlight_terms(F.col("matched_term")).alias("terms")))
+    rows = _in_files(rows.select("serial", F.posexplode(both).alias("line", "p")).select("serial", "line", "p.*"), ".docx", per_file)
+    write_long_files(_with_head(rows, ".docx", f"نتائج البحث عن: {query}"), folder, "serial", "line", kind="docx")
 
-    write_document(path, paragraphs())
 
+def write_books(pages: DataFrame, folder: str, ending: str = ".txt") -> None:
+    """Every book of a table of pages as text, or as DOCX if the ending says so, named by its identifier; pages without a book have none."""
+    rows = pages.where("book_id is not null").select(F.concat(F.col("book_id").cast("string"), F.lit(ending)).alias("name"), "page_num", F.coalesce("content", F.lit("")).alias("value"))
+    if ending == ".docx":
+        rows = rows.select("name", "page_num", F.posexplode(F.split("value", "\n", -1)).alias("line", "value"))
+        write_long_files(rows, folder, "page_num", "line", kind="docx")
+    else:
+        write_long_files(rows, folder, "page_num", between="\n\n")
 
-def write_book(pages: DataFrame, book_id: int, path: str) -> None:
-    """A whole book as text, or as DOCX if the path says so."""
-    from .operators.reader import get_book_pages
 
-    texts = (r["content"] for r in get_book_pages(pages, book_id).select("content").toLocalIterator())
-    if path.endswith(".docx"):
-        write_document(path, ([(line, False)] for t in texts for line in t.split("\n")))
-    else:
-        with open(path, "w", encoding="utf-8") as f:
-            for i, t in enumerate(texts):
-                f.write("\n\n" * (i > 0) + t)
+def write_book(pages: DataFrame, book_id: int, folder: str, ending: str = ".txt") -> None:
+    """One book of a table of pages (see ``write_books``)."""
+    write_books(pages.where(F.col("book_id") == book_id), folder, ending)
 
 
 def write_favourites(saved: DataFrame, hits: DataFrame, path: str) -> None:
-    """Saved searches as a DOCX summary: a heading each, and its first hits with short snippets."""
+    """Saved searches as a DOCX summary: a heading each, and its first hits with short snippets (both are capped, so it is a small file)."""
     from .services import summaries
 
     rows = summaries(hits).join(saved.select(F.col("id").alias("search_id"), "name", "query", "timestamp"), "search_id")

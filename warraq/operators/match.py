@@ -44,7 +44,9 @@ def find_all(pages: DataFrame, pattern: str, content: str = "content", keep: Cal
                 element_at(acc, -1) + aggregate(slice(__len, b * {_BLOCK} + 1, {_BLOCK}), 0, (s, x) -> s + x))))"""
         ),
     )
-    places = F.sequence(F.lit(1), F.size("__seg") - 1, F.lit(2))
+    # Rows without a match are gone by here; for texts that are constants Spark evaluates it all the same.
+    odd = F.sequence(F.lit(1), F.greatest(F.size("__seg") - 1, F.lit(1)), F.lit(2))
+    places = F.when(F.size("__seg") > 1, odd).otherwise(F.array().cast("array<int>"))
     if keep:
         places = F.filter(places, lambda i: keep(F.element_at("__seg", i + 1)))
 

@@ -7,10 +7,10 @@ expressions are written out and do not come from the builders under test.
 
 from __future__ import annotations
 
-import datetime as dt
 import io
 import os
 import sqlite3
+import uuid
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -702,15 +702,30 @@ def _(spark, d):
     return files.read_texts(rows.select(path.alias("path"), "text").mapInPandas(_docx, "path string, content binary"))
 
 
-def _write_shard(folder: str):
-    def run(key, rows):
-        with sqlite3.connect(os.path.join(folder, f"shard_{int(key[0]):04d}.db")) as db:
-            db.execute("CREATE TABLE books(id INTEGER PRIMARY KEY, title TEXT, category TEXT)")
-            db.execute("CREATE TABLE pages(book_id INTEGER, page_num INTEGER, content TEXT)")
-            books, texts = rows[rows.page_num.isna()], rows[rows.page_num.notna()]
-            db.executemany("INSERT INTO books VALUES (?, ?, ?)", [(int(i), t, c) for i, t, c in zip(books.id, books.title, books.text, strict=True)])
-            db.executemany("INSERT INTO pages VALUES (?, ?, ?)", [(int(i), int(p), t) for i, p, t in zip(texts.id, texts.page_num, texts.text, strict=True)])
-        return rows[["shard"]].head(1)
+def _write_shards(folder: str):
+    def run(batches):
+        """Rows of one shard after another, its books first; a batch at a time goes into its file."""
+        now, db, new = None, None, None
+
+        def close():
+            if db is not None:
+                db.commit()
+                db.close()
+                os.replace(new, os.path.join(folder, f"shard_{now:04d}.db"))
+
+        for batch in batches:
+            for shard, rows in batch.groupby("shard", sort=True):
+                if shard != now:
+                    close()
+                    now, new = int(shard), os.path.join(folder, f"_{int(shard)}-{uuid.uuid4().hex}.new")
+                    db = sqlite3.connect(new)
+                    db.execute("CREATE TABLE books(id INTEGER PRIMARY KEY, title TEXT, category TEXT)")
+                    db.execute("CREATE TABLE pages(book_id INTEGER, page_num INTEGER, content TEXT)")
+                    yield rows[["shard"]].head(1)
+                books, texts = rows[rows.page_num.isna()], rows[rows.page_num.notna()]
+                db.executemany("INSERT INTO books VALUES (?, ?, ?)", [(int(i), t, c) for i, t, c in zip(books.id, books.title, books.text, strict=True)])
+                db.executemany("INSERT INTO pages VALUES (?, ?, ?)", [(int(i), int(p), t) for i, p, t in zip(texts.id, texts.page_num, texts.text, strict=True)])
+        close()
 
     return run
 
@@ -727,13 +742,13 @@ def _(spark, d):
     o = table(spark, d, "orders").join(c, F.col("o_custkey") == F.col("c_custkey"))
     text = F.when(F.col("o_orderstatus") != "F", F.col("o_orderpriority")).otherwise("")
     rows = books.unionByName(o.select("shard", F.col("c_custkey").alias("id"), F.col("o_orderkey").alias("page_num"), F.lit("").alias("title"), text.alias("text")))
-    rows.groupBy("shard").applyInPandas(_write_shard(folder), "shard int").count()
+    rows.repartition("shard").sortWithinPartitions("shard", F.col("page_num").isNotNull()).mapInPandas(_write_shards(folder), "shard int").count()
     lib = _library(spark)
     done = shards.migrate(spark, folder, lib)
     return lib.pages().select("book_id", "page_num", "content", "book_title", "category", F.lit(done.total_books).cast("long").alias("books"))
 
 
-# -- files on the driver's side, in the shared folder ------------------------------------------
+# -- files in the shared folder ------------------------------------------------------------------
 
 
 def _folder(spark, name: str) -> str:
@@ -752,49 +767,59 @@ def _(spark, d):
     return search.search_pattern(arabic(spark, d), "فعل", ALL, shards.load_symbols(path))
 
 
-@query("snk_backup_restore", f"WITH {_LIB} {_STORED}")
+@query("snk_backup_restore", f"WITH {_LIB} {_STORED} WHERE book_id <> 5")
 def _(spark, d):
-    """A library put back from its backup after it was emptied."""
-    folder = _folder(spark, "backup")
-    lib = Library(spark, f"file://{folder}/library")
-    lib.append(corpus(spark, d))
-    archive = services.create_backup(f"{folder}/library", f"{folder}/library.zip")
+    """A library put back from its last backup after it was emptied; a deleted book is in neither."""
+    lib, folder = _library(spark), work_dir(spark, "backups")
+    lib.append(corpus(spark, d).where("book_id % 2 = 0"))
+    services.create_backup(lib, folder, "backup-1")
+    lib.append(corpus(spark, d).where("book_id % 2 = 1"))
+    lib.delete_book(5)
+    services.create_backup(lib, folder, "backup-2")
     lib.clear()
-    services.restore_backup(archive, f"{folder}/library")
+    services.restore_backup(lib, folder, services.list_backups(lib, folder)[0])
     return _stored(lib)
 
 
-@query("snk_book_text", "SELECT text AS value FROM documents WHERE doc_id = 42")
+@query("snk_book_text", "SELECT doc_id || '.txt' AS name, text || chr(10) || chr(10) || lang AS value FROM documents WHERE text IS NOT NULL")
 def _(spark, d):
-    path = os.path.join(_folder(spark, "book"), "book.txt")
-    exports.write_book(corpus(spark, d), 42, path)
-    return spark.read.text(f"file://{path}", wholetext=True)
+    """Every book of the library as a file, of two pages each."""
+    folder, p = work_dir(spark, "books"), corpus(spark, d).where("content is not null")
+    second = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("book_id"), F.lit(2).alias("page_num"), F.col("lang").alias("content"))
+    exports.write_books(second.unionByName(p, allowMissingColumns=True), folder)
+    back = files.scan(spark, folder)
+    return back.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("content").cast("string").alias("value"))
 
 
-@query("snk_docx", f"""{_hits('trash')}, {_SNIP} SELECT 'نتائج البحث عن: trash' || chr(10) || string_agg('[' || serial || '] ' || book_title || ' — صفحة 1' || chr(10) || v, chr(10) ORDER BY serial) AS text FROM e""")
+@query("snk_docx", f"""{_hits('trash')}, {_SNIP} SELECT (serial - 1) // 20 AS file, CASE WHEN min(serial) = 1 THEN 'نتائج البحث عن: trash' || chr(10) ELSE '' END
+    || string_agg('[' || serial || '] ' || book_title || ' — صفحة 1' || chr(10) || v, chr(10) ORDER BY serial) AS text FROM e GROUP BY 1""")
 def _(spark, d):
-    """All results as a document, and read back."""
-    path, p = os.path.join(_folder(spark, "docx"), "results.docx"), corpus(spark, d)
-    exports.write_docx(search.search(p, "trash", SearchMode.WORD, ALL), p, path, "trash")
-    return files.read_texts(files.scan_files(spark, [f"file://{path}"])).select("text")
+    """All results as documents of 20 each, and read back."""
+    folder, p = work_dir(spark, "docx"), corpus(spark, d)
+    exports.write_docx(search.search(p, "trash", SearchMode.WORD, ALL), p, folder, "trash", per_file=20)
+    number = F.regexp_extract("path", r"(\d+)\.docx$", 1).cast("long")
+    return files.read_texts(files.scan(spark, folder)).select(number.alias("file"), "text")
 
 
-@query("snk_csv_file", f"""{_hits('trash')}, {_SNIP} SELECT count(*) + 1 AS records, sum(serial)::BIGINT AS serials FROM e""")
+@query("snk_csv_file", f"""{_hits('trash')}, {_SNIP} SELECT (serial - 1) // 20 AS file, serial::VARCHAR AS serial, book_title, author, year, term, v AS snippet FROM e""")
 def _(spark, d):
-    """The file with its mark and header; lines inside quotes belong to their record."""
-    path, p = os.path.join(_folder(spark, "csv"), "results.csv"), corpus(spark, d)
-    exports.write_csv(search.search(p, "trash", SearchMode.WORD, ALL), p, path)
-    rows = spark.read.csv(f"file://{path}", multiLine=True, escape='"')
-    return rows.agg(F.count(F.lit(1)).alias("records"), F.sum(F.col(rows.columns[0]).try_cast("long")).alias("serials"))
+    """Files of 20 results, each with its mark and header; lines inside quotes belong to their record."""
+    folder, p = work_dir(spark, "csv"), corpus(spark, d)
+    exports.write_csv(search.search(p, "trash", SearchMode.WORD, ALL), p, folder, per_file=20)
+    names = ["serial", "book_title", "author", "category", "year", "page", "term", "snippet"]
+    rows = spark.read.schema(", ".join(f"{n} string" for n in names)).csv(folder, multiLine=True, escape='"', header=True, enforceSchema=True)
+    number = F.regexp_extract(F.input_file_name(), r"(\d+)\.csv$", 1).cast("long")
+    return rows.select(number.alias("file"), *(n for n in names if n not in ("category", "page")))
 
 
-@query("snk_crash_logs", "SELECT 'crash-' || strftime(TIMESTAMP '2026-01-01' + INTERVAL (o_orderkey) MINUTE, '%Y%m%d-%H%M%S-000000.log') AS name FROM orders WHERE o_orderkey < 60 ORDER BY o_orderkey DESC LIMIT 20")
+@query("snk_crash_logs", "SELECT 'crash-' || strftime(TIMESTAMP '2026-01-01' + INTERVAL (o_orderkey) SECOND, '%Y%m%d-%H%M%S-000000.log') AS name, o_orderpriority AS text FROM orders ORDER BY o_orderkey DESC LIMIT 20")
 def _(spark, d):
-    """One log an event, the newest kept."""
-    folder = _folder(spark, "logs")
-    for r in table(spark, d, "orders").where("o_orderkey < 60").select("o_orderkey").toLocalIterator():
-        services.write_crash_log(folder, "x", dt.datetime(2026, 1, 1) + dt.timedelta(minutes=r["o_orderkey"]))
-    return spark.createDataFrame([(n,) for n in sorted(os.listdir(folder))], "name string")
+    """A log for each order, in two goes, of which the newest stay."""
+    folder, o = work_dir(spark, "logs"), table(spark, d, "orders")
+    at = F.timestamp_seconds(F.unix_timestamp(F.lit("2026-01-01").cast("timestamp")) + F.col("o_orderkey"))
+    for odd in (0, 1):
+        services.write_crash_logs(o.where(F.col("o_orderkey") % 2 == odd).select(at.alias("at"), F.col("o_orderpriority").alias("text")), folder)
+    return services.crash_logs(spark, folder)
 
 
 @query("snk_import_log", """SELECT CASE WHEN length(text) >= 300 THEN 'OK /in/' || doc_id ELSE 'ERROR /in/' || doc_id || ' فشل قراءة الملف' END AS value FROM documents""")
@@ -818,14 +843,11 @@ def _(spark, d):
     return table(spark, d, "customer").select("c_custkey", page_numbers.marked(text)["text"].alias("text"))
 
 
-@query("src_scan", """SELECT n_name || CASE n_nationkey % 5 WHEN 0 THEN '.txt' WHEN 1 THEN '.TXT' ELSE '.Docx' END AS name, length(n_name)::BIGINT AS length FROM nation WHERE n_nationkey % 5 < 3""")
+@query("src_scan", """SELECT c_name || CASE c_custkey % 5 WHEN 0 THEN '.txt' WHEN 1 THEN '.TXT' ELSE '.Docx' END AS name, length(c_name)::BIGINT AS length FROM customer WHERE c_custkey % 5 < 3""")
 def _(spark, d):
     """Files of the kinds that can be read, whatever the case, in folders of folders."""
-    folder = _folder(spark, "scan")
-    for r in table(spark, d, "nation").toLocalIterator():  # 25 rows by definition
-        at = os.path.join(folder, "ab"[r["n_nationkey"] % 2], str(r["n_regionkey"]))
-        os.makedirs(at, exist_ok=True)
-        ext = (".txt", ".TXT", ".Docx", ".pdf", "")[r["n_nationkey"] % 5]
-        with open(os.path.join(at, r["n_name"] + ext), "w", encoding="utf-8") as f:
-            f.write(r["n_name"])
-    return files.scan(spark, f"file://{folder}").select(F.element_at(F.split("path", "/"), -1).alias("name"), "length")
+    folder, i = work_dir(spark, "scan"), F.col("c_custkey")
+    ending = F.element_at(F.array(*map(F.lit, (".txt", ".TXT", ".Docx", ".pdf", ""))), (i % 5 + 1).cast("int"))
+    name = F.concat((i % 2).cast("string"), F.lit("/"), F.col("c_nationkey").cast("string"), F.lit("/"), F.col("c_name"), ending)
+    text_files.write_text_files(table(spark, d, "customer").select(name.alias("name"), F.col("c_name").alias("text")), folder)
+    return files.scan(spark, folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), "length")

@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 import os
-import shutil
-import zipfile
+import re
 from dataclasses import dataclass, fields
 
-from pyspark.sql import Column, DataFrame, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .store import Library
+
 SAVED_CAP, CRASH_LOG_CAP, BACKUP_DAYS, STALE_DAYS = 50, 20, 7, 7
 SUMMARY_HITS, SUMMARY_CHARS = 10, 140
 
@@ -129,15 +133,15 @@ def coverage(table: DataFrame, base: str = "ar") -> DataFrame:
 # -- plain files on the driver ------------------------------------------------
 
 
-def run_backup_if_due(folder: str, target: str, enabled: bool, last: dt.datetime | None, now: dt.datetime, days: int = BACKUP_DAYS) -> tuple[str, str | None]:
-    """(status, file or error): makes the backup when it is due."""
+def run_backup_if_due(library: Library, folder: str, name: str, enabled: bool, last: dt.datetime | None, now: dt.datetime, days: int = BACKUP_DAYS) -> tuple[str, str | None]:
+    """(status, path or error): makes the backup when it is due."""
     if not enabled:
         return "Disabled", None
     if last is not None and (now - last).days < days:
         return "NotDue", None
     try:
-        return "Created", create_backup(folder, target)
-    except OSError as e:
+        return "Created", create_backup(library, folder, name)
+    except (OSError, ValueError, PySparkException, Py4JJavaError) as e:
         return "Failed", str(e)
 
 
@@ -224,37 +228,59 @@ def locale_of(code: str, known: tuple[str, ...] = ("ar", "en", "fr")) -> str:
     return code if code in known else "ar"
 
 
-def create_backup(folder: str, target: str) -> str:
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
-        for at, _, names in os.walk(folder):
-            for n in sorted(names):
-                z.write(os.path.join(at, n), os.path.relpath(os.path.join(at, n), folder))
-    return target
+# -- backups: libraries of their own, copied by Spark ---------------------------
+
+# Fixed value: data folders as a library names them; a backup that names others is refused.
+_OWN_FOLDER = r"(data|gone)/[0-9a-f]+(/bucket=-?[0-9]+)?"
+_CHECK_FILE = "backup.json"
+
+
+def fingerprint(pages: DataFrame) -> dict:
+    """Number of rows, and two sums over their hashes that do not depend on their order."""
+    hashed = pages.select(F.xxhash64(*sorted(pages.columns)).alias("h"))
+    row = hashed.agg(F.count(F.lit(1)).alias("rows"), F.expr("bit_xor(h)").alias("xor"), F.sum(F.col("h").cast("decimal(20, 0)")).cast("string").alias("sum")).first()
+    return {k: str(v) for k, v in row.asDict().items()}
+
+
+def _backup(library: Library, folder: str, name: str) -> Library:
+    if not name or name.startswith((".", "_")) or "/" in name:
+        raise ValueError(f"no name of a backup: {name!r}")
+    return Library(library.spark, f"{folder.rstrip('/')}/{name}", library.books)
 
 
-def restore_backup(archive: str, folder: str, needed: str = "_SUCCESS") -> None:
-    """Replace a folder by a backup; entries that leave the folder and backups without a library are refused."""
-    root = os.path.realpath(folder)
-    with zipfile.ZipFile(archive) as z:
-        for n in z.namelist():
-            if not os.path.realpath(os.path.join(root, n)).startswith(root + os.sep):
-                raise ValueError(f"unsafe entry {n!r}")
-        if not any(os.path.basename(n) == needed or "_manifests/" in n for n in z.namelist()):
-            raise ValueError("the backup holds no library")
-        # Unpacked beside it, then swapped: a damaged archive or a full disk leaves what was there.
-        new, old = f"{root}.{os.getpid()}.new", f"{root}.{os.getpid()}.old"
-        try:
-            z.extractall(new)
-            if os.path.exists(root):
-                os.rename(root, old)
-            os.rename(new, root)
-        finally:
-            shutil.rmtree(new, ignore_errors=True)
-        shutil.rmtree(old, ignore_errors=True)
+def create_backup(library: Library, folder: str, name: str) -> str:
+    """A copy of what the library holds now, without deleted books, as a library under ``folder``; its path.
+
+    Tasks copy the pages; what they must add up to is written last, so a backup that broke off is none.
+    """
+    copy, now = _backup(library, folder, name), library.pages()
+    copy.overwrite(now)
+    copy.write_note(_CHECK_FILE, json.dumps(fingerprint(now) | {"last": library.last_book_id()}))
+    return copy.path
+
+
+def restore_backup(library: Library, folder: str, name: str) -> None:
+    """Replace what the library holds by a backup, in one change.
+
+    Before anything is touched: a backup without a library or a check, one that names folders outside
+    itself, and one whose pages do not add up are refused.
+    """
+    copy = _backup(library, folder, name)
+    note = copy.read_note(_CHECK_FILE)
+    if note is None or not copy.versions():
+        raise ValueError("the backup holds no library")
+    now, told = copy.manifest(), json.loads(note)
+    for x in now["parts"] + now["gone"]:
+        if not re.fullmatch(_OWN_FOLDER, x["folder"]):
+            raise ValueError(f"unsafe entry {x['folder']!r}")
+    if not copy.healthy() or fingerprint(copy.pages()) != {k: v for k, v in told.items() if k != "last"}:
+        raise ValueError("the backup is damaged")
+    library.overwrite(copy.pages())
 
 
-def list_backups(folder: str) -> list[str]:
-    return sorted((n for n in os.listdir(folder) if n.endswith(".zip")), reverse=True)
+def list_backups(library: Library, folder: str) -> list[str]:
+    """Names of whole backups, the last first."""
+    return sorted((n for n in library.names_in(folder) if not n.startswith((".", "_")) and _backup(library, folder, n).read_note(_CHECK_FILE) is not None), reverse=True)
 
 
 def write_crash_log(folder: str, text: str, now: dt.datetime | None = None) -> str:
@@ -263,9 +289,32 @@ def write_crash_log(folder: str, text: str, now: dt.datetime | None = None) -> s
     name = f"crash-{(now or dt.datetime.now()):%Y%m%d-%H%M%S-%f}.log"
     with open(os.path.join(folder, name), "w", encoding="utf-8") as f:
         f.write(text)
+    _rotate(folder)
+    return name
+
+
+def _rotate(folder: str) -> None:
     for old in sorted((n for n in os.listdir(folder) if n.startswith("crash-")), reverse=True)[CRASH_LOG_CAP:]:
         os.remove(os.path.join(folder, old))
-    return name
+
+
+def crash_logs(spark: SparkSession, folder: str) -> DataFrame:
+    """name, text of the logs in a folder, the last first."""
+    logs = spark.read.format("binaryFile").option("pathGlobFilter", "crash-*.log").load(folder)
+    return logs.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("content").cast("string").alias("text")).orderBy(F.desc("name"))
+
+
+def write_crash_logs(logs: DataFrame, folder: str) -> None:
+    """Write a table of logs (columns at, text) as files, and keep the newest of the folder's; of one moment one stays.
+
+    Those that would go at once are not written, so no more than CRASH_LOG_CAP files are made.
+    """
+    from .sources.text_files import write_text_files
+
+    name = F.concat(F.lit("crash-"), F.date_format("at", "yyyyMMdd-HHmmss-SSSSSS"), F.lit(".log"))
+    named = logs.groupBy(name.alias("name")).agg(F.max("text").alias("text"))
+    write_text_files(newest(named, "name", CRASH_LOG_CAP), folder)
+    _rotate(folder.removeprefix("file://"))
 
 
 def save_progress(path: str, started: int, pending: list[str]) -> None:

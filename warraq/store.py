@@ -120,6 +120,18 @@ class Library:
         finally:
             fs.delete(new, False)
 
+    def names_in(self, folder: str) -> list[str]:
+        """Names in a folder; none where it is not there."""
+        return self._names(folder)
+
+    def write_note(self, name: str, text: str) -> None:
+        """A small file beside the data."""
+        self._replace(f"{self.path}/{name}", text)
+
+    def read_note(self, name: str) -> str | None:
+        path = f"{self.path}/{name}"
+        return self._read(path) if self.exists(path) else None
+
     # -- manifests ------------------------------------------------------------
     def versions(self) -> list[str]:
         return [n for n in self._names(f"{self.path}/_manifests") if n.endswith(".json")]
