@@ -366,6 +366,40 @@ def _(spark, d):
     return page_numbers.report(_numbered_text(spark, d).withColumn("m", page_numbers.marked(F.col("text"))))
 
 
+# Numbers on decorated lines (in Arabic digits), before and after other words, among items of lists; in a tenth of the texts markers that are there already.
+_MIXED = """c AS (SELECT c_custkey, c_custkey % 20 + 4 AS n, c_custkey % 10 = 9 AS old, CASE WHEN c_custkey % 4 = 0 THEN chr(13) || chr(10) ELSE chr(10) END AS nl, repeat('=', 25) AS bar FROM customer),
+    l AS (SELECT *, CASE i % 3 WHEN 0 THEN '- ' || translate(i::VARCHAR, '0123456789', '٠١٢٣٤٥٦٧٨٩') || ' -' WHEN 1 THEN i || ' نص' ELSE 'نص ' || i END AS line FROM c, unnest(generate_series(1, n)) AS s(i)),
+    p AS (SELECT *, CASE WHEN old THEN line WHEN i % 3 = 0 THEN bar || ' ' || i || ' ' || bar ELSE bar || ' ' || i || ' ' || bar || nl || line END || nl || '(99) بند' || nl || 'نص' AS part FROM l),
+    m AS (SELECT c_custkey, any_value(old) AS old, CASE WHEN any_value(old) THEN any_value(bar || ' 7 ' || bar || nl) ELSE '' END || string_agg(CASE WHEN i > 1 THEN nl ELSE '' END || part, '' ORDER BY i) AS text,
+        (count(*) FILTER (NOT old))::INT AS marked, (count(*) FILTER (NOT old AND i % 3 = 0))::INT AS strict FROM p GROUP BY c_custkey)"""
+
+
+def _mixed_text(spark, d):
+    k = F.col("c_custkey")
+    nl, bar = F.when(k % 4 == 0, "\r\n").otherwise("\n"), F.lit("=" * 25)
+
+    def lines(i):
+        number = i.cast("string")
+        line = F.when(i % 3 == 0, F.concat(F.lit("- "), F.translate(number, "0123456789", "٠١٢٣٤٥٦٧٨٩"), F.lit(" -"))).when(i % 3 == 1, F.concat(number, F.lit(" نص"))).otherwise(F.concat(F.lit("نص "), number))
+        return F.concat(line, nl, F.lit("(99) بند"), nl, F.lit("نص"))
+
+    body = F.array_join(F.transform(F.sequence(F.lit(1), (k % 20 + 4).cast("int")), lines), "\0")
+    text = F.concat(F.when(k % 10 == 9, F.concat(bar, F.lit(" 7 "), bar, nl)).otherwise(""), F.replace(body, F.lit("\0"), nl))
+    return table(spark, d, "customer").select("c_custkey", text.alias("text"))
+
+
+@query("sca_mixed_numbers", f"WITH {_MIXED} SELECT c_custkey, text, marked, strict FROM m")
+def _(spark, d):
+    m = _mixed_text(spark, d).select("c_custkey", page_numbers.marked(F.col("text")).alias("m"))
+    return m.select("c_custkey", "m.text", "m.marked", "m.strict")
+
+
+@query("agg_mixed_report", f"""WITH {_MIXED} SELECT count(*) FILTER (marked > 0) AS files_marked, 0::BIGINT AS files_without, count(*) FILTER (old) AS files_already, sum(marked)::BIGINT AS numbers,
+    sum(strict)::BIGINT AS strict, sum(marked - strict)::BIGINT AS loose, 1::BIGINT AS first, max(marked)::BIGINT AS last FROM m""")
+def _(spark, d):
+    return page_numbers.report(_mixed_text(spark, d).withColumn("m", page_numbers.marked(F.col("text"))))
+
+
 # -- the stored library ----------------------------------------------------------------
 
 _STORED = "SELECT book_id, page_num::INT AS page_num, content, nullif(trim(country), '') AS country FROM lib"
