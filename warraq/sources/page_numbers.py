@@ -44,16 +44,17 @@ def newline_of(text: Column) -> Column:
 
 def candidates(text: Column) -> Column:
     """array<struct<line, num, strict>> (lines from 0) of lines that could carry a page number."""
-    lines = F.split(text, "\r\n|\n|\r", -1)
-
-    def judged(line, i):
-        number, strict = F.lit(None).cast("string"), F.lit(False)
-        for pattern, is_strict in reversed(((_STRICT, True), (_DECORATED, True), (_START, False), (_END, False))):
-            hit = line.rlike(pattern)
-            number = F.when(hit, F.regexp_extract(line, pattern, 1)).otherwise(number)
-            strict = F.when(hit, F.lit(is_strict)).otherwise(strict)
-        number = F.when(line.rlike(_LIST_ITEM), None).otherwise(number)
-        return F.struct(i.alias("line"), latin_digits(number).try_cast("long").alias("num"), strict.alias("strict"))
+    lines = F.transform(F.split(text, "\r\n|\n|\r", -1), lambda x, i: F.struct(x.alias("text"), i.alias("line")))
+    # Most lines have no digit and are looked at once.
+    lines = F.filter(lines, lambda x: x["text"].rlike(_N) & ~x["text"].rlike(_LIST_ITEM))
+
+    def number(line, *patterns):
+        return F.coalesce(*(F.when(line.rlike(p), F.regexp_extract(line, p, 1)) for p in patterns))
+
+    def judged(x):
+        strict = number(x["text"], _STRICT, _DECORATED)
+        digits = F.coalesce(strict, number(x["text"], _START, _END))
+        return F.struct(x["line"].alias("line"), latin_digits(digits).try_cast("long").alias("num"), strict.isNotNull().alias("strict"))
 
     return F.filter(F.transform(lines, judged), lambda c: c["num"].isNotNull())
 
