@@ -132,3 +132,19 @@ def test_many_small_files_are_few_tasks(spark, tmp_path, monkeypatch):
     assert {r.content.decode() for r in back.collect()} == {str(i) for i in range(500)}
     plan = back.select("path", "length")._jdf.queryExecution().optimizedPlan().toString()
     assert "content" not in plan.split("Relation")[0]
+
+
+def test_known_units_are_looked_up_at_once():
+    """op13: Python sees new units only; what is known stays in Arrow."""
+    import pyarrow as pa
+
+    from warraq.llm import token_files
+
+    encoder, texts = token_files.Encoder(token_files.default_vocabulary()), pa.array(["some words, some (words).", None, "other words"])
+    ids, count = encoder.encode(texts)
+    known = encoder.known.to_pylist()
+    assert len(set(known)) == len(known) > 3
+    again, count_again = encoder.encode(texts)
+    assert encoder.known.to_pylist() == known and again.tolist() == ids.tolist() and count_again.tolist() == count.tolist()
+    plain = encoder.tokenizer.encode(texts[0].as_py(), add_special_tokens=False).ids
+    assert ids[: count[0]].tolist() == plain and count[1] == 0

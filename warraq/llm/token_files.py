@@ -87,7 +87,7 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = pa.array([], pa.string())
         self.ends, self.flat = np.zeros(1024, dtype=np.int64), np.zeros(4096, dtype="<u4")
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -121,23 +121,24 @@ class Encoder:
         """The number of each unit among those whose ids are known; new ones are encoded."""
         if len(self.known) > KNOWN_WORDS:
             self._forget()
-        known, letters, merges = self.known, self.letters, self.tokenizer.model.tokenize
-        plain = pc.match_substring_regex(units, _PLAIN).to_numpy(zero_copy_only=False).tolist()
-        places, fresh, sizes = [], [], []
-        for w, simple in zip(units.to_pylist(), plain, strict=True):
-            at = known.get(w)
-            if at is None:
-                at = known[w] = len(known)
+        letters, merges, n = self.letters, self.tokenizer.model.tokenize, len(self.known)
+        # All units are looked up at once; Python sees those alone that are not known.
+        places = pc.index_in(units, value_set=self.known.cast(units.type))
+        new = units.filter(places.is_null())
+        out = pc.fill_null(places, 0).to_numpy().astype(np.int64)
+        if len(new):
+            fresh, sizes = [], []
+            for w, simple in zip(new.to_pylist(), pc.match_substring_regex(new, _PLAIN).to_pylist(), strict=True):
                 ids = [t.id for t in merges(w.translate(letters))] if simple else self.tokenizer.encode(w, add_special_tokens=False).ids
                 fresh += ids
                 sizes.append(len(ids))
-            places.append(at)
-        if sizes:
-            n, old = len(known) - len(sizes), int(self.ends[len(known) - len(sizes) - 1]) if len(known) > len(sizes) else 0
+            self.known = pa.concat_arrays([self.known.cast(units.type), new])
+            out[places.is_null().to_numpy(zero_copy_only=False)] = np.arange(n, len(self.known))
+            old = int(self.ends[n - 1]) if n else 0
             ends = old + np.cumsum(sizes)
-            self.ends, self.flat = _room(self.ends, len(known)), _room(self.flat, int(ends[-1]))
-            self.ends[n : len(known)], self.flat[old : int(ends[-1])] = ends, fresh
-        return np.array(places, dtype=np.int64)
+            self.ends, self.flat = _room(self.ends, len(self.known)), _room(self.flat, int(ends[-1]))
+            self.ends[n : len(self.known)], self.flat[old : int(ends[-1])] = ends, fresh
+        return out
 
 
 def _room(x: np.ndarray, n: int) -> np.ndarray:
