@@ -97,3 +97,34 @@ def test_every_repeated_window_comes_from_the_merge(monkeypatch):
     }
     monkeypatch.setattr(sd, "repeated_windows", lambda data, *_: np.zeros(len(data), dtype=bool))
     assert sd._solve(LENGTH)(group).num_rows == 0
+
+
+@pytest.mark.parametrize("bits", [1, 9, 20, 31, 44, 60])
+def test_words_sort_as_lexsort(bits):
+    rng = np.random.default_rng(bits)
+    keys = [rng.integers(-1, (1 << k) - 1, 5000) for k in (bits, 2, bits, 1, 3)]
+    for n in (1, 2, 4, 5):
+        assert (sd.sorted_places(keys[:n]) == np.lexsort(keys[:n][::-1])).all()
+    assert len(sd.sorted_places([keys[0][:0]])) == 0
+
+
+@pytest.mark.parametrize("hashes", [lambda data, size: np.zeros(len(data) - size + 1, np.uint64), lambda data, size: data[: len(data) - size + 1].astype(np.uint64) << np.uint64(60), None])
+def test_codes_are_equal_where_bytes_are(monkeypatch, hashes):
+    """Whatever the hash says: with repeats that begin and break off anywhere, and gaps between the places."""
+    rng = np.random.default_rng(5)
+    text = rng.integers(97, 100, 400, dtype=np.uint8)
+    data = np.concatenate([text, text[50:300], rng.integers(97, 100, 60, dtype=np.uint8), text[100:]])
+    place = np.flatnonzero(rng.random(len(data) - 11) < 0.9)
+    if hashes:
+        monkeypatch.setattr(sd, "gram_hashes", hashes)
+    codes = sd.exact_codes(data, place, 12)
+    texts = [data[p : p + 12].tobytes() for p in place.tolist()]
+    assert len(set(zip(codes.tolist(), texts, strict=True))) == len(set(codes.tolist())) == len(set(texts))
+
+
+def test_marks_hash_the_bytes_once(monkeypatch):
+    hashed, gram_hashes = [], sd.gram_hashes
+    monkeypatch.setattr(sd, "gram_hashes", lambda data, size: hashed.append(len(data)) or gram_hashes(data, size))
+    data = np.frombuffer(_text(np.random.default_rng(6), 5000), np.uint8)
+    sd.string_marks(data, np.arange(0, 4000, 9), np.full(445, 600), GRAM)
+    assert sum(hashed) == len(data)
